@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesloom.llm.line_dedup import remove_spread_lines
+from seriesloom.llm.mixing import mix_sources
 from seriesloom.llm.ngram_join import jaccard_components
+from seriesloom.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_spread_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -42,10 +57,74 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) c ON s.doc_id = c.x
 """
 
+OP4_SQL = r"""
+WITH
+sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap,
+    (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS budget
+  FROM sizes),
+levels AS (
+  SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weight_left
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+stops AS (SELECT *, cap * weight_left <= (budget - cap_before) * weight AS stopped FROM levels),
+targets AS (
+  SELECT source, source_size, CASE WHEN stopped THEN cap ELSE
+    weight * (budget - coalesce((sum(cap) FILTER (stopped) OVER ()), 0)) / (sum(weight) FILTER (NOT stopped) OVER ())::BIGINT END AS target
+  FROM stops),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM targets),
+keyed AS (
+  SELECT s.*, p.source_size, p.target, p.epochs, floor(p.target)::BIGINT - p.epochs * p.source_size AS rest,
+    ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || p.epochs), 1, 15))::BIGINT AS key
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+run AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM keyed)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM run
+"""
+
+OP8_SQL = r"""
+WITH
+lines AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+spread AS (SELECT line FROM lines WHERE length(line) >= 20 AND source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+bad AS (SELECT list(line) AS lines FROM spread),
+cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS had,
+    list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad.lines, []), trim(x))) AS kept
+  FROM documents, bad)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+  coalesce(len(had), 0)::BIGINT AS n_lines, coalesce(len(had) - len(kept), 0)::BIGINT AS n_removed
+FROM cut
+"""
+
+OP10_SQL = r"""
+WITH
+keyed AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+prefixes AS (SELECT h, n_bytes, d, h >> (60 - d) AS p FROM keyed, (SELECT unnest(range(0, 61))::BIGINT AS d)),
+sums AS (SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs, min(h) AS lo, max(h) AS hi FROM prefixes GROUP BY 1, 2),
+fits AS (SELECT * FROM sums WHERE shard_bytes <= {limit} OR lo = hi OR d = 60),
+best AS (
+  SELECT k.h, min(f.d) AS d FROM (SELECT DISTINCT h, d, p FROM prefixes) k JOIN fits f ON k.d = f.d AND k.p = f.p GROUP BY 1)
+SELECT k.doc_id, k.n_bytes, b.d AS depth, CASE WHEN b.d = 0 THEN '' ELSE lpad(bin(f.p), b.d::INT, '0') END AS shard,
+  f.shard_bytes, f.shard_docs, f.shard_bytes > {limit} AS oversize
+FROM keyed k JOIN best b ON k.h = b.h JOIN fits f ON f.d = b.d AND f.p = k.h >> (60 - b.d)
+"""
+
 QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_source_mixing": op4_source_mixing,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
+    "op4_source_mixing": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op10_sharding": OP10_SQL.replace("{limit}", str(64 << 20)),
 }
