@@ -10,6 +10,8 @@ from seriesloom.llm.line_dedup import remove_spread_lines
 from seriesloom.llm.mixing import mix_sources
 from seriesloom.llm.ngram_join import jaccard_components
 from seriesloom.llm.sharding import shard_documents
+from seriesloom.llm.topk import top_k
+from seriesloom.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -115,9 +126,37 @@ SELECT k.doc_id, k.n_bytes, b.d AS depth, CASE WHEN b.d = 0 THEN '' ELSE lpad(bi
 FROM keyed k JOIN best b ON k.h = b.h JOIN fits f ON f.d = b.d AND f.p = k.h >> (60 - b.d)
 """
 
+OP5_SQL = r"""
+WITH
+whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+OP6_SQL = r"""
+WITH
+digits AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest
+  FROM digits),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_page FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_page THEN last_page END AS refers_to
+FROM last
+"""
+
 QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,
     "op10_sharding": op10_sharding,
 }
@@ -125,6 +164,8 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op5_exact_top_k": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SQL.replace("{limit}", str(64 << 20)),
 }
