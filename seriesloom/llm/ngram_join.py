@@ -8,7 +8,7 @@ least ``min(l, l')`` tokens of their prefixes. Each document takes the l that mi
 candidate cost: postings of the longer prefix against candidates left by the stricter match.
 
 The join never lists the pairs of a group. Prefix tokens link sets into candidate clusters by a
-linear number of chain edges. Clusters of up to ``block`` sets are verified in one piece (multi-match
+linear number of edges, which need the multiplicity where all that two sets share is rare. Clusters of up to ``block`` sets are verified in one piece (multi-match
 first, then exact intersections). A larger cluster is cut into blocks, each verified within itself
 and against one hub block; only sets that are then outside the cluster's largest component meet the
 other blocks. Each task gives back a spanning forest of the links that it found.
@@ -32,7 +32,9 @@ from seriesloom.llm._store import Scratch
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
 BITMAP_BITS = 23
-MOST_MATCHES = 4
+MOST_MATCHES = 512
+STRAY, EMIT, PASSAGE = 0.05, 5.0, 16.0
+SMALL_BUCKET = 8
 HOT_POSTINGS = 4096
 BLOCK = 512
 
@@ -46,21 +48,20 @@ def prefix_length(n: int, threshold: int, matches: int) -> int:
     return min(n, n - least_overlap(n, threshold) + matches)
 
 
-def choose_matches(costs: np.ndarray, n: int, threshold: int, most: int = MOST_MATCHES) -> int:
+def choose_matches(costs: np.ndarray, n: int, threshold: int) -> int:
     """The multiplicity with the least estimated cost.
 
-    ``costs`` has the estimated other postings of the first tokens in order. Scanning costs one for a
-    posting; a candidate costs its verification, about a tenth of the set; candidates fall with the
-    square of the matches that they need.
+    ``costs`` has the estimated other postings of the first tokens in order. A posting costs one to
+    scan, a token of the longer prefix ``EMIT`` to ship, a candidate a tenth of the set to verify. What
+    two unrelated sets share is a passage or two, so candidates fall by e for each ``PASSAGE`` matches.
     """
-    best, least = 1, math.inf
-    top = min(most, least_overlap(n, threshold))
-    for matches in range(1, top + 1):
-        postings = float(costs[: prefix_length(n, threshold, matches)].sum())
-        cost = postings + postings * (1 + n / 10) / (matches * matches)
-        if cost < least * 0.999:
-            best, least = matches, cost
-    return best
+    top = max(1, min(MOST_MATCHES, least_overlap(n, threshold), n // 16))
+    first = prefix_length(n, threshold, 1)
+    sums = np.cumsum(costs + STRAY)
+    matches = np.arange(1, top + 1)
+    postings = sums[np.minimum(first + matches - 1, len(sums)) - 1]
+    cost = postings + EMIT * matches + postings * (n / 10) * np.exp(-(matches - 1) / PASSAGE)
+    return int(np.argmin(cost)) + 1
 
 
 class _Order:
@@ -77,7 +78,7 @@ class _Order:
         at = (tokens & self.mask).astype(np.int64)
         order = np.argsort((self.rank[at] << K.U64(56)) | (tokens >> K.U64(8)), kind="stable")
         n = len(tokens)
-        longest = prefix_length(n, threshold, MOST_MATCHES)
+        longest = prefix_length(n, threshold, max(1, min(MOST_MATCHES, n // 16)))
         costs = self.others[at[order[:longest]]]
         matches = choose_matches(costs, n, threshold)
         return tokens[order], matches, costs[: prefix_length(n, threshold, matches)]
@@ -134,13 +135,16 @@ def _sum_sketch(chunks: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(order, k: int, threshold: int):
-    """Second pass: (token, salt, size, fingerprint) for each prefix token of each set new to this task."""
+    """Second pass: (token, traits, fingerprint) for each prefix token of each set new to this task.
+
+    ``traits`` packs size, multiplicity and salt, 12 bits each for the last two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = order.value, set()
         for batch in batches:
             for _, _, raw, bounds in K.text_chunks(batch.column(0)):
-                tokens, salts, sizes, fps = [], [], [], []
+                tokens, traits, fps = [], [], []
                 for members in K.shingle_sets(raw, bounds, k):
                     n = len(members)
                     if not n:
@@ -149,42 +153,103 @@ def _prefixes(order, k: int, threshold: int):
                     if (fp, n) in seen:
                         continue
                     seen.add((fp, n))
-                    arranged, _, costs = ranks.arrange(members, threshold)
+                    arranged, matches, costs = ranks.arrange(members, threshold)
                     p = len(costs)
-                    spread = np.maximum(costs // HOT_POSTINGS, 0).astype(np.int64)
+                    spread = np.minimum(costs // HOT_POSTINGS, 4094).astype(np.int64)
                     tokens.append(arranged[:p])
-                    salts.append(np.where(spread > 0, 1 + (fp & 0x7FFFFFFF) % (spread + 1), 0).astype(np.int32))
-                    sizes.append(np.full(p, n, np.int32))
+                    traits.append(np.where(spread > 0, 1 + (fp & 0x7FFFFFFF) % (spread + 1), 0) | (matches << 12) | (n << 24))
                     fps.append(np.full(p, fp, np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(fps))],
-                        ["token", "salt", "n", "fp"],
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(traits).astype(np.int64)), pa.array(np.concatenate(fps))], ["token", "traits", "fp"]
                     )
 
     return run
 
 
+def _bucket_edges(threshold: int):
+    """Edges of the buckets in rows sorted by token, salt, size.
+
+    A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger one
+    gives its chain of neighbours, which are kept whatever they share elsewhere.
+    """
+
+    def emit(token, salt, n, matches, fp, long_start: bool):
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+        run = np.cumsum(new) - 1
+        sizes = np.bincount(run)
+        if long_start:
+            sizes[0] += SMALL_BUCKET
+        large = sizes[run] > SMALL_BUCKET
+        us, vs, needs = [], [], []
+        for step in range(1, SMALL_BUCKET):
+            if step >= len(run):
+                break
+            at = np.flatnonzero((run[step:] == run[:-step]) & (~large[:-step] if step > 1 else True))
+            if not len(at) and step > 1:
+                break
+            to = at + step
+            fits = (fp[at] != fp[to]) & ((n[at] * 100 >= n[to] * threshold) | (large[at] & (salt[at] > 0)))
+            at, to = at[fits], to[fits]
+            us.append(np.minimum(fp[at], fp[to])), vs.append(np.maximum(fp[at], fp[to]))
+            needs.append(np.where(large[at], 0, np.minimum(matches[at], matches[to])))
+        if not us:
+            return None
+        u, v, need = map(np.concatenate, (us, vs, needs))
+        if not len(u):
+            return None
+        order = np.lexsort((need, v, u))
+        u, v, need = u[order], v[order], need[order]
+        first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+        shared = np.diff(np.append(first, len(u)))
+        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(shared.astype(np.int64)), pa.array(need[first].astype(np.int64))], ["u", "v", "shared", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_start = None, False
+        for batch in batches:
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            token, traits, fp = part
+            if not len(token):
+                continue
+            salt = traits & 0xFFF
+            last = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if len(token) - cut > SMALL_BUCKET:  # a long bucket goes out as it comes, its last row stays
+                done, keep, next_long = len(token), len(token) - 1, True
+            else:
+                done, keep, next_long = cut, cut, long_start and cut == 0
+            if done:
+                out = emit(token[:done], salt[:done], traits[:done] >> 24, (traits[:done] >> 12) & 0xFFF, fp[:done], long_start)
+                if out is not None:
+                    yield out
+            held, long_start = [x[keep:] for x in part], next_long
+        if held is not None and len(held[0]):
+            token, traits, fp = held
+            out = emit(token, traits & 0xFFF, traits >> 24, (traits >> 12) & 0xFFF, fp, long_start)
+            if out is not None:
+                yield out
+
+    return run
+
+
 def _candidate_edges(prefixes: DataFrame, threshold: int) -> DataFrame:
-    """Chain edges between neighbours by size among the sets that hold a token.
+    """A linear number of edges that keep every candidate pair in one cluster.
 
-    Two sets whose sizes permit the threshold have all sizes between them in the chain, so candidates
-    stay in one cluster. A hot token's sets are chained within salts; the salts' first sets are chained
-    too, without regard to size, which can only merge clusters.
+    Two sets that share only small buckets share at least the multiplicity of these. Those that share
+    a large bucket are joined by its chain: sets of all sizes between two that permit the threshold
+    stand between them. A hot token's sets are chained within salts without regard to size, and so
+    are the salts' first sets, which can only merge clusters.
     """
-    w = Window.partitionBy("token", "salt").orderBy("n", "fp")
-    chained = prefixes.withColumn("next_n", F.lead("n").over(w)).withColumn("next_fp", F.lead("fp").over(w)).withColumn("first", F.lag("fp").over(w).isNull())
-    near = chained.where(F.col("next_fp").isNotNull() & (F.col("fp") != F.col("next_fp")) & (F.col("n") * 100 >= F.col("next_n") * threshold)).select(
-        F.col("fp").alias("u"), F.col("next_fp").alias("v")
-    )
-    heads = prefixes.where("salt > 0").groupBy("token", "salt").agg(F.min("fp").alias("fp"))
+    salt = F.col("traits").bitwiseAND(0xFFF)
+    dealt = prefixes.repartition("token", salt).sortWithinPartitions("token", salt, "traits", "fp")
+    edges = dealt.mapInArrow(_bucket_edges(threshold), "u long, v long, shared long, need long")
+    counted = edges.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
+    heads = prefixes.where(salt > 0).groupBy("token", salt.alias("salt")).agg(F.min(F.struct("traits", "fp")).alias("head"))
     w = Window.partitionBy("token").orderBy("salt")
-    heads = heads.withColumn("v", F.lead("fp").over(w)).where("v is not null and v <> fp").select(F.col("fp").alias("u"), "v")
-    # within a salt chain the least fingerprint is linked to the rest only through near sizes
-    least = prefixes.where("salt > 0").join(
-        prefixes.where("salt > 0").groupBy("token", "salt").agg(F.min("fp").alias("u")), ["token", "salt"]
-    ).where("fp <> u").select("u", F.col("fp").alias("v"))
-    return near.unionByName(heads).unionByName(least).distinct()
+    heads = heads.select(F.col("head.fp").alias("u"), F.lead("head.fp").over(w).alias("v")).where("v is not null and v <> u")
+    return counted.unionByName(heads)
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -328,7 +393,7 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     rows = first.where("chunk is null").select("doc_id", "n", "fp")
     order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("chunk is not null").select("chunk", "counts"), SKETCH_BITS)))
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, salt int, n int, fp long")
+    prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, traits long, fp long")
     edges = _candidate_edges(prefixes, threshold)
     clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
