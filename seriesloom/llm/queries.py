@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesloom.llm.html_extract import extract_main_text
 from seriesloom.llm.langid import identify_languages
 from seriesloom.llm.line_dedup import remove_spread_lines
 from seriesloom.llm.mixing import mix_sources
 from seriesloom.llm.ngram_join import jaccard_components
 from seriesloom.llm.sharding import shard_documents
 from seriesloom.llm.topk import top_k
+from seriesloom.llm.toxicity import score_toxicity
 from seriesloom.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +35,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spread_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -163,7 +173,9 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
 }
 
