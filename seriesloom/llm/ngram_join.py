@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import _kernel as K
@@ -84,12 +84,17 @@ class _Order:
         return tokens[order], matches, costs[: prefix_length(n, threshold, matches)]
 
 
-def _scan(k: int, bits: int, per_row: bool):
-    """First pass: (doc_id, size, fingerprint) of each row, and this task's share of the sketch."""
+def text_key(text: Column) -> Column:
+    """A hash of the whole text, which with the id names rows that are alike."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _scan(k: int, bits: int):
+    """First pass: (doc_id, text_key, size, fingerprint) of each row, and this task's share of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
-        names = ["doc_id", "n", "fp", "chunk", "counts"]
+        names = ["doc_id", "text_key", "n", "fp", "chunk", "counts"]
         for batch in batches:
             sizes, fps = [], []
             for _, _, raw, bounds in K.text_chunks(batch.column(1)):
@@ -100,14 +105,14 @@ def _scan(k: int, bits: int, per_row: bool):
                     np.add.at(counts, (np.concatenate(sets) & K.U64(len(counts) - 1)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
             )
         width = min(SKETCH_CHUNK, len(counts))
         parts = [(i, counts[i * width : (i + 1) * width]) for i in range(len(counts) // width)]
         parts = [(i, part) for i, part in parts if part.any()]
         rows = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names
+            [*(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names
         )
 
     return run
@@ -382,15 +387,16 @@ EDGE = "u long, v long"
 def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int = BLOCK, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Sets and links of ``docs(doc_id, text)``.
 
-    Returns (rows, links): ``rows(doc_id, n, fp)``, one for each input row, where ``fp`` names the
+    Returns (rows, links): ``rows(doc_id, text_key, n, fp)``, one for each input row, where ``fp`` names the
     shingle set, and ``links(u, v)``, a spanning forest over the names of linked sets: two sets are
     connected in it exactly if a chain of links connects them.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = scratch.table(docs.mapInArrow(_scan(k, SKETCH_BITS, True), "doc_id long, n long, fp long, chunk int, counts binary"), "sets")
-    rows = first.where("chunk is null").select("doc_id", "n", "fp")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    first = scratch.table(keyed.mapInArrow(_scan(k, SKETCH_BITS), "doc_id long, text_key long, n long, fp long, chunk int, counts binary"), "sets")
+    rows = first.where("chunk is null").select("doc_id", "text_key", "n", "fp")
     order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("chunk is not null").select("chunk", "counts"), SKETCH_BITS)))
 
     prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, traits long, fp long")
@@ -441,6 +447,12 @@ def _rest(large: DataFrame, links: DataFrame, threshold: int, block: int, scratc
     return u.unionByName(v).groupBy("cluster", "i", "j").applyInArrow(_verify_groups(threshold), EDGE)
 
 
+def _roots(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, root`` of each set; a set without links is its own root."""
+    roots = connected_components(links, scratch).select(F.col("node").alias("fp"), "root")
+    return rows.where("n > 0").select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 75, block: int = BLOCK) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id``.
 
@@ -451,10 +463,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 75, block:
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     rows, links = similar_sets(docs, k, threshold, block, scratch)
-    roots = connected_components(links, scratch).select(F.col("node").alias("fp"), "root")
     least = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = least.join(_roots(rows, links, scratch), "fp")
     component = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.table(classes.join(component, "root").select("fp", "component_id"), "classes")
     full = rows.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that with the smallest doc_id, null ids last.
+
+    Of rows alike in id and text any one stays. Rows without words are linked with nothing and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows, links = similar_sets(docs, k, threshold, scratch=scratch)
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    least = rows.where("n > 0").groupBy("fp").agg(F.min(name).alias("name"))
+    keep = least.join(_roots(rows, links, scratch), "fp").groupBy("root").agg(F.min("name").alias("name"))
+    keep = scratch.table(keep.select(F.col("name.doc_id").alias("_keep_id"), F.col("name.text_key").alias("_keep_key")), "kept")
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.where(~wordless)
+    kept = own.join(keep, own["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")) & (text_key(own["text"]) == F.col("_keep_key")), "left_semi")
+    kept = kept.withColumn("_keep_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_keep_key"]).drop("_keep_key")
+    return kept.unionByName(docs.where(wordless))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesloom.llm.decontam import contaminated
 from seriesloom.llm.html_extract import extract_main_text
 from seriesloom.llm.langid import identify_languages
 from seriesloom.llm.line_dedup import remove_spread_lines
@@ -27,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -169,6 +174,7 @@ FROM last
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_top_k": op5_exact_top_k,
