@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm._store import Scratch
+from seriesloom.llm._store import Scratch, delete
 
 CRLF = "\r\n"
 END = b"\r\n\r\n"
@@ -37,7 +37,7 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*parts), _HEX32, _BASE32)
 
 
-def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def with_record_types(pages: DataFrame, min_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Digests and record types: of equal payloads of ``min_bytes`` or more, the largest page_id is the response.
 
     Rows that repeat this page_id are responses as well; a null page_id refers to the largest, and is a
@@ -46,6 +46,8 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     last = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last_page"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    if scratch:  # a written table has a known size: a small one is broadcast, and payloads are not shuffled
+        last = scratch.table(last, "repeated")
     rows = rows.join(last, "payload_digest", "left")
     revisit = F.col("last_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_page"))
     return rows.withColumn("refers_to", F.when(revisit, F.col("last_page"))).drop("last_page")
@@ -79,9 +81,9 @@ def warc_records(rows: DataFrame) -> DataFrame:
     return rows.select(value.alias("value"))
 
 
-def write_monolithic(records: DataFrame, path: str, files: int) -> None:
-    """Whole-file gzip archives, ``files`` of them."""
-    records.repartition(files).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).text(path)
+def write_monolithic(records: DataFrame, path: str, most_records: int) -> None:
+    """Whole-file gzip archives of at most ``most_records`` records."""
+    records.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most_records).text(path)
 
 
 def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -231,9 +233,10 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    rows = with_record_types(pages, min_bytes)
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    rows = with_record_types(pages, min_bytes, scratch)
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
     raw, target = scratch.path("monolithic"), scratch.path("normalised")
-    write_monolithic(warc_records(rows), raw, max(1, -(-total // ARCHIVE_BYTES)))
+    write_monolithic(warc_records(rows), raw, max(1, int(ARCHIVE_BYTES / (mean + 1024))))
     normalise(spark, raw, target).agg(F.sum("records")).first()
+    delete(spark, raw)
     return read_archives(spark, target)
