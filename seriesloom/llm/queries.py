@@ -130,7 +130,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(ke
 FROM cut
 """
 
-OP10_SQL = r"""
+OP10_SHARD = r"""
 WITH
 keyed AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
@@ -191,5 +191,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
-    "op10_sharding": OP10_SQL.replace("{limit}", str(64 << 20)),
+    "op10_sharding": OP10_SHARD.replace("{limit}", str(64 << 20)),
 }
