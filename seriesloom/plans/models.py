@@ -59,7 +59,7 @@ def solve_ridge(sums: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
 
 
 def _solve(sums: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("cells"))
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("cells")).where(F.size("cells") > 0)
 
     def run(frames):
         for frame in frames:

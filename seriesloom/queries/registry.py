@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Event types, the series of the wide tables; naming them saves the job that would find them.
-TYPES = ["cart", "click", "purchase", "refund", "view"]
+TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def register(sql: str | None = None):
