@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import calendar, scaling
 from seriesloom.operators import autocorrelation, drift, evaluation, features, profile
+from seriesloom.plans import models
+from seriesloom.plans.assistant import Assistant
 from seriesloom.queries.base import DAILY, HOURLY, MONTHLY, REVENUE, daily_events, hourly, hourly_grid, monthly, revenue, revenue_grid, rounded, rsql, stamp, table
 from seriesloom.sources import series
 from seriesloom.streaming import windows
@@ -527,3 +529,98 @@ def rolling_features(spark, d):
     out = features.add_features(revenue_grid(spark, d), [1, 7], [("mean", 7), ("std", 7)])
     out = calendar.add_calendar(out, ["month"])
     return out.select("ts", "y", "lag_1", "lag_7", rounded("roll_mean_7", 3).alias("roll_mean_7"), rounded("roll_std_7", 3).alias("roll_std_7"), "month")
+
+
+# Models and backtests: checked by invariants and by closed forms, not by SQL
+
+
+def _filled(spark, d):
+    return hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT series_id, y, lag(y, 1) OVER (PARTITION BY series_id ORDER BY pos) AS x FROM x),
+s AS (SELECT series_id, avg(x) AS mx, avg(y) AS my, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM m WHERE x IS NOT NULL GROUP BY 1)
+SELECT series_id, {rsql("sxy / (sxx + 1)", 6)} AS slope, {rsql("my - mx * sxy / (sxx + 1)", 6)} AS intercept FROM s""")
+def ridge_one_lag(spark, d):
+    matrix = features.train_matrix(_filled(spark, d), [1])
+    out = models.fit_ridge(matrix, ["lag_1"], ["series_id"])
+    return out.select("series_id", rounded(F.col("beta")[0], 6).alias("slope"), rounded(F.col("beta")[1], 6).alias("intercept"))
+
+
+
+
+@register(f"""WITH RECURSIVE {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT series_id, y, lag(y, 1) OVER (PARTITION BY series_id ORDER BY pos) AS x FROM x),
+s AS (SELECT series_id, avg(x) AS mx, avg(y) AS my, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM m WHERE x IS NOT NULL GROUP BY 1),
+c AS (SELECT series_id, sxy / (sxx + 1) AS a, my - mx * sxy / (sxx + 1) AS b FROM s),
+f AS (SELECT c.series_id, 1::BIGINT AS step, a, b, a * arg_max(x.y, x.pos) + b AS p FROM c JOIN x ON c.series_id = x.series_id GROUP BY c.series_id, a, b
+  UNION ALL SELECT series_id, step + 1, a, b, a * p + b FROM f WHERE step < 12)
+SELECT series_id, step, {rsql("p", 5)} AS pred FROM f""")
+def recursive_ridge_forecast(spark, d):
+    grid = _filled(spark, d)
+    betas = models.fit_ridge(features.train_matrix(grid, [1]), ["lag_1"], ["series_id"])
+    out = models.recursive_forecast(models.tails_at_end(grid, 1), betas, [1], [], 12, "h")
+    return out.select("series_id", F.col("step").cast("long").alias("step"), rounded("pred", 5).alias("pred"))
+
+
+@register()
+def global_ridge_forecast(spark, d):
+    grid = _filled(spark, d)
+    matrix, names, _ = models.matrix_of(grid, [1, 2, 24], [("mean", 24)], ["hour", "day_of_week"], "cyclical")
+    betas = models.fit_ridge(matrix, names)
+    tails = models.tails_at_end(grid, 24)
+    out = models.recursive_forecast(tails, betas, [1, 2, 24], [("mean", 24)], 12, "h", ["hour", "day_of_week"], "cyclical")
+    return out.select("series_id", "step", "ts", rounded("pred", 4).alias("pred"))
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT series_id, pos, lag(y, 1) OVER w AS x, unnest([1, 2, 3])::BIGINT AS step, unnest([y, lead(y, 1) OVER w, lead(y, 2) OVER w]) AS y FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+s AS (SELECT series_id, step, avg(x) AS mx, avg(y) AS my, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx
+  FROM m WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+t AS (SELECT series_id, arg_max(y, pos) AS last FROM x GROUP BY 1)
+SELECT series_id, step, {rsql("last * sxy / (sxx + 1) + my - mx * sxy / (sxx + 1)", 5)} AS pred FROM s JOIN t USING (series_id)""")
+def direct_ridge_forecast(spark, d):
+    out = models.direct_forecast(_filled(spark, d), [1], 3)
+    return out.select("series_id", F.col("step").cast("long").alias("step"), rounded("pred", 5).alias("pred"))
+
+
+@register()
+def multivariate_forecast(spark, d):
+    out = models.multivariate_forecast(daily_events(spark, d), "view", TYPES, [1, 2], 3)
+    return out.select("series_id", F.col("step").cast("long").alias("step"), rounded("pred", 4).alias("pred"))
+
+
+@register()
+def backtest_ridge(spark, d):
+    folds = evaluation.cv_folds(spark, n=700, initial=500, steps=12, stride=24)
+    out = models.backtest_ridge(_filled(spark, d), folds, [1, 2, 24], [("mean", 24)], "h")
+    return out.select("series_id", "fold", "step", "ts", "y", rounded("pred", 4).alias("pred"))
+
+
+@register()
+def bootstrap_interval(spark, d):
+    grid = _filled(spark, d)
+    betas = models.fit_ridge(features.train_matrix(grid, [1, 24]), ["lag_1", "lag_24"], ["series_id"])
+    out = models.recursive_forecast(models.tails_at_end(grid, 24), betas, [1, 24], [], 12, "h", interval=(0.1, 0.9))
+    return out.select("series_id", "step", "ts", *[rounded(c, 4).alias(c) for c in ("pred", "lower_bound", "upper_bound")])
+
+
+@register()
+def holt_winters_forecast(spark, d):
+    out = models.statistical_forecast(_filled(spark, d), 12, 24)
+    return out.select("series_id", F.col("step").cast("long").alias("step"), rounded("pred", 4).alias("pred"))
+
+
+@register()
+def tree_forecast(spark, d):
+    return models.forest_forecast(_filled(spark, d), [1, 2, 24], 3, "random_forest", numTrees=10, maxDepth=4).select("series_id", "step", rounded("pred", 3).alias("pred"))
+
+
+@register()
+def compare_candidates(spark, d):
+    a = Assistant(hourly(spark, d), "ts", "y", "series_id", freq="h", fill="zero")
+    found = a.compare(
+        [("ridge", {"strategy": "multi_series", "estimator": "ridge", "lags": [1, 24], "windows": [("mean", 24)]}), ("seasonal_naive", {"strategy": "multi_series", "estimator": "seasonal_naive", "lags": [24], "windows": []})], 12
+    )
+    return found.leaderboard.select("candidate", rounded("value", 5).alias("value"), "rank")
