@@ -176,9 +176,17 @@ def _bucket_edges(threshold: int):
     """Edges of the buckets in rows sorted by token, salt, size.
 
     A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger one
-    gives its chain of neighbours, which are kept whatever they share elsewhere.
+    gives its chain of neighbours, which are kept whatever they share elsewhere. The first set of a salt
+    goes out as (token, set, salt, -1).
     """
 
+    def heads(token, salt, fp, long_start: bool):
+        first = np.concatenate(([not long_start], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+        at = np.flatnonzero(first & (salt > 0))
+        return pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(fp[at]), pa.array(salt[at].astype(np.int64)), pa.array(np.full(len(at), -1, np.int64))], names)
+
+    names = ["u", "v", "shared", "need"]
+
     def emit(token, salt, n, matches, fp, long_start: bool):
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
         run = np.cumsum(new) - 1
@@ -207,7 +215,7 @@ def _bucket_edges(threshold: int):
         u, v, need = u[order], v[order], need[order]
         first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
         shared = np.diff(np.append(first, len(u)))
-        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(shared.astype(np.int64)), pa.array(need[first].astype(np.int64))], ["u", "v", "shared", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(shared.astype(np.int64)), pa.array(need[first].astype(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, long_start = None, False
@@ -226,12 +234,16 @@ def _bucket_edges(threshold: int):
             else:
                 done, keep, next_long = cut, cut, long_start and cut == 0
             if done:
+                if salt[:done].any():
+                    yield heads(token[:done], salt[:done], fp[:done], long_start)
                 out = emit(token[:done], salt[:done], traits[:done] >> 24, (traits[:done] >> 12) & 0xFFF, fp[:done], long_start)
                 if out is not None:
                     yield out
             held, long_start = [x[keep:] for x in part], next_long
         if held is not None and len(held[0]):
             token, traits, fp = held
+            if (traits & 0xFFF).any():
+                yield heads(token, traits & 0xFFF, fp, long_start)
             out = emit(token, traits & 0xFFF, traits >> 24, (traits >> 12) & 0xFFF, fp, long_start)
             if out is not None:
                 yield out
@@ -239,7 +251,7 @@ def _bucket_edges(threshold: int):
     return run
 
 
-def _candidate_edges(prefixes: DataFrame, threshold: int) -> DataFrame:
+def _candidate_edges(prefixes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """A linear number of edges that keep every candidate pair in one cluster.
 
     Two sets that share only small buckets share at least the multiplicity of these. Those that share
@@ -249,11 +261,10 @@ def _candidate_edges(prefixes: DataFrame, threshold: int) -> DataFrame:
     """
     salt = F.col("traits").bitwiseAND(0xFFF)
     dealt = prefixes.repartition("token", salt).sortWithinPartitions("token", salt, "traits", "fp")
-    edges = dealt.mapInArrow(_bucket_edges(threshold), "u long, v long, shared long, need long")
-    counted = edges.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
-    heads = prefixes.where(salt > 0).groupBy("token", salt.alias("salt")).agg(F.min(F.struct("traits", "fp")).alias("head"))
-    w = Window.partitionBy("token").orderBy("salt")
-    heads = heads.select(F.col("head.fp").alias("u"), F.lead("head.fp").over(w).alias("v")).where("v is not null and v <> u")
+    edges = scratch.table(dealt.mapInArrow(_bucket_edges(threshold), "u long, v long, shared long, need long"), "bucket-edges")
+    counted = edges.where("need >= 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
+    w = Window.partitionBy("u").orderBy("shared", "v")
+    heads = edges.where("need < 0").select(F.col("v").alias("a"), F.lead("v").over(w).alias("b")).where("b is not null and b <> a").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return counted.unionByName(heads)
 
 
@@ -400,7 +411,7 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("chunk is not null").select("chunk", "counts"), SKETCH_BITS)))
 
     prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, traits long, fp long")
-    edges = _candidate_edges(prefixes, threshold)
+    edges = _candidate_edges(prefixes, threshold, scratch)
     clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / block))
