@@ -23,22 +23,28 @@ from seriesloom.operators.features import add_features, rolling_name, window_siz
 def gram_sums(matrix: DataFrame, features: list[str], keys: list[str], target: str = "y") -> DataFrame:
     """Sums of products of (features, target, 1) by ``keys``: rows ``keys…, i, value``; null rows are left out.
 
-    Each task gives the packed sums of its keys; the shuffle adds them by place.
+    Each task gives the packed sums of its keys; the shuffle adds them by place. Nulls are dropped in the
+    task: a filter over as many aliased columns would make the optimizer's constraint sets explode.
     """
     names = [*features, target]
     width = len(names) + 1
-    rows = matrix.select(*keys, *[F.col(f"`{n}`").cast("double").alias(f"_c{i}") for i, n in enumerate(names)]).dropna(subset=[f"_c{i}" for i in range(len(names))])
+    rows = matrix.select(*keys, *[F.col(f"`{n}`").cast("double").alias(f"_c{i}") for i, n in enumerate(names)])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             groups = frame.groupby(keys, dropna=False, sort=False) if keys else [((), frame)]
             out: dict[str, list] = {k: [] for k in keys} | {"sums": []}
             for key, part in groups:
-                x = np.hstack([part[[f"_c{i}" for i in range(len(names))]].to_numpy(float), np.ones((len(part), 1))])
+                x = part[[f"_c{i}" for i in range(len(names))]].to_numpy(float)
+                x = x[~np.isnan(x).any(1)]
+                if not len(x):
+                    continue
+                x = np.hstack([x, np.ones((len(x), 1))])
                 for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
                     out[k].append(v)
                 out["sums"].append((x.T @ x).ravel())
-            yield pd.DataFrame(out)
+            if out["sums"]:
+                yield pd.DataFrame(out)
 
     schema = "".join(f"`{k}` {matrix.schema[k].dataType.simpleString()}, " for k in keys) + "sums array<double>"
     parts = rows.mapInPandas(partial, schema).select(*keys, F.posexplode("sums").alias("i", "value"))
