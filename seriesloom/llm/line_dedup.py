@@ -52,7 +52,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20
     spread = spread_lines(docs, min_sites, min_chars, scratch)
     lines = docs.where("text is not null").select(F.md5("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("raw")).where(F.length(F.trim("raw")) >= min_chars)
     hits = lines.select("text_key", line_key(F.col("raw")).alias("line")).join(spread, "line", "left_semi")
-    cut = hits.groupBy("text_key").agg(F.collect_set("line").alias("cut"))
+    # written, so that the join below is a stage of its own and a large group of copies can be split
+    cut = scratch.table(hits.groupBy("text_key").agg(F.collect_set("line").alias("cut")), "cut")
     out = docs.withColumn("text_key", F.md5("text")).join(cut, "text_key", "left")
     gone = lambda raw: (F.length(F.trim(raw)) >= min_chars) & F.array_contains(F.col("cut"), line_key(raw))
     kept = F.when(F.col("cut").isNull(), _lines(F.col("text"))).otherwise(F.filter(_lines(F.col("text")), lambda raw: ~gone(raw)))
