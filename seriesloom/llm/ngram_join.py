@@ -175,9 +175,9 @@ def _prefixes(order, k: int, threshold: int):
 def _bucket_edges(threshold: int):
     """Edges of the buckets in rows sorted by token, salt, size.
 
-    A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger one
-    gives its chain of neighbours, which are kept whatever they share elsewhere. The first set of a salt
-    goes out as (token, set, salt, -1).
+    A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger or
+    salted one gives its chain of neighbours, which are kept whatever they share elsewhere, that of a salt
+    whatever their sizes. The first set of a salt goes out as (token, set, salt, -1).
     """
 
     def heads(token, salt, fp, long_start: bool):
@@ -193,7 +193,7 @@ def _bucket_edges(threshold: int):
         sizes = np.bincount(run)
         if long_start:
             sizes[0] += SMALL_BUCKET
-        large = sizes[run] > SMALL_BUCKET
+        large = (sizes[run] > SMALL_BUCKET) | (salt > 0)
         us, vs, needs = [], [], []
         for step in range(1, SMALL_BUCKET):
             if step >= len(run):

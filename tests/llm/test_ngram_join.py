@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import ngram_join as N
@@ -86,6 +87,28 @@ def test_near_copies_beyond_one_block_and_hot_tokens(spark, monkeypatch):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_sets_of_hot_tokens_stay_in_one_cluster(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"h{i}" for i in range(100000)]
+    texts = []
+    for _ in range(6):
+        base = rng.choices(words, k=204)
+        texts += [base] * 60
+        texts += [base[: 204 - cut] for cut in (10, 25, 45)] + [base + rng.choices(words, k=more) for more in (15, 40, 60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(N, "HOT_POSTINGS", 8)
+    assert sorted((tuple(r) for r in jaccard_components(df).collect()), key=str) == brute(rows)
+
+
+def test_small_salted_buckets_are_chained_whatever_the_sizes():
+    token, salt = np.zeros(4, np.int64), np.array([1, 1, 1, 2])
+    traits, fp = (np.array([10, 100, 1000, 50]) << 24) | (3 << 12) | salt, np.array([5, 6, 7, 8])
+    out = N._bucket_edges(75)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in (token, traits, fp)], ["token", "traits", "fp"])]))
+    edges = {(r["u"], r["v"], r["need"]) for part in out for r in part.to_pylist()}
+    assert edges == {(5, 6, 0), (6, 7, 0), (0, 5, -1), (0, 8, -1)}
+
+
 def test_one_row_of_each_component_stays_whole(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, other int")
