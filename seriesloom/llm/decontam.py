@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so that a question with othe
 same template. Windows of the canonical words of benchmark items are hashed; documents send only windows
 whose hash is in a bitmap of fixed size, and a hash join decides. Windows of one occurrence lie on one
 diagonal (document position less item position); there every slot of the item must stand for one value
-of the document throughout.
+of the document throughout. A window with more slots than literals says little by its template; it is
+exact instead: hashed with the values of its slots, it matches only the same words.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from seriesloom.llm.langid import HashArray
 WINDOW = 8
 COVERAGE = 0.5
 BITMAP_BITS = 24
+#: Added to the hash of an exact window, with its length.
+EXACT = 1 << 32
 
 # Unit words that may follow a number.
 UNITS = (
@@ -86,18 +89,28 @@ def canonical_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _windows(canon: np.ndarray, slot: np.ndarray, lo: int, hi: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``k`` words in words lo..hi, and which of them are at least half literal."""
+    """Hashes of the windows of ``k`` words in words lo..hi, and which of them are exact, by slots in more than half."""
     runs = K.window_hashes(canon[lo:hi], k) + K.U64(k)
     filled = np.concatenate(([0], np.cumsum(slot[lo:hi] != 0)))
-    return runs, 2 * (filled[k:] - filled[:-k]) <= k
+    exact = 2 * (filled[k:] - filled[:-k]) > k
+    if exact.any():
+        runs = np.where(exact, K.window_hashes(_values(canon[lo:hi], slot[lo:hi]), k) + K.U64(EXACT + k), runs)
+    return runs, exact
 
 
-def _slots(slot: np.ndarray, at: int, k: int) -> list[int]:
-    part = slot[at : at + k]
-    return part[part != 0].view(np.int64).tolist()
+def _values(canon: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """A hash of each word itself, whether it is a slot or not."""
+    return np.where(slot != 0, K.mix(slot + K.U64(77)), canon)
 
 
-WINDOW_SCHEMA = "id long, key long, total long, at long, window long, slots array<long>"
+def _slots(values: np.ndarray, slot: np.ndarray, at: int, k: int, exact: bool) -> list[int]:
+    """Values of the slots of a window; all words of an exact one."""
+    part = values[at : at + k]
+    return (part if exact else part[slot[at : at + k] != 0]).view(np.int64).tolist()
+
+
+WINDOW_SCHEMA = "id long, key long, total long, plain long, at long, window long, exact boolean, slots array<long>"
+NAMES = ["id", "key", "total", "plain", "at", "window", "exact", "slots"]
 
 
 def _item_windows(k: int):
@@ -105,20 +118,21 @@ def _item_windows(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in NAMES]
             ids = batch.column(0).to_pylist()
             for lo, hi, raw, bounds in K.text_chunks(batch.column(1)):
                 canon, slot, first, _ = canonical_words(raw, bounds)
+                values = _values(canon, slot)
                 for i in range(hi - lo):
                     a, b = int(first[i]), int(first[i + 1])
                     size = min(k, b - a)
                     if size:
-                        runs, fit = _windows(canon, slot, a, b, size)
-                        at = np.flatnonzero(fit).tolist()
-                        for j in at:
-                            for col, value in zip(rows, (ids[lo + i], size, len(at), j, int(runs[j : j + 1].view(np.int64)[0]), _slots(slot, a + j, size)), strict=True):
+                        runs, exact = _windows(canon, slot, a, b, size)
+                        plain = int((~exact).sum())
+                        for j, (window, same) in enumerate(zip(runs.view(np.int64).tolist(), exact.tolist(), strict=True)):
+                            for col, value in zip(rows, (ids[lo + i], size, len(runs), plain, j, window, same, _slots(values, slot, a + j, size, same)), strict=True):
                                 col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(rows[5], pa.list_(pa.int64()))], ["id", "key", "total", "at", "window", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows[:6]] + [pa.array(rows[6], pa.bool_()), pa.array(rows[7], pa.list_(pa.int64()))], NAMES)
 
     return run
 
@@ -131,25 +145,30 @@ def _document_windows(bitmap, lengths: list[int]):
         mask = K.U64(len(bits) - 1)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
-            who, at, window, slots = [], [], [], []
+            who, at, window, same, slots = [], [], [], [], []
             for lo, _, raw, bounds in K.text_chunks(batch.column(2)):
                 canon, slot, first, row = canonical_words(raw, bounds)
+                values = _values(canon, slot)
                 for k in lengths:
                     if len(canon) < k:
                         continue
-                    runs, fit = _windows(canon, slot, 0, len(canon), k)
-                    fit &= row[: len(runs)] == row[k - 1 :]
+                    runs, exact = _windows(canon, slot, 0, len(canon), k)
+                    fit = row[: len(runs)] == row[k - 1 :]
                     hit = np.flatnonzero(fit & bits[(runs & mask).astype(np.int64)])
                     for j in hit.tolist():
                         who.append(lo + int(row[j]))
                         at.append(j - int(first[row[j]]))
-                        slots.append(_slots(slot, j, k))
+                        slots.append(_slots(values, slot, j, k, bool(exact[j])))
                     window.append(runs[hit].view(np.int64))
+                    same.append(exact[hit])
             if who:
                 pick = pa.array(who, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), keys.take(pick), pa.nulls(len(who), pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate(window)), pa.array(slots, pa.list_(pa.int64()))],
-                    ["id", "key", "total", "at", "window", "slots"],
+                    [
+                        ids.take(pick), keys.take(pick), pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), pa.array(at, pa.int64()),
+                        pa.array(np.concatenate(window)), pa.array(np.concatenate(same)), pa.array(slots, pa.list_(pa.int64())),
+                    ],
+                    NAMES,
                 )
 
     return run
@@ -177,7 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """Pairs of documents and benchmark items that they hold: ``doc_id, text_key, item_id, windows, coverage``.
 
     A pair is given if at least ``coverage`` of the item's windows stand in the document on diagonals
-    whose slots are consistent. Null ids of documents are kept as null; items with a null id, and texts
+    whose slots are consistent: of all its windows, or of those that are not exact, so that exact windows
+    take nothing from an item with other parameters. ``coverage`` is the larger share, ``windows``
+    counts all that were met. An item of exact windows only matches its own words only. Null ids of documents are kept as null; items with a null id, and texts
     that are null or have no words, match nothing. Rows that repeat give the pair once. Other columns
     are ignored.
     """
@@ -190,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").cast("string").alias("text"))
     found = scratch.table(rows.mapInArrow(_document_windows(bitmap, lengths), WINDOW_SCHEMA), "windows")
 
-    theirs = items.select("window", F.col("id").alias("item_id"), F.col("total"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    theirs = items.select("window", F.col("id").alias("item_id"), "total", "plain", "exact", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     ours = found.select("window", F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("at").alias("doc_at"), "slots")
     met = ours.join(theirs, "window").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     met = met.where(F.size("slots") == F.size("item_slots"))
@@ -200,8 +221,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     clash = clash.select(*[F.col(c).alias(f"c_{c}") for c in one]).distinct()
     same = [met[c].eqNullSafe(clash[f"c_{c}"]) for c in one]
     sound = met.join(clash, reduce(lambda a, b: a & b, same), "left_anti")
-    hits = sound.select("doc_id", "text_key", "item_id", "total", "item_at").distinct().groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("windows"), F.max("total").alias("total"))
-    out = hits.withColumn("coverage", F.col("windows") / F.col("total")).where(F.col("coverage") >= coverage)
+    met_once = sound.select("doc_id", "text_key", "item_id", "total", "plain", "exact", "item_at").distinct()
+    hits = met_once.groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("loose"), F.max("total").alias("total"), F.max("plain").alias("plain"))
+    plain = F.when(F.col("plain") > 0, F.col("loose") / F.col("plain"))
+    out = hits.withColumn("coverage", F.greatest(F.col("windows") / F.col("total"), plain)).where(F.col("coverage") >= coverage)
     return out.select("doc_id", "text_key", "item_id", "windows", "coverage")
 
 

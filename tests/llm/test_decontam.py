@@ -38,3 +38,15 @@ def test_empty_tables(docs, benchmark):
     assert contaminated(docs.limit(0), benchmark).count() == 0
     assert contaminated(docs, benchmark.limit(0)).count() == 0
     assert drop_contaminated(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_items_of_slots_match_word_for_word_only(spark):
+    mixed = "Now add 1 2 3 4 5 6 7 8 9 10 to the sum that they wrote on the big board there."
+    items = [(1, "What is 12 + 7? 19"), (2, "Totals: 4 8 15 16 23 42 108 5 7 9"), (3, mixed)]
+    rows = [
+        (1, "Sum it up: What is 12 + 7? 19 it is"), (2, "Sum it up. What is 13 + 7? 20 it is"), (3, "the Totals: 4 8 15 16 23 42 108 5 7 9 again"), (4, "Totals: 4 8 15 16 23 42 109 6 7 9"),
+        (5, mixed), (6, mixed.replace("5 6", "50 60")), (7, "they say What is 12 + 7? 19"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect())
+    assert got == [(1, 1), (3, 2), (5, 3), (6, 3), (7, 1)]
