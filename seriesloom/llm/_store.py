@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a folder of our own is set for the session.
+    A local session that names none (tests, a laptop) gets a folder of its own. A cluster must name one:
+    no folder of the driver's machine is seen by its executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,10 +47,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "table", codec: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path

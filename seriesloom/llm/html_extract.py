@@ -1,10 +1,15 @@
 """Main-text extraction from raw pages with removal of site templates.
 
-A page is parsed once into its blocks of text; each block keeps the hashes of the element subtrees
-around it. Spark counts the subtrees by host over distinct pages, and blocks inside subtrees that recur
-across many pages of their host are deleted, together with what elements and roles mark as navigation,
-notices, adverts, forms or comments. Inside an article only containers count as templates: paragraphs
-that pages of a host share there are the articles' own text.
+A page is parsed once into blocks of text. Every block-level element is hashed bottom-up from its tag
+and content, whatever it is called, and covers a run of blocks; a subtree of links alone is hashed
+without their labels and number, so that menus recur though their entries differ. Spark counts the subtrees of
+each host over pages with distinct main text, and those that recur across many of them are deleted.
+What elements and roles declare as navigation, forms and the like goes next, then what class names
+suggest, unless it holds most of the text left. Of the rest the article is given.
+
+Shared paragraphs are an article's own text: inside articles, ``main`` and elements whose class names
+content, single paragraphs are no candidates, and containers must recur on half of the pages. An
+element that contains an article is none.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,88 +30,155 @@ from seriesloom.llm._store import Scratch
 # Element names and role words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset(
-    "script style noscript template iframe object embed svg canvas audio video map head title nav aside footer form button select textarea dialog menu xmp noembed noframes".split()
-)
+MUTE = frozenset("script style noscript template iframe object embed svg canvas audio video map head title button select textarea xmp noembed noframes".split())
+REGIONS = frozenset("nav aside footer form menu dialog".split())
 BLOCKS = frozenset(
-    "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption address hr header footer nav aside form fieldset details summary center hgroup".split()
+    "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption address hr header footer nav aside form fieldset details summary center hgroup menu dialog".split()
 )
 CONTAINERS = frozenset("section div ul ol dl table figure details header fieldset center address".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption figcaption summary blockquote pre thead tbody tfoot hgroup".split())
 ROOTS = frozenset("article main".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus respond reply replies share sharing social related recommended widget widgets toolbar pagination pager login search".split()
-)
+REGION_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CONTENT_WORDS = frozenset("content article post entry story main".split())
+# Words of class names and ids. Those of the second line suggest little unless all names of the element are known.
+STRONG_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo cookie cookies consent gdpr popup modal newsletter sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs masthead footer related recommended pagination".split())
+WEAK_WORDS = frozenset("sponsor promotion banner notice notices overlay subscribe signup share sharing social widget widgets toolbar pager login search".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+KIND_WORDS = frozenset("bar box button buttons link links list form icons wrapper container section area block slot unit thread panel message inner outer top bottom left right".split())
 
 MIN_PAGES = 5
-MIN_SHARE = 0.1
+MIN_SHARE = 0.25
+MIN_SHARE_INSIDE = 0.5
+MENU_LINKS = 3
+STRONG, WEAK, COMMENT = 1, 2, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_WORD = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_PART = re.compile(r"[a-z0-9]+")
 _CLOSES_P = BLOCKS - {"html", "body"}
-_ITEM = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_ITEM = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_P_SCOPE = ("td", "th", "li", "article", "main", "body", "div", "section")
+_INLINE_SCOPE = ("td", "th", "table", "article", "main", "body")
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _words(attributes: dict[str, str]) -> set[str]:
-    return set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+def _names(attributes: dict[str, str]) -> list[list[str]]:
+    """The parts of each class name and id."""
+    return [p for p in (_PART.findall(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()) if p]
+
+
+def _means(parts: list[str], words: frozenset[str]) -> bool:
+    """Whether a name says one of ``words``: as its last part, or first before a word for a kind of box."""
+    if parts[0] in ("has", "with", "no", "without", "is"):
+        return False
+    return parts[-1] in words or (parts[0] in words and all(x in KIND_WORDS or x.isdigit() for x in parts[1:]))
 
 
-def _dropped(tag: str, attributes: dict[str, str]) -> bool:
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"], re.I):
-        return True
-    if attributes.get("role", "").strip().lower() in DROPPED_ROLES:
-        return True
-    return tag not in HEADINGS and tag not in ("html", "body", "main") and not DROPPED_WORDS.isdisjoint(_words(attributes))
+def suggestion(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """What class names and the id suggest of an element that may be no content; 0 for nothing."""
+    if tag not in CONTAINERS and tag not in ("p", "li"):
+        return 0
+    names = _names(attributes)
+    if any(_means(p, COMMENT_WORDS) for p in names):
+        return COMMENT
+    if any(_means(p, STRONG_WORDS) for p in names):
+        return STRONG
+    if any(_means(p, WEAK_WORDS) for p in names) and not (inside and tag in ("p", "li")):
+        return WEAK if all(_means(p, WEAK_WORDS | KIND_WORDS) for p in names) else -WEAK
+    return 0
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "root", "start", "node")
+    __slots__ = ("tag", "hard", "mute", "root", "first", "mark", "parts", "shape", "links", "plain", "holds_root")
 
-    def __init__(self, tag, dropped, root, start, node):
-        self.tag, self.dropped, self.root, self.start, self.node = tag, dropped, root, start, node
+    def __init__(self, tag: str, hard: bool, mute: bool, root: int, first: int, mark: int):
+        self.tag, self.hard, self.mute, self.root, self.first, self.mark = tag, hard, mute, root, first, mark
+        self.parts: list[str] = []
+        self.shape: list[str] = []
+        self.links, self.plain, self.holds_root = 0, False, tag in ROOTS
 
 
-def parse_blocks(html: str) -> list[tuple[str, list[int]]]:
-    """The blocks of a page's content: text, and the hashes of the template candidates around it.
+class Page:
+    """Blocks of a page and what covers them.
 
-    Content is in article elements if these have text, else in main, else in elements whose class or
-    id names content, else in the body.
+    ``texts``, ``ranks`` (3 in an article, 2 in main, 1 in an element named content, else 0; less 4 in
+    declared regions), ``subtrees`` as (first block, after last, hash), and ``marks`` as (first, after
+    last, suggestion), outer ones before inner ones.
     """
-    stack: list[_Open] = [_Open("", False, 0, 0, -1)]
-    parents: list[int] = []
-    hashes: list[int] = []
-    blocks: list[tuple[int, int, list[str]]] = []  # root rank, node, pieces
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.ranks: list[int] = []
+        self.subtrees: list[tuple[int, int, int]] = []
+        self.marks: list[tuple[int, int, int]] = []
+
+
+def parse_page(html: str) -> Page:
+    """Parse in one pass; time and size are linear in the page whatever its nesting."""
+    page = Page()
+    stack = [_Open("", False, False, 0, 0, 0)]
+    open_at: dict[str, list[int]] = {}
     pieces: list[str] = []
     pos, size = 0, len(html)
 
+    def last(*tags: str) -> int:
+        return max((at[-1] for tag in tags if (at := open_at.get(tag))), default=0)
+
     def flush():
-        nonlocal pieces
         if pieces:
-            blocks.append((stack[-1].root, stack[-1].node, pieces))
-            pieces = []
+            text = " ".join(entities.unescape("".join(pieces)).split())
+            pieces.clear()
+            if text:
+                page.texts.append(text)
+                page.ranks.append(stack[-1].root - 4 * stack[-1].hard)
 
-    def close(to: int, end: int):
+    def close(to: int):
         while len(stack) > to:
             top = stack[-1]
-            if top.tag in BLOCKS or top.tag in ROOTS:
+            if top.tag in BLOCKS:
                 flush()
             stack.pop()
-            if top.node >= 0 and (not stack or stack[-1].node != top.node):
-                slice_ = _TAG.sub(lambda m: f"<{m[1]}{m[2].lower()}>" if m[2] else "", html[top.start : end])
-                hashes[top.node] = xxhash.xxh64_intdigest(" ".join(slice_.split())) - (1 << 63)
+            open_at[top.tag].pop()
+            above = stack[-1]
+            above.holds_root |= top.holds_root
+            if top.mute:
+                continue
+            if top.tag in ("wbr", "br") or not (top.parts or top.shape):
+                continue
+            digest = xxhash.xxh64_hexdigest(f"{top.tag}\0" + "\0".join(top.parts))
+            shape = xxhash.xxh64_hexdigest(f"{top.tag}\0" + "\0".join(top.shape))
+            above.parts.append(digest)
+            if above.shape[-1:] != [shape]:  # a run of equal entries is one, so that menus may differ in length
+                above.shape.append(shape)
+            above.links += top.links + (top.tag == "a")
+            above.plain |= top.plain and top.tag != "a"
+            if top.tag not in BLOCKS or top.tag in ("html", "body"):
+                continue
+            lo, hi = top.first, len(page.texts)
+            if lo == hi:
+                continue
+            menu = not top.plain and top.links >= MENU_LINKS
+            inside = top.root > 0 and not top.hard
+            if not top.holds_root and not (inside and top.tag in LEAVES) and not (page.subtrees and page.subtrees[-1][:2] == (lo, hi)):
+                value = int(shape if menu else digest, 16) - (1 << 63)
+                page.subtrees.append((lo, hi, (value & ~1) | inside))
+            if top.mark > 0 or (top.mark < 0 and not top.plain):
+                page.marks.append((lo, hi, abs(top.mark)))
 
     def add(text: str):
-        if text and not stack[-1].dropped:
-            pieces.append(text)
+        top = stack[-1]
+        if not text or top.mute:
+            return
+        pieces.append(text)
+        word = " ".join(text.split())
+        if word:
+            top.parts.append(word)
+            top.plain = True
 
     while pos < size:
         m = _TAG.search(html, pos)
@@ -120,9 +193,9 @@ def parse_blocks(html: str) -> list[tuple[str, list[int]]]:
         if m[1]:
             if tag == "br":
                 add(" ")
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at and not (tag not in BLOCKS and any(x.tag in ("td", "th", "table", "article", "main", "body") for x in stack[at + 1 :])):
-                close(at, pos)
+            at = last(tag)
+            if at and (tag in BLOCKS or last(*_INLINE_SCOPE) <= at):
+                close(at)
             elif tag in BLOCKS:
                 flush()
             continue
@@ -136,14 +209,10 @@ def parse_blocks(html: str) -> list[tuple[str, list[int]]]:
             elif tag in ("br", "wbr", "img", "input"):
                 add("" if tag == "wbr" else " ")
             continue
-        if tag in _CLOSES_P:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "li", "article", "main", "body", "div", "section")), 0)
-            if at and stack[at].tag == "p":
-                close(at, m.start())
-        if tag in _ITEM:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag in ("dt", "dd") and stack[i].tag in ("dt", "dd")) or (tag in ("td", "th") and stack[i].tag in ("td", "th")) or stack[i].tag in _ITEM[tag]), 0)
-            if at and stack[at].tag not in _ITEM[tag]:
-                close(at, m.start())
+        if tag in _CLOSES_P and (at := last("p")) > last(*_P_SCOPE):
+            close(at)
+        if tag in _ITEM and (at := last(*_SAME.get(tag, (tag,)))) > last(*_ITEM[tag]):
+            close(at)
         if tag in BLOCKS:
             flush()
         elif tag in ("td", "th"):
@@ -155,34 +224,64 @@ def parse_blocks(html: str) -> list[tuple[str, list[int]]]:
         root = top.root
         if tag in ROOTS:
             root = 3 if tag == "article" or root == 3 else 2
-        elif root == 0 and attributes and tag in CONTAINERS and not CONTENT_WORDS.isdisjoint(_words(attributes)):
+        elif root == 0 and attributes and tag in CONTAINERS and any(not CONTENT_WORDS.isdisjoint(p) for p in _names(attributes)):
             root = 1
-        dropped = top.dropped or tag in DROPPED or bool(attributes) and _dropped(tag, attributes) or (tag == "header" and root == 0)
-        node = top.node
-        if not dropped and (tag in CONTAINERS or (root < 2 and tag in ("p", "li"))):
-            node = len(parents)
-            parents.append(top.node)
-            hashes.append(0)
-        stack.append(_Open(tag, dropped, root, m.start(), node))
-    close(1, size)
+        hidden = bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", ""))))
+        declared = tag in REGIONS or (tag == "header" and root == 0) or (bool(attributes) and tag not in ROOTS and attributes.get("role", "").strip().lower() in REGION_ROLES)
+        mute = top.mute or tag in MUTE or hidden or (declared and tag not in BLOCKS)
+        mark = suggestion(tag, attributes, top.root > 0) if attributes and not mute else 0
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, top.hard or declared, mute, root, len(page.texts), mark))
+    close(1)
     flush()
-
-    best = 0
-    out = []
-    for root, node, parts in blocks:
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            best = max(best, root)
-            out.append((root, node, text))
-    kept = []
-    for root, node, text in out:
-        if root == best:
-            around = []
-            while node >= 0:
-                around.append(hashes[node])
-                node = parents[node]
-            kept.append((text, around))
-    return kept
+    page.marks.sort(key=lambda r: (r[0], -r[1]))
+    return page
+
+
+def main_blocks(texts: list[str], ranks: np.ndarray, subtrees: tuple[np.ndarray, ...], marks: list[tuple[int, int, int]], gone: np.ndarray) -> list[str]:
+    """The blocks of the main text when the subtrees with a hash in ``gone`` are deleted."""
+    n = len(texts)
+    if not n:
+        return []
+    alive = np.ones(n, bool)
+    if len(gone):
+        lo, hi, value = subtrees
+        hit = np.isin(value, gone)
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, lo[hit], 1)
+        np.add.at(step, hi[hit], -1)
+        alive = np.cumsum(step[:n]) == 0
+    alive &= ranks >= 0
+    if marks:
+        sizes = np.array([len(t) for t in texts]) * alive
+        total, before = int(sizes.sum()), np.concatenate(([0], np.cumsum(sizes)))
+        cut = np.zeros(n + 1, np.int64)
+        done = 0
+        for lo, hi, mark in marks:
+            if lo < done:  # within one that goes
+                continue
+            inside = int(before[hi] - before[lo])
+            if inside < total if mark == COMMENT else 2 * inside <= total:
+                cut[lo] += 1
+                cut[hi] -= 1
+                done = hi
+                total -= inside
+        alive &= np.cumsum(cut[:n]) == 0
+    if not alive.any():
+        return []
+    best = ranks[alive].max()
+    return [texts[i] for i in np.flatnonzero(alive & (ranks == best))]
+
+
+def _arrays(page: Page) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    cols = np.array(page.subtrees, np.int64).reshape(-1, 3)
+    return np.array(page.ranks, np.int64), (cols[:, 0], cols[:, 1], cols[:, 2])
+
+
+def page_text(html: str, gone: set[int] | frozenset[int] = frozenset()) -> str:
+    """The main text of one page, with the subtrees in ``gone`` deleted."""
+    page = parse_page(html)
+    return "\n".join(main_blocks(page.texts, *_arrays(page), page.marks, np.array(sorted(gone), np.int64)))
 
 
 def host_of(url: str | None) -> str:
@@ -192,32 +291,56 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+PARSED = "page_id long, url string, host string, page long, blocks string, ranks array<tinyint>, firsts array<int>, afters array<int>, subtrees array<long>, marks array<int>"
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed pages; ``page`` is a hash of the main text before any template is known."""
+    none = np.zeros(0, np.int64)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            hosts, names, texts, paths = [], [], [], []
-            for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                blocks = parse_blocks(page or "")
-                hosts.append(host_of(url))
-                names.append(xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks)) - (1 << 63))
-                texts.append([t for t, _ in blocks])
-                paths.append([p for _, p in blocks])
+            cols: list[list] = [[] for _ in range(8)]
+            for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                page = parse_page(html or "")
+                ranks, subtrees = _arrays(page)
+                own = "\n".join(main_blocks(page.texts, ranks, subtrees, page.marks, none))
+                row = (host_of(url), xxhash.xxh64_intdigest(own) - (1 << 63), "\n".join(page.texts), page.ranks, *subtrees, [x for mark in page.marks for x in mark])
+                for col, value in zip(cols, row, strict=True):
+                    col.append(value)
+            types = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(paths, pa.list_(pa.list_(pa.int64())))],
-                ["page_id", "url", "host", "page", "blocks", "paths"],
+                [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
+                ["page_id", "url", "host", "page", "blocks", "ranks", "firsts", "afters", "subtrees", "marks"],
             )
 
 
-def template_subtrees(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, subtree`` of the subtrees on at least ``min_pages`` distinct pages of a host and ``min_share`` of them.
-
-    Pages with equal text count once, so that copies of an article do not make it a template.
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int64)
+    for batch in batches:
+        texts = []
+        rest = [batch.column(i) for i in range(2, 8)]
+        for blocks, ranks, firsts, afters, subtrees, marks, gone in zip(*(c.to_pylist() for c in rest), batch.column(8).to_pylist(), strict=True):
+            found = tuple(np.array(x, np.int64) for x in (firsts, afters, subtrees))
+            triples = list(zip(marks[::3], marks[1::3], marks[2::3], strict=True))
+            texts.append("\n".join(main_blocks(blocks.split("\n") if blocks else [], np.array(ranks, np.int64), found, triples, none if gone is None else np.array(gone, np.int64))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def template_subtrees(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_share_inside: float = MIN_SHARE_INSIDE) -> DataFrame:
+    """``host, subtree`` of the subtrees that recur: on ``min_pages`` pages of a host and a share of them.
+
+    Pages of a host with equal main text count once, so that copies of an article do not make its parts
+    a template. The share is ``min_share_inside`` for subtrees inside an article (odd hashes). Counts
+    are exact. Pages without a host make no templates. A host has at most 1 / ``min_share`` times as
+    many templates as its pages have subtrees on average.
     """
-    pages = parsed.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
-    found = parsed.select("host", "page", F.explode(F.array_distinct(F.flatten("paths"))).alias("subtree")).distinct()
-    counted = found.groupBy("host", "subtree").agg(F.count("*").alias("on"))
-    return counted.where(F.col("on") >= min_pages).join(pages, "host").where(F.col("on") >= F.col("pages") * min_share).select("host", "subtree")
+    known = parsed.where("host <> ''")
+    pages = known.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    found = known.select("host", "page", F.explode(F.array_distinct("subtrees")).alias("subtree")).distinct()
+    counted = found.groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, min_share_inside).otherwise(min_share)
+    return counted.join(pages, "host").where(F.col("on") >= F.col("pages") * share).select("host", "subtree")
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -225,18 +348,14 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
 
     Blocks are in page order, joined by a line feed, each with its white space as single spaces and
     character references decoded. A null or empty html, or one without content, gives an empty text.
-    A null or broken url has the empty host. Rows that repeat are kept; other columns are ignored.
+    A null or broken url has no host and no templates. Rows that repeat are kept; other columns are
+    ignored. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.table(rows.mapInArrow(_parse, "page_id long, url string, host string, page long, blocks array<string>, paths array<array<long>>"), "parsed")
-    templates = template_subtrees(parsed, min_pages, min_share)
-    nested = F.size(F.flatten("paths")) > 0
-    marked = parsed.where(nested).select("host", "page", F.explode(F.array_distinct(F.flatten("paths"))).alias("subtree")).distinct()
-    gone = marked.join(templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("gone"))
-    hit = parsed.where(nested).join(gone, ["host", "page"], "left")
-    left = F.filter(F.arrays_zip("blocks", "paths"), lambda b: ~F.arrays_overlap(b["paths"], F.col("gone")))
-    hit = hit.withColumn("blocks", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.transform(left, lambda b: b["blocks"])))
-    out = parsed.where(~nested).select("page_id", "url", "blocks").unionByName(hit.select("page_id", "url", "blocks"))
-    text = F.array_join("blocks", "\n")
-    return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    parsed = scratch.table(rows.mapInArrow(_parse, PARSED), "parsed", "zstd")
+    templates = template_subtrees(parsed, min_pages, min_share).groupBy("host").agg(F.collect_list("subtree").alias("gone"))
+    # a row a host, written, so that Spark broadcasts it only if its size allows; a hot host's pages may be split
+    templates = scratch.table(templates, "templates")
+    joined = parsed.join(templates, "host", "left").select("page_id", "url", "blocks", "ranks", "firsts", "afters", "subtrees", "marks", "gone")
+    return joined.mapInArrow(_finish, "page_id long, url string, text string, n_chars long")

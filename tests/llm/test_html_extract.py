@@ -1,13 +1,12 @@
 import html
 import re
+import time
 
 import pytest
 
-from seriesloom.llm.html_extract import extract_main_text, parse_blocks
+from seriesloom.llm.html_extract import PARSED, _parse, extract_main_text, page_text, template_subtrees
 
-
-def text(page):
-    return "\n".join(t for t, _ in parse_blocks(page))
+text = page_text
 
 
 def test_article_without_the_rest():
@@ -50,6 +49,60 @@ def test_templates_of_a_host_go(spark):
     assert got[None]["text"] == "Own text number 0."
 
 
+def test_templates_without_telling_names_go_and_articles_stay(spark):
+    """Every page: a strip of links with other labels, a box of words, an article in a wrapper; the hosts' boxes differ."""
+    rows = []
+    for h in range(2):
+        for i in range(10):
+            links = "".join(f'<a href="/{i}/{j}">label {i * j} of {h}</a>' for j in range(4))
+            box = f"<div class=x{i}><span>Words of host {h}</span> that stand <b>everywhere</b>.</div>"
+            inner = f"<p>A passage that many pages share.</p><p>Body {h} {i}.</p><div><p>Printed by host {h}</p></div>"
+            page = f"<body><div>{links}</div>{box}<div><h1>Head {h} {i}</h1><p>Lead {i}.</p>" + ("" if i % 2 else f"<article>{inner}</article>") + f"</div><section>Stamp {h} {i}</section></body>"
+            rows.append((h * 100 + i, f"https://host{h}.example/{i}", page))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(2):
+        for i in range(10):
+            want = f"Head {h} {i}\nLead {i}.\nStamp {h} {i}" if i % 2 else f"A passage that many pages share.\nBody {h} {i}."
+            assert got[h * 100 + i] == want
+
+
+def test_templates_are_found_on_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED).cache()
+    found = template_subtrees(parsed).collect()
+    hosts = {r["host"] for r in found}
+    by_host = {r["host"]: r["n"] for r in parsed.select("host", "page").distinct().groupBy("host").count().withColumnRenamed("count", "n").collect()}
+    assert hosts == {h for h, n in by_host.items() if n >= 5}
+    parsed.unpersist()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>x</p><article class="post has-sidebar"><p>A</p></article>', "A"),
+        ('<div id="search-engines-history"><p>Old engines</p></div>', "Old engines"),
+        ('<div class="share price"><p>Shares rose</p></div>', "Shares rose"),
+        ('<article><p>a</p><div class="share price">b</div><blockquote class="notice">c</blockquote></article>', "a\nb\nc"),
+        ('<article><p>one two</p><div class="notice">n</div><div class="share"><a>t</a></div><div id="comments-list">long long long comment</div></article>', "one two"),
+        ('<div class="main-sidebar"><p>all of the text</p></div>', "all of the text"),
+        ('<main><nav>m</nav><p>a&#58;</p><dialog>d</dialog><span hidden>h</span><div role="Search">s</div></main><article></article>', "a:"),
+    ],
+)
+def test_names_never_take_articles_or_most_of_the_text(page, want):
+    assert text(page) == want
+
+
+def test_deep_and_long_pages_take_linear_time(spark):
+    deep = "<div>" * 10000 + "".join(f"w{i}</div>" for i in range(10000))
+    unclosed = "<p><b><i>" * 20000 + "end"
+    wide = "<article>" + "<p>one two</p>" * 100000 + "</article>"
+    start = time.perf_counter()
+    assert text(deep).count("\n") == 9999 and text(unclosed) == "end" and text(wide).count("\n") == 99999
+    assert time.perf_counter() - start < 8
+    df = spark.createDataFrame([(1, "http://a.example", deep), (2, "http://a.example", wide)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["n_chars"] for r in extract_main_text(df).collect()} == {1: len(text(deep)), 2: len(text(wide))}
+
+
 def test_test_pages_against_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
