@@ -3,12 +3,16 @@
 Insult words and stems are learned from labels: features whose association with toxic documents is
 beyond chance. A clause is read as a string of token classes by the composition of five transducers:
 negation, reported speech, target, threat and insult. Each rewrites what stands within its reach, and
-the best path says how every insult or threat of the clause is meant. A document's score comes from its
-clauses' path weights by a logistic model fitted to the labelled sample.
+the best path says how every insult or threat of the clause is meant and what it weighs: the insult's
+own weight times that of the arcs that read it. No word counts outside its clause. A document's score
+comes from the summed path weights of its clauses, and the summed heaviest reading of each of its
+distinct insults, by a logistic model whose coefficients are kept from being negative: an insult that
+is negated or reported never weighs more than the same insult said plainly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,9 +27,9 @@ from seriesloom.llm.langid import HashArray, fold
 
 #: Most labelled rows, by hash order, that the lexicon and the logistic model are fitted on.
 LABELLED_ROWS = 20000
-#: Least log-likelihood ratio of a feature, about one in 10**7 by chance.
-LEAST_RATIO = 30.0
 LEAST_PRECISION = 0.5
+#: Lexicon weights are read in steps of this many nats.
+STEP = 0.5
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -39,6 +43,8 @@ THREATS = "kill hurt destroy murder stab shoot strangle töten umbringen verletz
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitynr"
 READINGS = {"i": "plain", "j": "targeted", "n_i": "negated", "r_i": "reported", "k": "threat"}
 REACH = 3
+#: Longest clause, in tokens around what it marks, whose reading is kept for the next like it.
+KEPT_CLAUSE = 64
 
 
 class Wfst:
@@ -65,18 +71,32 @@ class Wfst:
                         todo.append((na, nb))
         return Wfst(arcs, start, frozenset(s for s in arcs if s[0] in self.owing or s[1] in other.owing))
 
-    def best(self, symbols: str) -> tuple[float, tuple[str, ...]]:
-        """Weight and output of the best path, the first of equals."""
-        paths = {self.start: (0.0, ())}
-        for s in symbols:
-            step: dict[object, tuple[float, tuple[str, ...]]] = {}
-            for state, (w, out) in paths.items():
+    def best(self, symbols: str, scales: list[float] | None = None) -> tuple[float, list[tuple[str, float]]]:
+        """Weight of the best path, the first of equals, and the output and weight of each of its arcs.
+
+        An arc's weight counts times the scale of the symbol that it reads.
+        """
+        paths: dict[object, float] = {self.start: 0.0}
+        trail: list[dict[object, tuple[object, str, float]]] = []
+        for at, s in enumerate(symbols):
+            scale = 1.0 if scales is None else scales[at]
+            step: dict[object, float] = {}
+            came: dict[object, tuple[object, str, float]] = {}
+            for state, w in paths.items():
                 for read, write, v, nxt in self.arcs[state]:
-                    if read == s and (nxt not in step or w + v > step[nxt][0]):
-                        step[nxt] = (w + v, (*out, write))
+                    if read == s and (nxt not in step or w + v * scale > step[nxt]):
+                        step[nxt], came[nxt] = w + v * scale, (state, write, v * scale)
             paths = step
-        ends = [path for state, path in paths.items() if state not in self.owing]
-        return max(ends, key=lambda p: p[0]) if ends else (float("-inf"), ())
+            trail.append(came)
+        ends = {state: w for state, w in paths.items() if state not in self.owing}
+        if not ends:
+            return float("-inf"), []
+        state = max(ends, key=ends.get)
+        total, out = ends[state], []
+        for came in reversed(trail):
+            state, write, w = came[state]
+            out.append((write, w))
+        return total, out[::-1]
 
 
 def _identity(symbols, nxt, but=()):
@@ -111,22 +131,33 @@ def grammar() -> Wfst:
     for n in range(REACH + 1):
         after = ("before", max(0, n - 1))
         target["before", n] = _identity(mid, after, (TARGET, INSULT)) + [(TARGET, OTHER, 0.0, ("before", REACH))]
-        target["before", n] += [(INSULT, "j", 0.5, after)] if n else [(INSULT, "i", 0.0, after), (INSULT, "j", 0.5, ("owes", REACH))]
+        target["before", n] += [(INSULT, "j", 0.25, after)] if n else [(INSULT, "i", 0.0, after), (INSULT, "j", 0.25, ("owes", REACH))]
     for n in range(1, REACH + 1):
         target["owes", n] = [(TARGET, OTHER, 0.0, ("before", REACH))]
         if n > 1:
-            target["owes", n] += _identity(mid, ("owes", n - 1), (TARGET, INSULT)) + [(INSULT, "j", 0.0, ("owes", n - 1))]
-    insult = {0: [(OTHER, "", 0.0, 0), (TARGET, "", 0.0, 0), ("i", "i", 1.0, 0), ("j", "j", 1.5, 0), ("n_i", "n_i", -0.5, 0), ("r_i", "r_i", -0.25, 0), ("k", "k", 2.0, 0)]}
+            target["owes", n] += _identity(mid, ("owes", n - 1), (TARGET, INSULT)) + [(INSULT, "j", 0.25, ("owes", n - 1))]
+    insult = {0: [(OTHER, "", 0.0, 0), (TARGET, "", 0.0, 0), ("i", "i", 1.0, 0), ("j", "j", 1.0, 0), ("n_i", "n_i", 0.0, 0), ("r_i", "r_i", 0.25, 0), ("k", "k", 2.0, 0)]}
     threats = Wfst(threat, 0, frozenset(range(1, REACH + 1)))
     targets = Wfst(target, ("before", 0), frozenset(("owes", n) for n in range(1, REACH + 1)))
     return Wfst(negation, 0).compose(Wfst(report, 0)).compose(threats).compose(targets).compose(Wfst(insult, 0))
 
 
-@lru_cache(1 << 16)
-def read_clause(classes: str) -> tuple[int, ...]:
-    """How often the clause's best path has each reading, in the order of ``READINGS``."""
-    _, out = grammar().best(classes)
-    return tuple(sum(x == name for x in out) for name in READINGS)
+def _read(classes: str, levels: tuple[int, ...]) -> tuple[tuple[str, float], ...]:
+    scale = iter(levels)
+    _, out = grammar().best(classes, [STEP * next(scale) if c == INSULT else 1.0 for c in classes])
+    return tuple((READINGS.get(write, ""), w) for write, w in out)
+
+
+_read_kept = lru_cache(1 << 16)(_read)
+
+
+def read_clause(classes: str, levels: tuple[int, ...] = ()) -> tuple[tuple[str, float], ...]:
+    """Reading and weight of each token of a clause by its best path.
+
+    ``levels`` has the lexicon weight of each insult in order, in steps of ``STEP``.
+    """
+    levels = levels or (int(1 / STEP),) * classes.count(INSULT)
+    return _read_kept(classes, levels) if len(classes) <= KEPT_CLAUSE else _read(classes, levels)
 
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -179,8 +210,8 @@ class Model:
         self.base = 0.0
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: total insult weight, distinct insults, and the clause readings; log-scaled."""
-        out = np.zeros((len(column), 2 + len(READINGS)))
+        """Per text: path weights of all clauses, the heaviest reading of each distinct insult summed, and threats; log-scaled."""
+        out = np.zeros((len(column), 3))
         for lo, _, raw, bounds in K.text_chunks(column):
             starts, ends, row, stop = _tokens(raw, bounds)
             if not len(starts):
@@ -195,41 +226,63 @@ class Model:
                 found[better] = h[better]
             kind = self.classes.find(K.span_hashes(raw, starts, ends))
             kind = np.where(kind >= 0, self.classes.values[kind] if len(self.classes.values) else 0, 0)
+            weight[kind > 2] = 0  # a word of a closed class is read as that
             kind[weight > 0] = 1
+            level = np.maximum(1, np.rint(weight / STEP)).astype(np.int64)
             ended = np.concatenate(([True], stop[:-1] | (row[1:] != row[:-1])))
             clause = np.cumsum(ended) - 1
-            marked = np.unique(clause[(kind == 1) | (kind == 2)])
+            marked = np.flatnonzero((kind == 1) | (kind == 2))
             first = np.flatnonzero(ended)
             last = np.append(first[1:], len(starts))
             symbols = np.frombuffer((OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT).encode(), np.uint8)[kind].tobytes().decode()
-            for c in marked:
-                a, b = int(first[c]), int(last[c])
-                inner = np.flatnonzero((kind[a:b] == 1) | (kind[a:b] == 2))
+            who, what, heavy = [], [], []
+            for own in np.split(marked, np.flatnonzero(np.diff(clause[marked])) + 1) if len(marked) else ():
+                a, b = int(first[clause[own[0]]]), int(last[clause[own[0]]])
                 # nothing beyond twice the reach of a marked token bears on it, but a report before it does
-                left, right = max(0, int(inner[0]) - 2 * REACH), int(inner[-1]) + 2 * REACH + 1
-                head = REPORT if REPORT in symbols[a : a + left] else ""
-                out[lo + row[a], 2:] += read_clause(head + symbols[a + left : min(b, a + right)])
-            hit = weight > 0
-            np.add.at(out[:, 0], lo + row[hit], weight[hit])
-            pairs = np.unique(np.stack([row[hit].astype(np.uint64), found[hit]], 1), axis=0)
-            np.add.at(out[:, 1], lo + pairs[:, 0].astype(np.int64), 1)
+                left, right = max(a, int(own[0]) - 2 * REACH), min(b, int(own[-1]) + 2 * REACH + 1)
+                head = REPORT if REPORT in symbols[a:left] else ""
+                insults = own[kind[own] == 1]
+                read = read_clause(head + symbols[left:right], tuple(level[insults].tolist()))[len(head) :]
+                for at in own.tolist():
+                    reading, w = read[at - left]
+                    if w > 0:
+                        who.append(lo + int(row[at])), what.append(int(found[at])), heavy.append(w)
+                    if reading == "threat":
+                        out[lo + row[at], 2] += 1
+            if who:
+                doc, feature, w = np.array(who), np.array(what, np.uint64), np.array(heavy)
+                np.add.at(out[:, 0], doc, w)
+                order = np.lexsort((-w, feature, doc))
+                doc, feature, w = doc[order], feature[order], w[order]
+                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])))
+                np.add.at(out[:, 1], doc[new], w[new])
         return np.log1p(out)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Ridge logistic regression by Newton steps; without both classes the score is the share of toxic rows."""
+        """Ridge logistic regression by Newton steps, without the features whose coefficient would be negative.
+
+        Without both classes the score is the share of toxic rows.
+        """
         self.base = float(y.mean()) if len(y) else 0.0
         if not len(y) or y.min() == y.max():
             return
-        x = np.hstack([x, np.ones((len(x), 1))])
-        beta = np.zeros(x.shape[1])
-        ridge = np.diag([0.05] * (x.shape[1] - 1) + [1e-6])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
-            beta += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
+        used = np.flatnonzero(x.any(0))
+        while True:
+            z = np.hstack([x[:, used], np.ones((len(x), 1))])
+            beta = np.zeros(z.shape[1])
+            ridge = np.diag([0.05] * len(used) + [1e-6])
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (y - p) - ridge @ beta)
+                beta += np.clip(step, -5, 5)
+                if np.abs(step).max() < 1e-6:
+                    break
+            if not len(used) or beta[:-1].min() >= 0:
                 break
-        self.coefficients = beta
+            used = np.delete(used, beta[:-1].argmin())
+        self.coefficients = np.zeros(x.shape[1] + 1)
+        self.coefficients[used] = beta[:-1]
+        self.coefficients[-1] = beta[-1]
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.coefficients is None:
@@ -263,6 +316,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0, *found.view(np.int64)], pa.int64()), pa.array([docs[1], *bad], pa.int64()), pa.array([docs[0], *good], pa.int64())], ["feature", "bad", "good"])
 
 
+def least_ratio(documents: dict[int, int], rate: float) -> float:
+    """The log-likelihood ratio that leaves less than one feature to chance.
+
+    ``documents`` says how many features are in n documents. Only features in enough documents to reach
+    the ratio at all are tests; with fewer of them the ratio is lower.
+    """
+    tests = 1
+    for n in sorted(documents, reverse=True):
+        if 2 * n * math.log(1 / rate) < 2 * math.log(tests):
+            break
+        tests += documents[n]
+    return 2 * math.log(tests)
+
+
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED_ROWS) -> Model:
     """Lexicon and logistic model from labelled rows outside the held-out fold.
 
@@ -281,10 +348,12 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABE
     bad_docs, good_docs = (total["bad"], total["good"]) if total else (0, 0)
     rate = max(1e-9, bad_docs / max(1, bad_docs + good_docs))
     n = F.col("bad") + F.col("good")
+    # a row for each document count, at most as many as labelled rows
+    tests = {r["n"]: r["count"] for r in counts.where("feature <> 0").groupBy(n.alias("n")).count().collect()}
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("bad"), rate) + part(F.col("good"), max(1e-9, 1 - rate)))
-    chosen = counts.where((F.col("feature") != 0) & (F.col("bad") > n * max(rate, LEAST_PRECISION)) & (ratio >= LEAST_RATIO))
-    # with the least ratio per document bounded, their number is bounded by the sample's size
+    chosen = counts.where((F.col("feature") != 0) & (F.col("bad") > n * max(rate, LEAST_PRECISION)) & (ratio >= least_ratio(tests, rate)))
+    # one document lends it a bounded share, so the sample bounds the lexicon
     chosen = chosen.select("feature", F.log(((F.col("bad") + 0.5) / (bad_docs + 1)) / ((F.col("good") + 0.5) / (good_docs + 1))).alias("weight")).toPandas()
     keys = chosen["feature"].to_numpy(np.int64).view(np.uint64)
     model = Model(keys, np.maximum(chosen["weight"].to_numpy(np.float64), 1e-3))
