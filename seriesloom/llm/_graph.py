@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, piece: int = PIECE_
     more than one piece, alternating large-star and small-star rounds over written tables join the
     forests: two grouped minima, combined before the shuffle, and two equi-joins, whose hot nodes the
     adaptive planner can split. Rounds grow with the logarithm of the longest path. Null nodes and loops
-    are left out.
+    are left out. Rounds that run out raise an error; no link is lost in silence.
     """
     e = scratch.table(edges.where("u is not null and v is not null and u <> v").select("u", "v"), "edges")
     pieces = -(-e.count() // piece)
@@ -73,6 +73,6 @@ def _join_stars(e: DataFrame, scratch: Scratch, most_rounds: int) -> DataFrame:
         scratch.drop(e)
         e = step
         if mark == seen:
-            break
+            return e
         seen = mark
-    return e
+    raise RuntimeError(f"components have not converged in {most_rounds} rounds")

@@ -22,11 +22,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import _kernel as K
 from seriesloom.llm._graph import connected_components
+from seriesloom.llm._rows import as_row, row_order, text_key
 from seriesloom.llm._store import Scratch
 
 SKETCH_BITS = 21
@@ -84,11 +85,6 @@ class _Order:
         return tokens[order], matches, costs[: prefix_length(n, threshold, matches)]
 
 
-def text_key(text: Column) -> Column:
-    """A hash of the whole text, which with the id names rows that are alike."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def _scan(k: int, bits: int):
     """First pass: (doc_id, text_key, size, fingerprint) of each row, and this task's share of the sketch."""
 
@@ -413,8 +409,9 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, traits long, fp long")
     edges = _candidate_edges(prefixes, threshold, scratch)
     clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / block))
+    # only clusters above a block are looked up: a row for each, written so that Spark knows its size before it joins
+    sizes = scratch.table(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "sizes")
+    placed = clusters.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
 
     ids = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(clusters.select("fp"), "fp").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
@@ -446,9 +443,9 @@ def _rest(large: DataFrame, links: DataFrame, threshold: int, block: int, scratc
     found = connected_components(links, scratch)
     held = large.select("fp", "cluster", "blocks").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     sizes = held.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-    top = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
+    top = scratch.table(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("top")), "top")
     outside = held.join(top, "cluster").where("root <> top").select("fp", "cluster", "blocks")
-    counts = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts"))
+    counts = scratch.table(outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts")), "parts")
     outside = scratch.table(outside.join(counts, "cluster").select("fp", "parts"), "outside")
     u = large.join(outside, "fp")
     u = u.select(
@@ -485,16 +482,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 75, block:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
     """One row of each component of ``docs``, all columns: that with the smallest doc_id, null ids last.
 
-    Of rows alike in id and text any one stays. Rows without words are linked with nothing and all stay.
+    Among rows with that id the one with the least hash of its text stays, and of these the one with the
+    least hash of all columns. Rows without words, null texts among them, are linked with nothing and all
+    stay. An empty table stays empty. No name of a further column clashes with anything here.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     rows, links = similar_sets(docs, k, threshold, scratch=scratch)
     name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     least = rows.where("n > 0").groupBy("fp").agg(F.min(name).alias("name"))
     keep = least.join(_roots(rows, links, scratch), "fp").groupBy("root").agg(F.min("name").alias("name"))
-    keep = scratch.table(keep.select(F.col("name.doc_id").alias("_keep_id"), F.col("name.text_key").alias("_keep_key")), "kept")
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = docs.where(~wordless)
-    kept = own.join(keep, own["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")) & (text_key(own["text"]) == F.col("_keep_key")), "left_semi")
-    kept = kept.withColumn("_keep_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_keep_key"]).drop("_keep_key")
-    return kept.unionByName(docs.where(wordless))
+    keep = scratch.table(keep.select(F.col("name.doc_id").alias("keep_id"), F.col("name.text_key").alias("keep_key")), "kept")
+    words = F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = as_row(docs)
+    own = whole.where(words).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("key", text_key(F.col("row.text")))
+    kept = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")), "left_semi")
+    kept = kept.groupBy("id", "key").agg(F.min_by("row", row_order(docs)).alias("row")).select("row")
+    return kept.unionByName(whole.where(~words)).select("row.*")

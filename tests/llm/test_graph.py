@@ -29,3 +29,9 @@ def test_components_match_union_find(spark, piece):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long").repartition(8)
+    with pytest.raises(RuntimeError, match="converged"):
+        connected_components(df, Scratch(spark, "t"), 8, most_rounds=1)

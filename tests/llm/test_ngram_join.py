@@ -140,3 +140,12 @@ def test_shared_counts():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4], [9], [])]
     out = N.shared_counts(sets)
     assert out[0, 1] == 2 and out[0, 2] == 0 and out[3].sum() == 0
+
+
+def test_names_of_columns_do_not_clash_and_reruns_agree(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, i, i, i) for i in range(6)] + [(2, text, 9, 9, 9), (3, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep_key int, keep_id int, id int")
+    first = drop_near_duplicates(df).collect()
+    assert sorted(r["doc_id"] for r in first) == [1, 3]
+    assert sorted(map(str, first)) == sorted(map(str, drop_near_duplicates(df.repartition(5)).collect()))
