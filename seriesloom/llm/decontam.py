@@ -15,10 +15,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import _kernel as K
+from seriesloom.llm._rows import as_row, text_key
 from seriesloom.llm._store import Scratch
 from seriesloom.llm.langid import HashArray
 
@@ -110,29 +112,40 @@ def _slots(values: np.ndarray, slot: np.ndarray, at: int, k: int, exact: bool) -
 
 
 WINDOW_SCHEMA = "id long, key long, total long, plain long, at long, window long, exact boolean, slots array<long>"
+ITEM_SCHEMA = WINDOW_SCHEMA + ", template long"
 NAMES = ["id", "key", "total", "plain", "at", "window", "exact", "slots"]
 
 
 def _item_windows(k: int):
-    """All windows of each item; an item shorter than a window is one window."""
+    """All windows of each item, and its template; an item shorter than a window is one window.
+
+    Slot values are numbered as they come in the item: which slots are equal is all that is compared. So
+    items that differ in values only have the same template.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in NAMES]
+            rows: list[list] = [[] for _ in range(9)]
             ids = batch.column(0).to_pylist()
             for lo, hi, raw, bounds in K.text_chunks(batch.column(1)):
                 canon, slot, first, _ = canonical_words(raw, bounds)
                 values = _values(canon, slot)
                 for i in range(hi - lo):
+                    number: dict[int, int] = {}
+                    own = []
                     a, b = int(first[i]), int(first[i + 1])
                     size = min(k, b - a)
                     if size:
                         runs, exact = _windows(canon, slot, a, b, size)
                         plain = int((~exact).sum())
                         for j, (window, same) in enumerate(zip(runs.view(np.int64).tolist(), exact.tolist(), strict=True)):
-                            for col, value in zip(rows, (ids[lo + i], size, len(runs), plain, j, window, same, _slots(values, slot, a + j, size, same)), strict=True):
+                            slots = [number.setdefault(x, len(number)) for x in _slots(values, slot, a + j, size, same)]
+                            own.append((ids[lo + i], size, len(runs), plain, j, window, same, slots))
+                        template = xxhash.xxh64_intdigest(repr([x[1:] for x in own])) - (1 << 63)
+                        for line in own:
+                            for col, value in zip(rows, (*line, template), strict=True):
                                 col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows[:6]] + [pa.array(rows[6], pa.bool_()), pa.array(rows[7], pa.list_(pa.int64()))], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows[:6]] + [pa.array(rows[6], pa.bool_()), pa.array(rows[7], pa.list_(pa.int64())), pa.array(rows[8], pa.int64())], [*NAMES, "template"])
 
     return run
 
@@ -187,11 +200,6 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return reduce(np.bitwise_or, (np.frombuffer(p["bits"], np.uint8) for p in parts), np.zeros((1 << bits) // 8, np.uint8))
 
 
-def text_key(docs: DataFrame):
-    """A hash of the whole text, which with the id names rows that are alike."""
-    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: ``doc_id, text_key, item_id, windows, coverage``.
 
@@ -205,30 +213,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = scratch.table(items.mapInArrow(_item_windows(window), WINDOW_SCHEMA), "items")
+    items = scratch.table(items.mapInArrow(_item_windows(window), ITEM_SCHEMA), "items")
     lengths = sorted(r[0] for r in items.select("key").distinct().collect())  # at most ``window`` values
     bitmap = spark.sparkContext.broadcast(_bitmap(items, BITMAP_BITS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     found = scratch.table(rows.mapInArrow(_document_windows(bitmap, lengths), WINDOW_SCHEMA), "windows")
 
-    theirs = items.select("window", F.col("id").alias("item_id"), "total", "plain", "exact", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    # joined by template, one of all items that differ in values only; the items come back at the end
+    theirs = items.select("window", "template", "total", "plain", "exact", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).dropDuplicates(["template", "item_at"])
     ours = found.select("window", F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("at").alias("doc_at"), "slots")
     met = ours.join(theirs, "window").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     met = met.where(F.size("slots") == F.size("item_slots"))
-    one = ["doc_id", "text_key", "item_id", "diagonal"]
+    one = ["doc_id", "text_key", "template", "diagonal"]
     values = met.where(F.size("slots") > 0).select(*one, F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
     clash = values.groupBy(*one, F.col("z.item_slots").alias("slot")).agg((F.min("z.slots") != F.max("z.slots")).alias("clash")).where("clash")
     clash = clash.select(*[F.col(c).alias(f"c_{c}") for c in one]).distinct()
     same = [met[c].eqNullSafe(clash[f"c_{c}"]) for c in one]
     sound = met.join(clash, reduce(lambda a, b: a & b, same), "left_anti")
-    met_once = sound.select("doc_id", "text_key", "item_id", "total", "plain", "exact", "item_at").distinct()
-    hits = met_once.groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("loose"), F.max("total").alias("total"), F.max("plain").alias("plain"))
+    met_once = sound.select("doc_id", "text_key", "template", "total", "plain", "exact", "item_at").distinct()
+    hits = met_once.groupBy("doc_id", "text_key", "template").agg(F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("loose"), F.max("total").alias("total"), F.max("plain").alias("plain"))
     plain = F.when(F.col("plain") > 0, F.col("loose") / F.col("plain"))
     out = hits.withColumn("coverage", F.greatest(F.col("windows") / F.col("total"), plain)).where(F.col("coverage") >= coverage)
-    return out.select("doc_id", "text_key", "item_id", "windows", "coverage")
+    named = items.select("template", F.col("id").alias("item_id")).distinct()
+    return out.join(named, "template").select("doc_id", "text_key", "item_id", "windows", "coverage").distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, window, coverage).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (text_key(docs) == F.col("_bad_key")), "left_anti")
+    """The rows of ``docs``, all columns, that hold no benchmark item.
+
+    Rows alike in id and text go or stay together, null ids too. Null and empty texts stay, and all rows
+    without benchmark items. No name of a further column clashes with anything here.
+    """
+    bad = contaminated(docs, benchmark, window, coverage).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text_key(F.col("row.text")) == F.col("bad_key"))
+    return as_row(docs).join(bad, same, "left_anti").select("row.*")
