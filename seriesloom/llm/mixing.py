@@ -1,8 +1,9 @@
 """Mixing sources to target weights: hash-random order, prefix sums, a cut at each source's budget.
 
 Keys are hashes of the document id and the epoch, so reruns agree. Within a source the key range is
-cut into bins of about ``BIN`` rows; sums by bin, combined before the shuffle, give prefix sums over
-bins, and only the bin that holds a source's cut is sorted by row. No source is ever in one task.
+cut into bins of about ``BIN`` rows and these into groups of ``GROUP`` bins; sums by bin, combined before
+the shuffle, give prefix sums over groups, then over the bins of the group that holds a source's cut, and
+only the bin of the cut is sorted by row. One task sees a row for each ``BIN * GROUP`` rows of a source.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from seriesloom.llm._store import Scratch
 
 BIN = 512
+#: Bins of a group, as bits.
+GROUP_BITS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,10 +66,15 @@ def _cuts(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...]) -> DataF
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / BIN))
     plan = scratch.table(plan.drop("n", "budget"), "plan")
     sums = _binned(sized, plan).groupBy("source", "bin", "rest").agg(F.sum("size").alias("s"))
+    sums = scratch.table(sums.withColumn("group", F.shiftright("bin", GROUP_BITS)), "bins")
+    w = Window.partitionBy("source").orderBy("group")
+    groups = sums.groupBy("source", "group", "rest").agg(F.sum("s").alias("s")).withColumn("before", F.sum("s").over(w) - F.col("s"))
+    holds = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("s"))
+    group = groups.where(holds).select(F.col("source").alias("g_source"), F.col("group").alias("g"), F.col("before").alias("g_before"))
+    inner = sums.join(group, sums["source"].eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g")))
     w = Window.partitionBy("source").orderBy("bin")
-    sums = sums.withColumn("before", F.sum("s").over(w) - F.col("s"))
-    cut = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("s")))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("bin").alias("cut_bin"), (F.col("rest") - F.col("before")).alias("left"))
+    inner = inner.withColumn("before", F.col("g_before") + F.sum("s").over(w) - F.col("s"))
+    cut = inner.where(holds).select(F.col("source").alias("cut_source"), F.col("bin").alias("cut_bin"), (F.col("rest") - F.col("before")).alias("left"))
     out = plan.join(cut, plan["source"].eqNullSafe(cut["cut_source"]), "left").drop("cut_source")
     return scratch.table(out, "cuts")
 
@@ -111,7 +119,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Da
     """The mix itself: each row of ``docs`` once for each epoch that takes it, none if none does.
 
     Documents stay whole: the one at the cut is taken if at least half of its words are within. A
-    document without words is taken as often as its source's whole epochs, at least once.
+    document without words is taken as often as its source's whole epochs, at least once. Null ids and
+    sources are values like others; rows that repeat an id share a key and stand side by side, ties in
+    size in any order. An empty table stays empty. No name of a further column clashes with anything here.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     columns = docs.columns

@@ -8,10 +8,12 @@ within the limit, which is its shard. All of it is built-in expressions over (ke
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm._rows import as_row
 from seriesloom.llm._store import Scratch
 
 BITS = 60
@@ -19,15 +21,27 @@ SPARE_BITS = 4
 STEP_BITS = 8
 
 
+def hash_bits(doc_id: Column, text: Column) -> Column:
+    """60 hash bits of id and text, so that rows repeating an id can part."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, bytes of the text, and 60 hash bits of id and text, so that rows repeating an id can part."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("h"),
-    )
+    """``doc_id``, bytes of the text, and the hash bits."""
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), hash_bits(F.col("doc_id"), F.col("text")).alias("h"))
+
+
+def _place(keyed: DataFrame, directory: DataFrame, depths: list[int]) -> DataFrame:
+    """Each row of ``keyed``, which has the hash bits ``h``, with its shard; every row has one cell of one depth."""
+    parts = [keyed.withColumn("cell", F.shiftright("h", BITS - d)).join(directory.where(F.col("cell_depth") == d), "cell") for d in depths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _shard_name() -> Column:
+    """The hash prefix as a string of bits."""
+    return F.when(F.col("shard_depth") == 0, "").otherwise(F.expr("lpad(conv(cast(shard as string), 10, 2), shard_depth, '0')"))
 
 
 def _sums(rows: DataFrame, depth: int) -> DataFrame:
@@ -79,20 +93,23 @@ def shard_documents(docs: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "sharding")
     keyed = scratch.table(_keyed(docs), "keyed")
     directory, depths = build_directory(keyed, limit_bytes, scratch)
-    out, rest = None, keyed
-    for depth in depths:
-        part = directory.where(F.col("cell_depth") == depth)
-        here = rest.withColumn("cell", F.shiftright("h", BITS - depth)).join(part, "cell")
-        out = here if out is None else out.unionByName(here)
-    bits = F.when(F.col("shard_depth") == 0, "").otherwise(F.expr("lpad(conv(cast(shard as string), 10, 2), shard_depth, '0')"))
-    return out.select(
-        "doc_id", "n_bytes", F.col("shard_depth").cast("long").alias("depth"), bits.alias("shard"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.col("shard_docs").cast("long").alias("shard_docs"),
+    return _place(keyed, directory, depths).select(
+        "doc_id", "n_bytes", F.col("shard_depth").cast("long").alias("depth"), _shard_name().alias("shard"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.col("shard_docs").cast("long").alias("shard_docs"),
         (F.col("shard_bytes") > limit_bytes).alias("oversize"),
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = 64 << 20) -> None:
-    """Write whole rows under ``path``, a folder for each shard, by the directory of ``docs``."""
-    sharded = shard_documents(docs, limit_bytes).select("doc_id", "shard").distinct().withColumnRenamed("doc_id", "_shard_doc")
-    out = docs.join(sharded, docs["doc_id"].eqNullSafe(sharded["_shard_doc"])).drop("_shard_doc")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write whole rows under ``path``, a folder ``shard=bits`` for each shard of the directory of ``docs``.
+
+    A row finds its shard by its own hash bits, so every row is written once, repeated ones too. The
+    one shard of a table that fits is ``all``. A column named ``shard`` is an error; other names are free.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("a column named shard would be hidden by the folders")
+    scratch = Scratch(docs.sparkSession, "sharding")
+    directory, depths = build_directory(scratch.table(_keyed(docs), "keyed"), limit_bytes, scratch)
+    whole = as_row(docs).withColumn("h", hash_bits(F.col("row.doc_id"), F.col("row.text")))
+    out = _place(whole, directory, depths).withColumn("name", F.when(F.col("shard_depth") == 0, "all").otherwise(_shard_name()))
+    # ranges rather than hashes: a large shard may go to several tasks, a task writes few shards
+    out.repartitionByRange("name", "h").select("row.*", F.col("name").alias("shard")).write.partitionBy("shard").parquet(path)

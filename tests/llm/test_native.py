@@ -4,10 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
+from seriesloom.llm import mixing
 from seriesloom.llm import queries as Q
 from seriesloom.llm.line_dedup import remove_spread_lines
 from seriesloom.llm.mixing import mix_sources, mixed_documents
-from seriesloom.llm.sharding import shard_documents
+from seriesloom.llm.sharding import shard_documents, write_shards
 
 LINE = "this line of boilerplate stands everywhere"
 
@@ -100,3 +101,52 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     for f in (mix_sources, mixed_documents, remove_spread_lines, shard_documents):
         assert f(none).count() == 0
+
+
+def reshared(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Targets by sharing again and again what stopped sources leave."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = dict.fromkeys(order, 0.0), share * sum(sizes.values()), set(order)
+    while open_ and left > 1e-9:
+        total, over = sum(weight[s] for s in open_), 0.0
+        for s in open_:
+            target[s] += left * weight[s] / total
+        for s in list(open_):
+            if target[s] >= most * sizes[s]:
+                over += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                open_.discard(s)
+        left = over
+    return target
+
+
+@pytest.mark.parametrize("bins", [(512, 12), (4, 2)])
+def test_targets_and_cuts_against_repeated_resharing(spark, docs, monkeypatch, bins):
+    monkeypatch.setattr(mixing, "BIN", bins[0])
+    monkeypatch.setattr(mixing, "GROUP_BITS", bins[1])
+    out = mix_sources(docs).toPandas()
+    by = docs.select("doc_id", "source", "text").toPandas()
+    count = by["text"].map(lambda t: len((t or "").split()))
+    sizes = {(None if pd.isna(s) else s): int(n) for s, n in count.groupby(by["source"].fillna("~null")).sum().rename(index={"~null": None}).items()}
+    want = reshared(sizes)
+    assert len(out) == docs.count() and (out["taken"] <= 2 * out["size"]).all() and (out["taken"] >= 0).all()
+    for size, part in out.groupby("source_size"):
+        names = [s for s, n in sizes.items() if n == size]
+        if len(names) == 1:
+            assert part["target"].iloc[0] == pytest.approx(want[names[0]])
+            assert part["taken"].sum() == int(part["target"].iloc[0])
+
+
+def test_shards_are_written_whole_and_once(spark, tmp_path):
+    rows = [(1, "a" * 40, 1), (1, "b" * 30, 2), (2, "c" * 40, 3), (2, "d" * 30, 4), (2, "d" * 30, 4), (None, None, 5), (None, "", 6), (3, "e" * 500, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cell int")
+    write_shards(df, f"{tmp_path}/a", 60)
+    back = spark.read.parquet(f"{tmp_path}/a")
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    sizes = back.selectExpr("shard", "octet_length(coalesce(text, '')) n", "coalesce(text, '') t").groupBy("shard").agg({"n": "sum", "t": "collect_set"}).collect()
+    assert len(sizes) > 2 and all(r["sum(n)"] <= 60 or len(r["collect_set(t)"]) == 1 for r in sizes)
+    write_shards(df, f"{tmp_path}/b")
+    assert {r["shard"] for r in spark.read.parquet(f"{tmp_path}/b").select("shard").collect()} == {"all"}
+    with pytest.raises(ValueError, match="shard"):
+        write_shards(df.withColumn("shard", df["cell"]), f"{tmp_path}/c")
