@@ -392,7 +392,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``.
+
+    Rows alike in text go or stay together; null and empty texts are scored as texts without a match.
+    An empty table stays empty; without labels all rows stay. Columns are found by name and kept in order.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn(plain, labels, scratch))
