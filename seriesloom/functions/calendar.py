@@ -46,15 +46,23 @@ def onehot(name: str, ts: Column) -> dict[str, Column]:
     return {f"{name}_{c}": (value == c).cast("long") for c in CATEGORIES[name]}
 
 
-def periodic_spline(name: str, ts: Column, knots: int = 4) -> dict[str, Column]:
-    """Periodic linear B-splines: hat functions on equal knots over the feature's period."""
+def periodic_spline(name: str, ts: Column, knots: int = 6) -> dict[str, Column]:
+    """Periodic cubic B-splines on ``knots`` equal knots over the feature's period, as built-in expressions.
+
+    The splines are not negative and add up to 1; each is the cardinal cubic around its knot.
+    """
     if name not in PERIODS:
         return {name: raw(name, ts)}
-    at = F.pmod(raw(name, ts) * (knots / PERIODS[name]), F.lit(float(knots)))
+    if knots < 4:
+        raise ValueError("cubic splines need four knots or more")
+    at = raw(name, ts) * (knots / PERIODS[name])
     out = {}
     for i in range(knots):
-        gap = F.abs(at - i)
-        out[f"{name}_spline_{i}"] = F.greatest(F.lit(0.0), 1 - F.least(gap, F.lit(float(knots)) - gap))
+        turn = F.pmod(at - i, F.lit(float(knots)))
+        gap = F.least(turn, F.lit(float(knots)) - turn)
+        near = (4 - 6 * gap * gap + 3 * gap * gap * gap) / 6
+        far = F.pow(2 - gap, F.lit(3)) / 6
+        out[f"{name}_spline_{i}"] = F.when(gap < 1, near).when(gap < 2, far).otherwise(0.0)
     return out
 
 

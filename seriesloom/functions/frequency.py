@@ -81,7 +81,19 @@ class Freq:
             day = F.weekday(ts)
             ahead = day + steps * self.n
             return F.date_add(ts.cast("date"), (steps * self.n + 2 * F.floor(ahead / 5)).cast("int")).cast("timestamp_ntz")
-        return (ts + F.make_dt_interval(secs=(steps * self.seconds).cast("decimal(18,6)"))).cast("timestamp_ntz")
+        return seconds_on(ts, steps * self.seconds).cast("timestamp_ntz")
+
+
+def seconds_between(first: Column, last: Column) -> Column:
+    """Whole seconds from ``first`` to ``last``, by their clocks, whatever zone the session has."""
+    clock = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    first, last = first.cast("timestamp_ntz"), last.cast("timestamp_ntz")
+    return F.datediff(last, first).cast("long") * 86400 + clock(last) - clock(first)
+
+
+def seconds_on(ts: Column, seconds: Column) -> Column:
+    """``ts`` and that many seconds, by its clock."""
+    return ts + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 # Seasonal periods of calendar frequencies, before division by the multiple.

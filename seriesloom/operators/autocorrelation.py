@@ -6,18 +6,39 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def acf(grid: DataFrame, lags: int) -> DataFrame:
-    """Biased autocorrelations ``series_id, lag, acf`` for lags 1..n, null values left out: one window and one aggregate."""
-    centred = grid.withColumn("e", F.col("y") - F.avg("y").over(Window.partitionBy("series_id")))
-    w = Window.partitionBy("series_id").orderBy("pos")
-    sums = centred.withColumns({f"_{k}": F.col("e") * F.lag("e", k).over(w) for k in range(1, lags + 1)})
-    out = sums.groupBy("series_id").agg(F.sum(F.col("e") * F.col("e")).alias("_v"), *[F.sum(f"_{k}").alias(f"_{k}") for k in range(1, lags + 1)])
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(F.col(f"_{k}"), F.col("_v")).alias("acf")) for k in range(1, lags + 1)])
-    return out.select("series_id", F.inline(rows))
+#: Positions of a series that one group of the sums covers.
+CHUNK = 4096
+
+
+def acf(grid: DataFrame, lags: int, chunk: int = CHUNK) -> DataFrame:
+    """Biased autocorrelations ``series_id, lag, acf`` for lags 1..n, null values left out.
+
+    A series is cut into chunks of positions, each with the ``lags`` positions before it; the sums of
+    products of all chunks add up. So a long series spreads over tasks, and the lags cost no columns.
+    """
+    chunk = max(chunk, lags)
+    means = grid.groupBy("series_id").agg(F.avg("y").alias("_m"))
+    own = F.floor(F.col("pos") / chunk).cast("long")
+    chunks = F.when(F.col("pos") % chunk >= chunk - lags, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = grid.where("y is not null").join(means, "series_id").select("series_id", "pos", (F.col("y") - F.col("_m")).alias("e"), F.explode(chunks).alias("_chunk"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        at = table.column("_chunk")[0].as_py() * chunk - lags
+        held = np.zeros(lags + chunk)
+        held[table.column("pos").to_numpy() - at] = table.column("e").to_numpy()
+        now = held[lags:]
+        values = [float(now @ held[lags - k : lags - k + chunk]) for k in range(lags + 1)]
+        return pa.table({"series_id": pa.array([table.column("series_id")[0].as_py()], pa.string()), "v": pa.array([values], pa.list_(pa.float64()))})
+
+    parts = rows.groupBy("series_id", "_chunk").applyInArrow(sums, "series_id string, v array<double>")
+    added = parts.select("series_id", F.posexplode("v").alias("lag", "v")).groupBy("series_id", "lag").agg(F.sum("v").alias("v"))
+    base = added.where("lag = 0").select("series_id", F.col("v").alias("_v"))
+    return added.where("lag > 0").join(base, "series_id").select("series_id", F.col("lag").cast("long").alias("lag"), F.try_divide("v", "_v").alias("acf"))
 
 
 def durbin_levinson(r: np.ndarray) -> np.ndarray:

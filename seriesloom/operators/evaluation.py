@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +33,11 @@ def cv_folds(
     allow_incomplete: bool = True,
     skip: int | list[int] | None = None,
 ) -> DataFrame:
-    """Walk-forward folds as half-open position ranges: ``fold, train_from, train_to, test_from, test_to, refit``.
+    """Walk-forward folds as half-open position ranges: ``fold, train_from, train_to, test_from, test_to, refit, model_from, model_to``.
 
     Fold i trains up to ``initial + i * stride`` and tests ``steps`` positions after the gap. The first
-    fold always fits; a whole number refits every so many folds.
+    fold always fits; a whole number refits every so many folds; ``model_from`` and ``model_to`` are the
+    range that the fold's model was fitted on.
     """
     stride = stride or steps
     if min(n, initial, steps, stride) < 1 or gap < 0:
@@ -48,6 +53,9 @@ def cv_folds(
     )
     every = 1 if refit is True else int(refit)
     folds = folds.withColumn("refit", (F.col("fold") == 0) if not every else F.col("fold") % every == 0)
+    # the training range of the last fold that fitted, whether that fold is skipped or not
+    last = F.col("fold") - F.col("fold") % every if every else F.lit(0).cast("long")
+    folds = folds.withColumns({"model_from": last * stride if fixed_train else F.lit(0).cast("long"), "model_to": last * stride + initial})
     if not allow_incomplete:
         folds = folds.where(F.col("test_to") - F.col("test_from") == steps)
     if isinstance(skip, int):
@@ -60,13 +68,18 @@ def cv_folds(
 def fold_rows(grid: DataFrame, folds: DataFrame, part: str = "test") -> DataFrame:
     """Rows of each fold's ``test`` or ``train`` range.
 
-    Test ranges are short, so each fold unfolds its positions and the join is an equi-join; training
-    ranges overlap and are matched by range against the folds, a row for each fold, broadcast by size.
+    Test ranges are short, so each fold unfolds its positions. Training ranges overlap: positions are
+    numbered by the stretch between fold bounds that they lie in, and each fold unfolds its stretches. Both
+    joins are equi-joins.
     """
     if part == "test":
         spans = folds.select("fold", F.explode(F.sequence("test_from", F.col("test_to") - 1)).alias("pos"))
         return grid.join(spans, "pos")
-    return grid.join(folds, (F.col("pos") >= F.col("train_from")) & (F.col("pos") < F.col("train_to")))
+    bounds = sorted({r[c] for r in folds.select("train_from", "train_to").collect() for c in ("train_from", "train_to")})
+    edges = F.array(*[F.lit(int(b)) for b in bounds])
+    place = lambda c: F.size(F.filter(edges, lambda e: e <= c)) - 1
+    spans = folds.select("*", F.explode(F.sequence(place(F.col("train_from")), place(F.col("train_to")) - 1)).alias("_stretch"))
+    return grid.withColumn("_stretch", place(F.col("pos"))).join(spans, "_stretch").drop("_stretch")
 
 
 def naive_scale(train: DataFrame, lag: int = 1) -> DataFrame:
@@ -76,6 +89,63 @@ def naive_scale(train: DataFrame, lag: int = 1) -> DataFrame:
     return train.withColumn("_e", e).groupBy("series_id").agg(F.avg(F.abs("_e")).alias("naive_mae"), F.avg(F.col("_e") * F.col("_e")).alias("naive_mse"))
 
 
+_CUSTOM: dict[str, Callable[[Column, Column], Column]] = {}
+_ARRAYS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {}
+BUILT_IN = ("mae", "mse", "rmse", "mape", "smape", "medae", "msle", "mase", "rmsse")
+
+
+def register_metric(name: str, build: Callable[[Column, Column], Column] | None = None, array: Callable[[np.ndarray, np.ndarray], float] | None = None) -> None:
+    """A metric of the caller's own, the lower the better: an aggregate of the columns of values and predictions.
+
+    Where no aggregate says it, ``array`` takes the values and predictions of a group as arrays; it runs
+    as a grouped pandas aggregate, so a group's rows must fit in a task.
+    """
+    if name in BUILT_IN:
+        raise ValueError(f"{name} is built in")
+    if (build is None) == (array is None):
+        raise ValueError("give an aggregate or a function of arrays")
+    _CUSTOM.pop(name, None)
+    _ARRAYS.pop(name, None)
+    if build:
+        _CUSTOM[name] = build
+    else:
+        _ARRAYS[name] = array
+
+
+def known_metrics() -> list[str]:
+    return [*BUILT_IN, *_CUSTOM, *_ARRAYS]
+
+
+def _array_column(function: Callable[[np.ndarray, np.ndarray], float]) -> Column:
+    @F.pandas_udf("double")
+    def value(a: pd.Series, b: pd.Series) -> float:
+        return float(function(a.to_numpy(), b.to_numpy()))
+
+    return value(F.col("y"), F.col("pred"))
+
+
+def classification_metrics(preds: DataFrame, keys: tuple[str, ...] = ("series_id",), average: str = "macro") -> DataFrame:
+    """``accuracy, balanced_accuracy, precision, recall, f1`` of class labels ``y`` and ``pred`` by ``keys``.
+
+    Counts by class come from one aggregate over (true, predicted) pairs. Precision, recall and F1 are
+    means over the classes, of equal weight (``macro``) or by their true rows (``weighted``); a ratio
+    without rows is 0. Balanced accuracy is the mean recall of the classes with true rows.
+    """
+    if average not in ("macro", "weighted"):
+        raise ValueError("average is macro or weighted")
+    cells = preds.where("y is not null and pred is not null").groupBy(*keys, F.col("y").cast("string").alias("y"), F.col("pred").cast("string").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.inline(F.array(F.struct(F.col("y").alias("label"), F.lit(1).alias("true")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("true"))))
+    both = cells.select(*keys, "n", (F.col("y") == F.col("pred")).alias("hit"), sides)
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
+    by = both.groupBy(*keys, "label").agg(of((F.col("true") == 1) & F.col("hit")).alias("hits"), of(F.col("true") == 1).alias("real"), of(F.col("true") == 0).alias("said"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    by = by.withColumns({"p": ratio(F.col("hits"), F.col("said")), "r": ratio(F.col("hits"), F.col("real"))}).withColumn("f", ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    mean = F.avg if average == "macro" else lambda c: F.sum(F.col(c) * F.col("real")) / F.sum("real")
+    return by.groupBy(*keys).agg(
+        (F.sum("hits") / F.sum("real")).alias("accuracy"), F.avg(F.when(F.col("real") > 0, F.col("r"))).alias("balanced_accuracy"), mean("p").alias("precision"), mean("r").alias("recall"), mean("f").alias("f1")
+    )
+
+
 def metric(name: str, y: Column, pred: Column) -> Column:
     """A point metric as an aggregate. MAPE is a share; SMAPE is in percent up to 200; zero values are left out of MAPE."""
     e = y - pred
@@ -88,6 +158,7 @@ def metric(name: str, y: Column, pred: Column) -> Column:
         "smape": lambda: 100 * F.avg(F.coalesce(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(pred)), F.lit(0.0))),
         "medae": lambda: F.percentile(F.abs(e), 0.5),
         "msle": lambda: F.avg(log1 * log1),
+        **{n: (lambda b=b: b(y, pred)) for n, b in _CUSTOM.items()},
     }
     if name not in build:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(build)}, mase, rmsse")
@@ -96,10 +167,13 @@ def metric(name: str, y: Column, pred: Column) -> Column:
 
 def evaluate(preds: DataFrame, metrics: list[str], scale: DataFrame | None = None, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """Metrics by ``keys`` over ``preds(…, y, pred)``; mase and rmsse need ``scale`` from ``naive_scale``."""
-    plain = [m for m in metrics if m not in ("mase", "rmsse")]
+    arrays = [m for m in metrics if m in _ARRAYS]
+    plain = [m for m in metrics if m not in ("mase", "rmsse", *arrays)]
     scaled = [m for m in metrics if m in ("mase", "rmsse")]
     base = {m: metric(m, F.col("y"), F.col("pred")) for m in dict.fromkeys([*plain, *(["mae"] if "mase" in scaled else []), *(["mse"] if "rmsse" in scaled else [])])}
-    out = preds.groupBy(*keys).agg(*[c.alias(m) for m, c in base.items()])
+    out = preds.groupBy(*keys).agg(*[c.alias(m) for m, c in (base or {"_n": F.count(F.lit(1))}).items()])
+    if arrays:  # Spark does not mix pandas aggregates with its own
+        out = out.join(preds.groupBy(*keys).agg(*[_array_column(_ARRAYS[m]).alias(m) for m in arrays]), list(keys))
     if scaled:
         if scale is None:
             raise ValueError("mase and rmsse need the training scale")

@@ -6,10 +6,51 @@ once however many features it gets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seriesloom.functions.frequency import Freq
+
 STATS = ("mean", "std", "min", "max", "sum", "median", "ratio_min_max", "coef_variation", "ewm")
+EWM_ALPHA = 0.3
+
+
+def _weighted(v: np.ndarray, axis: int = 0, alpha: float = EWM_ALPHA) -> np.ndarray:
+    weights = (1 - alpha) ** np.arange(v.shape[axis])[::-1]
+    return np.tensordot(weights / weights.sum(), v, (0, axis))
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full_like(np.asarray(a, float), np.nan), where=np.asarray(b) != 0)
+
+
+#: The same statistics over arrays of past values, oldest first, for recursive predictions.
+ARRAY_STATS: dict[str, Callable[..., np.ndarray]] = {
+    "mean": np.mean, "min": np.min, "max": np.max, "sum": np.sum, "median": np.median,
+    "std": lambda v, axis: np.std(v, axis=axis, ddof=1),
+    "ratio_min_max": lambda v, axis: _ratio(np.min(v, axis=axis), np.max(v, axis=axis)),
+    "coef_variation": lambda v, axis: _ratio(np.std(v, axis=axis, ddof=1), np.mean(v, axis=axis)),
+    "ewm": _weighted,
+}
+_CUSTOM: dict[str, Callable[[Column, WindowSpec], Column]] = {}
+
+
+def register_statistic(name: str, column: Callable[[Column, WindowSpec], Column], array: Callable[..., np.ndarray]) -> None:
+    """A rolling statistic of the caller's own, usable wherever a built-in one is.
+
+    ``column`` gives it of a column over a window; ``array`` gives the same over ``axis`` of an array of
+    past values, oldest first, in recursive predictions, and travels to the workers.
+    """
+    if name in STATS:
+        raise ValueError(f"{name} is built in")
+    _CUSTOM[name], ARRAY_STATS[name] = column, array
+
+
+def statistics() -> list[str]:
+    return [*STATS, *_CUSTOM]
 
 
 def _by_series() -> Window:
@@ -22,7 +63,7 @@ def lag_columns(lags: int | list[int], column: str = "y") -> dict[str, Column]:
     return {f"lag_{k}": F.lag(column, k).over(_by_series()) for k in lags}
 
 
-def rolling_column(stat: str, window: int, column: str = "y", alpha: float = 0.3, min_periods: int | None = None) -> Column:
+def rolling_column(stat: str, window: int, column: str = "y", alpha: float = EWM_ALPHA, min_periods: int | None = None) -> Column:
     """A statistic of the ``window`` values before the row; null unless ``min_periods`` (all by default) are there."""
     w = _by_series().rowsBetween(-window, -1)
     y = F.col(column)
@@ -39,9 +80,10 @@ def rolling_column(stat: str, window: int, column: str = "y", alpha: float = 0.3
         "median": lambda: F.percentile(y, 0.5).over(w),
         "ratio_min_max": lambda: F.try_divide(F.min(y).over(w), F.max(y).over(w)),
         "coef_variation": lambda: F.try_divide(F.stddev_samp(y).over(w), F.avg(y).over(w)),
+        **{name: (lambda build=build: build(y, w)) for name, build in _CUSTOM.items()},
     }
     if stat not in build:
-        raise ValueError(f"unknown statistic {stat!r}; known: {', '.join(STATS)}")
+        raise ValueError(f"unknown statistic {stat!r}; known: {', '.join(statistics())}")
     return F.when(F.count(y).over(w) >= (min_periods or window), build[stat]())
 
 
@@ -49,11 +91,11 @@ def rolling_name(stat: str, window: int, alpha: float = 0.3) -> str:
     return f"roll_{stat}_{window}" + (f"_alpha_{alpha}" if stat == "ewm" else "")
 
 
-def add_features(grid: DataFrame, lags: int | list[int] | None = None, windows: list[tuple[str, int]] | None = None) -> DataFrame:
-    """Lags and rolling statistics of ``y`` as columns."""
-    columns = lag_columns(lags) if lags else {}
+def add_features(grid: DataFrame, lags: int | list[int] | None = None, windows: list[tuple[str, int]] | None = None, column: str = "y") -> DataFrame:
+    """Lags and rolling statistics of ``column`` as columns."""
+    columns = lag_columns(lags, column) if lags else {}
     for stat, size in windows or []:
-        columns[rolling_name(stat, size)] = rolling_column(stat, size)
+        columns[rolling_name(stat, size)] = rolling_column(stat, size, column)
     return grid.withColumns(columns) if columns else grid
 
 
@@ -72,6 +114,13 @@ def undifference(diffs: DataFrame, anchor: str, column: str = "diff", out: str =
     return diffs.withColumn(out, F.col(anchor) + F.sum(F.coalesce(column, F.lit(0.0))).over(w))
 
 
+def integrate(steps: np.ndarray, past: np.ndarray, order: int) -> np.ndarray:
+    """Values of consecutive steps from their ``order``-th differences and the values before, along the first axis."""
+    for k in reversed(range(order)):
+        steps = np.diff(past, k, axis=0)[-1] + np.cumsum(steps, axis=0)
+    return steps
+
+
 def window_size(lags: int | list[int] | None, windows: list[tuple[str, int]] | None, differentiation: int = 0) -> int:
     """Rows that the features of a row reach back."""
     longest = max([0, lags if isinstance(lags, int) else max(lags or [0]), *(n for _, n in windows or [])])
@@ -95,12 +144,22 @@ def direct_targets(grid: DataFrame, lags: int | list[int], steps: int) -> DataFr
     return out.select("series_id", "ts", "pos", *names, F.inline("_leads")).where("target is not null")
 
 
-def multivariate_lags(grid: DataFrame, series: list[str], lags: int | list[int]) -> DataFrame:
-    """Lags of every named series beside each other by timestamp: series are pivoted, then lagged in one window."""
+def multivariate_lags(grid: DataFrame, series: list[str], lags: int | list[int], freq: str = "D", leads: int = 0) -> DataFrame:
+    """Every named series beside each other by timestamp, with lags ``s_lag_k`` and leads ``s_lead_k`` (1 is the row itself).
+
+    Each value is sent to the timestamps that look at it, and one grouped aggregate puts them side by
+    side: work spreads over timestamps, and no task orders them all.
+    """
     lags = list(range(1, lags + 1)) if isinstance(lags, int) else lags
-    wide = grid.groupBy("ts").pivot("series_id", series).agg(F.first("y"))
-    w = Window.orderBy("ts")  # one row a timestamp: the pivot has made the table as long as one series
-    return wide.select("ts", *[F.col(f"`{s}`") for s in series], *[F.lag(F.col(f"`{s}`"), k).over(w).alias(f"{s}_lag_{k}") for s in series for k in lags])
+    step = Freq.parse(freq)
+    shifts = F.explode(F.array(*[F.lit(k) for k in [0, *lags, *[1 - s for s in range(2, leads + 1)]]]))
+    sent = grid.where(F.col("series_id").isin(series)).select("series_id", "ts", "y", shifts.alias("_k"))
+    sent = sent.select("series_id", step.shift(F.col("ts"), F.col("_k")).alias("ts"), "y", "_k")
+    pick = lambda s, k: F.max(F.when((F.col("series_id") == s) & (F.col("_k") == k), F.col("y")))
+    columns = [pick(s, 0).alias(s) for s in series] + [pick(s, k).alias(f"{s}_lag_{k}") for s in series for k in lags]
+    columns += [pick(s, 1 - k).alias(f"{s}_lead_{k}") for s in series for k in range(1, leads + 1)]
+    out = sent.groupBy("ts").agg(*columns, F.max((F.col("_k") == 0).cast("int")).alias("_here"))
+    return out.where("_here = 1").drop("_here")
 
 
 def series_encoding(df: DataFrame) -> DataFrame:

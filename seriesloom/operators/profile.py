@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.frequency import Freq
+from seriesloom.functions.frequency import WEEKDAYS, Freq, seconds_between
 from seriesloom.sources.series import asfreq
 
 
@@ -57,7 +57,7 @@ def freq_deltas(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy("ts")
     ts = F.col("ts").cast("timestamp_ntz")
     distinct = df.select("series_id", ts.alias("ts")).distinct()
-    seconds = F.unix_timestamp(F.lead("ts").over(w).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = seconds_between(F.col("ts"), F.lead("ts").over(w))
     return distinct.withColumn("seconds", seconds).where("seconds is not null").groupBy("series_id", "seconds").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -71,35 +71,54 @@ def is_monotonic(df: DataFrame, order: str) -> DataFrame:
 _NAMED = {1: "s", 60: "min", 3600: "h", 86400: "D", 604800: "W"}
 
 
-def infer_frequency(df: DataFrame) -> str | None:
-    """The commonest distance as an alias; None under three timestamps or without a regular step.
+def frequency_evidence(df: DataFrame) -> DataFrame:
+    """One row of what tells the frequency, over all distances between neighbours.
 
-    Months, quarters and years are told by the distances that they allow and by whether the
-    timestamps are first or last days. Gaps do not hide the step: the commonest distance counts.
+    ``total`` distances, the commonest ``step`` in seconds (ties to the shorter) and ``step_n`` of it, how many
+    are as long as ``months``, ``quarters``, ``years`` and ``three_days``, the shares of timestamps that are
+    ``first_days`` and ``last_days`` of a month, whether any is on a ``weekend``, and the commonest ``weekday``
+    from Monday 0.
     """
-    top = freq_deltas(df).groupBy("seconds").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "seconds").limit(40).collect()
-    total = sum(r["n"] for r in top)
+    by = freq_deltas(df).groupBy("seconds").agg(F.sum("n").alias("n"))
+    days = F.col("seconds") / 86400
+    within = lambda lo, hi: F.coalesce(F.sum(F.when((days >= lo) & (days <= hi), F.col("n"))), F.lit(0)).cast("long")
+    steps = by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"), F.max_by("seconds", F.struct("n", -F.col("seconds"))).alias("step"), F.max("n").alias("step_n"),
+        within(28, 31).alias("months"), within(90, 92).alias("quarters"), within(365, 366).alias("years"), within(3, 3).alias("three_days"),
+    )
+    weekdays = [F.count_if(F.weekday("ts") == i) for i in range(7)]
+    stamps = df.agg(
+        F.avg((F.dayofmonth("ts") == 1).cast("double")).alias("first_days"), F.avg((F.col("ts").cast("date") == F.last_day("ts")).cast("double")).alias("last_days"),
+        F.max(F.weekday("ts") >= 5).alias("weekend"), (F.array_position(F.array(*weekdays), F.greatest(*weekdays)) - 1).cast("long").alias("weekday"),
+    )
+    return steps.crossJoin(F.broadcast(stamps))  # one row each
+
+
+def alias_of(e: dict) -> str | None:
+    """The alias that the evidence tells; None under two distances or without a regular step."""
+    total, step = e["total"], e["step"]
     if total < 2:
         return None
-    days = {r["seconds"] / 86400: r["n"] for r in top}
-    for base, least, most in (("M", 28, 31), ("Q", 90, 92), ("Y", 365, 366)):
-        if sum(n for d, n in days.items() if least <= d <= most) > 0.8 * total:
-            ends = df.agg(F.avg((F.col("ts").cast("date") == F.last_day("ts")).cast("double")), F.avg((F.dayofmonth("ts") == 1).cast("double"))).first()
-            return f"{base}S" if ends[1] > 0.99 else f"{base}E" if ends[0] > 0.99 else None
-    step = int(top[0]["seconds"])
-    if step == 86400 and days.get(3.0, 0) > 0.1 * total:
-        weekend = df.agg(F.max((F.weekday("ts") >= 5).cast("int"))).first()[0]
-        if not weekend:
-            return "B"
-    if top[0]["n"] < 0.5 * total or step <= 0:
+    for base, n in (("M", e["months"]), ("Q", e["quarters"]), ("Y", e["years"])):
+        if n > 0.8 * total:
+            return f"{base}S" if e["first_days"] > 0.99 else f"{base}E" if e["last_days"] > 0.99 else None
+    if step == 86400 and e["three_days"] > 0.1 * total and not e["weekend"]:
+        return "B"
+    if e["step_n"] < 0.5 * total or step <= 0:
         return None
     if step % 604800 == 0:
-        day = df.select(F.date_format("ts", "E").alias("d")).groupBy("d").count().orderBy(F.desc("count")).first()["d"].upper()[:3]
-        return f"{step // 604800 if step > 604800 else ''}W-{day}"
-    for size in sorted(_NAMED, reverse=True):
-        if step % size == 0:
-            return f"{step // size if step > size else ''}{_NAMED[size]}"
-    return None
+        return f"{step // 604800 if step > 604800 else ''}W-{list(WEEKDAYS)[e['weekday']]}"
+    size = max(s for s in _NAMED if step % s == 0)
+    return f"{step // size if step > size else ''}{_NAMED[size]}"
+
+
+def infer_frequency(df: DataFrame) -> str | None:
+    """The commonest distance as an alias; None under three timestamps or without a regular step.
+
+    Months, quarters and years are told by the distances that they allow and by whether the
+    timestamps are first or last days. Gaps do not hide the step: the commonest distance counts.
+    """
+    return alias_of(frequency_evidence(df).first().asDict())
 
 
 def frame_summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,32 +3,57 @@
 Linear models are fitted from sums of products, which partial aggregates of every partition give, so no
 task ever holds a series' rows; only the small normal equations are solved by row. Walk-forward refits
 share these sums: rows are summed once for each stretch between fold bounds, and every fold adds up its
-stretches.
+stretches. Recursive forecasts feed predictions back, step by step within a row of tails. Direct
+forecasts learn from rows of an origin and a step; any registered estimator may learn from them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import add_calendar
 from seriesloom.functions.frequency import Freq
-from seriesloom.operators.features import add_features, rolling_name, window_size
+from seriesloom.operators.features import ARRAY_STATS, add_features, difference, integrate, multivariate_lags, rolling_name, window_size
 
+#: Points of the quantile grid that stands for a model's residuals.
+RESIDUAL_POINTS = 201
 
-def gram_sums(matrix: DataFrame, features: list[str], keys: list[str], target: str = "y") -> DataFrame:
+
+@dataclass(frozen=True)
+class Design:
+    """What a model sees: lags, windows and calendar of the series, and columns of the grid that are known ahead."""
+
+    lags: list[int]
+    windows: list[tuple[str, int]] = field(default_factory=list)
+    calendar: list[str] = field(default_factory=list)
+    encoding: str | None = None
+    exog: list[str] = field(default_factory=list)
+    differentiation: int = 0
+
+    @property
+    def reach(self) -> int:
+        return window_size(self.lags, self.windows, self.differentiation)
+
+
+def gram_sums(matrix: DataFrame, features: list[str], keys: list[str], target: str = "y", weight: str | None = None) -> DataFrame:
     """Sums of products of (features, target, 1) by ``keys``: rows ``keys…, i, value``; null rows are left out.
 
+    With ``weight``, a column of the matrix, each row counts that often.
+
     Each task gives the packed sums of its keys; the shuffle adds them by place. Nulls are dropped in the
     task: a filter over as many aliased columns would make the optimizer's constraint sets explode.
     """
     names = [*features, target]
     width = len(names) + 1
-    rows = matrix.select(*keys, *[F.col(f"`{n}`").cast("double").alias(f"_c{i}") for i, n in enumerate(names)])
+    rows = matrix.select(*keys, *[F.col(f"`{n}`").cast("double").alias(f"_c{i}") for i, n in enumerate(names)], *([F.col(weight).cast("double").alias("_w")] if weight else []))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -36,10 +61,13 @@ def gram_sums(matrix: DataFrame, features: list[str], keys: list[str], target: s
             out: dict[str, list] = {k: [] for k in keys} | {"sums": []}
             for key, part in groups:
                 x = part[[f"_c{i}" for i in range(len(names))]].to_numpy(float)
-                x = x[~np.isnan(x).any(1)]
+                whole = ~np.isnan(x).any(1)
+                x = x[whole]
                 if not len(x):
                     continue
                 x = np.hstack([x, np.ones((len(x), 1))])
+                if weight:
+                    x = x * np.sqrt(np.maximum(np.nan_to_num(part["_w"].to_numpy(float)[whole]), 0))[:, None]
                 for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
                     out[k].append(v)
                 out["sums"].append((x.T @ x).ravel())
@@ -76,10 +104,25 @@ def _solve(sums: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return packed.mapInPandas(run, schema)
 
 
-def fit_ridge(matrix: DataFrame, features: list[str], keys: list[str] | None = None, alpha: float = 1.0, target: str = "y") -> DataFrame:
+def fit_ridge(matrix: DataFrame, features: list[str], keys: list[str] | None = None, alpha: float = 1.0, target: str = "y", weight: str | None = None) -> DataFrame:
     """``keys…, beta, sigma``: a ridge model for each key, or one for all rows."""
     keys = keys or []
-    return _solve(gram_sums(matrix, features, keys, target), keys, alpha)
+    return _solve(gram_sums(matrix, features, keys, target, weight), keys, alpha)
+
+
+def fitted_value(features: list[str]) -> Column:
+    """The linear prediction of a row from its ``beta`` and features, in built-in expressions."""
+    x = F.array(*[F.col(f"`{n}`").cast("double") for n in features], F.lit(1.0))
+    return F.aggregate(F.zip_with(x, F.col("beta"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def residual_quantiles(matrix: DataFrame, betas: DataFrame, features: list[str], keys: list[str], target: str = "y") -> DataFrame:
+    """``keys…, resid``: in-sample residuals of each model as ``RESIDUAL_POINTS`` exact quantiles, a bounded row a key."""
+    shared = [c for c in betas.columns if c in matrix.columns and c not in ("beta", "sigma")]
+    joined = matrix.join(betas, shared) if shared else matrix.crossJoin(F.broadcast(betas))  # one model
+    resid = (F.col(target) - fitted_value(features)).alias("_e")
+    points = [i / (RESIDUAL_POINTS - 1) for i in range(RESIDUAL_POINTS)]
+    return joined.select(*keys, resid).where("_e is not null").groupBy(*keys).agg(F.percentile("_e", F.array(*map(F.lit, points))).alias("resid"))
 
 
 def feature_names(lags: list[int], windows: list[tuple[str, int]], extra: list[str] | None = None) -> list[str]:
@@ -94,25 +137,49 @@ def matrix_of(grid: DataFrame, lags: list[int], windows: list[tuple[str, int]],
     return add_features(dated, lags, windows), feature_names(lags, windows, ahead), ahead
 
 
-_STATS = {
-    "mean": np.mean, "min": np.min, "max": np.max, "sum": np.sum, "median": np.median,
-    "std": lambda v, axis: np.std(v, axis=axis, ddof=1),
-    "ratio_min_max": lambda v, axis: np.min(v, axis=axis) / np.max(v, axis=axis),
-    "coef_variation": lambda v, axis: np.std(v, axis=axis, ddof=1) / np.mean(v, axis=axis),
-}
+def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str], str]:
+    """The matrix of a design over ``grid``, its feature names and the name of its target.
+
+    With differentiation, lags and windows look at the differenced series, which is also the target.
+    """
+    target = "y"
+    if design.differentiation:
+        grid, target = difference(grid, design.differentiation, out="_z"), "_z"
+    before = set(grid.columns)
+    dated = add_calendar(grid, design.calendar, design.encoding)
+    ahead = [c for c in dated.columns if c not in before]
+    out = add_features(dated, design.lags, design.windows, target).where(F.col("pos") >= design.reach)
+    return out, feature_names(design.lags, design.windows, [*ahead, *design.exog]), target
 
 
-def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None) -> np.ndarray:
+def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0) -> np.ndarray:
     """Recursive predictions, a row for each step and a column for each path of ``noise`` (one path without)."""
     paths = noise.shape[1] if noise is not None else 1
-    held = np.repeat(np.asarray(tail, float)[:, None], paths, 1)
+    past = np.repeat(np.asarray(tail, float)[:, None], paths, 1)
+    held = np.diff(past, differentiation, axis=0)
     out = np.empty((len(known), paths))
     for s, extra in enumerate(known):
-        parts = [held[-k] for k in lags] + [_STATS[stat](held[-n:], axis=0) for stat, n in windows]
+        parts = [held[-k] for k in lags] + [ARRAY_STATS[stat](held[-n:], axis=0) for stat, n in windows]
         x = np.vstack([*parts, np.repeat(np.asarray(extra, float)[:, None], paths, 1)]) if len(parts) + len(extra) else np.zeros((0, paths))
         out[s] = beta[:-1] @ x + beta[-1] + (noise[s] if noise is not None else 0.0)
         held = np.vstack([held, out[s]])
-    return out
+    return integrate(out, past, differentiation)
+
+
+def drawn(resid: np.ndarray, name: str, steps: int, paths: int) -> np.ndarray:
+    """Residuals drawn with replacement, a row for each step: which one follows from a hash of name, path and step."""
+    at = [int(hashlib.md5(f"{name}|{p}|{s + 1}".encode()).hexdigest()[:8], 16) % len(resid) for s in range(steps) for p in range(paths)]
+    return np.asarray(resid, float)[np.array(at, np.int64).reshape(steps, paths)]
+
+
+def with_known(ahead: DataFrame, exog: DataFrame | None, names: list[str]) -> DataFrame:
+    """``ahead`` with the columns ``names`` of ``exog``, joined by series and timestamp, or by what of these it has."""
+    if not names:
+        return ahead
+    if exog is None:
+        raise ValueError(f"the model uses {', '.join(names)}: give their future rows")
+    keys = [c for c in ("series_id", "ts") if c in exog.columns]
+    return ahead.join(exog.select(*keys, *names).dropDuplicates(keys), keys, "left")
 
 
 def recursive_forecast(
@@ -127,21 +194,36 @@ def recursive_forecast(
     interval: tuple[float, float] | None = None,
     paths: int = 250,
     seed: int = 123,
+    residuals: DataFrame | None = None,
+    exog: DataFrame | None = None,
+    exog_names: list[str] | None = None,
+    differentiation: int = 0,
 ) -> DataFrame:
     """``steps`` predictions for each row of ``tails(series_id, …keys, last_ts, tail)``: ``…, step, ts, pred`` and bounds.
 
     ``betas`` joins on the columns that it shares with ``tails``. Steps follow one another within a row,
-    rows are independent. Intervals are quantiles of seeded paths with normal residuals.
+    rows are independent. Intervals are quantiles of ``paths`` bootstrap paths, whose residuals are drawn
+    from ``residuals`` (of ``residual_quantiles``, joined like ``betas``) by a hash of the seed, the row's
+    keys, the path and the step. ``exog`` has the rows ahead of the columns ``exog_names``; where one is
+    missing the prediction is null.
     """
+    if interval and residuals is None:
+        raise ValueError("intervals need the model's residuals")
     step = Freq.parse(freq)
     keys = [c for c in tails.columns if c not in ("last_ts", "tail")]
     shared = [c for c in betas.columns if c in keys]
     rows = tails.join(betas, shared) if shared else tails.crossJoin(F.broadcast(betas))  # one model
-    ahead = rows.select(*keys, "tail", "beta", "sigma", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
+    if interval:
+        on = [c for c in residuals.columns if c in keys]
+        rows = rows.join(residuals, on) if on else rows.crossJoin(F.broadcast(residuals))  # one model
+    else:
+        rows = rows.withColumn("resid", F.lit(None).cast("array<double>"))
+    ahead = rows.select(*keys, "tail", "beta", "resid", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
     dated = add_calendar(ahead, calendar or [], encoding)
-    names = [c for c in dated.columns if c not in ahead.columns]
+    names = [*[c for c in dated.columns if c not in ahead.columns], *(exog_names or [])]
+    dated = with_known(dated, exog, exog_names or [])
     known = F.array(*[F.col(n).cast("double") for n in names]) if names else F.array().cast("array<double>")
-    packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("sigma").alias("sigma"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
+    packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("resid").alias("resid"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
 
     def run(frames):
         for frame in frames:
@@ -149,13 +231,14 @@ def recursive_forecast(
             for r in frame.to_dict("records"):
                 extra = [list(a["known"]) for a in r["ahead"]]
                 beta, tail = np.array(r["beta"], float), np.array(r["tail"], float)
-                pred = roll_forward(tail, beta, lags, windows, extra)[:, 0]
+                extra = np.array([[np.nan if x is None else x for x in e] for e in extra], float)
+                pred = roll_forward(tail, beta, lags, windows, extra, None, differentiation)[:, 0]
                 low = high = [None] * steps
                 if interval:
-                    noise = np.random.default_rng(seed).normal(0, r["sigma"], (steps, paths))
-                    drawn = roll_forward(tail, beta, lags, windows, extra, noise)
-                    low, high = np.quantile(drawn, interval[0], axis=1), np.quantile(drawn, interval[1], axis=1)
-                out += [(*[r[k] for k in keys], a["step"], a["ts"], float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
+                    noise = drawn(np.array(r["resid"], float), "|".join(str(x) for x in [seed, *[r[k] for k in keys]]), steps, paths)
+                    ends = roll_forward(tail, beta, lags, windows, extra, noise, differentiation)
+                    low, high = np.quantile(ends, interval[0], axis=1), np.quantile(ends, interval[1], axis=1)
+                out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound"])
 
     schema = "".join(f"`{k}` {tails.schema[k].dataType.simpleString()}, " for k in keys) + "step int, ts timestamp_ntz, pred double, lower_bound double, upper_bound double"
@@ -179,31 +262,228 @@ def tails_at_folds(grid: DataFrame, folds: DataFrame, size: int) -> DataFrame:
     return rows.where(F.size("tail") == size)
 
 
-def fit_folds(matrix: DataFrame, features: list[str], folds: DataFrame, keys: list[str], alpha: float = 1.0) -> DataFrame:
-    """A ridge model for each fold (and key) from sums over the stretches between fold bounds."""
-    bounds = sorted({r[c] for r in folds.select("train_from", "train_to").collect() for c in ("train_from", "train_to")})
+def fit_folds(matrix: DataFrame, features: list[str], folds: DataFrame, keys: list[str], alpha: float = 1.0, target: str = "y", at: str = "pos", weight: str | None = None) -> DataFrame:
+    """A ridge model for each fold that fits (and key) from sums over the stretches between their bounds.
+
+    Columns ``keys…, model_from, model_to, beta, sigma``: folds without a fit of their own find there the
+    model of the last that had one.
+    """
+    ranges = folds.select("model_from", "model_to").distinct()
+    found = ranges.collect()  # a row a fit
+    bounds = sorted({b for r in found for b in r})
     edges = F.array(*[F.lit(int(b)) for b in bounds])
-    stretch = F.size(F.filter(edges, lambda e: e <= F.col("pos"))) - 1
-    sums = gram_sums(matrix.withColumn("_stretch", stretch.cast("long")), features, [*keys, "_stretch"])
+    stretch = F.size(F.filter(edges, lambda e: e <= F.col(at))) - 1
+    sums = gram_sums(matrix.withColumn("_stretch", stretch.cast("long")), features, [*keys, "_stretch"], target, weight)
     start = F.element_at(edges, (F.col("_stretch") + 1).cast("int"))
     placed = sums.where("_stretch >= 0").withColumn("_start", start)
-    met = placed.join(F.broadcast(folds.select("fold", "train_from", "train_to")), (F.col("_start") >= F.col("train_from")) & (F.col("_start") < F.col("train_to")))
-    whole = met.groupBy(*keys, "fold", "i").agg(F.sum("value").alias("value"))
-    return _solve(whole, [*keys, "fold"], alpha)
+    met = placed.join(F.broadcast(ranges), (F.col("_start") >= F.col("model_from")) & (F.col("_start") < F.col("model_to")))
+    whole = met.groupBy(*keys, "model_from", "model_to", "i").agg(F.sum("value").alias("value"))
+    return _solve(whole, [*keys, "model_from", "model_to"], alpha)
+
+
+def longest_test(folds: DataFrame) -> int:
+    return folds.agg(F.max(F.col("test_to") - F.col("test_from"))).first()[0]
+
+
+def scored(preds: DataFrame, grid: DataFrame, folds: DataFrame, gap: int) -> DataFrame:
+    """Predictions of steps from the end of training, with the values that came: ``series_id, fold, step, ts, y, pred`` and bounds."""
+    bounds = [c for c in ("lower_bound", "upper_bound") if c in preds.columns]
+    preds = preds.where(F.col("step") > gap).select("series_id", "fold", (F.col("step") - gap).cast("int").alias("step"), "ts", "pred", *bounds)
+    met = preds.join(grid.select("series_id", "ts", "pos", "y"), ["series_id", "ts"]).join(F.broadcast(folds.select("fold", "test_to")), "fold")
+    return met.where(F.col("pos") < F.col("test_to")).select("series_id", "fold", "step", "ts", "y", "pred", *bounds)
+
+
+def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows: list[tuple[str, int]], freq: str, calendar=None, encoding=None, alpha: float = 1.0, per_series: bool = True, steps: int | None = None, gap: int = 0, exog: list[str] | None = None, differentiation: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None) -> DataFrame:
+    """Recursive predictions of every fold by the model of its last fit: ``series_id, fold, step, ts, y, pred`` and bounds.
+
+    ``exog`` are columns of the grid, known ahead. Bounds resample the residuals that the first fit's
+    model has on its training rows.
+    """
+    design = Design(lags, windows, calendar or [], encoding, exog or [], differentiation)
+    matrix, names, target = design_matrix(grid, design)
+    keys = ["series_id"] if per_series else []
+    models = fit_folds(matrix, names, folds, keys, alpha, target, weight=weight)
+    steps = longest_test(folds) if steps is None else steps
+    fits = folds.select("fold", "model_from", "model_to")
+    betas = models.join(F.broadcast(fits), ["model_from", "model_to"]).drop("model_from", "model_to")
+    resid = None
+    if interval:
+        first = folds.orderBy("fold").limit(1).select("model_from", "model_to")
+        start = models.join(F.broadcast(first), ["model_from", "model_to"])
+        train = matrix.join(F.broadcast(first), (F.col("pos") >= F.col("model_from")) & (F.col("pos") < F.col("model_to"))).drop("model_from", "model_to")
+        resid = residual_quantiles(train, start.drop("model_from", "model_to"), names, ["series_id"], target)
+    tails = tails_at_folds(grid, folds, design.reach)
+    known = grid.select("series_id", "ts", *design.exog) if design.exog else None
+    preds = recursive_forecast(tails, betas, lags, windows, steps + gap, freq, calendar, encoding, interval, residuals=resid, exog=known, exog_names=design.exog, differentiation=differentiation)
+    return scored(preds, grid, folds, gap)
+
+
+# Direct forecasts
+
+
+def direct_rows(grid: DataFrame, design: Design, steps: int) -> tuple[DataFrame, list[str]]:
+    """A row for each origin and step with its features: what was known before the origin, and what is known ahead of the target.
+
+    Columns ``series_id, pos, step, target_pos, ts, target`` and the features; ``ts`` and calendar are the
+    target's. One window for features and leads, then the steps unfold in place.
+    """
+    if design.differentiation:
+        raise ValueError("direct forecasts are not differenced")
+    w = Window.partitionBy("series_id").orderBy("pos")
+    carried = ["y", "ts", *design.exog]
+    leads = F.array(*[F.struct(F.lit(s).cast("long").alias("step"), *[F.lead(F.col(f"`{c}`"), s - 1).over(w).alias({"y": "target"}.get(c, c)) for c in carried]) for s in range(1, steps + 1)])
+    past = feature_names(design.lags, design.windows)
+    out = add_features(grid.withColumn("_leads", leads), design.lags, design.windows)
+    out = out.where(F.col("pos") >= design.reach).select("series_id", "pos", *past, F.inline("_leads")).withColumn("target_pos", F.col("pos") + F.col("step") - 1)
+    before = set(out.columns)
+    out = add_calendar(out, design.calendar, design.encoding)
+    return out, [*past, *[c for c in out.columns if c not in before], *design.exog]
+
+
+def extended(grid: DataFrame, steps: int, freq: str, exog: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """The grid with ``steps`` rows ahead of each series, their values null, their known columns from ``exog``."""
+    last = grid.groupBy("series_id").agg(F.max("pos").alias("_pos"), F.max("ts").alias("_ts"))
+    ahead = last.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    ahead = ahead.select("series_id", Freq.parse(freq).shift(F.col("_ts"), F.col("_s")).alias("ts"), (F.col("_pos") + F.col("_s")).alias("pos"), F.lit(None).cast("double").alias("y"))
+    ahead = with_known(ahead, exog, names or [])
+    return grid.unionByName(ahead, allowMissingColumns=True)
+
+
+@dataclass(frozen=True)
+class Estimator:
+    """``fit(rows, features, target, weight)`` gives a model, ``predict(model, rows)`` the rows with ``pred``."""
+
+    fit: Callable[..., object]
+    predict: Callable[[object, DataFrame], DataFrame]
+
+
+_ESTIMATORS: dict[str, Callable[..., Estimator]] = {}
+
+
+def register_estimator(name: str, make: Callable[..., Estimator]) -> None:
+    """An estimator for direct forecasts; ``make(**params)`` gives its fit and predict."""
+    _ESTIMATORS[name] = make
+
+
+def estimators() -> list[str]:
+    return sorted(_ESTIMATORS)
 
 
-def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows: list[tuple[str, int]], freq: str, calendar=None, encoding=None, alpha: float = 1.0, per_series: bool = True, steps: int | None = None, gap: int = 0) -> DataFrame:
-    """Predictions of every fold with its own model: ``series_id, fold, step, ts, y, pred``."""
-    matrix, names, _ = matrix_of(grid, lags, windows, calendar, encoding)
-    matrix = matrix.where(F.col("pos") >= window_size(lags, windows))
-    betas = fit_folds(matrix, names, folds, ["series_id"] if per_series else [], alpha)
-    if steps is None:
-        steps = folds.agg(F.max(F.col("test_to") - F.col("test_from"))).first()[0]
-    tails = tails_at_folds(grid, folds, window_size(lags, windows))
-    preds = recursive_forecast(tails, betas, lags, windows, steps + gap, freq, calendar, encoding)
-    preds = preds.where(F.col("step") > gap).withColumn("step", F.col("step") - gap)
-    actual = grid.select("series_id", "ts", "pos", "y")
-    return preds.join(actual, ["series_id", "ts"]).join(folds.select("fold", "test_to"), "fold").where(F.col("pos") < F.col("test_to")).select("series_id", "fold", "step", "ts", "y", "pred")
+def make_estimator(name: str, **params) -> Estimator:
+    if name not in _ESTIMATORS:
+        raise ValueError(f"unknown estimator {name!r}; known: ridge, seasonal_naive, holt_winters, {', '.join(estimators())}")
+    return _ESTIMATORS[name](**params)
+
+
+def _trees(kind: str) -> Callable[..., Estimator]:
+    def make(seed: int = 123, **params) -> Estimator:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+
+        regressor = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "decision_tree": DecisionTreeRegressor}[kind]
+
+        def fit(rows: DataFrame, features: list[str], target: str, weight: str | None = None):
+            assemble = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+            given = {"weightCol": weight} if weight else {}
+            return assemble, regressor(featuresCol="_features", labelCol=target, predictionCol="pred", seed=seed, **given, **params).fit(assemble.transform(rows))
+
+        def predict(model, rows: DataFrame) -> DataFrame:
+            assemble, fitted = model
+            return fitted.transform(assemble.transform(rows)).drop("_features")
+
+        return Estimator(fit, predict)
+
+    return make
+
+
+for _kind in ("gbt", "random_forest", "decision_tree"):
+    register_estimator(_kind, _trees(_kind))
+
+#: Stands for a missing feature where an estimator takes incomplete rows: below all values.
+MISSING = -1e12
+
+
+def _complete(rows: DataFrame, features: list[str], drop_null: bool) -> DataFrame:
+    """Rows for a registered estimator, features as doubles; null ones are dropped or marked as missing."""
+    double = {n: F.col(f"`{n}`").cast("double") for n in features}
+    if drop_null:
+        return rows.withColumns(double).dropna(subset=features)
+    return rows.withColumns({n: F.coalesce(c, F.lit(MISSING)) for n, c in double.items()})
+
+
+def _bounds(preds: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds ``pred`` plus the residual quantiles ``_lo`` and ``_hi`` of each key."""
+    return preds.join(quantiles, keys, "left").withColumns({"lower_bound": F.col("pred") + F.col("_lo"), "upper_bound": F.col("pred") + F.col("_hi")}).drop("_lo", "_hi")
+
+
+def _residuals(rows: DataFrame, keys: list[str], interval: tuple[float, float]) -> DataFrame:
+    e = F.col("target") - F.col("pred")
+    return rows.where("target is not null and pred is not null").groupBy(*keys).agg(F.percentile(e, interval[0]).alias("_lo"), F.percentile(e, interval[1]).alias("_hi"))
+
+
+def predict_folds(rows: DataFrame, origins: DataFrame, names: list[str], folds: DataFrame, keys: list[str], estimator: str = "ridge", alpha: float = 1.0, params: dict | None = None, weight: str | None = None, drop_null: bool = True, interval: tuple[float, float] | None = None) -> DataFrame:
+    """Direct predictions ``series_id, fold, step, ts, pred`` and bounds of ``folds(fold, model_from, model_to, train_to)``.
+
+    Models learn from ``rows`` whose target is in their range; ``origins`` are rows of the same form, of
+    which those at a fold's ``train_to`` are predicted. Ridge models of all folds and ``keys`` come from one
+    pass; another estimator is fitted for each fold that refits, on all steps, with the step as a feature.
+    Bounds add the quantiles of the first model's residuals of the same series and step.
+    """
+    rows = rows.where("target is not null")
+    origins = origins.join(F.broadcast(folds.select("fold", "model_from", "model_to", F.col("train_to").alias("pos"))), "pos")
+    ranges = [tuple(r) for r in folds.select("model_from", "model_to").distinct().orderBy("model_to", "model_from").collect()]  # a row a fit
+    inside = lambda r: (F.col("target_pos") >= r[0]) & (F.col("target_pos") < r[1])
+    of = lambda r: (F.col("model_from") == r[0]) & (F.col("model_to") == r[1])
+    kept = ["series_id", "fold", "step", "ts", "pred"]
+    if estimator == "ridge":
+        models = fit_folds(rows, names, folds, keys, alpha, "target", "target_pos", weight)
+        out = origins.join(models, [*keys, "model_from", "model_to"]).withColumn("pred", fitted_value(names)).select(*kept)
+        if interval:
+            first = models.where(of(ranges[0])).drop("model_from", "model_to")
+            seen = rows.where(inside(ranges[0])).join(first, keys).withColumn("pred", fitted_value(names))
+    else:
+        learner, features = make_estimator(estimator, **(params or {})), [*names, "step"]
+        rows, origins = _complete(rows, features, drop_null), _complete(origins, features, drop_null)
+        parts = []
+        for i, r in enumerate(ranges):
+            model = learner.fit(rows.where(inside(r)), features, "target", weight)
+            parts.append(learner.predict(model, origins.where(of(r))).select(*kept))
+            if interval and not i:
+                seen = learner.predict(model, rows.where(inside(r)))
+        out = reduce(DataFrame.unionByName, parts)
+    return _bounds(out, _residuals(seen, ["series_id", "step"], interval), ["series_id", "step"]) if interval else out
+
+
+def _weighed(rows: DataFrame, grid: DataFrame, weight: str | None) -> DataFrame:
+    return rows.join(grid.select("series_id", F.col("pos").alias("target_pos"), weight), ["series_id", "target_pos"]) if weight else rows
+
+
+def backtest_direct(grid: DataFrame, folds: DataFrame, design: Design, steps: int, gap: int = 0, per_series: bool = True, weight: str | None = None, **given) -> DataFrame:
+    """Direct predictions of every fold: ``series_id, fold, step, ts, y, pred`` and bounds; ``given`` as for ``predict_folds``."""
+    rows, names = direct_rows(grid, design, steps + gap)
+    preds = predict_folds(_weighed(rows, grid, weight), rows, names, folds, (["series_id"] if per_series else []) + ["step"], weight=weight, **given)
+    return scored(preds, grid, folds, gap)
+
+
+def multivariate_rows(grid: DataFrame, series: list[str], lags: list[int], steps: int, freq: str) -> tuple[DataFrame, list[str]]:
+    """Rows as of ``direct_rows`` for every named series, with the lags of all; the series share one grid."""
+    wide = multivariate_lags(grid, series, lags, freq, steps)
+    at = grid.where(F.col("series_id") == series[0]).select("ts", "pos")
+    names = [f"{s}_lag_{k}" for s in series for k in lags]
+    targets = F.array(*[F.struct(F.lit(level).alias("series_id"), F.lit(s).cast("long").alias("step"), F.col(f"`{level}_lead_{s}`").alias("target")) for level in series for s in range(1, steps + 1)])
+    rows = wide.join(at, "ts").select(F.col("ts").alias("_ts"), "pos", *[F.col(f"`{n}`") for n in names], F.inline(targets))
+    return rows.withColumns({"ts": Freq.parse(freq).shift(F.col("_ts"), (F.col("step") - 1).cast("int")), "target_pos": F.col("pos") + F.col("step") - 1}).drop("_ts"), names
+
+
+def backtest_multivariate(grid: DataFrame, folds: DataFrame, series: list[str], lags: list[int], steps: int, freq: str, gap: int = 0, **given) -> DataFrame:
+    """Direct multivariate predictions of every fold; ``given`` as for ``predict_folds``."""
+    rows, names = multivariate_rows(grid, series, lags, steps + gap, freq)
+    return scored(predict_folds(rows, rows, names, folds, ["series_id", "step"], **given), grid, folds, gap)
+
+
+def one_fold(grid: DataFrame) -> DataFrame:
+    """The fold of a plain forecast: trained on all rows of the longest series, from each series' end."""
+    return grid.agg((F.max("pos") + 1).alias("n")).select(F.lit(0).cast("long").alias("fold"), F.lit(0).cast("long").alias("model_from"), F.col("n").alias("model_to"), F.col("n").alias("train_to"))
 
 
 def direct_forecast(grid: DataFrame, lags: list[int], steps: int, per_series: bool = True, alpha: float = 1.0) -> DataFrame:
@@ -214,42 +494,59 @@ def direct_forecast(grid: DataFrame, lags: list[int], steps: int, per_series: bo
     keys = (["series_id"] if per_series else []) + ["step"]
     betas = fit_ridge(direct_targets(grid, lags, steps), names, keys, alpha, "target")
     size = max(lags)
-    tails = tails_at_end(grid, size).withColumn("x", F.array(*[F.element_at("tail", F.lit(-k)) for k in lags], F.lit(1.0)))
+    tails = tails_at_end(grid, size).select("series_id", *[F.element_at("tail", F.lit(-k)).alias(f"lag_{k}") for k in lags])
     joined = tails.join(betas, "series_id") if per_series else tails.crossJoin(F.broadcast(betas))  # a row a step
-    dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return joined.select("series_id", F.col("step").cast("int").alias("step"), dot.alias("pred"))
+    return joined.select("series_id", F.col("step").cast("int").alias("step"), fitted_value(names).alias("pred"))
 
 
-def multivariate_forecast(grid: DataFrame, level: str, series: list[str], lags: list[int], steps: int, alpha: float = 1.0) -> DataFrame:
-    """Direct forecasts of ``level`` from the lags of all named series: ``series_id, step, pred``."""
-    from seriesloom.operators.features import multivariate_lags
+def forecast_direct(grid: DataFrame, design: Design, steps: int, freq: str, exog: DataFrame | None = None, per_series: bool = True, weight: str | None = None, **given) -> DataFrame:
+    """Direct predictions ``series_id, step, ts, pred`` and bounds from the end of each series; ``given`` as for ``predict_folds``.
 
-    wide = multivariate_lags(grid, series, lags)
-    w = Window.orderBy("ts")
+    Positions are moved so that all series end at one, from which the extended grid's rows are the origins.
+    """
+    ends = grid.groupBy("series_id").agg((F.max("pos") + 1).alias("_end"))
+    top = ends.agg(F.max("_end")).first()[0]
+    moved = lambda df: df.join(ends, "series_id").withColumn("pos", F.col("pos") + F.lit(top) - F.col("_end")).drop("_end")
+    train = moved(grid)
+    rows, names = direct_rows(train, design, steps)
+    origins, _ = direct_rows(moved(extended(grid, steps, freq, exog, design.exog)), design, steps)
+    return predict_folds(_weighed(rows, train, weight), origins, names, one_fold(train), (["series_id"] if per_series else []) + ["step"], weight=weight, **given).drop("fold")
+
+
+def multivariate_forecast(grid: DataFrame, levels: str | list[str], series: list[str], lags: list[int], steps: int, alpha: float = 1.0, freq: str = "D", interval: tuple[float, float] | None = None) -> DataFrame:
+    """Direct forecasts of ``levels`` from the lags of all named series: ``series_id, step, pred`` and bounds.
+
+    One matrix serves all levels and steps: each row unfolds to its targets in the task that sums it.
+    """
+    levels = [levels] if isinstance(levels, str) else levels
+    wide = multivariate_lags(grid, series, lags, freq, steps)
     names = [f"{s}_lag_{k}" for s in series for k in lags]
-    leads = F.array(*[F.struct(F.lit(s).cast("int").alias("step"), F.lead(F.col(f"`{level}`"), s - 1).over(w).alias("target")) for s in range(1, steps + 1)])
-    matrix = wide.withColumn("_leads", leads).select(*names, F.inline("_leads")).where("target is not null")
-    betas = fit_ridge(matrix, names, ["step"], alpha, "target")
-    last = wide.orderBy(F.desc("ts")).limit(max(lags)).agg(*[F.reverse(F.array_sort(F.collect_list(F.struct("ts", F.col(f"`{s}`").alias("y"))))).alias(s) for s in series])
-    x = F.array(*[F.element_at(F.col(f"`{s}`"), k)["y"] for s in series for k in lags], F.lit(1.0))
-    dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return betas.crossJoin(F.broadcast(last.select(x.alias("x")))).select(F.lit(level).alias("series_id"), "step", dot.alias("pred"))  # one row
+    targets = F.array(*[F.struct(F.lit(level).alias("series_id"), F.lit(s).cast("int").alias("step"), F.col(f"`{level}_lead_{s}`").alias("target")) for level in levels for s in range(1, steps + 1)])
+    matrix = wide.select(*[F.col(f"`{n}`") for n in names], F.inline(targets)).where("target is not null")
+    betas = fit_ridge(matrix, names, ["series_id", "step"], alpha, "target")
+    end = grid.where(F.col("series_id").isin(series)).agg(F.max("ts").alias("ts")).first()[0]
+    back = F.array(*[Freq.parse(freq).shift(F.lit(end).cast("timestamp_ntz"), 1 - k) for k in lags])
+    last = grid.where(F.col("series_id").isin(series) & F.array_contains(back, F.col("ts").cast("timestamp_ntz"))).select("series_id", F.array_position(back, F.col("ts").cast("timestamp_ntz")).alias("i"), "y")
+    x = last.agg(*[F.max(F.when((F.col("series_id") == s) & (F.col("i") == i + 1), F.col("y"))).alias(f"{s}_lag_{k}") for s in series for i, k in enumerate(lags)])
+    out = betas.crossJoin(F.broadcast(x)).select("series_id", "step", fitted_value(names).alias("pred"))  # one row
+    if interval:
+        seen = matrix.join(betas, ["series_id", "step"]).withColumn("pred", fitted_value(names))
+        out = _bounds(out, _residuals(seen, ["series_id", "step"], interval), ["series_id", "step"])
+    return out
 
 
 def forest_forecast(grid: DataFrame, lags: list[int], steps: int, kind: str = "gbt", seed: int = 123, **params) -> DataFrame:
     """Direct forecasts by one global tree ensemble with the step as a feature: ``series_id, step, pred``."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
     from seriesloom.operators.features import direct_targets
 
-    names = [*[f"lag_{k}" for k in lags], "step"]
-    assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip")
-    make = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor}[kind]
-    model = make(featuresCol="features", labelCol="target", seed=seed, **params).fit(assemble.transform(direct_targets(grid, lags, steps)))
+    names, learner = [f"lag_{k}" for k in lags], make_estimator(kind, seed=seed, **params)
+    model = learner.fit(direct_targets(grid, lags, steps).dropna(subset=names), [*names, "step"], "target", None)
     tails = tails_at_end(grid, max(lags))
     ahead = tails.select("series_id", *[F.element_at("tail", F.lit(-k)).alias(f"lag_{k}") for k in lags], F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
-    return model.transform(assemble.transform(ahead)).select("series_id", "step", F.col("prediction").alias("pred"))
+    return learner.predict(model, ahead).select("series_id", "step", "pred")
+
+
+# Statistical forecasts
 
 
 def holt_winters(values: np.ndarray, season: int, steps: int, alpha: float, beta: float, gamma: float) -> tuple[np.ndarray, float]:
@@ -271,17 +568,42 @@ def holt_winters(values: np.ndarray, season: int, steps: int, alpha: float, beta
     return ahead, errors / max(len(values), 1)
 
 
-def statistical_forecast(grid: DataFrame, steps: int, season: int) -> DataFrame:
-    """Holt-Winters for each series, smoothing chosen by the one-step error over a grid: ``series_id, step, pred``.
+def holt_winters_widths(steps: int, season: int, alpha: float, beta: float, gamma: float) -> np.ndarray:
+    """The forecast deviation of each step in units of the one-step deviation: the known formula of the additive model."""
+    c = [alpha * (1 + j * beta) + (gamma * (1 - alpha) if season > 1 and j % season == 0 else 0.0) for j in range(1, steps)]
+    return np.sqrt(1 + np.concatenate(([0.0], np.cumsum(np.square(c)))))
+
 
-    The recursion is sequential within a series; series are grouped, one at a time in a task.
+SMOOTHING = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.05, 0.2) for g in (0.1, 0.3)]
+
+
+def statistical_forecast(grid: DataFrame, steps: int, season: int, folds: list[tuple[int, int, int, int]] | None = None, interval: tuple[float, float] | None = None, smoothing: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """Holt-Winters for each series, smoothing chosen by the one-step error over a grid: ``series_id, fold, step, pred`` and bounds.
+
+    ``folds`` has (fold, train_from, train_to, refit): each starts from its training rows; one that does
+    not refit keeps the smoothing last chosen. Without folds all rows train one forecast, fold 0. Bounds
+    are the model's own: its one-step deviation times the growth by step. The recursion is sequential
+    within a series; series are grouped, one at a time in a task.
     """
+    from statistics import NormalDist
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values("pos")["y"].interpolate(limit_direction="both").to_numpy(float)
-        m = season if len(values) >= 2 * season else 1
-        tried = [holt_winters(values, m, steps, a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.05, 0.2) for g in ((0.1, 0.3) if m > 1 else (0.0,))]
-        best = min(tried, key=lambda t: t[1])[0]
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "step": range(1, steps + 1), "pred": best})
+    tried = smoothing or SMOOTHING
+    z = [NormalDist().inv_cdf(q) for q in interval] if interval else [0.0, 0.0]
 
-    return grid.select("series_id", "pos", "y").groupBy("series_id").applyInPandas(run, "series_id string, step int, pred double")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        out, chosen = [], None
+        for fold, a, b, refit in folds or [(0, 0, int(frame["pos"].max()) + 1, 1)]:
+            part = frame[(frame["pos"] >= a) & (frame["pos"] < b)]["y"].interpolate(limit_direction="both").to_numpy(float)
+            if not len(part) or np.isnan(part).any():
+                continue
+            m = season if len(part) >= 2 * season else 1
+            if refit or chosen is None:
+                chosen = min(tried, key=lambda g: holt_winters(part, m, 1, *g)[1])
+            pred, error = holt_winters(part, m, steps, *chosen)
+            width = np.sqrt(error) * holt_winters_widths(steps, m, *chosen)
+            out.append(pd.DataFrame({"series_id": frame["series_id"].iloc[0], "fold": fold, "step": range(1, steps + 1), "pred": pred, "lower_bound": pred + z[0] * width, "upper_bound": pred + z[1] * width}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["series_id", "fold", "step", "pred", "lower_bound", "upper_bound"])
+
+    made = grid.select("series_id", "pos", "y").groupBy("series_id").applyInPandas(run, "series_id string, fold long, step int, pred double, lower_bound double, upper_bound double")
+    return made if interval else made.drop("lower_bound", "upper_bound")

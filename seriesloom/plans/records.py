@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime
+from typing import Protocol, runtime_checkable
 
 
-@dataclass(frozen=True)
-class SeriesInfo:
-    start: datetime | None
-    end: datetime | None
-    length: int
-    missing: int = 0
-    min: float | None = None
-    max: float | None = None
-    mean: float | None = None
-    std: float | None = None
+def _plain(value):
+    return value.isoformat() if isinstance(value, datetime) else value
+
+
+def _known(cls, values: dict) -> dict:
+    names = {f.name for f in fields(cls)}
+    unknown = sorted(set(values) - names)
+    if unknown:
+        raise ValueError(f"{cls.__name__} has no {', '.join(unknown)}")
+    out = dict(values)
+    for name in ("start", "end", "end_train"):
+        if isinstance(out.get(name), str):
+            out[name] = datetime.fromisoformat(out[name])
+    return out
 
 
 @dataclass(frozen=True)
 class DataProfile:
-    """What the data are: roles, ranges, quality."""
+    """What the data are: roles, ranges, quality. All of it is one row, however many series there are."""
 
     format: str
     n_series: int
     target: str | list[str]
-    series: dict[str, SeriesInfo]
     frequency: str | None
     span: int
     n_observations: int
     has_gaps: bool
     has_duplicates: bool
+    shortest: int
+    longest: int
+    missing: int = 0
+    start: datetime | None = None
+    end: datetime | None = None
+    latest_start: datetime | None = None
+    near_zero: bool = False
+    frequency_is_set: bool = False
     exog: list[str] = field(default_factory=list)
     categorical_exog: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
-    @property
-    def shortest(self) -> int:
-        return min((s.length for s in self.series.values()), default=0)
+    def to_dict(self) -> dict:
+        return {k: _plain(v) for k, v in asdict(self).items()}
+
+    @staticmethod
+    def from_dict(values: dict) -> DataProfile:
+        return DataProfile(**_known(DataProfile, values))
 
 
 @dataclass(frozen=True)
@@ -63,9 +78,31 @@ class ForecastPlan:
     preprocessing: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     explanation: str = ""
+    exog: list[str] = field(default_factory=list)
+    categorical_exog: list[str] = field(default_factory=list)
+    differentiation: int = 0
+    encode_series: bool = False
+    interval_method: str | None = None
+    params: dict = field(default_factory=dict)
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return {k: _plain(v) for k, v in asdict(self).items()}
+
+    @staticmethod
+    def from_dict(values: dict) -> ForecastPlan:
+        """A plan from a record bundle, such as one read from JSON."""
+        values = _known(ForecastPlan, values)
+        values["windows"] = [tuple(w) for w in values.get("windows") or []]
+        if values.get("interval"):
+            values["interval"] = tuple(values["interval"])
+        return ForecastPlan(**values)
+
+
+@runtime_checkable
+class Explainable(Protocol):
+    """Any result that can say how it came about, ours or another library's."""
+
+    def explain(self) -> str: ...
 
 
 @dataclass(frozen=True)

@@ -63,40 +63,45 @@ def select_estimator(profile: DataProfile, strategy: str) -> str | None:
 def finalize_lags(found: list[int], n: int, season: int | None, reserved: int = 0) -> list[int]:
     """Found lags within the budget, the strongest first, made up by the first five and the season."""
     budget = feature_budget(n, reserved)
-    safe = list(range(1, min(5, budget) + 1))
-    if n < 30 or not found:
-        kept = set(safe)
-    else:
-        kept = set([k for k in found if 1 <= k <= budget][:MAX_LAGS])
-        if len(kept) < 3:
-            kept |= set(safe)
-    if n >= 30 and season and season <= budget:
-        kept.add(season)
-    return sorted(kept)
+    long_enough = n >= MIN_CALENDAR_ROWS
+    strongest = [k for k in found if 1 <= k <= budget][:MAX_LAGS] if long_enough else []
+    sources = (
+        (strongest, True),
+        (range(1, min(5, budget) + 1), len(strongest) < 3),
+        ([season], long_enough and bool(season) and season <= budget),
+    )
+    return sorted({k for lags, used in sources if used for k in lags})
 
 
 def select_windows(n: int, seasons: list[int], strategy: str, budget: int) -> list[tuple[str, int]]:
-    """Rolling means over a ladder of windows and a deviation over the shortest."""
-    if strategy in ("statistical", "foundation") or n < MIN_WINDOW_ROWS or budget < 3:
+    """Rolling means over a ladder of windows and a deviation over the shortest.
+
+    The ladder has three rows and every season that fits. A single season adds its largest multiple up to
+    three that fits; without one, the whole budget if a season is beyond it, else a week of rows.
+    """
+    if not _learns(strategy) or n < MIN_WINDOW_ROWS or budget < 3:
         return []
     fitting = [s for s in seasons if 3 <= s <= budget]
-    ladder = {3, *fitting}
-    if len(fitting) == 1:
-        ladder |= {next((k * fitting[0] for k in (3, 2) if k * fitting[0] <= budget), fitting[0])}
-    elif not fitting:
-        ladder.add(budget if any(s > budget for s in seasons) else min(7, budget))
-    sizes = sorted(ladder)
-    return [("mean", s) for s in sizes] + [("std", sizes[0])]
+    extra = {
+        0: lambda: budget if max(seasons, default=0) > budget else min(7, budget),
+        1: lambda: fitting[0] * min(3, budget // fitting[0]),
+    }.get(len(fitting), lambda: 3)()
+    sizes = sorted({3, *fitting, extra})
+    return [*(("mean", size) for size in sizes), ("std", sizes[0])]
+
+
+def _learns(strategy: str) -> bool:
+    """Whether the strategy learns from features."""
+    return strategy not in ("statistical", "foundation")
 
 
 def select_calendar(frequency: str | None, n: int, strategy: str) -> list[str]:
-    if strategy in ("statistical", "foundation") or not frequency or n < MIN_CALENDAR_ROWS:
+    """The features of the frequency's unit, and the month where clock steps cover two years."""
+    if not (_learns(strategy) and frequency and n >= MIN_CALENDAR_ROWS):
         return []
-    unit = Freq.parse(frequency).unit
-    out = list(CALENDAR.get(unit, []))
-    if unit in ROWS_A_YEAR and n >= 2 * ROWS_A_YEAR[unit] / Freq.parse(frequency).n:
-        out.append("month")
-    return out
+    freq = Freq.parse(frequency)
+    two_years = 2 * ROWS_A_YEAR.get(freq.unit, math.inf) / freq.n
+    return CALENDAR.get(freq.unit, []) + ["month"] * (n >= two_years)
 
 
 def calendar_encoding(estimator: str | None, strategy: str) -> str | None:
@@ -105,12 +110,11 @@ def calendar_encoding(estimator: str | None, strategy: str) -> str | None:
 
 def select_metric(profile: DataProfile, strategy: str) -> tuple[str, list[str]]:
     """The ranking metric, and those to compute; shares are unsafe for series that come near zero."""
-    near_zero = any(s.min is None or min(abs(s.min), abs(s.max)) <= 0.01 or s.min <= 0 <= s.max for s in profile.series.values())
-    return ("mase" if profile.n_series > 1 else "mae"), ["mae", "mse", "mase"] + ([] if near_zero else ["mape"])
+    return ("mase" if profile.n_series > 1 else "mae"), ["mae", "mse", "mase"] + ([] if profile.near_zero else ["mape"])
 
 
 def drops_null(profile: DataProfile, estimator: str | None, strategy: str) -> bool:
-    missing = profile.has_gaps or any(s.missing for s in profile.series.values())
+    missing = profile.has_gaps or profile.missing > 0
     return strategy not in ("statistical", "foundation") and missing and estimator not in NULL_TOLERANT
 
 
@@ -122,7 +126,7 @@ def preprocessing(profile: DataProfile) -> list[str]:
         steps.append("name the sampling frequency")
     if profile.has_gaps:
         steps.append("align each series with its regular grid")
-    if any(s.missing for s in profile.series.values()):
+    if profile.missing:
         steps.append("fill or drop missing values")
     if profile.categorical_exog:
         steps.append("encode categorical columns: " + ", ".join(profile.categorical_exog))
@@ -145,7 +149,7 @@ def check_shape(profile: DataProfile, strategy: str) -> None:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     if strategy in ("recursive", "direct", "statistical", "foundation") and profile.n_series != 1:
         raise ValueError(f"{strategy} takes one series; the data have {profile.n_series}")
-    if strategy == "multivariate" and len({s.length for s in profile.series.values()}) > 1:
+    if strategy == "multivariate" and profile.shortest != profile.longest:
         raise ValueError("multivariate takes series of equal lengths")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files of a query: of the session's checkpoint folder, or on a local session a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return f"{folder.rstrip('/')}/queries-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="seriesloom-queries-")
+
+
 def rounded(c: Column | str, digits: int = 4) -> Column:
     """Rounded for comparison across engines, without negative zero."""
     return (F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)).cast("double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.frequency import Freq
+from seriesloom.functions.frequency import Freq, seconds_between, seconds_on
 
 
 def canonical(df: DataFrame, ts: str, target: str | list[str], series_id: str | None = None, exog: list[str] | None = None) -> DataFrame:
@@ -53,11 +53,32 @@ def asfreq(df: DataFrame, freq: Freq | str, keys: list[str] | None = None) -> Da
     """Each series on its regular grid from its first to its last timestamp, nulls where rows are missing, with 0-based ``pos``."""
     freq = Freq.parse(freq) if isinstance(freq, str) else freq
     keys = keys or ["series_id"]
+    if freq.seconds:
+        return _fill_steps(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), freq.seconds, keys)
     spans = df.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     grid = spans.select(*keys, F.posexplode(freq.grid(F.col("_a"), F.col("_b"))).alias("pos", "ts")).withColumn("pos", F.col("pos").cast("long"))
     return grid.join(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), [*keys, "ts"], "left")
 
 
+def _fill_steps(df: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
+    """The grid of a fixed step: each row unfolds to itself and the steps missing until the next row.
+
+    One window by series, whose partitioning later windows share; the table is neither scanned twice nor
+    joined with its grid. Rows beside the grid go, repeated timestamps stay.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts")
+    first = F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.floor(seconds_between(F.col("_first"), F.col("ts")) / seconds)
+    rows = df.withColumn("_first", first).withColumn("pos", step.cast("long"))
+    rows = rows.where(seconds_on(F.col("_first"), F.col("pos") * seconds) == F.col("ts"))
+    rows = rows.withColumn("_missing", F.coalesce(F.lead("pos").over(w) - F.col("pos") - 1, F.lit(0).cast("long")))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_missing"), F.lit(0).cast("long")))))
+    own = F.col("_k") == 0
+    at = seconds_on(F.col("ts"), F.col("_k") * seconds)
+    others = [c for c in df.columns if c not in (*keys, "ts")]
+    return rows.select(*keys, at.alias("ts"), (F.col("pos") + F.col("_k")).alias("pos"), *[F.when(own, F.col(c)).alias(c) for c in others])
+
+
 def forward_fill(df: DataFrame, column: str = "y", out: str = "filled") -> DataFrame:
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
@@ -78,7 +99,3 @@ def interpolate(df: DataFrame, column: str = "y", out: str = "filled") -> DataFr
     line = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * share
     return df.withColumn(out, F.when(F.col(column).isNotNull(), F.col(column)).when(F.col("_p1") > F.col("_p0"), line)).drop("_p0", "_y0", "_p1", "_y1")
 
-
-def align_exog(series: DataFrame, exog: DataFrame) -> DataFrame:
-    """Exogenous rows beside the series, by series and timestamp or by timestamp alone."""
-    return series.join(exog, [c for c in ("series_id", "ts") if c in exog.columns], "left")

@@ -4,12 +4,12 @@ import pytest
 
 from seriesloom.functions.frequency import Freq, seasonal_periods
 from seriesloom.plans import rules
-from seriesloom.plans.records import CVParams, DataProfile, SeriesInfo
+from seriesloom.plans.records import CVParams, DataProfile
 
 
 def profile(n=200, n_series=1, freq="D", lo=1.0, hi=9.0, missing=0, gaps=False):
-    series = {f"s{i}": SeriesInfo(datetime(2024, 1, 1), datetime(2024, 6, 1), n, missing, lo, hi, 5.0, 1.0) for i in range(n_series)}
-    return DataProfile("long", n_series, "y", series, freq, n, n * n_series, gaps, False)
+    near_zero = min(abs(lo), abs(hi)) <= 0.01 or lo <= 0 <= hi
+    return DataProfile("long", n_series, "y", freq, n, n * n_series, gaps, False, n, n, missing * n_series, datetime(2024, 1, 1), datetime(2024, 6, 1), near_zero=near_zero)
 
 
 @pytest.mark.parametrize(
