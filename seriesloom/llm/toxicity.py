@@ -6,8 +6,8 @@ negation, reported speech, target, threat and insult. Each rewrites what stands
 the best path says how every insult or threat of the clause is meant and what it weighs: the insult's
 own weight times that of the arcs that read it. No word counts outside its clause. A document's score
 comes from the summed path weights of its clauses, and the summed heaviest reading of each of its
-distinct insults, by a logistic model whose coefficients are kept from being negative: an insult that
-is negated or reported never weighs more than the same insult said plainly.
+distinct insults, each in bands of the insults' weights, by a logistic model whose coefficients are kept
+from being negative: an insult that is negated or reported never weighs more than one said plainly.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LABELLED_ROWS = 20000
 LEAST_PRECISION = 0.5
 #: Lexicon weights are read in steps of this many nats.
 STEP = 0.5
+#: Bounds, in nats, between insults that toxic documents have more and those that almost only they have.
+BANDS = (5.0,)
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -210,8 +212,9 @@ class Model:
         self.base = 0.0
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: path weights of all clauses, the heaviest reading of each distinct insult summed, and threats; log-scaled."""
-        out = np.zeros((len(column), 3))
+        """Per text and band of lexicon weights: the path weights of its insults, and of the heaviest reading of each distinct one; threats; log-scaled."""
+        bands = len(BANDS) + 1
+        out = np.zeros((len(column), 2 * bands + 1))
         for lo, _, raw, bounds in K.text_chunks(column):
             starts, ends, row, stop = _tokens(raw, bounds)
             if not len(starts):
@@ -228,6 +231,7 @@ class Model:
             kind = np.where(kind >= 0, self.classes.values[kind] if len(self.classes.values) else 0, 0)
             weight[kind > 2] = 0  # a word of a closed class is read as that
             kind[weight > 0] = 1
+            strength = np.digitize(weight, BANDS)
             level = np.maximum(1, np.rint(weight / STEP)).astype(np.int64)
             ended = np.concatenate(([True], stop[:-1] | (row[1:] != row[:-1])))
             clause = np.cumsum(ended) - 1
@@ -235,7 +239,7 @@ class Model:
             first = np.flatnonzero(ended)
             last = np.append(first[1:], len(starts))
             symbols = np.frombuffer((OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT).encode(), np.uint8)[kind].tobytes().decode()
-            who, what, heavy = [], [], []
+            who, what, heavy, band = [], [], [], []
             for own in np.split(marked, np.flatnonzero(np.diff(clause[marked])) + 1) if len(marked) else ():
                 a, b = int(first[clause[own[0]]]), int(last[clause[own[0]]])
                 # nothing beyond twice the reach of a marked token bears on it, but a report before it does
@@ -246,16 +250,16 @@ class Model:
                 for at in own.tolist():
                     reading, w = read[at - left]
                     if w > 0:
-                        who.append(lo + int(row[at])), what.append(int(found[at])), heavy.append(w)
+                        who.append(lo + int(row[at])), what.append(int(found[at])), heavy.append(w), band.append(int(strength[at]))
                     if reading == "threat":
-                        out[lo + row[at], 2] += 1
+                        out[lo + row[at], -1] += 1
             if who:
-                doc, feature, w = np.array(who), np.array(what, np.uint64), np.array(heavy)
-                np.add.at(out[:, 0], doc, w)
+                doc, feature, w, kind_of = np.array(who), np.array(what, np.uint64), np.array(heavy), np.array(band)
+                np.add.at(out, (doc, kind_of), w)
                 order = np.lexsort((-w, feature, doc))
-                doc, feature, w = doc[order], feature[order], w[order]
+                doc, feature, w, kind_of = doc[order], feature[order], w[order], kind_of[order]
                 new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])))
-                np.add.at(out[:, 1], doc[new], w[new])
+                np.add.at(out, (doc[new], bands + kind_of[new]), w[new])
         return np.log1p(out)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
