@@ -152,14 +152,15 @@ def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str]
     return out, feature_names(design.lags, design.windows, [*ahead, *design.exog]), target
 
 
-def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0) -> np.ndarray:
+def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0, stats: dict | None = None) -> np.ndarray:
     """Recursive predictions, a row for each step and a column for each path of ``noise`` (one path without)."""
+    stats = stats or ARRAY_STATS
     paths = noise.shape[1] if noise is not None else 1
     past = np.repeat(np.asarray(tail, float)[:, None], paths, 1)
     held = np.diff(past, differentiation, axis=0)
     out = np.empty((len(known), paths))
     for s, extra in enumerate(known):
-        parts = [held[-k] for k in lags] + [ARRAY_STATS[stat](held[-n:], axis=0) for stat, n in windows]
+        parts = [held[-k] for k in lags] + [stats[stat](held[-n:], axis=0) for stat, n in windows]
         x = np.vstack([*parts, np.repeat(np.asarray(extra, float)[:, None], paths, 1)]) if len(parts) + len(extra) else np.zeros((0, paths))
         out[s] = beta[:-1] @ x + beta[-1] + (noise[s] if noise is not None else 0.0)
         held = np.vstack([held, out[s]])
@@ -225,6 +226,8 @@ def recursive_forecast(
     known = F.array(*[F.col(n).cast("double") for n in names]) if names else F.array().cast("array<double>")
     packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("resid").alias("resid"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
 
+    stats = {stat: ARRAY_STATS[stat] for stat, _ in windows}  # the caller's own go to the workers too
+
     def run(frames):
         for frame in frames:
             out = []
@@ -232,11 +235,11 @@ def recursive_forecast(
                 extra = [list(a["known"]) for a in r["ahead"]]
                 beta, tail = np.array(r["beta"], float), np.array(r["tail"], float)
                 extra = np.array([[np.nan if x is None else x for x in e] for e in extra], float)
-                pred = roll_forward(tail, beta, lags, windows, extra, None, differentiation)[:, 0]
+                pred = roll_forward(tail, beta, lags, windows, extra, None, differentiation, stats)[:, 0]
                 low = high = [None] * steps
                 if interval:
                     noise = drawn(np.array(r["resid"], float), "|".join(str(x) for x in [seed, *[r[k] for k in keys]]), steps, paths)
-                    ends = roll_forward(tail, beta, lags, windows, extra, noise, differentiation)
+                    ends = roll_forward(tail, beta, lags, windows, extra, noise, differentiation, stats)
                     low, high = np.quantile(ends, interval[0], axis=1), np.quantile(ends, interval[1], axis=1)
                 out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound"])
@@ -334,7 +337,7 @@ def direct_rows(grid: DataFrame, design: Design, steps: int) -> tuple[DataFrame,
     leads = F.array(*[F.struct(F.lit(s).cast("long").alias("step"), *[F.lead(F.col(f"`{c}`"), s - 1).over(w).alias({"y": "target"}.get(c, c)) for c in carried]) for s in range(1, steps + 1)])
     past = feature_names(design.lags, design.windows)
     out = add_features(grid.withColumn("_leads", leads), design.lags, design.windows)
-    out = out.where(F.col("pos") >= design.reach).select("series_id", "pos", *past, F.inline("_leads")).withColumn("target_pos", F.col("pos") + F.col("step") - 1)
+    out = out.where(F.col("pos") >= design.reach).select("series_id", "pos", *[F.col(f"`{n}`") for n in past], F.inline("_leads")).withColumn("target_pos", F.col("pos") + F.col("step") - 1)
     before = set(out.columns)
     out = add_calendar(out, design.calendar, design.encoding)
     return out, [*past, *[c for c in out.columns if c not in before], *design.exog]
@@ -382,14 +385,17 @@ def _trees(kind: str) -> Callable[..., Estimator]:
 
         regressor = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "decision_tree": DecisionTreeRegressor}[kind]
 
+        def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
+            numbered = {f"_f{i}": F.col(f"`{n}`") for i, n in enumerate(features)}  # names of features may have dots
+            return VectorAssembler(inputCols=list(numbered), outputCol="_features", handleInvalid="skip").transform(rows.withColumns(numbered)).drop(*numbered)
+
         def fit(rows: DataFrame, features: list[str], target: str, weight: str | None = None):
-            assemble = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
             given = {"weightCol": weight} if weight else {}
-            return assemble, regressor(featuresCol="_features", labelCol=target, predictionCol="pred", seed=seed, **given, **params).fit(assemble.transform(rows))
+            return features, regressor(featuresCol="_features", labelCol=target, predictionCol="pred", seed=seed, **given, **params).fit(assembled(rows, features))
 
         def predict(model, rows: DataFrame) -> DataFrame:
-            assemble, fitted = model
-            return fitted.transform(assemble.transform(rows)).drop("_features")
+            features, fitted = model
+            return fitted.transform(assembled(rows, features)).drop("_features")
 
         return Estimator(fit, predict)
 
@@ -407,7 +413,7 @@ def _complete(rows: DataFrame, features: list[str], drop_null: bool) -> DataFram
     """Rows for a registered estimator, features as doubles; null ones are dropped or marked as missing."""
     double = {n: F.col(f"`{n}`").cast("double") for n in features}
     if drop_null:
-        return rows.withColumns(double).dropna(subset=features)
+        return rows.withColumns(double).where(reduce(Column.__and__, [F.col(f"`{n}`").isNotNull() for n in features]))
     return rows.withColumns({n: F.coalesce(c, F.lit(MISSING)) for n, c in double.items()})
 
 

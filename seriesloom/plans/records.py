@@ -17,7 +17,7 @@ def _known(cls, values: dict) -> dict:
     if unknown:
         raise ValueError(f"{cls.__name__} has no {', '.join(unknown)}")
     out = dict(values)
-    for name in ("start", "end", "end_train"):
+    for name in ("start", "end", "latest_start", "end_train"):
         if isinstance(out.get(name), str):
             out[name] = datetime.fromisoformat(out[name])
     return out
