@@ -387,7 +387,7 @@ def _trees(kind: str) -> Callable[..., Estimator]:
 
         def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
             numbered = {f"_f{i}": F.col(f"`{n}`") for i, n in enumerate(features)}  # names of features may have dots
-            return VectorAssembler(inputCols=list(numbered), outputCol="_features", handleInvalid="skip").transform(rows.withColumns(numbered)).drop(*numbered)
+            return VectorAssembler(inputCols=list(numbered), outputCol="_features", handleInvalid="keep").transform(rows.withColumns(numbered)).drop(*numbered)
 
         def fit(rows: DataFrame, features: list[str], target: str, weight: str | None = None):
             given = {"weightCol": weight} if weight else {}
@@ -413,7 +413,8 @@ def _complete(rows: DataFrame, features: list[str], drop_null: bool) -> DataFram
     """Rows for a registered estimator, features as doubles; null ones are dropped or marked as missing."""
     double = {n: F.col(f"`{n}`").cast("double") for n in features}
     if drop_null:
-        return rows.withColumns(double).where(reduce(Column.__and__, [F.col(f"`{n}`").isNotNull() for n in features]))
+        # one condition on an array: one a column would make the optimizer's constraint sets explode
+        return rows.withColumns(double).where(~F.exists(F.array(*[F.col(f"`{n}`") for n in features]), lambda x: x.isNull()))
     return rows.withColumns({n: F.coalesce(c, F.lit(MISSING)) for n, c in double.items()})
 
 
