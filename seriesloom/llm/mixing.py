@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-random order, prefix sums, a cut at each source's budget.
 
-Keys are hashes of the document id and the epoch, so reruns agree. Within a source the key range is
+Keys are hashes of the document id, its text and the epoch, so reruns agree and rows without an id part. Within a source the key range is
 cut into bins of about ``BIN`` rows and these into groups of ``GROUP`` bins; sums by bin, combined before
 the shuffle, give prefix sums over groups, then over the bins of the group that holds a source's cut, and
 only the bin of the cut is sorted by row. One task sees a row for each ``BIN * GROUP`` rows of a source.
@@ -23,9 +23,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def epoch_key(doc_id: Column, epoch: Column) -> Column:
-    """60 hash-random bits of the id and the epoch."""
-    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), epoch.cast("string"))
+def text_mark(text: Column) -> Column:
+    """64 bits of the text's hash, in hexadecimal."""
+    return F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16)
+
+
+def epoch_key(doc_id: Column, mark: Column, epoch: Column) -> Column:
+    """60 hash-random bits of the id, the text's mark and the epoch."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), mark, epoch.cast("string"))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -83,7 +88,7 @@ def _binned(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with its source's plan, key and bin; the plan has a row a source, so Spark may broadcast it by its measured size."""
     p = plan.withColumnRenamed("source", "plan_source")
     out = sized.join(p, sized["source"].eqNullSafe(p["plan_source"])).drop("plan_source")
-    out = out.withColumn("key", epoch_key(F.col("doc_id"), F.col("epochs")))
+    out = out.withColumn("key", epoch_key(F.col("doc_id"), F.col("mark"), F.col("epochs")))
     return out.withColumn("bin", F.shiftright(F.shiftright("key", 30) * F.col("bins"), 30))
 
 
@@ -105,11 +110,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFr
 
     ``size`` counts words, 0 for a null or empty text. Null is a source of its own, the last. A source
     without words has target 0. Taken words add up to each source's target rounded down: the document
-    at the cut gives the words that are left. A null id is an id; rows that repeat an id share a key
-    and stand side by side. Other columns are ignored.
+    at the cut gives the words that are left. A null id is an id; rows alike in id and text share a
+    key and stand side by side. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), text_mark(F.col("text").cast("string")).alias("mark"))
     sized = scratch.table(sized, "sized")
     taken = _taken(sized, _cuts(sized, scratch, weights), ["size"])
     return taken.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
@@ -120,13 +125,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Da
 
     Documents stay whole: the one at the cut is taken if at least half of its words are within. A
     document without words is taken as often as its source's whole epochs, at least once. Null ids and
-    sources are values like others; rows that repeat an id share a key and stand side by side, ties in
-    size in any order. An empty table stays empty. No name of a further column clashes with anything here.
+    sources are values like others; rows alike in id and text share a key and stand side by side, in any
+    order. An empty table stays empty. No name of a further column clashes with anything here.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     columns = docs.columns
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*[docs[c] for c in columns]).alias("row"))
-    cuts = _cuts(scratch.table(inner.select("doc_id", "source", "size"), "sized"), scratch, weights)
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), text_mark(F.col("text").cast("string")).alias("mark"), F.struct(*[docs[c] for c in columns]).alias("row"))
+    cuts = _cuts(scratch.table(inner.select("doc_id", "source", "size", "mark"), "sized"), scratch, weights)
     taken = _taken(inner, cuts, ["size"])
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.greatest(F.col("epochs"), F.lit(1)))
     out = taken.withColumn("times", times.cast("int")).where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times"))))

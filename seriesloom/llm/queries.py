@@ -90,7 +90,7 @@ FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) c ON s
 
 OP4_SQL = r"""
 WITH
-sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sized AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 weighed AS (
   SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap,
@@ -109,7 +109,7 @@ plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM targets),
 keyed AS (
   SELECT s.*, p.source_size, p.target, p.epochs, floor(p.target)::BIGINT - p.epochs * p.source_size AS rest,
-    ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || p.epochs), 1, 15))::BIGINT AS key
+    ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || s.mark || ':' || p.epochs), 1, 15))::BIGINT AS key
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 run AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM keyed)
