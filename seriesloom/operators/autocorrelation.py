@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 
 #: Positions of a series that one group of the sums covers.
 CHUNK = 4096
+#: Up to this many lags the sums are built-in expressions, a column each; beyond it arrays of a chunk.
+FEW_LAGS = 32
 
 
 def acf(grid: DataFrame, lags: int, chunk: int = CHUNK) -> DataFrame:
     """Biased autocorrelations ``series_id, lag, acf`` for lags 1..n, null values left out.
 
     A series is cut into chunks of positions, each with the ``lags`` positions before it; the sums of
-    products of all chunks add up. So a long series spreads over tasks, and the lags cost no columns.
+    products of all chunks add up. So a long series spreads over tasks.
     """
     chunk = max(chunk, lags)
     means = grid.groupBy("series_id").agg(F.avg("y").alias("_m"))
     own = F.floor(F.col("pos") / chunk).cast("long")
     chunks = F.when(F.col("pos") % chunk >= chunk - lags, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = grid.where("y is not null").join(means, "series_id").select("series_id", "pos", (F.col("y") - F.col("_m")).alias("e"), F.explode(chunks).alias("_chunk"))
+    rows = grid.join(means, "series_id").select("series_id", "pos", (F.col("y") - F.col("_m")).alias("e"), F.explode(chunks).alias("_chunk"))
+    if lags <= FEW_LAGS:
+        w = Window.partitionBy("series_id", "_chunk").orderBy("pos")
+        products = [F.when(own == F.col("_chunk"), F.col("e") * (F.lag("e", k).over(w) if k else F.col("e"))).alias(f"_{k}") for k in range(lags + 1)]
+        out = rows.select("series_id", *products).groupBy("series_id").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(lags + 1)])
+        each = [F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(F.coalesce(f"_{k}", F.lit(0.0)), F.col("_0")).alias("acf")) for k in range(1, lags + 1)]
+        return out.select("series_id", F.inline(F.array(*each)))
+    rows = rows.where("e is not null")
 
     def sums(table: pa.Table) -> pa.Table:
         at = table.column("_chunk")[0].as_py() * chunk - lags
