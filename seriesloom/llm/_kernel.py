@@ -139,3 +139,54 @@ def set_fingerprint(members: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = mix(members).sum(dtype=U64) + U64(len(members))
     return int(mix(np.array([total], U64)).view(np.int64)[0])
+
+
+def spans_equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether ``raw[a:a + size]`` equals ``raw[b:b + size]``, for each triple; about ``most`` bytes are compared at once."""
+    out = np.ones(len(a), bool)
+    long = size > most
+    for i in np.flatnonzero(long).tolist():
+        out[i] = np.array_equal(raw[a[i] : a[i] + size[i]], raw[b[i] : b[i] + size[i]])
+    rest = np.flatnonzero(~long)
+    cuts = np.searchsorted(np.cumsum(size[rest]), np.arange(0, int(size[rest].sum()) + most, most)) if len(rest) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = rest[lo : min(hi + 1, len(rest))]
+        n = size[part]
+        of = np.repeat(np.arange(len(part)), n)
+        step = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+        out[part[of[raw[a[part][of] + step] != raw[b[part][of] + step]]]] = False
+    return out
+
+
+def word_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for spans of the same bytes only: equal hashes are verified byte by byte."""
+    hashes = span_hashes(raw, starts, ends, lower=False)
+    order = np.argsort(hashes, kind="stable")
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(fresh) - 1
+    first = order[fresh][ids]
+    size = ends - starts
+    if not ((size == size[first]).all() and spans_equal(raw, starts, starts[first], size).all()):
+        known: dict[bytes, int] = {}
+        ids = np.array([known.setdefault(raw[s:e].tobytes(), len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return ids
+
+
+def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all rows, those of a row joined by one space: bytes, and start and end of each word in them."""
+    size = ends - starts
+    last = np.zeros(len(starts), bool)
+    filled = of_row[1:] > of_row[:-1]
+    last[of_row[1:][filled] - 1] = True
+    room = size + ~last
+    to = np.cumsum(room) - room
+    keep = np.zeros(len(raw) + 1, np.int8)
+    keep[starts] += 1
+    keep[ends] -= 1
+    keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+    keep[ends[~last]] = True
+    spaced = raw.copy()
+    spaced[ends[~last]] = 0x20
+    return spaced[keep], to, to + size

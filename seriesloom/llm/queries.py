@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.llm.decontam import contaminated
+from seriesloom.llm.filter_audit import audit_filters
 from seriesloom.llm.html_extract import extract_main_text
 from seriesloom.llm.langid import identify_languages
 from seriesloom.llm.line_dedup import remove_spread_lines
 from seriesloom.llm.mixing import mix_sources
 from seriesloom.llm.ngram_join import jaccard_components
+from seriesloom.llm.periodic_runs import periodic_runs
 from seriesloom.llm.sharding import shard_documents
 from seriesloom.llm.topk import top_k
 from seriesloom.llm.toxicity import score_toxicity
@@ -56,6 +58,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -172,6 +182,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_page THE
 FROM last
 """
 
+OP13_SQL = r"""
+WITH
+words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+marks AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM words),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+cells AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad
+  FROM marks LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letter a, letter b, letter d, letter e, letter f
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+judged AS (
+  SELECT part, filter_order, step, n, good, bad, fails[instr('ABCDE', filter_order[step])] AS own,
+    list_bool_or(list_transform(range(1, step), lambda i: fails[instr('ABCDE', filter_order[i])])) AS gone,
+    len(list_filter(fails, lambda x: x)) AS many
+  FROM cells, steps)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (NOT own AND NOT coalesce(gone, false)), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (own AND NOT coalesce(gone, false)), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (own AND many = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (own AND NOT coalesce(gone, false)), 0)::BIGINT AS good_lost,
+  coalesce(sum(bad) FILTER (own AND NOT coalesce(gone, false)), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(many, 1)) FILTER (own), 0)::BIGINT AS shapley
+FROM judged GROUP BY ALL
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -183,6 +228,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -192,4 +239,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SHARD.replace("{limit}", str(64 << 20)),
+    "op13_filter_audit": OP13_SQL,
 }
