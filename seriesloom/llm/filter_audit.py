@@ -88,7 +88,7 @@ def document_marks(docs: DataFrame) -> DataFrame:
 def _steps() -> list[tuple[str, int, int, int]]:
     """All orders and places: the order, the place, the bit of the filter there and the bits of those before."""
     bits = {c: 1 << i for i, c in enumerate(LETTERS)}
-    return [("".join(p), i, bits[p[i]], sum(bits[c] for c in p[:i])) for p in permutations(LETTERS) for i in range(len(p))]
+    return [("".join(p), i + 1, bits[p[i]], sum(bits[c] for c in p[:i])) for p in permutations(LETTERS) for i in range(len(p))]
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
