@@ -15,6 +15,7 @@ from seriesloom.llm.mixing import mix_sources
 from seriesloom.llm.ngram_join import jaccard_components
 from seriesloom.llm.periodic_runs import periodic_runs
 from seriesloom.llm.sharding import shard_documents
+from seriesloom.llm.simhash import simhash_components
 from seriesloom.llm.topk import top_k
 from seriesloom.llm.toxicity import score_toxicity
 from seriesloom.llm.warc import archive_pages
@@ -58,6 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
 
@@ -228,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
+    "op11_simhash": op11_simhash,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
