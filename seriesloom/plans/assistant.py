@@ -9,7 +9,7 @@ from __future__ import annotations
 import traceback
 import warnings
 from dataclasses import dataclass, replace
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,14 +144,17 @@ class Assistant:
         return self._profile
 
     def grid(self) -> DataFrame:
-        """The series on their regular grid: one row a timestamp, missing values filled as asked, categories as text."""
+        """The series on their regular grid: one row a timestamp, missing values filled as asked, categories as text.
+
+        Positions count from the panel's first timestamp, so that a fold is one stretch of time for all series.
+        """
         if self._grid is None:
             p = self.profile()
             if not p.frequency:
                 raise ValueError("no frequency was found; give one")
             first = F.col(self.order) if self.order else F.struct("y", *[F.col(c).cast("string") for c in self.exog])
             rows = dedupe_keep_first(self.series, first) if p.has_duplicates else self.series
-            grid = asfreq(rows.drop(self.order) if self.order else rows, p.frequency)
+            grid = asfreq(rows.drop(self.order) if self.order else rows, p.frequency, origin=p.start)
             if self.fill == "zero":
                 grid = grid.withColumn("y", F.coalesce("y", F.lit(0.0)))
             elif self.fill:
@@ -216,7 +219,7 @@ class Assistant:
             by = [F.col(self.series_id).cast("string").alias("series_id")] if self.series_id and self.series_id in exog.columns else []
             rows = detect_date(exog).select(*by, F.col(at).cast("timestamp_ntz").alias("ts"), *plan.exog)
             if not by and plan.encode_series:
-                rows = rows.crossJoin(F.broadcast(train.select("series_id").distinct()))  # a row a series and step, as the result has
+                rows = rows.crossJoin(train.select("series_id").distinct())  # a row a series and step, as the result has
             return self._encoded(rows, plan)[0]
         if plan.encode_series:
             rows = models.extended(train.select("series_id", "ts", "pos", "y"), plan.steps, plan.frequency).where("y is null").select("series_id", "ts")
@@ -377,9 +380,8 @@ class Assistant:
         (grid, design), p = self._prepared(plan), self.profile()
         train, test = grid, None
         if test_size is not None:
-            rows = rules.resolve_test_rows(test_size, p.shortest)
-            split = evaluation.split_by_share(grid, rows)
-            train, test = split.where("is_train").drop("is_train"), split.where("not is_train")
+            cut = p.span - rules.resolve_test_rows(test_size, p.span)  # one moment for all series
+            train, test = grid.where(F.col("pos") < cut), grid.where(F.col("pos") >= cut)
         elif end_train is not None:
             rules.check_end_train(end_train, p.start, p.end)
             at = F.lit(end_train).cast("timestamp_ntz")
@@ -455,36 +457,52 @@ class Assistant:
         if not plan.interval:
             return preds
         e = F.col("y") - F.lag("y", plan.season or 1).over(Window.partitionBy("series_id").orderBy("pos"))
-        seen = train.withColumn("_e", e).where("_e is not null").groupBy("series_id").agg(*[F.percentile("_e", q).alias(n) for q, n in zip(plan.interval, ("_lo", "_hi"), strict=True)])
-        return preds.join(seen, "series_id", "left").withColumns({"lower_bound": F.col("pred") + F.col("_lo"), "upper_bound": F.col("pred") + F.col("_hi")}).drop("_lo", "_hi")
+        seen = train.withColumn("_e", e).where("_e is not null")
+        ends = lambda suffix: [F.percentile("_e", q).alias(n + suffix) for q, n in zip(plan.interval, ("_lo", "_hi"), strict=True)]
+        by, pooled = seen.groupBy("series_id").agg(*ends("")), seen.agg(*ends("_all"))  # pooled is one row, for series without a season to compare
+        met = preds.join(by, "series_id", "left").crossJoin(F.broadcast(pooled))
+        return met.withColumns({c: F.col("pred") + F.coalesce(q, f"{q}_all") for c, q in (("lower_bound", "_lo"), ("upper_bound", "_hi"))}).drop("_lo", "_hi", "_lo_all", "_hi_all")
 
     # Backtest
 
     def create_cv(self, plan: ForecastPlan, **given) -> CVParams:
-        """Walk-forward parameters; given values win over the defaults."""
+        """Walk-forward parameters; given values win over the defaults.
+
+        ``initial`` is a count of rows of the panel's span, a share of it, or the last timestamp that trains first.
+        """
         p = self.profile()
         cv = rules.cv_defaults(p.span, window_size(plan.lags, plan.windows, plan.differentiation), plan.steps)
         initial = given.pop("initial", None)
         if initial is not None:
-            cv = replace(cv, initial=rules.resolve_test_rows(initial, p.span))
+            cv = replace(cv, initial=self._rows_until(initial) if isinstance(initial, date) else rules.resolve_test_rows(initial, p.span))
         cv = replace(cv, **given)
         if cv.steps != plan.steps:
             raise ValueError("the folds' steps are the plan's steps")
         rules.count_folds(p.span, cv)
         return cv
 
+    def _rows_until(self, end: date) -> int:
+        """Positions of the panel's grid up to and with a date or timestamp."""
+        p = self.profile()
+        end = end if isinstance(end, datetime) else datetime(end.year, end.month, end.day)
+        rules.check_end_train(end, p.start, p.end)
+        grid = Freq.parse(p.frequency).grid(F.lit(p.start), F.lit(end))
+        return self.data.sparkSession.range(1).select(F.size(grid)).first()[0]
+
     def folds(self, cv: CVParams) -> DataFrame:
         return evaluation.cv_folds(self.data.sparkSession, self.profile().span, cv.initial, cv.steps, cv.stride, cv.gap, cv.fixed_train, cv.refit, cv.allow_incomplete, cv.skip)
 
     def backtest(self, plan: ForecastPlan, cv: CVParams | None = None) -> Result:
         """Predictions and metrics of every fold, by the model of the last fold that fitted.
 
-        Values are scaled, where the plan scales, by the first training range; bounds come from the
-        residuals of the first fit.
+        Folds are stretches of the panel's span, so that no model has seen a row after its cut, whichever series
+        the row is of. A series that starts late is predicted from the first fold on before which it has the
+        rows that the features reach back; a warning says how many never have them. Values are scaled, where
+        the plan scales, by each series' first training range; bounds come from the residuals of the first fit.
         """
         cv = cv or self.create_cv(plan)
         folds, (grid, design) = self.folds(cv), self._prepared(plan)
-        train = grid.where(F.col("pos") < cv.initial)
+        train = self._first_training(grid, folds, plan, cv)
         season = plan.season or 1
         if plan.estimator == "seasonal_naive":
             spans = folds.select("fold", "train_to", F.explode(F.sequence("test_from", F.col("test_to") - 1)).alias("pos"))
@@ -514,6 +532,19 @@ class Assistant:
         metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train))
         return Result(self.profile(), plan, preds, metrics, cv)
 
+    def _first_training(self, grid: DataFrame, folds: DataFrame, plan: ForecastPlan, cv: CVParams) -> DataFrame:
+        """Each series' rows of the first fold that can predict it."""
+        p = self.profile()
+        if p.shortest == p.longest and p.latest_start == p.start:
+            return grid.where(F.col("pos") < cv.initial)
+        reach = max(window_size(plan.lags, plan.windows, plan.differentiation), (plan.season or 1) if plan.estimator == "seasonal_naive" else 1)
+        cuts = models.first_cuts(grid, folds, reach)
+        known = grid.where("y is not null").groupBy("series_id").agg(F.min("pos").alias("_first"))
+        short = cuts.join(known, "series_id").where(F.col("cut") < F.col("_first") + reach).count()
+        if short:
+            warnings.warn(f"{short} of {p.n_series} series never have the {reach} rows before a fold that a prediction needs", stacklevel=3)
+        return models.first_rows(grid, cuts)
+
     def candidates(self) -> list[tuple[str, dict]]:
         """What suits the data: the recommended strategies with their estimators, and the seasonal naive forecast."""
         p = self.profile()

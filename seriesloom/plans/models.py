@@ -137,6 +137,11 @@ def matrix_of(grid: DataFrame, lags: list[int], windows: list[tuple[str, int]],
     return add_features(dated, lags, windows), feature_names(lags, windows, ahead), ahead
 
 
+def _row_back(reach: int) -> Column:
+    """The position ``reach`` rows before in the same series, null where it has not so many: its features are not whole there."""
+    return F.lag("pos", reach).over(Window.partitionBy("series_id").orderBy("pos"))
+
+
 def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str], str]:
     """The matrix of a design over ``grid``, its feature names and the name of its target.
 
@@ -148,7 +153,7 @@ def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str]
     before = set(grid.columns)
     dated = add_calendar(grid, design.calendar, design.encoding)
     ahead = [c for c in dated.columns if c not in before]
-    out = add_features(dated, design.lags, design.windows, target).where(F.col("pos") >= design.reach)
+    out = add_features(dated.withColumn("_back", _row_back(design.reach)), design.lags, design.windows, target).where("_back is not null").drop("_back")
     return out, feature_names(design.lags, design.windows, [*ahead, *design.exog]), target
 
 
@@ -265,6 +270,23 @@ def tails_at_folds(grid: DataFrame, folds: DataFrame, size: int) -> DataFrame:
     return rows.where(F.size("tail") == size)
 
 
+def first_cuts(grid: DataFrame, folds: DataFrame, reach: int) -> DataFrame:
+    """``series_id, cut``: the end of the first training range in which a series has ``reach`` rows, or else the last one's.
+
+    Where a panel is ragged, this is what a late series is scaled and judged by; for series that are there
+    from the start it is the first fold's.
+    """
+    ends = sorted(r[0] for r in folds.select("train_to").distinct().collect())  # a row a fold
+    begin = grid.where("y is not null").groupBy("series_id").agg(F.min("pos").alias("_first"))
+    fits = F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e >= F.col("_first") + reach)
+    return begin.select("series_id", F.coalesce(F.array_min(fits), F.lit(int(ends[-1]))).cast("long").alias("cut"))
+
+
+def first_rows(grid: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of each series before its ``cut``."""
+    return grid.join(cuts, "series_id").where(F.col("pos") < F.col("cut")).drop("cut")
+
+
 def fit_folds(matrix: DataFrame, features: list[str], folds: DataFrame, keys: list[str], alpha: float = 1.0, target: str = "y", at: str = "pos", weight: str | None = None) -> DataFrame:
     """A ridge model for each fold that fits (and key) from sums over the stretches between their bounds.
 
@@ -300,7 +322,7 @@ def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows:
     """Recursive predictions of every fold by the model of its last fit: ``series_id, fold, step, ts, y, pred`` and bounds.
 
     ``exog`` are columns of the grid, known ahead. Bounds resample the residuals that the first fit's
-    model has on its training rows.
+    model has on its training rows, for a series that starts later those of all series.
     """
     design = Design(lags, windows, calendar or [], encoding, exog or [], differentiation)
     matrix, names, target = design_matrix(grid, design)
@@ -312,9 +334,11 @@ def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows:
     resid = None
     if interval:
         first = folds.orderBy("fold").limit(1).select("model_from", "model_to")
-        start = models.join(F.broadcast(first), ["model_from", "model_to"])
+        start = models.join(F.broadcast(first), ["model_from", "model_to"]).drop("model_from", "model_to")
         train = matrix.join(F.broadcast(first), (F.col("pos") >= F.col("model_from")) & (F.col("pos") < F.col("model_to"))).drop("model_from", "model_to")
-        resid = residual_quantiles(train, start.drop("model_from", "model_to"), names, ["series_id"], target)
+        resid = residual_quantiles(train, start, names, ["series_id"], target)
+        pooled = residual_quantiles(train, start, names, [], target).withColumnRenamed("resid", "_all")  # one row
+        resid = grid.select("series_id").distinct().join(resid, "series_id", "left").crossJoin(F.broadcast(pooled)).select("series_id", F.coalesce("resid", "_all").alias("resid"))
     tails = tails_at_folds(grid, folds, design.reach)
     known = grid.select("series_id", "ts", *design.exog) if design.exog else None
     preds = recursive_forecast(tails, betas, lags, windows, steps + gap, freq, calendar, encoding, interval, residuals=resid, exog=known, exog_names=design.exog, differentiation=differentiation)
@@ -336,8 +360,8 @@ def direct_rows(grid: DataFrame, design: Design, steps: int) -> tuple[DataFrame,
     carried = ["y", "ts", *design.exog]
     leads = F.array(*[F.struct(F.lit(s).cast("long").alias("step"), *[F.lead(F.col(f"`{c}`"), s - 1).over(w).alias({"y": "target"}.get(c, c)) for c in carried]) for s in range(1, steps + 1)])
     past = feature_names(design.lags, design.windows)
-    out = add_features(grid.withColumn("_leads", leads), design.lags, design.windows)
-    out = out.where(F.col("pos") >= design.reach).select("series_id", "pos", *[F.col(f"`{n}`") for n in past], F.inline("_leads")).withColumn("target_pos", F.col("pos") + F.col("step") - 1)
+    out = add_features(grid.withColumns({"_leads": leads, "_back": _row_back(design.reach)}), design.lags, design.windows)
+    out = out.where("_back is not null").select("series_id", "pos", *[F.col(f"`{n}`") for n in past], F.inline("_leads")).withColumn("target_pos", F.col("pos") + F.col("step") - 1)
     before = set(out.columns)
     out = add_calendar(out, design.calendar, design.encoding)
     return out, [*past, *[c for c in out.columns if c not in before], *design.exog]
@@ -418,8 +442,12 @@ def _complete(rows: DataFrame, features: list[str], drop_null: bool) -> DataFram
     return rows.withColumns({n: F.coalesce(c, F.lit(MISSING)) for n, c in double.items()})
 
 
-def _bounds(preds: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounds ``pred`` plus the residual quantiles ``_lo`` and ``_hi`` of each key."""
+def _bounds(preds: DataFrame, quantiles: DataFrame, keys: list[str], pooled: DataFrame | None = None) -> DataFrame:
+    """Bounds ``pred`` plus the residual quantiles ``_lo`` and ``_hi`` of each key, or where it has none those of ``pooled`` by step."""
+    if pooled is not None:
+        steps = pooled.select("step", F.col("_lo").alias("_lo_all"), F.col("_hi").alias("_hi_all"))  # a row a step
+        preds, at = preds.join(quantiles, keys, "left").join(F.broadcast(steps), "step", "left"), lambda c: F.coalesce(c, f"{c}_all")
+        return preds.withColumns({"lower_bound": F.col("pred") + at("_lo"), "upper_bound": F.col("pred") + at("_hi")}).drop("_lo", "_hi", "_lo_all", "_hi_all")
     return preds.join(quantiles, keys, "left").withColumns({"lower_bound": F.col("pred") + F.col("_lo"), "upper_bound": F.col("pred") + F.col("_hi")}).drop("_lo", "_hi")
 
 
@@ -434,7 +462,8 @@ def predict_folds(rows: DataFrame, origins: DataFrame, names: list[str], folds:
     Models learn from ``rows`` whose target is in their range; ``origins`` are rows of the same form, of
     which those at a fold's ``train_to`` are predicted. Ridge models of all folds and ``keys`` come from one
     pass; another estimator is fitted for each fold that refits, on all steps, with the step as a feature.
-    Bounds add the quantiles of the first model's residuals of the same series and step.
+    Bounds add the quantiles of the first model's residuals of the same series and step, for a series that it
+    has not seen those of the step.
     """
     rows = rows.where("target is not null")
     origins = origins.join(F.broadcast(folds.select("fold", "model_from", "model_to", F.col("train_to").alias("pos"))), "pos")
@@ -458,7 +487,7 @@ def predict_folds(rows: DataFrame, origins: DataFrame, names: list[str], folds:
             if interval and not i:
                 seen = learner.predict(model, rows.where(inside(r)))
         out = reduce(DataFrame.unionByName, parts)
-    return _bounds(out, _residuals(seen, ["series_id", "step"], interval), ["series_id", "step"]) if interval else out
+    return _bounds(out, _residuals(seen, ["series_id", "step"], interval), ["series_id", "step"], _residuals(seen, ["step"], interval)) if interval else out
 
 
 def _weighed(rows: DataFrame, grid: DataFrame, weight: str | None) -> DataFrame:
@@ -475,7 +504,7 @@ def backtest_direct(grid: DataFrame, folds: DataFrame, design: Design, steps: in
 def multivariate_rows(grid: DataFrame, series: list[str], lags: list[int], steps: int, freq: str) -> tuple[DataFrame, list[str]]:
     """Rows as of ``direct_rows`` for every named series, with the lags of all; the series share one grid."""
     wide = multivariate_lags(grid, series, lags, freq, steps)
-    at = grid.where(F.col("series_id") == series[0]).select("ts", "pos")
+    at = grid.where(F.col("series_id").isin(series)).groupBy("ts").agg(F.max("pos").alias("pos"))
     names = [f"{s}_lag_{k}" for s in series for k in lags]
     targets = F.array(*[F.struct(F.lit(level).alias("series_id"), F.lit(s).cast("long").alias("step"), F.col(f"`{level}_lead_{s}`").alias("target")) for level in series for s in range(1, steps + 1)])
     rows = wide.join(at, "ts").select(F.col("ts").alias("_ts"), "pos", *[F.col(f"`{n}`") for n in names], F.inline(targets))

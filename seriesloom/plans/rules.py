@@ -149,8 +149,8 @@ def check_shape(profile: DataProfile, strategy: str) -> None:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     if strategy in ("recursive", "direct", "statistical", "foundation") and profile.n_series != 1:
         raise ValueError(f"{strategy} takes one series; the data have {profile.n_series}")
-    if strategy == "multivariate" and profile.shortest != profile.longest:
-        raise ValueError("multivariate takes series of equal lengths")
+    if strategy == "multivariate" and (profile.shortest != profile.longest or profile.latest_start != profile.start):
+        raise ValueError("multivariate takes series of equal lengths that start together")
 
 
 def resolve_test_rows(size: int | float, n: int) -> int:

@@ -62,6 +62,12 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("y"))
 
 
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily events by user, a panel whose series start and end on different days."""
+    events = table(spark, sf_dir, "events").where("user_id is not null")
+    return events.groupBy(F.col("user_id").cast("string").alias("series_id"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+
+
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly orders by priority, a long panel."""
     orders = table(spark, sf_dir, "orders")
@@ -91,6 +97,16 @@ hourly_grid AS (
 DAILY = """
 daily AS (SELECT event_type AS series_id, date_trunc('day', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS y FROM events GROUP BY ALL)"""
 
+USER_DAYS = """
+user_days AS (
+  SELECT user_id::VARCHAR AS series_id, date_trunc('day', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS y FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+user_axis AS (
+  SELECT series_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::TIMESTAMP AS ts, min(a) OVER () AS origin
+  FROM (SELECT series_id, min(ts) AS a, max(ts) AS b FROM user_days GROUP BY ALL)),
+user_grid AS (
+  SELECT x.series_id, x.ts, date_diff('day', origin, x.ts) AS pos, coalesce(u.y, 0) AS y
+  FROM user_axis x LEFT JOIN user_days u ON x.series_id = u.series_id AND x.ts = u.ts)"""
+
 MONTHLY = """
 monthly AS (
   SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::TIMESTAMP AS ts, count(*)::DOUBLE AS y FROM orders GROUP BY ALL)"""

@@ -12,7 +12,7 @@ from seriesloom.functions.frequency import Freq
 from seriesloom.operators import autocorrelation, drift, evaluation, features, profile
 from seriesloom.plans import models
 from seriesloom.plans.assistant import Assistant
-from seriesloom.queries.base import DAILY, HOURLY, MONTHLY, REVENUE, daily_events, hourly, hourly_grid, monthly, revenue, revenue_grid, rounded, rsql, scratch, stamp, table
+from seriesloom.queries.base import DAILY, HOURLY, MONTHLY, REVENUE, USER_DAYS, daily_events, hourly, hourly_grid, monthly, revenue, revenue_grid, rounded, rsql, scratch, stamp, table, user_days
 from seriesloom.sources import series, tables
 from seriesloom.streaming import windows
 
@@ -746,6 +746,7 @@ SELECT {keys}avg({y}) AS my, avg({x}) AS mx, avg({z}) AS mz, regr_sxx({x}, {x})
 covar_pop({x}, {z}) * count(*) AS sxz, covar_pop({x}, {y}) * count(*) AS sxy, covar_pop({z}, {y}) * count(*) AS szy FROM {rows} {group})))"""
 
 
+_PANEL = f"{HOURLY}, x AS (SELECT series_id, ts, date_diff('hour', min(ts) OVER (), ts) AS pos, coalesce(y, 0) AS y FROM hourly_grid)"
 _X = f"{HOURLY}, x AS (SELECT series_id, ts, pos, coalesce(y, 0) AS y FROM hourly_grid)"
 
 
@@ -895,7 +896,7 @@ def tree_forecast(spark, d):
     return models.forest_forecast(_filled(spark, d), [1, 2, 24], 3, "random_forest", numTrees=10, maxDepth=4).select("series_id", "step", rounded("pred", 3).alias("pred"))
 
 
-@register(f"""WITH RECURSIVE {_X}, m AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS a FROM x),
+@register(f"""WITH RECURSIVE {_PANEL}, m AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS a FROM x),
 s AS (SELECT n, least(floor(0.7 * n::DOUBLE)::BIGINT, n - 24) AS init FROM (SELECT len(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS n FROM hourly)),
 folds AS (SELECT unnest(range(0, (n - init + 11) // 12))::BIGINT AS fold, n, init FROM s),
 b AS (SELECT fold, init + 12 * fold AS train_to, least(init + 12 * fold + 12, n) AS test_to FROM folds),
@@ -912,3 +913,19 @@ def compare_candidates(spark, d):
     ridge = {"strategy": "multi_series", "estimator": "ridge", "lags": [1], "windows": [], "calendar": [], "scale": False, "encode_series": False}
     found = a.compare([("ridge", ridge), ("seasonal_naive", {"estimator": "seasonal_naive"})], 12, "mae")
     return found.leaderboard.select("candidate", rounded("value", 5).alias("value"), "rank")
+
+
+@register(f"""WITH RECURSIVE {USER_DAYS}, m AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS a FROM user_grid),
+s AS (SELECT max(pos) + 1 AS n, floor(0.5 * (max(pos) + 1)::DOUBLE)::BIGINT AS init FROM m),
+folds AS (SELECT unnest(range(0, (n - init + 2) // 3))::BIGINT AS fold, n, init FROM s),
+b AS (SELECT fold, init + 3 * fold AS train_to, least(init + 3 * fold + 3, n) AS test_to FROM folds),
+c AS (SELECT fold, train_to, test_to, covar_pop(a, y) * count(*) / (regr_sxx(a, a) + 1) AS k, avg(y) AS my, avg(a) AS ma FROM m JOIN b ON m.pos < b.train_to WHERE a IS NOT NULL GROUP BY ALL),
+f AS (SELECT m.series_id, fold, train_to, test_to, k, my - k * ma AS b0, 0::BIGINT AS step, m.y AS pred FROM c JOIN m ON m.pos = train_to - 1
+  UNION ALL SELECT series_id, fold, train_to, test_to, k, b0, step + 1, k * pred + b0 FROM f WHERE step < 3)
+SELECT f.series_id, fold, step::INT AS step, m.ts, m.y, {rsql("pred", 5)} AS pred FROM f JOIN m ON m.series_id = f.series_id AND m.pos = train_to + step - 1 WHERE step > 0 AND m.pos < test_to""")
+def backtest_ragged(spark, d):
+    """Series that start and end on different days: folds are the same days for all, no model sees a day after its cut."""
+    a = Assistant(user_days(spark, d), "ts", "y", "series_id", freq="D", fill="zero")
+    plan = a.plan(3, strategy="multi_series", estimator="ridge", lags=[1], windows=[], calendar=[], scale=False, encode_series=False)
+    out = a.backtest(plan, a.create_cv(plan, initial=int(0.5 * a.profile().span))).predictions
+    return out.select("series_id", "fold", "step", "ts", "y", rounded("pred", 5).alias("pred"))

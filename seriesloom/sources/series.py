@@ -5,6 +5,8 @@ All windows are partitioned by series, so work spreads over series; one series i
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +51,24 @@ def dedupe_keep_first(df: DataFrame, order: Column, keys: tuple[str, ...] = ("se
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
-def asfreq(df: DataFrame, freq: Freq | str, keys: list[str] | None = None) -> DataFrame:
-    """Each series on its regular grid from its first to its last timestamp, nulls where rows are missing, with 0-based ``pos``."""
+def asfreq(df: DataFrame, freq: Freq | str, keys: list[str] | None = None, origin: datetime | None = None) -> DataFrame:
+    """Each series on its regular grid from its first to its last timestamp, nulls where rows are missing, with 0-based ``pos``.
+
+    Positions count from each series' own start or, with ``origin`` (the panel's first timestamp), from
+    there: a position is then one moment in all series, as folds over a ragged panel need. A series beside
+    the origin's grid is placed at the step that it has last passed.
+    """
     freq = Freq.parse(freq) if isinstance(freq, str) else freq
     keys = keys or ["series_id"]
     if freq.seconds:
-        return _fill_steps(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), freq.seconds, keys)
+        return _fill_steps(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), freq.seconds, keys, origin)
     spans = df.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
-    grid = spans.select(*keys, F.posexplode(freq.grid(F.col("_a"), F.col("_b"))).alias("pos", "ts")).withColumn("pos", F.col("pos").cast("long"))
+    grid = spans.select(*keys, F.posexplode(freq.grid(F.col("_a"), F.col("_b"))).alias("pos", "ts"), *([(F.size(freq.grid(F.lit(origin), F.col("_a"))) - 1).alias("_before")] if origin else []))
+    grid = grid.withColumn("pos", (F.col("pos") + F.col("_before") if origin else F.col("pos")).cast("long")).select(*keys, "ts", "pos")
     return grid.join(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), [*keys, "ts"], "left")
 
 
-def _fill_steps(df: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
+def _fill_steps(df: DataFrame, seconds: int, keys: list[str], origin: datetime | None = None) -> DataFrame:
     """The grid of a fixed step: each row unfolds to itself and the steps missing until the next row.
 
     One window by series, whose partitioning later windows share; the table is neither scanned twice nor
@@ -76,7 +84,8 @@ def _fill_steps(df: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
     own = F.col("_k") == 0
     at = seconds_on(F.col("ts"), F.col("_k") * seconds)
     others = [c for c in df.columns if c not in (*keys, "ts")]
-    return rows.select(*keys, at.alias("ts"), (F.col("pos") + F.col("_k")).alias("pos"), *[F.when(own, F.col(c)).alias(c) for c in others])
+    before = F.floor(seconds_between(F.lit(origin), F.col("_first")) / seconds).cast("long") if origin else F.lit(0).cast("long")
+    return rows.select(*keys, at.alias("ts"), (F.col("pos") + F.col("_k") + before).alias("pos"), *[F.when(own, F.col(c)).alias(c) for c in others])
 
 
 def forward_fill(df: DataFrame, column: str = "y", out: str = "filled") -> DataFrame:
