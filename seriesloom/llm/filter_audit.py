@@ -73,16 +73,16 @@ def document_marks(docs: DataFrame) -> DataFrame:
 
     A (bit 1) has under 100 words, B (2) fewer than 80 distinct words in 100, C (4) over 10 capitals A-Z in 100
     code points, D (8) one of ``#$%&*|``, E (16) the text of a smaller doc_id. Texts leave the scan as bits and
-    a SHA-256; their least ids come from a combined minimum, and a join whose hot digests the adaptive
-    planner splits looks them up. Null text is empty, null lang the part ``''``. Rows of one id and one text
+    a SHA-256, whose least id comes from a combined minimum; it is looked up by digest and id together, so that
+    the rows of a text with very many copies spread over tasks. Null text is empty, null lang the part ``''``. Rows of one id and one text
     are no copies of each other; a row without an id is a copy of nothing and nothing is a copy of it.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = Scratch(docs.sparkSession, "audit").table(rows.mapInArrow(_scan, f"doc_id {kind}, part string, marks int, digest binary"), "marks")
-    copies = scanned.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int")
-    return scanned.join(copies, "digest", "left").select("doc_id", "part", (F.col("marks") + 16 * late).alias("marks"))
+    first = scanned.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    late = (F.col("doc_id").isNotNull() & F.col("first").isNull()).cast("int")
+    return scanned.join(first, ["digest", "doc_id"], "left").select("doc_id", "part", (F.col("marks") + 16 * late).alias("marks"))
 
 
 def _steps() -> list[tuple[str, int, int, int]]:
