@@ -17,7 +17,7 @@ from seriesloom.llm._store import Scratch
 U64 = np.uint64
 WORDS, SEED, BITS, DISTANCE = 3, 42, 64, 2
 #: Numbers of parts that are weighed against each other, and most counters for the values of a part: 4 bytes each.
-PARTS, MOST_COUNTERS = (2, 3, 4), 1 << 20
+PARTS, MOST_COUNTERS = (2, 3, 4), 1 << 18
 #: What emitting a probe costs beside meeting a candidate.
 PROBE_COST = 2.0
 #: Fingerprints that may share a part's value before they are linked through their midpoints instead.
