@@ -261,17 +261,17 @@ class Assistant:
         estimator = estimator or rules.select_estimator(p, strategy)
         if estimator not in (None, "ridge", "seasonal_naive", "holt_winters"):
             models.make_estimator(estimator, **(params or {}))
-        if strategy == "recursive" and estimator not in ("ridge", "seasonal_naive"):
-            notes.append("recursive forecasts are linear here; other estimators run as direct forecasts")
+        if strategy == "recursive" and estimator not in ("ridge", "seasonal_naive", *models.WALKED):
+            notes.append("recursive forecasts are linear or by trees here; other estimators run as direct forecasts")
             strategy = "direct"
         if strategy == "multivariate" and estimator != "ridge":
             notes.append("multivariate forecasts are linear here")
             estimator = "ridge"
         learns = strategy not in ("statistical", "foundation") and estimator != "seasonal_naive"
         featured = learns and strategy != "multivariate"
-        recursive = featured and estimator == "ridge" and strategy in ("recursive", "multi_series")
+        recursive = featured and estimator in ("ridge", *models.WALKED) and strategy in ("recursive", "multi_series")
         if differentiation and not recursive:
-            raise ValueError("only recursive ridge forecasts are differenced")
+            raise ValueError("only recursive forecasts are differenced")
         exog = self.exog if featured else []
         if self.exog and not featured:
             notes.append("exogenous columns are not used by this strategy: " + ", ".join(self.exog))
@@ -297,7 +297,7 @@ class Assistant:
         if calendar is None:
             calendar = rules.select_calendar(p.frequency, n, strategy) if featured else []
         chosen, metrics = rules.select_metric(p, strategy)
-        method = (interval_method or ("bootstrap" if recursive else "native" if strategy == "statistical" else "conformal")) if interval else None
+        method = (interval_method or ("bootstrap" if recursive and estimator == "ridge" else "native" if strategy == "statistical" else "conformal")) if interval else None
         allowed = ("bootstrap", "conformal") if recursive else ("native",) if strategy == "statistical" else ("conformal",)
         if method and method not in allowed:
             raise ValueError(f"intervals of this plan are {' or '.join(allowed)}")
@@ -437,15 +437,29 @@ class Assistant:
             betas = models.fit_ridge(matrix, names, keys, plan.alpha, target, self._weight())
             resid = models.residual_quantiles(matrix, betas, names, ["series_id"], target) if plan.interval else None
             boot = plan.interval if plan.interval_method == "bootstrap" else None
-            tails = models.tails_at_end(scaled.where("y is not null"), design.reach)
+            tails = models.tails_at_end(scaled, design.reach)
             preds = models.recursive_forecast(tails, betas, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
-            if plan.interval and not boot:
-                at = [F.element_at("resid", int(round(q * (models.RESIDUAL_POINTS - 1))) + 1) for q in plan.interval]
-                preds = preds.join(resid, "series_id").withColumns({"lower_bound": F.col("pred") + at[0], "upper_bound": F.col("pred") + at[1]}).drop("resid")
+            preds = self._conformal(preds, resid, plan)
             return self._unscaled(preds, fitted)
+        if plan.estimator in models.WALKED and plan.strategy in ("recursive", "multi_series"):
+            matrix, names, target = models.design_matrix(scaled, design)
+            trees = models.fit_trees(matrix, names, None, plan.estimator, plan.params, target, self._weight(), plan.drop_null)
+            resid = models.tree_residuals(matrix, trees, names, ["series_id"], target) if plan.interval else None
+            tails = models.tails_at_end(scaled, design.reach)
+            boot = plan.interval if plan.interval_method == "bootstrap" else None
+            preds = models.recursive_forecast(tails, trees, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
+            return self._unscaled(self._conformal(preds, resid, plan), fitted)
         out = models.forecast_direct(scaled, design, plan.steps, plan.frequency, ahead, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
         return self._unscaled(out.withColumn("step", F.col("step").cast("int")), fitted)
 
+    @staticmethod
+    def _conformal(preds: DataFrame, resid: DataFrame | None, plan: ForecastPlan) -> DataFrame:
+        """Bounds by each series' residual quantiles, where the plan's are not those of paths."""
+        if not plan.interval or plan.interval_method == "bootstrap":
+            return preds
+        at = [F.element_at("resid", int(round(q * (models.RESIDUAL_POINTS - 1))) + 1) for q in plan.interval]
+        return preds.join(resid, "series_id").withColumns({"lower_bound": F.col("pred") + at[0], "upper_bound": F.col("pred") + at[1]}).drop("resid")
+
     @staticmethod
     def _dated(out: DataFrame, train: DataFrame, plan: ForecastPlan) -> DataFrame:
         last = train.groupBy("series_id").agg(F.max("ts").alias("_last"))
@@ -525,6 +539,8 @@ class Assistant:
             fitted, (scaled,) = self._scaled(plan, train, grid)
             if plan.estimator == "ridge" and plan.strategy in ("recursive", "multi_series"):
                 preds = models.backtest_ridge(scaled, folds, plan.lags, plan.windows, plan.frequency, plan.calendar, plan.calendar_encoding, plan.alpha, plan.strategy == "recursive", cv.steps, cv.gap, design.exog, design.differentiation, self._weight(), plan.interval)
+            elif plan.estimator in models.WALKED and plan.strategy in ("recursive", "multi_series"):
+                preds = models.backtest_trees(scaled, folds, design, plan.frequency, plan.estimator, plan.params, cv.steps, cv.gap, self._weight(), plan.interval, plan.drop_null)
             else:
                 preds = models.backtest_direct(scaled, folds, design, cv.steps, cv.gap, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
             preds = self._unscaled(preds, fitted)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -23,6 +23,8 @@ from seriesloom.functions.calendar import add_calendar
 from seriesloom.functions.frequency import Freq
 from seriesloom.operators.features import ARRAY_STATS, add_features, difference, integrate, multivariate_lags, rolling_name, window_size
 
+from seriesloom.plans.trees import Ensemble, boost, joined, spark_ensemble
+
 #: Points of the quantile grid that stands for a model's residuals.
 RESIDUAL_POINTS = 201
 
@@ -157,9 +159,13 @@ def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str]
     return out, feature_names(design.lags, design.windows, [*ahead, *design.exog]), target
 
 
-def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0, stats: dict | None = None) -> np.ndarray:
-    """Recursive predictions, a row for each step and a column for each path of ``noise`` (one path without)."""
+def roll_forward(tail: np.ndarray, model: np.ndarray | Callable[[np.ndarray], np.ndarray], lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0, stats: dict | None = None) -> np.ndarray:
+    """Recursive predictions, a row for each step and a column for each path of ``noise`` (one path without).
+
+    ``model`` is coefficients with the intercept last, or a function of features x paths.
+    """
     stats = stats or ARRAY_STATS
+    value = model if callable(model) else lambda x: model[:-1] @ x + model[-1]
     paths = noise.shape[1] if noise is not None else 1
     past = np.repeat(np.asarray(tail, float)[:, None], paths, 1)
     held = np.diff(past, differentiation, axis=0)
@@ -167,7 +173,7 @@ def roll_forward(tail: np.ndarray, beta: np.ndarray, lags: list[int], windows: l
     for s, extra in enumerate(known):
         parts = [held[-k] for k in lags] + [stats[stat](held[-n:], axis=0) for stat, n in windows]
         x = np.vstack([*parts, np.repeat(np.asarray(extra, float)[:, None], paths, 1)]) if len(parts) + len(extra) else np.zeros((0, paths))
-        out[s] = beta[:-1] @ x + beta[-1] + (noise[s] if noise is not None else 0.0)
+        out[s] = value(x) + (noise[s] if noise is not None else 0.0)
         held = np.vstack([held, out[s]])
     return integrate(out, past, differentiation)
 
@@ -190,7 +196,7 @@ def with_known(ahead: DataFrame, exog: DataFrame | None, names: list[str]) -> Da
 
 def recursive_forecast(
     tails: DataFrame,
-    betas: DataFrame,
+    betas: DataFrame | Ensemble,
     lags: list[int],
     windows: list[tuple[str, int]],
     steps: int,
@@ -204,21 +210,27 @@ def recursive_forecast(
     exog: DataFrame | None = None,
     exog_names: list[str] | None = None,
     differentiation: int = 0,
+    model_of: dict[int, int] | None = None,
 ) -> DataFrame:
     """``steps`` predictions for each row of ``tails(series_id, …keys, last_ts, tail)``: ``…, step, ts, pred`` and bounds.
 
-    ``betas`` joins on the columns that it shares with ``tails``. Steps follow one another within a row,
+    ``betas`` joins on the columns that it shares with ``tails``; an ensemble of trees goes to every task,
+    where ``model_of`` names the model of each fold. Steps follow one another within a row,
     rows are independent. Intervals are quantiles of ``paths`` bootstrap paths, whose residuals are drawn
     from ``residuals`` (of ``residual_quantiles``, joined like ``betas``) by a hash of the seed, the row's
     keys, the path and the step. ``exog`` has the rows ahead of the columns ``exog_names``; where one is
-    missing the prediction is null.
+    missing a linear prediction is null, and trees take their branch for missing values.
     """
     if interval and residuals is None:
         raise ValueError("intervals need the model's residuals")
     step = Freq.parse(freq)
     keys = [c for c in tails.columns if c not in ("last_ts", "tail")]
-    shared = [c for c in betas.columns if c in keys]
-    rows = tails.join(betas, shared) if shared else tails.crossJoin(F.broadcast(betas))  # one model
+    trees = betas if isinstance(betas, Ensemble) else None
+    if trees:
+        rows = tails.withColumn("beta", F.lit(None).cast("array<double>"))
+    else:
+        shared = [c for c in betas.columns if c in keys]
+        rows = tails.join(betas, shared) if shared else tails.crossJoin(F.broadcast(betas))  # one model
     if interval:
         on = [c for c in residuals.columns if c in keys]
         rows = rows.join(residuals, on) if on else rows.crossJoin(F.broadcast(residuals))  # one model
@@ -238,13 +250,18 @@ def recursive_forecast(
             out = []
             for r in frame.to_dict("records"):
                 extra = [list(a["known"]) for a in r["ahead"]]
-                beta, tail = np.array(r["beta"], float), np.array(r["tail"], float)
+                tail = np.array(r["tail"], float)
+                if trees:
+                    number = model_of[r["fold"]] if model_of else 0
+                    model = lambda x, number=number: trees.predict(x.T, number)
+                else:
+                    model = np.array(r["beta"], float)
                 extra = np.array([[np.nan if x is None else x for x in e] for e in extra], float)
-                pred = roll_forward(tail, beta, lags, windows, extra, None, differentiation, stats)[:, 0]
+                pred = roll_forward(tail, model, lags, windows, extra, None, differentiation, stats)[:, 0]
                 low = high = [None] * steps
                 if interval:
                     noise = drawn(np.array(r["resid"], float), "|".join(str(x) for x in [seed, *[r[k] for k in keys]]), steps, paths)
-                    ends = roll_forward(tail, beta, lags, windows, extra, noise, differentiation, stats)
+                    ends = roll_forward(tail, model, lags, windows, extra, noise, differentiation, stats)
                     low, high = np.quantile(ends, interval[0], axis=1), np.quantile(ends, interval[1], axis=1)
                 out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound"])
@@ -255,18 +272,18 @@ def recursive_forecast(
 
 
 def tails_at_end(grid: DataFrame, size: int) -> DataFrame:
-    """The last ``size`` values of each series in order, and its last timestamp."""
-    last = grid.groupBy("series_id").agg(F.max("pos").alias("_last"), F.max("ts").alias("last_ts"))
-    rows = grid.join(last, "series_id").where(F.col("pos") > F.col("_last") - size)
+    """The ``size`` rows of each series up to its last value in order, nulls among them, and its timestamp."""
+    last = grid.where("y is not null").groupBy("series_id").agg(F.max("pos").alias("_last"), F.max("ts").alias("last_ts"))
+    rows = grid.join(last, "series_id").where((F.col("pos") > F.col("_last") - size) & (F.col("pos") <= F.col("_last")))
     cells = F.array_sort(F.collect_list(F.struct("pos", "y")))
     return rows.groupBy("series_id", "last_ts").agg(F.transform(cells, lambda c: c["y"]).alias("tail"))
 
 
-def tails_at_folds(grid: DataFrame, folds: DataFrame, size: int) -> DataFrame:
-    """The ``size`` values before the end of each fold's training range, by series and fold; whole tails only."""
+def tails_at_folds(grid: DataFrame, folds: DataFrame, size: int, with_null: bool = False) -> DataFrame:
+    """The ``size`` values before the end of each fold's training range, by series and fold; whole tails only, of values or of rows."""
     spans = folds.select("fold", "train_to", F.explode(F.sequence(F.col("train_to") - size, F.col("train_to") - 1)).alias("pos"))
     cells = F.array_sort(F.collect_list(F.struct("pos", "y")))
-    rows = grid.where("y is not null").join(spans, "pos").groupBy("series_id", "fold").agg(F.max("ts").alias("last_ts"), F.transform(cells, lambda c: c["y"]).alias("tail"))
+    rows = (grid if with_null else grid.where("y is not null")).join(spans, "pos").groupBy("series_id", "fold").agg(F.max("ts").alias("last_ts"), F.transform(cells, lambda c: c["y"]).alias("tail"))
     return rows.where(F.size("tail") == size)
 
 
@@ -345,6 +362,61 @@ def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows:
     return scored(preds, grid, folds, gap)
 
 
+# Recursive forecasts by trees
+
+
+#: Estimators whose models are trees that tasks can walk.
+WALKED = ("gbt", "spark_gbt", "random_forest", "decision_tree")
+
+
+def fit_trees(matrix: DataFrame, features: list[str], ranges: list[tuple[int, int]] | None = None, kind: str = "gbt", params: dict | None = None, target: str = "y", weight: str | None = None, drop_null: bool = False, at: str = "pos") -> Ensemble:
+    """One ensemble for each range of positions, or one of all rows. Boosted ones of all ranges grow in the same passes.
+
+    ``gbt`` has a branch for missing features. Spark's own trees have none: a missing feature is below all
+    values there. With ``drop_null`` rows that miss one are left out.
+    """
+    rows = matrix.where(F.col(f"`{target}`").isNotNull())
+    if drop_null:
+        rows = _complete(rows, features, True)
+    if kind == "gbt":
+        return boost(rows, features, target, ranges, at, weight, **(params or {}))
+    learner, rows = make_estimator(kind, **(params or {})), _complete(rows, features, drop_null)
+    inside = [F.lit(True)] if ranges is None else [(F.col(at) >= a) & (F.col(at) < b) for a, b in ranges]
+    return joined([spark_ensemble(learner.fit(rows.where(c), features, target, weight)[1]) for c in inside])
+
+
+def tree_residuals(matrix: DataFrame, trees: Ensemble, features: list[str], keys: list[str], target: str = "y", model: int = 0) -> DataFrame:
+    """``keys…, resid``: residuals of one model of an ensemble on the rows of ``matrix``, as ``residual_quantiles`` gives them."""
+    one = replace(trees, roots=[trees.roots[model]], base=trees.base[model : model + 1])
+    kept = matrix.where(F.col(f"`{target}`").isNotNull()).select(*keys, F.col(f"`{target}`").cast("double").alias("_t"), *[F.col(f"`{n}`") for n in dict.fromkeys(features) if n not in keys])
+    points = [i / (RESIDUAL_POINTS - 1) for i in range(RESIDUAL_POINTS)]
+    seen = one.transform(kept, features).select(*keys, (F.col("_t") - F.col("pred")).alias("_e"))
+    return seen.groupBy(*keys).agg(F.percentile("_e", F.array(*map(F.lit, points))).alias("resid"))
+
+
+def backtest_trees(grid: DataFrame, folds: DataFrame, design: Design, freq: str, kind: str = "gbt", params: dict | None = None, steps: int | None = None, gap: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None, drop_null: bool = False) -> DataFrame:
+    """Recursive predictions of every fold by the trees of its last fit: ``series_id, fold, step, ts, y, pred`` and bounds.
+
+    One model for all series a fit. Bounds resample the residuals that the first fit has on its training
+    rows, by series, or those of all series where one has none yet.
+    """
+    matrix, names, target = design_matrix(grid, design)
+    fits = [tuple(r) for r in folds.select("fold", "model_from", "model_to").orderBy("fold").collect()]  # a row a fold
+    ranges = sorted({r[1:] for r in fits})
+    trees = fit_trees(matrix, names, ranges, kind, params, target, weight, drop_null)
+    resid = None
+    if interval:
+        a, b = fits[0][1:]
+        seen = matrix.where((F.col("pos") >= a) & (F.col("pos") < b))
+        by, pooled = (tree_residuals(seen, trees, names, keys, target, ranges.index((a, b))) for keys in (["series_id"], []))
+        resid = grid.select("series_id").distinct().join(by, "series_id", "left").crossJoin(F.broadcast(pooled.withColumnRenamed("resid", "_all"))).select("series_id", F.coalesce("resid", "_all").alias("resid"))  # one row
+    tails = tails_at_folds(grid, folds, design.reach, True)
+    known = grid.select("series_id", "ts", *design.exog) if design.exog else None
+    steps = longest_test(folds) if steps is None else steps
+    preds = recursive_forecast(tails, trees, design.lags, design.windows, steps + gap, freq, design.calendar, design.encoding, interval, residuals=resid, exog=known, exog_names=design.exog, differentiation=design.differentiation, model_of={fold: ranges.index((a, b)) for fold, a, b in fits})
+    return scored(preds, grid, folds, gap)
+
+
 # Direct forecasts
 
 
@@ -407,7 +479,7 @@ def _trees(kind: str) -> Callable[..., Estimator]:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 
-        regressor = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "decision_tree": DecisionTreeRegressor}[kind]
+        regressor = {"spark_gbt": GBTRegressor, "random_forest": RandomForestRegressor, "decision_tree": DecisionTreeRegressor}[kind]
 
         def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
             numbered = {f"_f{i}": F.col(f"`{n}`") for i, n in enumerate(features)}  # names of features may have dots
@@ -426,9 +498,19 @@ def _trees(kind: str) -> Callable[..., Estimator]:
     return make
 
 
-for _kind in ("gbt", "random_forest", "decision_tree"):
+for _kind in ("spark_gbt", "random_forest", "decision_tree"):
     register_estimator(_kind, _trees(_kind))
 
+
+def _boosted(**params) -> Estimator:
+    def fit(rows: DataFrame, features: list[str], target: str, weight: str | None = None):
+        return features, boost(rows, features, target, None, "pos", weight, **params)
+
+    return Estimator(fit, lambda model, rows: model[1].transform(rows, model[0]))
+
+
+register_estimator("gbt", _boosted)
+
 #: Stands for a missing feature where an estimator takes incomplete rows: below all values.
 MISSING = -1e12
 
@@ -461,7 +543,8 @@ def predict_folds(rows: DataFrame, origins: DataFrame, names: list[str], folds:
 
     Models learn from ``rows`` whose target is in their range; ``origins`` are rows of the same form, of
     which those at a fold's ``train_to`` are predicted. Ridge models of all folds and ``keys`` come from one
-    pass; another estimator is fitted for each fold that refits, on all steps, with the step as a feature.
+    pass, boosted trees of all folds grow in the same passes; another estimator is fitted for each fold that
+    refits. These learn from all steps, with the step as a feature.
     Bounds add the quantiles of the first model's residuals of the same series and step, for a series that it
     has not seen those of the step.
     """
@@ -477,6 +560,14 @@ def predict_folds(rows: DataFrame, origins: DataFrame, names: list[str], folds:
         if interval:
             first = models.where(of(ranges[0])).drop("model_from", "model_to")
             seen = rows.where(inside(ranges[0])).join(first, keys).withColumn("pred", fitted_value(names))
+    elif estimator == "gbt":  # all folds' models grow in the same passes
+        features = [*names, "step"]
+        trees = fit_trees(rows, features, ranges, "gbt", params, "target", weight, drop_null, "target_pos")
+        number = F.coalesce(*[F.when(of(r), F.lit(i)) for i, r in enumerate(ranges)])
+        asked = _complete(origins, features, True) if drop_null else origins
+        out = trees.transform(asked.withColumn("_model", number), features, "_model").select(*kept)
+        if interval:
+            seen = trees.transform((_complete(rows, features, True) if drop_null else rows).where(inside(ranges[0])).withColumn("_model", F.lit(0)), features, "_model")
     else:
         learner, features = make_estimator(estimator, **(params or {})), [*names, "step"]
         rows, origins = _complete(rows, features, drop_null), _complete(origins, features, drop_null)

@@ -16,7 +16,7 @@ MIN_WINDOW_ROWS = 60
 MIN_CALENDAR_ROWS = 30
 SMALL_DATA = 250
 NULL_TOLERANT = ("gbt",)
-TREES = ("gbt", "random_forest")
+TREES = ("gbt", "spark_gbt", "random_forest", "decision_tree")
 STRATEGIES = ("recursive", "direct", "multi_series", "multivariate", "statistical", "foundation")
 CALENDAR = {
     "min": ["hour", "minute", "day_of_week", "weekend"],
