@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from seriesloom.functions.frequency import Freq, seasonal_periods
 from seriesloom.operators import autocorrelation, evaluation, features, profile as prof
 from seriesloom.operators.features import window_size
-from seriesloom.plans import models, rules
+from seriesloom.plans import arima, models, rules
 from seriesloom.plans.records import AllCandidatesFailedError, CandidateFailure, CVParams, DataProfile, ForecastPlan
 from seriesloom.sources.series import asfreq, canonical, dedupe_keep_first, forward_fill, interpolate
 from seriesloom.sources.tables import detect_date
@@ -259,7 +259,7 @@ class Assistant:
         if strategy not in suited:
             notes.append(f"{strategy} is not among the recommended: {', '.join(suited)}")
         estimator = estimator or rules.select_estimator(p, strategy)
-        if estimator not in (None, "ridge", "seasonal_naive", "holt_winters"):
+        if estimator not in (None, "ridge", "seasonal_naive", "holt_winters", "arima"):
             models.make_estimator(estimator, **(params or {}))
         if strategy == "recursive" and estimator not in ("ridge", "seasonal_naive", *models.WALKED):
             notes.append("recursive forecasts are linear or by trees here; other estimators run as direct forecasts")
@@ -423,6 +423,8 @@ class Assistant:
         season = plan.season or 1
         if plan.estimator == "seasonal_naive":
             return self._naive_bounds(self._dated(evaluation.seasonal_naive(train, plan.steps, season), train, plan), train, plan)
+        if plan.estimator == "arima":
+            return arima.arima_forecast(train, plan.steps, plan.frequency, interval=plan.interval, **self._arima(plan))
         if plan.strategy == "statistical":
             return self._dated(models.statistical_forecast(train, plan.steps, season, None, plan.interval, plan.params.get("smoothing")).drop("fold"), train, plan)
         if plan.strategy == "multivariate":
@@ -452,6 +454,12 @@ class Assistant:
         out = models.forecast_direct(scaled, design, plan.steps, plan.frequency, ahead, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
         return self._unscaled(out.withColumn("step", F.col("step").cast("int")), fitted)
 
+    @staticmethod
+    def _arima(plan: ForecastPlan) -> dict:
+        """The plan's choices; a short season adds its lags to the orders tried."""
+        season = plan.season if plan.season and 1 < plan.season <= rules.MAX_STATISTICAL_SEASON else 0
+        return {"season": season, **plan.params}
+
     @staticmethod
     def _conformal(preds: DataFrame, resid: DataFrame | None, plan: ForecastPlan) -> DataFrame:
         """Bounds by each series' residual quantiles, where the plan's are not those of paths."""
@@ -525,6 +533,9 @@ class Assistant:
             source = grid.select("series_id", F.col("pos").alias("source"), F.col("y").alias("pred"))
             preds = asked.join(source, "source").join(grid.select("series_id", "pos", "ts", "y"), ["series_id", "pos"]).select("series_id", "fold", (F.col("pos") - F.col("train_to") + 1 - cv.gap).cast("int").alias("step"), "ts", "y", "pred")
             preds = self._naive_bounds(preds, train, plan)
+        elif plan.estimator == "arima":
+            made = arima.arima_forecast(grid, cv.steps + cv.gap, plan.frequency, interval=plan.interval, folds=folds, **self._arima(plan))
+            preds = models.scored(made, grid, folds, cv.gap)
         elif plan.strategy == "statistical":
             spans = [(r["fold"], r["train_from"], r["train_to"], int(r["refit"])) for r in folds.orderBy("fold").collect()]
             made = models.statistical_forecast(grid, cv.steps + cv.gap, season, spans, plan.interval, plan.params.get("smoothing"))

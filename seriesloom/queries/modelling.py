@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.plans import models
+from seriesloom.plans import arima, models
 from seriesloom.queries.base import HOURLY, hourly_grid, rounded, rsql
 from seriesloom.queries.registry import register
 
@@ -43,3 +43,44 @@ def recursive_tree_forecast(spark, d):
     trees = models.fit_trees(matrix, names, params={"maxIter": 2, "maxDepth": 1, "stepSize": 0.5, "maxBins": 512, "minRows": 5}, target=target)
     out = models.recursive_forecast(models.tails_at_end(grid, 24), trees, [1, 24], [], 12, "h")
     return out.select("series_id", "step", "ts", rounded("pred", 5).alias("pred"))
+
+
+# Statistical models
+
+
+def _ols(y: str, x: str, z: str, rows: str) -> str:
+    """Coefficients b1, b2 and intercept b0 of a regression on two features, by series."""
+    return f"""(SELECT series_id, b1, b2, my - b1 * mx - b2 * mz AS b0 FROM (SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2
+FROM (SELECT series_id, avg({y}) AS my, avg({x}) AS mx, avg({z}) AS mz, regr_sxx({x}, {x}) AS sxx, regr_sxx({z}, {z}) AS szz, covar_pop({x}, {z}) * count(*) AS sxz,
+covar_pop({x}, {y}) * count(*) AS sxy, covar_pop({z}, {y}) * count(*) AS szy FROM {rows} GROUP BY series_id)))"""
+
+
+@register(f"""WITH RECURSIVE {HOURLY}, x AS (SELECT series_id, ts, pos, coalesce(y, 0) AS y FROM hourly_grid),
+l AS (SELECT *, lag(y) OVER w AS a FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+r AS (SELECT series_id, regr_slope(y, a) AS k, regr_intercept(y, a) AS c FROM l WHERE a IS NOT NULL GROUP BY 1),
+e AS (SELECT l.series_id, ts, pos, y, a, y - k * a - c AS e FROM l JOIN r USING (series_id)),
+m AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM e),
+full_rows AS (SELECT * FROM m WHERE a IS NOT NULL AND b IS NOT NULL), o AS {_ols("y", "a", "b", "full_rows")},
+t AS (SELECT series_id, arg_max(y, pos) AS y, arg_max(e, pos) AS e, max(ts) AS ts FROM e GROUP BY 1),
+f AS (SELECT series_id, ts, b1, b2, b0, 0::BIGINT AS step, y AS pred, e FROM o JOIN t USING (series_id)
+  UNION ALL SELECT series_id, ts, b1, b2, b0, step + 1, b1 * pred + b2 * e + b0, 0.0 FROM f WHERE step < 6)
+SELECT series_id, step::INT AS step, ts + to_hours(step) AS ts, {rsql("pred", 4)} AS pred FROM f WHERE step > 0""")
+def arima_forecast(spark, d):
+    """One lag of values and one of shocks, whose shocks come from an autoregression on one lag."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    out = arima.arima_forecast(grid, 6, "h", 0, long=1, tried=[(1, 1, 0, 0)])
+    return out.select("series_id", "step", "ts", rounded("pred", 4).alias("pred"))
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+l AS (SELECT *, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+full_rows AS (SELECT * FROM l WHERE b IS NOT NULL),
+o AS {_ols("y", "a", "b", "full_rows")},
+s AS (SELECT f.series_id, count(*) AS n, regr_syy(y, a) AS r0, regr_syy(y, a) - regr_sxy(y, a) ** 2 / regr_sxx(y, a) AS r1, sum((y - b1 * a - b2 * b - b0) ** 2) AS r2 FROM full_rows f JOIN o USING (series_id) GROUP BY 1),
+c AS (SELECT series_id, unnest([0, 1, 2]) AS p, n * ln(unnest([r0, r1, r2]) / n) + (unnest([0, 1, 2]) + 2) * ln(n) AS score FROM s)
+SELECT series_id, arg_min(p, score)::BIGINT AS p, {rsql("min(score)", 3)} AS score FROM c GROUP BY 1""")
+def arima_order(spark, d):
+    """The best number of autoregressive lags, up to two, of each series by BIC, from one matrix of sums."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    fits, _ = arima.fit_arima(grid, max_p=2, max_q=0, long=1)
+    return fits.select("series_id", F.col("p").cast("long").alias("p"), rounded("criterion", 3).alias("score"))
