@@ -27,7 +27,7 @@ from seriesloom.sources.tables import detect_date
 MOST_CATEGORIES = 1000
 MOST_COLUMNS = 200
 CANDIDATE_KEYS = ("strategy", "estimator", "lags", "windows", "params", "alpha", "differentiation", "scale", "calendar", "encode_series")
-REFINABLE = ("strategy", "estimator", "steps", "lags", "windows", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "scale", "calendar", "encode_series")
+REFINABLE = ("strategy", "estimator", "steps", "lags", "windows", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "scale", "calendar", "encode_series", "residual_bins")
 
 
 @dataclass
@@ -244,6 +244,7 @@ class Assistant:
         scale: bool | None = None,
         calendar: list[str] | None = None,
         encode_series: bool | None = None,
+        residual_bins: int = 0,
     ) -> ForecastPlan:
         """Explicit choices win; the rest follows the rules."""
         if steps < 1:
@@ -304,7 +305,7 @@ class Assistant:
         plan = ForecastPlan(
             strategy, estimator, lags, windows, calendar, rules.calendar_encoding(estimator, strategy), metric or chosen, sorted({*metrics, metric or chosen}),
             (estimator == "ridge" and featured) if scale is None else scale, rules.drops_null(p, estimator, strategy) or estimator == "ridge", season, steps, p.frequency, interval, None, alpha, rules.preprocessing(p), [*p.warnings, *notes],
-            "", exog, [c for c in self.categorical if c in exog], differentiation, (featured and strategy == "multi_series") if encode_series is None else encode_series, method, params or {},
+            "", exog, [c for c in self.categorical if c in exog], differentiation, (featured and strategy == "multi_series") if encode_series is None else encode_series, method, params or {}, residual_bins,
         )
         return replace(plan, explanation=self._explain(p, plan))
 
@@ -313,7 +314,7 @@ class Assistant:
         unknown = sorted(set(given) - set(REFINABLE))
         if unknown:
             raise ValueError(f"a plan cannot be refined by {', '.join(unknown)}; only by {', '.join(REFINABLE)}")
-        kept = {k: getattr(plan, k) for k in ("steps", "interval", "interval_method", "metric", "alpha", "params", "differentiation")}
+        kept = {k: getattr(plan, k) for k in ("steps", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "residual_bins")}
         same_strategy = given.get("strategy", plan.strategy) == plan.strategy
         if same_strategy:
             kept |= {"strategy": plan.strategy, "estimator": plan.estimator, "lags": plan.lags or None, "windows": plan.windows if plan.lags else None, "scale": plan.scale, "calendar": plan.calendar, "encode_series": plan.encode_series}
@@ -355,11 +356,13 @@ class Assistant:
 
     # Forecast
 
-    def forecast(self, plan: ForecastPlan | None = None, steps: int | None = None, test_size: int | float | None = None, end_train: datetime | None = None, exog: DataFrame | None = None) -> Result:
+    def forecast(self, plan: ForecastPlan | None = None, steps: int | None = None, test_size: int | float | None = None, end_train: datetime | None = None, exog: DataFrame | None = None, residuals: DataFrame | None = None) -> Result:
         """Predict ``steps`` beyond the data, or with a test size or date beyond the training rows and score them.
 
         A plan that uses exogenous columns needs their rows ahead in ``exog`` (by the columns of time and
-        series of the data), at least ``steps`` of them; when scoring, they are the test rows' own.
+        series of the data), at least ``steps`` of them; when scoring, they are the test rows' own. Intervals of
+        recursive plans are drawn from the training rows' residuals, or from ``residuals`` that ``fold_residuals``
+        took from a backtest.
         """
         if plan is None:
             if steps is None:
@@ -388,7 +391,9 @@ class Assistant:
             train, test = grid.where(F.col("ts") <= at), grid.where(F.col("ts") > at)
             plan = replace(plan, end_train=end_train)
         ahead = test.select("series_id", "ts", *design.exog) if test is not None and design.exog else self._ahead(exog, plan, train)
-        preds = self._predict(train, plan, design, ahead)
+        if residuals is not None and not (plan.interval and plan.interval_method == "bootstrap"):
+            raise ValueError("residuals are drawn by bootstrap intervals only")
+        preds = self._predict(train, plan, design, ahead, residuals)
         metrics = None
         if test is not None:
             met = preds.join(test.select("series_id", "ts", "y"), ["series_id", "ts"]).where("y is not null and pred is not null")
@@ -419,7 +424,7 @@ class Assistant:
     def _weight(self) -> str | None:
         return "_weight" if self.weight is not None else None
 
-    def _predict(self, train: DataFrame, plan: ForecastPlan, design: models.Design, ahead: DataFrame | None) -> DataFrame:
+    def _predict(self, train: DataFrame, plan: ForecastPlan, design: models.Design, ahead: DataFrame | None, residuals: DataFrame | None = None) -> DataFrame:
         season = plan.season or 1
         if plan.estimator == "seasonal_naive":
             return self._naive_bounds(self._dated(evaluation.seasonal_naive(train, plan.steps, season), train, plan), train, plan)
@@ -437,7 +442,10 @@ class Assistant:
             keys = ["series_id"] if plan.strategy == "recursive" else []
             matrix, names, target = models.design_matrix(scaled, design)
             betas = models.fit_ridge(matrix, names, keys, plan.alpha, target, self._weight())
-            resid = models.residual_quantiles(matrix, betas, names, ["series_id"], target) if plan.interval else None
+            resid = None
+            if plan.interval and residuals is None:
+                resid = models.residuals_by_level(matrix, betas, names, ["series_id"], target, plan.residual_bins) if plan.residual_bins else models.residual_quantiles(matrix, betas, names, ["series_id"], target)
+            resid = self._scaled_residuals(residuals, fitted) if residuals is not None else resid
             boot = plan.interval if plan.interval_method == "bootstrap" else None
             tails = models.tails_at_end(scaled, design.reach)
             preds = models.recursive_forecast(tails, betas, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
@@ -446,7 +454,8 @@ class Assistant:
         if plan.estimator in models.WALKED and plan.strategy in ("recursive", "multi_series"):
             matrix, names, target = models.design_matrix(scaled, design)
             trees = models.fit_trees(matrix, names, None, plan.estimator, plan.params, target, self._weight(), plan.drop_null)
-            resid = models.tree_residuals(matrix, trees, names, ["series_id"], target) if plan.interval else None
+            resid = models.tree_residuals(matrix, trees, names, ["series_id"], target, bins=plan.residual_bins) if plan.interval and residuals is None else None
+            resid = self._scaled_residuals(residuals, fitted) if residuals is not None else resid
             tails = models.tails_at_end(scaled, design.reach)
             boot = plan.interval if plan.interval_method == "bootstrap" else None
             preds = models.recursive_forecast(tails, trees, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
@@ -454,6 +463,22 @@ class Assistant:
         out = models.forecast_direct(scaled, design, plan.steps, plan.frequency, ahead, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
         return self._unscaled(out.withColumn("step", F.col("step").cast("int")), fitted)
 
+    @staticmethod
+    def _scaled_residuals(residuals: DataFrame, fitted: DataFrame | None) -> DataFrame:
+        """Residuals and levels in the units of scaled series."""
+        if fitted is None:
+            return residuals
+        shrunk = lambda c: F.transform(c, lambda e: e / F.col("_std"))
+        out = {"resid": shrunk("resid"), "edges": F.transform("edges", lambda e: (e - F.col("_mean")) / F.col("_std")), "by_level": F.transform("by_level", shrunk)}
+        return residuals.join(fitted, "series_id").withColumns(out).drop("_mean", "_std")
+
+    def fold_residuals(self, plan: ForecastPlan, cv: CVParams | None = None, bins: int | None = None) -> DataFrame:
+        """What a backtest of the plan misses on rows its models had not seen, by series and level: ``residuals`` of a forecast."""
+        if plan.differentiation:
+            raise ValueError("residuals of folds are of the values, those of a differenced plan of their differences")
+        preds = self.backtest(replace(plan, interval=None, interval_method=None), cv).predictions
+        return models.fold_residuals(preds.where("y is not null and pred is not null"), bins or plan.residual_bins or 1)
+
     @staticmethod
     def _arima(plan: ForecastPlan) -> dict:
         """The plan's choices; a short season adds its lags to the orders tried."""
@@ -549,9 +574,9 @@ class Assistant:
         else:
             fitted, (scaled,) = self._scaled(plan, train, grid)
             if plan.estimator == "ridge" and plan.strategy in ("recursive", "multi_series"):
-                preds = models.backtest_ridge(scaled, folds, plan.lags, plan.windows, plan.frequency, plan.calendar, plan.calendar_encoding, plan.alpha, plan.strategy == "recursive", cv.steps, cv.gap, design.exog, design.differentiation, self._weight(), plan.interval)
+                preds = models.backtest_ridge(scaled, folds, plan.lags, plan.windows, plan.frequency, plan.calendar, plan.calendar_encoding, plan.alpha, plan.strategy == "recursive", cv.steps, cv.gap, design.exog, design.differentiation, self._weight(), plan.interval, plan.residual_bins)
             elif plan.estimator in models.WALKED and plan.strategy in ("recursive", "multi_series"):
-                preds = models.backtest_trees(scaled, folds, design, plan.frequency, plan.estimator, plan.params, cv.steps, cv.gap, self._weight(), plan.interval, plan.drop_null)
+                preds = models.backtest_trees(scaled, folds, design, plan.frequency, plan.estimator, plan.params, cv.steps, cv.gap, self._weight(), plan.interval, plan.drop_null, plan.residual_bins)
             else:
                 preds = models.backtest_direct(scaled, folds, design, cv.steps, cv.gap, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
             preds = self._unscaled(preds, fitted)

@@ -127,6 +127,47 @@ def residual_quantiles(matrix: DataFrame, betas: DataFrame, features: list[str],
     return joined.select(*keys, resid).where("_e is not null").groupBy(*keys).agg(F.percentile("_e", F.array(*map(F.lit, points))).alias("resid"))
 
 
+#: How far above an edge a value must be to lie beyond it, so that ties fall alike whatever the rounding.
+EDGE_SLACK = 1e-9
+
+
+def _beyond(value: Column, edge: Column) -> Column:
+    return value > edge + EDGE_SLACK * F.greatest(F.lit(1.0), F.abs(edge))
+
+
+def level_quantiles(fitted: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """``keys…, resid, edges, by_level``: residuals ``_t - pred`` of ``fitted`` by the level of the prediction.
+
+    ``edges`` are the inner quantiles of the predictions of a key, ``by_level`` one grid of residual
+    quantiles for each bin between them, ``resid`` the grid of all, which also stands for empty bins. A
+    bounded row a key, whatever its rows.
+    """
+    points = F.array(*[F.lit(i / (RESIDUAL_POINTS - 1)) for i in range(RESIDUAL_POINTS)])
+    rows = fitted.where("_t is not null and pred is not null").select(*keys, F.col("pred").cast("double").alias("_p"), (F.col("_t") - F.col("pred")).alias("_e"))
+    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)]) if bins > 1 else None
+    by = rows.groupBy(*keys).agg((F.percentile("_p", cuts) if bins > 1 else F.array().cast("array<double>")).alias("edges"), F.percentile("_e", points).alias("resid"))
+    by = by if keys else by.where("resid is not null")
+    joined = rows.join(by.select(*keys, "edges"), keys) if keys else rows.crossJoin(F.broadcast(by.select("edges")))  # one row
+    level = F.size(F.filter("edges", lambda e: _beyond(F.col("_p"), e)))
+    grids = joined.groupBy(*keys, level.alias("_bin")).agg(F.percentile("_e", points).alias("grid"))
+    held = grids.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "grid"))).alias("_grids"))  # at most one a bin
+    out = by.join(held, keys) if keys else by.crossJoin(F.broadcast(held))
+    places = F.sequence(F.lit(0), F.lit(bins - 1))
+    return out.select(*keys, "resid", "edges", F.transform(places, lambda b: F.coalesce(F.try_element_at("_grids", b), F.col("resid"))).alias("by_level"))
+
+
+def residuals_by_level(matrix: DataFrame, betas: DataFrame, features: list[str], keys: list[str], target: str = "y", bins: int = 10) -> DataFrame:
+    """In-sample residuals of linear models as ``level_quantiles``."""
+    shared = [c for c in betas.columns if c in matrix.columns and c not in ("beta", "sigma")]
+    joined = matrix.join(betas, shared) if shared else matrix.crossJoin(F.broadcast(betas))  # one model
+    return level_quantiles(joined.select(*keys, F.col(f"`{target}`").alias("_t"), fitted_value(features).alias("pred")), keys, bins)
+
+
+def fold_residuals(preds: DataFrame, bins: int = 1, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """What the folds of a backtest missed, rows that their models had not seen, as ``level_quantiles``."""
+    return level_quantiles(preds.withColumn("_t", F.col("y")), list(keys), bins)
+
+
 def feature_names(lags: list[int], windows: list[tuple[str, int]], extra: list[str] | None = None) -> list[str]:
     return [f"lag_{k}" for k in lags] + [rolling_name(s, n) for s, n in windows] + (extra or [])
 
@@ -159,29 +200,42 @@ def design_matrix(grid: DataFrame, design: Design) -> tuple[DataFrame, list[str]
     return out, feature_names(design.lags, design.windows, [*ahead, *design.exog]), target
 
 
-def roll_forward(tail: np.ndarray, model: np.ndarray | Callable[[np.ndarray], np.ndarray], lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | None = None, differentiation: int = 0, stats: dict | None = None) -> np.ndarray:
+def roll_forward(tail: np.ndarray, model: np.ndarray | Callable[[np.ndarray], np.ndarray], lags: list[int], windows: list[tuple[str, int]], known: np.ndarray, noise: np.ndarray | Callable[[int, np.ndarray], np.ndarray] | None = None, differentiation: int = 0, stats: dict | None = None, paths: int | None = None) -> np.ndarray:
     """Recursive predictions, a row for each step and a column for each path of ``noise`` (one path without).
 
-    ``model`` is coefficients with the intercept last, or a function of features x paths.
+    ``model`` is coefficients with the intercept last, or a function of features x paths. ``noise`` may be a
+    function of the step and the ``paths`` predictions, for noise that follows their level.
     """
     stats = stats or ARRAY_STATS
     value = model if callable(model) else lambda x: model[:-1] @ x + model[-1]
-    paths = noise.shape[1] if noise is not None else 1
+    paths = paths if callable(noise) else noise.shape[1] if noise is not None else 1
     past = np.repeat(np.asarray(tail, float)[:, None], paths, 1)
     held = np.diff(past, differentiation, axis=0)
     out = np.empty((len(known), paths))
     for s, extra in enumerate(known):
         parts = [held[-k] for k in lags] + [stats[stat](held[-n:], axis=0) for stat, n in windows]
         x = np.vstack([*parts, np.repeat(np.asarray(extra, float)[:, None], paths, 1)]) if len(parts) + len(extra) else np.zeros((0, paths))
-        out[s] = value(x) + (noise[s] if noise is not None else 0.0)
+        out[s] = value(x)
+        if noise is not None:
+            out[s] += noise(s, out[s]) if callable(noise) else noise[s]
         held = np.vstack([held, out[s]])
     return integrate(out, past, differentiation)
 
 
+def draws(name: str, steps: int, paths: int) -> np.ndarray:
+    """Whole numbers, a row for each step, that follow from a hash of name, path and step."""
+    return np.array([int(hashlib.md5(f"{name}|{p}|{s + 1}".encode()).hexdigest()[:8], 16) for s in range(steps) for p in range(paths)], np.int64).reshape(steps, paths)
+
+
 def drawn(resid: np.ndarray, name: str, steps: int, paths: int) -> np.ndarray:
     """Residuals drawn with replacement, a row for each step: which one follows from a hash of name, path and step."""
-    at = [int(hashlib.md5(f"{name}|{p}|{s + 1}".encode()).hexdigest()[:8], 16) % len(resid) for s in range(steps) for p in range(paths)]
-    return np.asarray(resid, float)[np.array(at, np.int64).reshape(steps, paths)]
+    return np.asarray(resid, float)[draws(name, steps, paths) % len(resid)]
+
+
+def drawn_by_level(edges: np.ndarray, by_level: np.ndarray, name: str, steps: int, paths: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Residuals drawn like ``drawn`` from the grid of the level that each path's own prediction has."""
+    at, top = draws(name, steps, paths), edges + EDGE_SLACK * np.maximum(1.0, np.abs(edges))
+    return lambda s, pred: by_level[np.searchsorted(top, pred, "left"), at[s] % by_level.shape[1]]
 
 
 def with_known(ahead: DataFrame, exog: DataFrame | None, names: list[str]) -> DataFrame:
@@ -218,7 +272,8 @@ def recursive_forecast(
     where ``model_of`` names the model of each fold. Steps follow one another within a row,
     rows are independent. Intervals are quantiles of ``paths`` bootstrap paths, whose residuals are drawn
     from ``residuals`` (of ``residual_quantiles``, joined like ``betas``) by a hash of the seed, the row's
-    keys, the path and the step. ``exog`` has the rows ahead of the columns ``exog_names``; where one is
+    keys, the path and the step; where ``residuals`` are by level, from the level of the path's own
+    prediction. ``exog`` has the rows ahead of the columns ``exog_names``; where one is
     missing a linear prediction is null, and trees take their branch for missing values.
     """
     if interval and residuals is None:
@@ -233,15 +288,17 @@ def recursive_forecast(
         rows = tails.join(betas, shared) if shared else tails.crossJoin(F.broadcast(betas))  # one model
     if interval:
         on = [c for c in residuals.columns if c in keys]
+        if "by_level" not in residuals.columns:
+            residuals = residuals.withColumns({"edges": F.lit(None).cast("array<double>"), "by_level": F.lit(None).cast("array<array<double>>")})
         rows = rows.join(residuals, on) if on else rows.crossJoin(F.broadcast(residuals))  # one model
     else:
-        rows = rows.withColumn("resid", F.lit(None).cast("array<double>"))
-    ahead = rows.select(*keys, "tail", "beta", "resid", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
+        rows = rows.withColumns({"resid": F.lit(None).cast("array<double>"), "edges": F.lit(None).cast("array<double>"), "by_level": F.lit(None).cast("array<array<double>>")})
+    ahead = rows.select(*keys, "tail", "beta", "resid", "edges", "by_level", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
     dated = add_calendar(ahead, calendar or [], encoding)
     names = [*[c for c in dated.columns if c not in ahead.columns], *(exog_names or [])]
     dated = with_known(dated, exog, exog_names or [])
     known = F.array(*[F.col(n).cast("double") for n in names]) if names else F.array().cast("array<double>")
-    packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("resid").alias("resid"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
+    packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("resid").alias("resid"), F.first("edges").alias("edges"), F.first("by_level").alias("by_level"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
 
     stats = {stat: ARRAY_STATS[stat] for stat, _ in windows}  # the caller's own go to the workers too
 
@@ -260,8 +317,12 @@ def recursive_forecast(
                 pred = roll_forward(tail, model, lags, windows, extra, None, differentiation, stats)[:, 0]
                 low = high = [None] * steps
                 if interval:
-                    noise = drawn(np.array(r["resid"], float), "|".join(str(x) for x in [seed, *[r[k] for k in keys]]), steps, paths)
-                    ends = roll_forward(tail, model, lags, windows, extra, noise, differentiation, stats)
+                    name = "|".join(str(x) for x in [seed, *[r[k] for k in keys]])
+                    if r["by_level"] is None:
+                        noise = drawn(np.array(r["resid"], float), name, steps, paths)
+                    else:
+                        noise = drawn_by_level(np.array(r["edges"], float), np.array([list(g) for g in r["by_level"]], float), name, steps, paths)
+                    ends = roll_forward(tail, model, lags, windows, extra, noise, differentiation, stats, paths)
                     low, high = np.quantile(ends, interval[0], axis=1), np.quantile(ends, interval[1], axis=1)
                 out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound"])
@@ -335,7 +396,14 @@ def scored(preds: DataFrame, grid: DataFrame, folds: DataFrame, gap: int) -> Dat
     return met.where(F.col("pos") < F.col("test_to")).select("series_id", "fold", "step", "ts", "y", "pred", *bounds)
 
 
-def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows: list[tuple[str, int]], freq: str, calendar=None, encoding=None, alpha: float = 1.0, per_series: bool = True, steps: int | None = None, gap: int = 0, exog: list[str] | None = None, differentiation: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None) -> DataFrame:
+def _with_pooled(grid: DataFrame, by: DataFrame, pooled: DataFrame) -> DataFrame:
+    """The residuals of each series, or those of all where it has none yet; ``pooled`` is one row."""
+    names = [c for c in by.columns if c != "series_id"]
+    every = grid.select("series_id").distinct().join(by, "series_id", "left").crossJoin(F.broadcast(pooled.select(*[F.col(c).alias(f"_all_{c}") for c in names])))
+    return every.select("series_id", *[F.coalesce(c, f"_all_{c}").alias(c) for c in names])
+
+
+def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows: list[tuple[str, int]], freq: str, calendar=None, encoding=None, alpha: float = 1.0, per_series: bool = True, steps: int | None = None, gap: int = 0, exog: list[str] | None = None, differentiation: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None, residual_bins: int = 0) -> DataFrame:
     """Recursive predictions of every fold by the model of its last fit: ``series_id, fold, step, ts, y, pred`` and bounds.
 
     ``exog`` are columns of the grid, known ahead. Bounds resample the residuals that the first fit's
@@ -353,9 +421,8 @@ def backtest_ridge(grid: DataFrame, folds: DataFrame, lags: list[int], windows:
         first = folds.orderBy("fold").limit(1).select("model_from", "model_to")
         start = models.join(F.broadcast(first), ["model_from", "model_to"]).drop("model_from", "model_to")
         train = matrix.join(F.broadcast(first), (F.col("pos") >= F.col("model_from")) & (F.col("pos") < F.col("model_to"))).drop("model_from", "model_to")
-        resid = residual_quantiles(train, start, names, ["series_id"], target)
-        pooled = residual_quantiles(train, start, names, [], target).withColumnRenamed("resid", "_all")  # one row
-        resid = grid.select("series_id").distinct().join(resid, "series_id", "left").crossJoin(F.broadcast(pooled)).select("series_id", F.coalesce("resid", "_all").alias("resid"))
+        of = lambda keys: residuals_by_level(train, start, names, keys, target, residual_bins) if residual_bins else residual_quantiles(train, start, names, keys, target)
+        resid = _with_pooled(grid, of(["series_id"]), of([]))
     tails = tails_at_folds(grid, folds, design.reach)
     known = grid.select("series_id", "ts", *design.exog) if design.exog else None
     preds = recursive_forecast(tails, betas, lags, windows, steps + gap, freq, calendar, encoding, interval, residuals=resid, exog=known, exog_names=design.exog, differentiation=differentiation)
@@ -385,16 +452,18 @@ def fit_trees(matrix: DataFrame, features: list[str], ranges: list[tuple[int, in
     return joined([spark_ensemble(learner.fit(rows.where(c), features, target, weight)[1]) for c in inside])
 
 
-def tree_residuals(matrix: DataFrame, trees: Ensemble, features: list[str], keys: list[str], target: str = "y", model: int = 0) -> DataFrame:
-    """``keys…, resid``: residuals of one model of an ensemble on the rows of ``matrix``, as ``residual_quantiles`` gives them."""
+def tree_residuals(matrix: DataFrame, trees: Ensemble, features: list[str], keys: list[str], target: str = "y", model: int = 0, bins: int = 0) -> DataFrame:
+    """``keys…, resid``: residuals of one model of an ensemble on the rows of ``matrix``, as ``residual_quantiles`` gives them, or by level."""
     one = replace(trees, roots=[trees.roots[model]], base=trees.base[model : model + 1])
     kept = matrix.where(F.col(f"`{target}`").isNotNull()).select(*keys, F.col(f"`{target}`").cast("double").alias("_t"), *[F.col(f"`{n}`") for n in dict.fromkeys(features) if n not in keys])
     points = [i / (RESIDUAL_POINTS - 1) for i in range(RESIDUAL_POINTS)]
+    if bins:
+        return level_quantiles(one.transform(kept, features), keys, bins)
     seen = one.transform(kept, features).select(*keys, (F.col("_t") - F.col("pred")).alias("_e"))
     return seen.groupBy(*keys).agg(F.percentile("_e", F.array(*map(F.lit, points))).alias("resid"))
 
 
-def backtest_trees(grid: DataFrame, folds: DataFrame, design: Design, freq: str, kind: str = "gbt", params: dict | None = None, steps: int | None = None, gap: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None, drop_null: bool = False) -> DataFrame:
+def backtest_trees(grid: DataFrame, folds: DataFrame, design: Design, freq: str, kind: str = "gbt", params: dict | None = None, steps: int | None = None, gap: int = 0, weight: str | None = None, interval: tuple[float, float] | None = None, drop_null: bool = False, residual_bins: int = 0) -> DataFrame:
     """Recursive predictions of every fold by the trees of its last fit: ``series_id, fold, step, ts, y, pred`` and bounds.
 
     One model for all series a fit. Bounds resample the residuals that the first fit has on its training
@@ -408,8 +477,7 @@ def backtest_trees(grid: DataFrame, folds: DataFrame, design: Design, freq: str,
     if interval:
         a, b = fits[0][1:]
         seen = matrix.where((F.col("pos") >= a) & (F.col("pos") < b))
-        by, pooled = (tree_residuals(seen, trees, names, keys, target, ranges.index((a, b))) for keys in (["series_id"], []))
-        resid = grid.select("series_id").distinct().join(by, "series_id", "left").crossJoin(F.broadcast(pooled.withColumnRenamed("resid", "_all"))).select("series_id", F.coalesce("resid", "_all").alias("resid"))  # one row
+        resid = _with_pooled(grid, *(tree_residuals(seen, trees, names, keys, target, ranges.index((a, b)), residual_bins) for keys in (["series_id"], [])))
     tails = tails_at_folds(grid, folds, design.reach, True)
     known = grid.select("series_id", "ts", *design.exog) if design.exog else None
     steps = longest_test(folds) if steps is None else steps

@@ -84,6 +84,7 @@ class ForecastPlan:
     encode_series: bool = False
     interval_method: str | None = None
     params: dict = field(default_factory=dict)
+    residual_bins: int = 0
 
     def to_dict(self) -> dict:
         return {k: _plain(v) for k, v in asdict(self).items()}

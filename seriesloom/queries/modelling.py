@@ -84,3 +84,28 @@ def arima_order(spark, d):
     grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
     fits, _ = arima.fit_arima(grid, max_p=2, max_q=0, long=1)
     return fits.select("series_id", F.col("p").cast("long").alias("p"), rounded("criterion", 3).alias("score"))
+
+
+# Intervals from residuals by predicted level and from folds
+
+
+@register(f"""WITH RECURSIVE {HOURLY}, x AS (SELECT series_id, ts, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS a FROM x),
+c AS (SELECT series_id, covar_pop(a, y) * count(*) / (regr_sxx(a, a) + 1) AS k, avg(y) AS my, avg(a) AS ma, arg_max(y, pos) AS last, max(ts) AS t FROM m WHERE a IS NOT NULL GROUP BY 1),
+h AS (SELECT series_id, k * a + my - k * ma AS p, y - k * a - my + k * ma AS e FROM m JOIN c USING (series_id) WHERE a IS NOT NULL),
+g AS (SELECT series_id, quantile_cont(p, [0.25, 0.5, 0.75]) AS edges, quantile_cont(e, list_transform(range(0, 201), lambda i: i / 200)) AS whole FROM h GROUP BY 1),
+b AS (SELECT h.series_id, len(list_filter(edges, lambda q: p > q + 1e-9 * greatest(1, abs(q)))) AS bin, quantile_cont(e, list_transform(range(0, 201), lambda i: i / 200)) AS grid FROM h JOIN g USING (series_id) GROUP BY ALL),
+r AS (SELECT g.series_id, edges, list(coalesce(grid, whole) ORDER BY i) AS grids FROM g CROSS JOIN range(0, 4) s(i) LEFT JOIN b ON b.series_id = g.series_id AND b.bin = i GROUP BY ALL),
+f AS (SELECT c.series_id, k, my - k * ma AS b0, t, edges, grids, p, 0::BIGINT AS step, last AS v, last AS pred FROM c JOIN r USING (series_id), range(0, 250) n(p)
+  UNION ALL SELECT series_id, k, b0, t, edges, grids, p, step + 1, k * v + b0
+    + grids[1 + len(list_filter(edges, lambda q: k * v + b0 > q + 1e-9 * greatest(1, abs(q))))][1 + ('0x' || substr(md5('123|' || series_id || '|' || p || '|' || (step + 1)), 1, 8))::BIGINT % 201], k * pred + b0 FROM f WHERE step < 12)
+SELECT series_id, step::INT AS step, t + to_hours(step) AS ts, {rsql("any_value(pred)", 4)} AS pred, {rsql("quantile_cont(v, 0.1)", 4)} AS lower_bound, {rsql("quantile_cont(v, 0.9)", 4)} AS upper_bound
+FROM f WHERE step > 0 GROUP BY series_id, step, t""")
+def interval_by_level(spark, d):
+    """Quantiles of 250 paths, each drawing its residuals from the level of its own prediction."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    matrix, names, target = models.design_matrix(grid, models.Design([1]))
+    betas = models.fit_ridge(matrix, names, ["series_id"], target=target)
+    resid = models.residuals_by_level(matrix, betas, names, ["series_id"], target, 4)
+    out = models.recursive_forecast(models.tails_at_end(grid, 1), betas, [1], [], 12, "h", interval=(0.1, 0.9), residuals=resid)
+    return out.select("series_id", "step", "ts", *[rounded(c, 4).alias(c) for c in ("pred", "lower_bound", "upper_bound")])
