@@ -51,8 +51,15 @@ MIN_SHARE = 0.25
 MIN_SHARE_INSIDE = 0.5
 MENU_LINKS = 3
 STRONG, WEAK, COMMENT = 1, 2, 3
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+#: Rank of the title of a main element, which stays beside its article. Ranks in declared regions are lower by HARD.
+TITLE, HARD = 4, 8
+#: How many times the text of an article or main element must stand outside of it to be the page's text, and of another named content.
+OUTSIDE, BESIDE = 4, 2
+
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+_TAG = re.compile(_OTHER + r"""((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+_BARE_TAG = re.compile(_OTHER + r"([^>]*)>", re.S)
+_HEAD = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z0-9]+")
@@ -81,11 +88,13 @@ def _means(parts: list[str], words: frozenset[str]) -> bool:
 
 def suggestion(tag: str, attributes: dict[str, str], inside: bool) -> int:
     """What class names and the id suggest of an element that may be no content; 0 for nothing."""
-    if tag not in CONTAINERS and tag not in ("p", "li"):
+    if tag not in CONTAINERS and tag not in ("p", "li", "article"):
         return 0
     names = _names(attributes)
     if any(_means(p, COMMENT_WORDS) for p in names):
         return COMMENT
+    if tag == "article":
+        return 0
     if any(_means(p, STRONG_WORDS) for p in names):
         return STRONG
     if any(_means(p, WEAK_WORDS) for p in names) and not (inside and tag in ("p", "li")):
@@ -106,8 +115,8 @@ class _Open:
 class Page:
     """Blocks of a page and what covers them.
 
-    ``texts``, ``ranks`` (3 in an article, 2 in main, 1 in an element named content, else 0; less 4 in
-    declared regions), ``subtrees`` as (first block, after last, hash), and ``marks`` as (first, after
+    ``texts``, ``ranks`` (3 in an article, 2 in main, 4 in the title of main, 1 in an element named content,
+    else 0; less 8 in declared regions), ``subtrees`` as (first block, after last, hash), and ``marks`` as (first, after
     last, suggestion), outer ones before inner ones.
     """
 
@@ -135,7 +144,7 @@ def parse_page(html: str) -> Page:
             pieces.clear()
             if text:
                 page.texts.append(text)
-                page.ranks.append(stack[-1].root - 4 * stack[-1].hard)
+                page.ranks.append(stack[-1].root - HARD * stack[-1].hard)
 
     def close(to: int):
         while len(stack) > to:
@@ -180,12 +189,25 @@ def parse_page(html: str) -> Page:
             top.parts.append(word)
             top.plain = True
 
+    tags = _TAG
     while pos < size:
-        m = _TAG.search(html, pos)
-        if not m:
+        at = html.find("<", pos)
+        if at < 0:
             add(html[pos:])
             break
-        add(html[pos : m.start()])
+        m = tags.match(html, at)
+        if not m and _HEAD.match(html, at):
+            # a quote never ends: from here on tags end at the next sign, so that no text is searched through twice
+            tags = _BARE_TAG
+            m = tags.match(html, at)
+            if not m:
+                add(html[pos:])
+                break
+        if not m:
+            add(html[pos : at + 1])
+            pos = at + 1
+            continue
+        add(html[pos:at])
         pos = m.end()
         if not m[2]:
             continue
@@ -222,14 +244,18 @@ def parse_page(html: str) -> Page:
         top = stack[-1]
         attributes = _attributes(m[3]) if m[3].strip() else {}
         root = top.root
-        if tag in ROOTS:
+        mark = suggestion(tag, attributes, top.root > 0) if attributes else 0
+        if tag in ROOTS and mark != COMMENT:
             root = 3 if tag == "article" or root == 3 else 2
         elif root == 0 and attributes and tag in CONTAINERS and any(not CONTENT_WORDS.isdisjoint(p) for p in _names(attributes)):
             root = 1
         hidden = bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", ""))))
-        declared = tag in REGIONS or (tag == "header" and root == 0) or (bool(attributes) and tag not in ROOTS and attributes.get("role", "").strip().lower() in REGION_ROLES)
+        form = tag == "form" and root == 0  # one that holds most of the page is none
+        declared = (tag in REGIONS and not form) or (tag == "header" and root == 0) or (bool(attributes) and tag not in ROOTS and attributes.get("role", "").strip().lower() in REGION_ROLES)
         mute = top.mute or tag in MUTE or hidden or (declared and tag not in BLOCKS)
-        mark = suggestion(tag, attributes, top.root > 0) if attributes and not mute else 0
+        mark = 0 if mute else mark or STRONG * form
+        if tag == "h1" and root == 2:
+            root = TITLE
         open_at.setdefault(tag, []).append(len(stack))
         stack.append(_Open(tag, top.hard or declared, mute, root, len(page.texts), mark))
     close(1)
@@ -269,8 +295,27 @@ def main_blocks(texts: list[str], ranks: np.ndarray, subtrees: tuple[np.ndarray,
         alive &= np.cumsum(cut[:n]) == 0
     if not alive.any():
         return []
-    best = ranks[alive].max()
-    return [texts[i] for i in np.flatnonzero(alive & (ranks == best))]
+    chosen = main_ranks({int(r): int(sum(len(texts[i]) for i in np.flatnonzero(alive & (ranks == r)))) for r in np.unique(ranks[alive])})
+    return [texts[i] for i in np.flatnonzero(alive & np.isin(ranks, chosen))]
+
+
+def main_ranks(held: dict[int, int]) -> list[int]:
+    """Which ranks are the main text, by the characters that each of them holds.
+
+    Articles win over the main element around them unless it holds more beside them, whose title stays
+    either way; both win over other text unless that holds ``OUTSIDE`` times as much. An element named
+    content wins over the rest unless that holds ``BESIDE`` times as much.
+    """
+    article, main, named, rest = (held.get(r, 0) for r in (3, 2, 1, 0))
+    title = held.get(TITLE, 0)
+    inside = article + main + title
+    if inside and OUTSIDE * inside >= named + rest:
+        if article >= main:
+            return [3, TITLE]
+        return [2, TITLE] if 2 * article < main else [2, 3, TITLE]
+    if inside == named == 0 or rest > BESIDE * named:
+        return [0, 1]
+    return [1]
 
 
 def _arrays(page: Page) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:

@@ -115,3 +115,47 @@ def test_test_pages_against_their_articles(spark):
 
 def test_empty_table(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STORY = "The story itself stands here and is told at some length, longer than all that surrounds it. "
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<main><p>{STORY}</p><article class="teaser">Card</article></main>', STORY.strip()),
+        (f'<main><p>{STORY}</p><article class="reply-1">{STORY * 3}</article></main>', STORY.strip()),
+        (f"<main><h1>Title</h1><article><p>{STORY}</p></article></main>", f"Title\n{STORY.strip()}"),
+        (f'<div class="entry">one</div><p>{STORY}</p>', f"one\n{STORY.strip()}"),
+        (f"<form><div><article><p>{STORY}</p></article></div></form>", STORY.strip()),
+        (f'<form action="x"><div><p>{STORY}</p></div><div class="sidebar">links</div></form>', STORY.strip()),
+        (f"<article><p>{STORY}</p><form><p>write to us</p></form></article>", STORY.strip()),
+        (f"<p>{STORY}</p><form><p>subscribe</p></form>", STORY.strip()),
+        (f"<main><p>{STORY * 2}</p><article>{STORY}</article></main>", f"{(STORY * 2).strip()}\n{STORY.strip()}"),
+        (f"<div>{STORY * 6}</div><article>Card</article>", (STORY * 6).strip()),
+        ("a < b and <3 are no tags<p>x", "a < b and <3 are no tags\nx"),
+    ],
+)
+def test_regions_are_chosen_by_what_they_hold(html, want):
+    assert page_text(html) == want
+
+
+@pytest.mark.parametrize("piece", ["<b 'x ", "<b 'x \">", "<a ' > \" ", "<p title='", "< ", "<!-- ", "</"])
+def test_time_is_linear_in_unbalanced_quotes(piece):
+    import time
+
+    start = time.perf_counter()
+    page_text(piece * (192_000 // len(piece)))
+    assert time.perf_counter() - start < 2
+
+
+def test_a_quote_without_end_hides_nothing_after_it():
+    assert page_text("<p class='x>one</p><p>two</p>") == "one\ntwo"
+
+
+def test_ranks_by_characters():
+    from seriesloom.llm.html_extract import TITLE, main_ranks
+
+    assert main_ranks({3: 100, 2: 50, TITLE: 5, 0: 30}) == [3, TITLE]
+    assert main_ranks({3: 10, 2: 50}) == [2, TITLE] and main_ranks({3: 30, 2: 50}) == [2, 3, TITLE]
+    assert main_ranks({3: 10, 0: 500}) == [0, 1] and main_ranks({1: 40, 0: 60}) == [1] and main_ranks({1: 4, 0: 60}) == [0, 1]
