@@ -338,13 +338,15 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABE
     """Lexicon and logistic model from labelled rows outside the held-out fold.
 
     At most ``most`` labels, those with the least hashes; a document with several labels is toxic if
-    any is. The label side of the join has a bounded size, so it is broadcast.
+    any is. The label side of the join has a bounded size, so it is broadcast. Of rows that share an id
+    the text of the least hash is learned from, so that no more texts than labels are.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = scratch.table(known.orderBy(F.xxhash64("label_id"), "label_id").limit(most), "labels")
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("label_id", "toxic", "text")
+    sample = sample.groupBy("label_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     sample = scratch.table(sample, "sample")
     counts = sample.repartition(12).mapInArrow(_count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = scratch.table(counts, "features")

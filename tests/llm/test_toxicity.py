@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import toxicity
 from seriesloom.llm.toxicity import Model, drop_toxic, grammar, least_ratio, read_clause, score_toxicity
@@ -147,3 +148,13 @@ def test_without_labels(tables):
     assert (out["score"] == 0).all()
     assert drop_toxic(docs, labels.limit(0)).count() == docs.count()
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_rows_that_share_an_id_are_learned_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, x, y: seen.append(len(y)))
+    docs = spark.createDataFrame([(i % 5, f"text number {i}") for i in range(300)] + [(1, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels, toxicity.Scratch(spark, "t"))
+    known = spark.range(5).where(toxicity.fold(F.col("id")) != 2).count()
+    assert seen == [known]
