@@ -221,6 +221,25 @@ def crps_from_quantiles(preds: DataFrame, quantiles: list[float], keys: tuple[st
     return preds.groupBy(*keys).agg((sum(losses) * (2.0 / len(losses))).alias("crps"))
 
 
+def sample_crps(y: Column, samples: Column) -> Column:
+    """The ranked probability score of one value against an array of samples: mean distance less half the mean distance of pairs.
+
+    The pairs' distances are a weighted sum over the ordered samples, so their number is not squared. Null
+    samples are left out; without a sample or a value the score is null.
+    """
+    held = F.array_sort(F.filter(samples, lambda x: x.isNotNull()))
+    n = F.size(held)
+    zero = F.lit(0.0)
+    near = F.aggregate(held, zero, lambda s, x: s + F.abs(x - y))
+    pairs = F.aggregate(F.transform(held, lambda x, i: (2 * i + 1 - n) * x), zero, lambda s, x: s + x)
+    return F.when(n > 0, near / n - pairs / (n * n))
+
+
+def crps_from_samples(preds: DataFrame, samples: str = "paths", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """The mean ``sample_crps`` of the rows' samples by ``keys``: the exact score, where quantiles approximate it."""
+    return preds.groupBy(*keys).agg(F.avg(sample_crps(F.col("y"), F.col(samples))).alias("crps"))
+
+
 def conformal_interval(preds: DataFrame, calibration: DataFrame, level: float = 0.8) -> DataFrame:
     """Bounds ``pred`` plus or minus the ``level`` quantile of each series' absolute calibration residuals."""
     width = calibration.groupBy("series_id").agg(F.percentile(F.abs(F.col("y") - F.col("pred")), level).alias("_width"))

@@ -265,6 +265,7 @@ def recursive_forecast(
     exog_names: list[str] | None = None,
     differentiation: int = 0,
     model_of: dict[int, int] | None = None,
+    keep_paths: bool = False,
 ) -> DataFrame:
     """``steps`` predictions for each row of ``tails(series_id, …keys, last_ts, tail)``: ``…, step, ts, pred`` and bounds.
 
@@ -272,12 +273,14 @@ def recursive_forecast(
     where ``model_of`` names the model of each fold. Steps follow one another within a row,
     rows are independent. Intervals are quantiles of ``paths`` bootstrap paths, whose residuals are drawn
     from ``residuals`` (of ``residual_quantiles``, joined like ``betas``) by a hash of the seed, the row's
-    keys, the path and the step; where ``residuals`` are by level, from the level of the path's own
+    keys, the path and the step; with ``keep_paths`` the paths themselves are the column ``paths``. Where ``residuals`` are by level, from the level of the path's own
     prediction. ``exog`` has the rows ahead of the columns ``exog_names``; where one is
     missing a linear prediction is null, and trees take their branch for missing values.
     """
     if interval and residuals is None:
         raise ValueError("intervals need the model's residuals")
+    if keep_paths and not interval:
+        raise ValueError("paths come with an interval")
     step = Freq.parse(freq)
     keys = [c for c in tails.columns if c not in ("last_ts", "tail")]
     trees = betas if isinstance(betas, Ensemble) else None
@@ -315,7 +318,7 @@ def recursive_forecast(
                     model = np.array(r["beta"], float)
                 extra = np.array([[np.nan if x is None else x for x in e] for e in extra], float)
                 pred = roll_forward(tail, model, lags, windows, extra, None, differentiation, stats)[:, 0]
-                low = high = [None] * steps
+                low = high = ends = [None] * steps
                 if interval:
                     name = "|".join(str(x) for x in [seed, *[r[k] for k in keys]])
                     if r["by_level"] is None:
@@ -324,14 +327,30 @@ def recursive_forecast(
                         noise = drawn_by_level(np.array(r["edges"], float), np.array([list(g) for g in r["by_level"]], float), name, steps, paths)
                     ends = roll_forward(tail, model, lags, windows, extra, noise, differentiation, stats, paths)
                     low, high = np.quantile(ends, interval[0], axis=1), np.quantile(ends, interval[1], axis=1)
-                out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi)) for a, p, lo, hi in zip(r["ahead"], pred, low, high, strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound"])
+                out += [(*[r[k] for k in keys], a["step"], a["ts"], None if np.isnan(p) else float(p), None if lo is None else float(lo), None if hi is None else float(hi), *([e.tolist()] if keep_paths else [])) for a, p, lo, hi, e in zip(r["ahead"], pred, low, high, ends, strict=True)]
+            yield pd.DataFrame(out, columns=[*keys, "step", "ts", "pred", "lower_bound", "upper_bound", *(["paths"] if keep_paths else [])])
 
-    schema = "".join(f"`{k}` {tails.schema[k].dataType.simpleString()}, " for k in keys) + "step int, ts timestamp_ntz, pred double, lower_bound double, upper_bound double"
+    schema = "".join(f"`{k}` {tails.schema[k].dataType.simpleString()}, " for k in keys) + "step int, ts timestamp_ntz, pred double, lower_bound double, upper_bound double" + ", paths array<double>" * keep_paths
     out = packed.mapInPandas(run, schema)
     return out if interval else out.drop("lower_bound", "upper_bound")
 
 
+def path_distribution(preds: DataFrame) -> DataFrame:
+    """``preds`` with the normal distribution of their ``paths``: ``loc`` and ``scale``."""
+    mean = F.aggregate("paths", F.lit(0.0), lambda s, x: s + x) / F.size("paths")
+    spread = lambda m: F.sqrt(F.aggregate("paths", F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size("paths") - 1))
+    return preds.withColumn("loc", mean).withColumn("scale", spread(F.col("loc")))
+
+
+def path_quantiles(preds: DataFrame, quantiles: list[float]) -> DataFrame:
+    """``preds`` with a column ``q_<quantile>`` for each of the ``paths``' quantiles, by linear interpolation."""
+    ordered, n = F.array_sort("paths"), F.size("paths")
+    at = lambda i: F.element_at(ordered, (i + 1).cast("int"))
+    place = lambda q: (n - 1) * F.lit(q)
+    low = lambda q: F.floor(place(q))
+    return preds.withColumns({f"q_{q}": at(low(q)) + (at(F.least(low(q) + 1, n - 1)) - at(low(q))) * (place(q) - low(q)) for q in quantiles})
+
+
 def tails_at_end(grid: DataFrame, size: int) -> DataFrame:
     """The ``size`` rows of each series up to its last value in order, nulls among them, and its timestamp."""
     last = grid.where("y is not null").groupBy("series_id").agg(F.max("pos").alias("_last"), F.max("ts").alias("last_ts"))

@@ -61,6 +61,94 @@ def search(assistant: Assistant, plan: ForecastPlan, space: dict[str, list], n:
     return Search(assistant.data.sparkSession.createDataFrame(rows, "place int, choices string, value double"), best, value)
 
 
+def _packed(cells: list, key: str) -> dict:
+    """Packed sums by the value of a key, from collected rows ``key, i, value``."""
+    out: dict = {}
+    for r in sorted(cells, key=lambda r: r["i"]):
+        out.setdefault(r[key], []).append(r["value"])
+    return {k: np.array(v, float) for k, v in out.items()}
+
+
+def squared_error(sums: np.ndarray, held: list[int], beta: np.ndarray) -> float:
+    """The mean squared error of a linear model on the rows that packed sums of (features, target, 1) stand for."""
+    width = int(round(len(sums) ** 0.5))
+    g = sums.reshape(width, width)
+    full = np.zeros(width)
+    full[[*held, width - 1]], full[width - 2] = beta, -1.0
+    return float(max(full @ g @ full, 0.0) / g[-1, -1])
+
+
+@dataclass(frozen=True)
+class OneStep:
+    """The scores of all tries and the best: its features and penalty."""
+
+    scores: list[dict]
+    features: list[str]
+    alpha: float
+    value: float
+
+
+def one_step_search(matrix: DataFrame, names: list[str], tries: list[list[str]], alphas: list[float], initial: int, target: str = "y", metric: str = "rmse") -> OneStep:
+    """Every choice of features and penalty, scored by one-step-ahead predictions of the rows from ``initial`` on.
+
+    The rows before ``initial`` train, those after it test. Two matrices of sums, of one job, stand for both: a
+    try is a choice of their rows and columns, fitted and scored without another look at the data. All tries
+    see the same rows, those with every feature of ``names``. ``metric`` is mse or rmse; ties go to the first.
+    """
+    if metric not in ("mse", "rmse"):
+        raise ValueError("one-step scores are mse or rmse: sums of products know no other")
+    unknown = sorted({n for t in tries for n in t} - set(names))
+    if unknown or not tries or not alphas:
+        raise ValueError(f"tries are of the matrix's features; unknown: {', '.join(unknown)}" if unknown else "give tries and penalties")
+    split = matrix.withColumn("_split", (F.col("pos") >= initial).cast("int"))
+    sums = _packed(models.gram_sums(split, names, ["_split"], target).collect(), "_split")  # features squared, twice
+    if set(sums) != {0, 1}:
+        raise ValueError("both sides of the split need rows with all features")
+    width, scores = len(names) + 2, []
+    g = sums[0].reshape(width, width)
+    for features in tries:
+        held = [names.index(n) for n in features]
+        at = [*held, width - 2, width - 1]
+        for alpha in alphas:
+            beta, _ = models.solve_ridge(g[np.ix_(at, at)].ravel(), alpha)
+            mse = squared_error(sums[1], held, beta)
+            scores.append({"features": features, "alpha": alpha, metric: mse if metric == "mse" else mse**0.5})
+    best = min(scores, key=lambda r: r[metric])
+    return OneStep(scores, best["features"], best["alpha"], best[metric])
+
+
+def lag_search(grid: DataFrame, lag_sets: list[list[int]], alphas: list[float], initial: int, windows: list[tuple[str, int]] | None = None, metric: str = "rmse") -> OneStep:
+    """``one_step_search`` over sets of lags of one model of all series, beside fixed windows."""
+    every = sorted({k for lags in lag_sets for k in lags})
+    matrix, names, target = models.design_matrix(grid, models.Design(every, windows or []))
+    fixed = names[len(every) :]
+    return one_step_search(matrix, names, [[*(f"lag_{k}" for k in lags), *fixed] for lags in lag_sets], alphas, initial, target, metric)
+
+
+def select_features_cv(matrix: DataFrame, names: list[str], fold: str, least: int = 1, target: str = "y", alpha: float = 1.0, force: list[str] | None = None) -> tuple[list[str], list[dict]]:
+    """Recursive elimination whose number of features is cross-validated: the features, and ``features, mse`` of each number.
+
+    Sums of products by fold, of one pass, are all that is needed: a fold's model comes from the sums of the
+    others, its error from its own. Features go one at a time within each fold; the number of least mean error,
+    the smallest of those alike, is then kept of all rows. ``force`` stays in. Rows without a fold are left out.
+    """
+    sums = _packed(models.gram_sums(matrix.where(F.col(fold).isNotNull()), names, [fold], target).collect(), fold)  # features squared a fold
+    if len(sums) < 2:
+        raise ValueError("cross-validation needs two folds with rows")
+    whole, width = sum(sums.values()), len(names) + 2
+    errors: dict[int, list[float]] = {}
+    for own in sums.values():
+        rest = whole - own
+        for keep in range(len(names), max(least, len(force or [])) - 1, -1):
+            held = sorted(names.index(n) for n in eliminate(rest, names, keep, alpha, force))
+            at = [*held, width - 2, width - 1]
+            beta, _ = models.solve_ridge(rest.reshape(width, width)[np.ix_(at, at)].ravel(), alpha)
+            errors.setdefault(keep, []).append(squared_error(own, held, beta))
+    scores = [{"features": k, "mse": float(np.mean(e))} for k, e in sorted(errors.items())]
+    best = min(scores, key=lambda r: (round(r["mse"], 12), r["features"]))["features"]
+    return eliminate(whole, names, best, alpha, force), scores
+
+
 def eliminate(sums: np.ndarray, names: list[str], keep: int, alpha: float = 1.0, force: list[str] | None = None) -> list[str]:
     """Recursive elimination from packed sums of products: the feature of least standardised coefficient goes first.
 

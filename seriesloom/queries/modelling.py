@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seriesloom.plans import arima, models
-from seriesloom.queries.base import HOURLY, hourly_grid, rounded, rsql
+from seriesloom.operators import drift, evaluation, features
+from seriesloom.plans import arima, models, quantiles, search
+from seriesloom.queries.base import HOURLY, hourly_grid, rounded, rsql, table
 from seriesloom.queries.registry import register
 
 # Recursive forecasts by boosted trees
@@ -109,3 +111,103 @@ def interval_by_level(spark, d):
     resid = models.residuals_by_level(matrix, betas, names, ["series_id"], target, 4)
     out = models.recursive_forecast(models.tails_at_end(grid, 1), betas, [1], [], 12, "h", interval=(0.1, 0.9), residuals=resid)
     return out.select("series_id", "step", "ts", *[rounded(c, 4).alias(c) for c in ("pred", "lower_bound", "upper_bound")])
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, ts, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT series_id, ts, y, [{", ".join(f"lag(y, {24 * k}) OVER w" for k in range(1, 11))}] AS paths, pos FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+s AS (SELECT series_id, y, unnest(paths) AS a, paths FROM m WHERE pos >= 240),
+d AS (SELECT m.series_id, m.ts, list_avg(list_transform(paths, lambda a: abs(a - y))) - list_sum(list_transform(paths, lambda a: list_sum(list_transform(paths, lambda b: abs(a - b))))) / 200 AS score FROM m WHERE pos >= 240)
+SELECT series_id, {rsql("avg(score)", 5)} AS crps FROM d GROUP BY 1""")
+def crps_samples(spark, d):
+    """The ranked probability score of ten samples a row, the values of the same hour on the ten days before."""
+    w = Window.partitionBy("series_id").orderBy("pos")
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    rows = grid.withColumn("paths", F.array(*[F.lag("y", 24 * k).over(w) for k in range(1, 11)])).where("pos >= 240")
+    return evaluation.crps_from_samples(rows).select("series_id", rounded("crps", 5).alias("crps"))
+
+
+# Drift by chunk
+
+
+_OLD = "TIMESTAMP '2024-01-16'"
+_CHUNKS = f"""e AS (SELECT event_type AS series_id, value AS y, date_trunc('day', ts)::TIMESTAMP AS chunk, ts < {_OLD} AS old FROM events WHERE value IS NOT NULL),
+k AS (SELECT DISTINCT series_id, chunk, old FROM e),
+v AS (SELECT DISTINCT series_id, y FROM e)"""
+
+
+def _chunks(spark, d):
+    events = table(spark, d, "events").where("value is not null")
+    rows = events.select(F.col("event_type").alias("series_id"), F.col("value").alias("y"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("chunk"), (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("old"))
+    return rows.where("old"), rows.where("not old")
+
+
+@register(f"""WITH {_CHUNKS}, r AS (SELECT series_id, y, count(*) AS n FROM e WHERE old GROUP BY ALL),
+f AS (SELECT v.series_id, v.y, coalesce(sum(n) OVER (PARTITION BY v.series_id ORDER BY v.y), 0) / sum(n) OVER (PARTITION BY v.series_id) AS ref FROM v LEFT JOIN r ON r.series_id = v.series_id AND r.y = v.y),
+c AS (SELECT series_id, chunk, old, y, count(*) AS n FROM e GROUP BY ALL),
+g AS (SELECT k.series_id, k.chunk, k.old, f.y, f.ref, coalesce(sum(c.n) OVER (PARTITION BY k.series_id, k.chunk, k.old ORDER BY f.y), 0) / sum(c.n) OVER (PARTITION BY k.series_id, k.chunk, k.old) AS own
+  FROM k JOIN f USING (series_id) LEFT JOIN c ON c.series_id = k.series_id AND c.chunk = k.chunk AND c.old = k.old AND c.y = f.y),
+s AS (SELECT series_id, chunk, old, max(abs(own - ref)) AS ks FROM g GROUP BY ALL),
+l AS (SELECT series_id, avg(ks) + 3 * stddev_samp(ks) AS most FROM s WHERE old GROUP BY 1)
+SELECT series_id, chunk, {rsql("ks", 6)} AS ks, {rsql("most", 6)} AS ks_limit, ks > most AS ks_drifted FROM s JOIN l USING (series_id) WHERE NOT old""")
+def drift_by_chunk(spark, d):
+    """Each day of the second half against the whole first half, with the limits that the first half's own days teach."""
+    old, new = _chunks(spark, d)
+    limits = drift.learned_thresholds(drift.chunk_ks(old, old), ["ks"])
+    flagged, _ = drift.chunk_drift(drift.chunk_ks(old, new), limits, ["ks"])
+    return flagged.select("series_id", "chunk", rounded("ks", 6).alias("ks"), rounded("ks_limit", 6).alias("ks_limit"), "ks_drifted")
+
+
+@register(f"""WITH {_CHUNKS}, r AS (SELECT series_id, floor(y / 50)::BIGINT AS bin, count(*) AS n FROM e WHERE old GROUP BY ALL),
+c AS (SELECT series_id, chunk, floor(y / 50)::BIGINT AS bin, count(*) AS n FROM e WHERE NOT old GROUP BY ALL),
+b AS (SELECT DISTINCT c.series_id, c.chunk, u.bin FROM c, LATERAL (SELECT r.bin FROM r WHERE r.series_id = c.series_id UNION SELECT x.bin FROM c x WHERE x.series_id = c.series_id AND x.chunk = c.chunk) u),
+t AS (SELECT b.series_id, b.chunk, coalesce(c.n, 0) AS a, coalesce(r.n, 0) AS o, sum(coalesce(c.n, 0)) OVER w AS ta, sum(coalesce(r.n, 0)) OVER w AS tb
+  FROM b LEFT JOIN c ON c.series_id = b.series_id AND c.chunk = b.chunk AND c.bin = b.bin LEFT JOIN r ON r.series_id = b.series_id AND r.bin = b.bin WINDOW w AS (PARTITION BY b.series_id, b.chunk)),
+j AS (SELECT *, a / ta AS q, o / tb AS p FROM t)
+SELECT series_id, chunk, max(ta)::BIGINT AS n,
+{rsql("sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0))", 6)} AS js,
+{rsql("sum((a - (a + o) * ta / (ta + tb)) ** 2 / ((a + o) * ta / (ta + tb)) + (o - (a + o) * tb / (ta + tb)) ** 2 / ((a + o) * tb / (ta + tb)))", 4)} AS chi2, (count(*) - 1)::BIGINT AS df
+FROM j GROUP BY ALL""")
+def drift_chunk_categories(spark, d):
+    """Jensen-Shannon distance and chi-square of each day's bins against those of the whole first half."""
+    old, new = (x.withColumn("bin", F.floor(F.col("y") / 50)) for x in _chunks(spark, d))
+    out = drift.chunk_categories(old, new, "bin")
+    return out.select("series_id", "chunk", "n", rounded("js", 6).alias("js"), rounded("chi2", 4).alias("chi2"), F.col("df").cast("long").alias("df"))
+
+
+# Search and selection from sums of products
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT pos, y, lag(y, 1) OVER w AS l1, lag(y, 24) OVER w AS l24 FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+full_rows AS (SELECT * FROM m WHERE l24 IS NOT NULL), t AS (SELECT * FROM full_rows WHERE pos < 500), v AS (SELECT * FROM full_rows WHERE pos >= 500),
+a AS (SELECT unnest([1.0, 100.0])::DOUBLE AS alpha),
+g AS (SELECT avg(y) AS my, avg(l1) AS m1, avg(l24) AS m2, regr_sxx(l1, l1) AS s11, regr_sxx(l24, l24) AS s22, covar_pop(l1, l24) * count(*) AS s12, covar_pop(l1, y) * count(*) AS s1y, covar_pop(l24, y) * count(*) AS s2y FROM t),
+f AS (SELECT alpha, unnest(['lag_1', 'lag_24', 'lag_1,lag_24']) AS features,
+  unnest([s1y / (s11 + alpha), 0, (s1y * (s22 + alpha) - s2y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12)]) AS b1,
+  unnest([0, s2y / (s22 + alpha), (s2y * (s11 + alpha) - s1y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12)]) AS b2, my, m1, m2 FROM g, a)
+SELECT features, alpha, {rsql("sqrt(avg((y - my - b1 * (l1 - m1) - b2 * (l24 - m2)) ** 2))", 6)} AS rmse FROM f, v GROUP BY ALL""")
+def one_step_search(spark, d):
+    """Six tries of lags and penalties, all scored from one pair of matrices of sums."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    found = search.lag_search(grid, [[1], [24], [1, 24]], [1.0, 100.0], 500)
+    rows = [(",".join(s["features"]), s["alpha"], s["rmse"]) for s in found.scores]
+    return spark.createDataFrame(rows, "features string, alpha double, rmse double").select("features", "alpha", rounded("rmse", 6).alias("rmse"))
+
+
+@register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),
+m AS (SELECT pos // 180 AS fold, y, lag(y, 1) OVER w AS l1, lag(y, 24) OVER w AS l2 FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+r AS (SELECT * FROM m WHERE l2 IS NOT NULL), f AS (SELECT DISTINCT fold FROM r),
+g AS (SELECT f.fold, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, regr_sxx(l1, l1) AS s11, regr_sxx(l2, l2) AS s22, covar_pop(l1, l2) * count(*) AS s12, covar_pop(l1, y) * count(*) AS s1y, covar_pop(l2, y) * count(*) AS s2y, count(*) AS n
+  FROM f JOIN r ON r.fold <> f.fold GROUP BY 1),
+b AS (SELECT *, (s1y * (s22 + 1) - s2y * s12) / ((s11 + 1) * (s22 + 1) - s12 * s12) AS b1, (s2y * (s11 + 1) - s1y * s12) / ((s11 + 1) * (s22 + 1) - s12 * s12) AS b2 FROM g),
+c AS (SELECT *, abs(b1) * sqrt(s11 / n) < abs(b2) * sqrt(s22 / n) AS first_goes FROM b),
+e AS (SELECT c.fold, avg((y - my - b1 * (l1 - m1) - b2 * (l2 - m2)) ** 2) AS two,
+  avg((y - my - CASE WHEN first_goes THEN s2y / (s22 + 1) * (l2 - m2) ELSE s1y / (s11 + 1) * (l1 - m1) END) ** 2) AS one FROM c JOIN r USING (fold) GROUP BY 1)
+SELECT unnest([1, 2])::BIGINT AS features, {rsql("unnest([avg(one), avg(two)])", 6)} AS mse FROM e""")
+def feature_elimination_cv(spark, d):
+    """The held-out error of each number of features, eliminated anew within every fold from its sums."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    matrix = features.train_matrix(grid, [1, 24]).withColumn("fold", F.floor(F.col("pos") / 180))
+    _, scores = search.select_features_cv(matrix, ["lag_1", "lag_24"], "fold")
+    rows = [(s["features"], s["mse"]) for s in scores]
+    return spark.createDataFrame(rows, "features long, mse double").select("features", rounded("mse", 6).alias("mse"))

@@ -29,10 +29,10 @@ class Steps:
         atexit.register(self.delete)
 
     def written(self, df: DataFrame) -> DataFrame:
-        """``df`` as a table; the state before the last is deleted."""
+        """``df`` as a table. It and the one before stay, those before them are deleted."""
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        self._remove(f"{self.root}/{self.n - 1}")
+        self._remove(f"{self.root}/{self.n - 2}")
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
