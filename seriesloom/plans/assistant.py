@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.functions import scaling
 from seriesloom.functions.frequency import Freq, seasonal_periods
 from seriesloom.operators import autocorrelation, evaluation, features, profile as prof
 from seriesloom.operators.features import window_size
@@ -27,7 +28,7 @@ from seriesloom.sources.tables import detect_date
 MOST_CATEGORIES = 1000
 MOST_COLUMNS = 200
 CANDIDATE_KEYS = ("strategy", "estimator", "lags", "windows", "params", "alpha", "differentiation", "scale", "calendar", "encode_series")
-REFINABLE = ("strategy", "estimator", "steps", "lags", "windows", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "scale", "calendar", "encode_series", "residual_bins")
+REFINABLE = ("strategy", "estimator", "steps", "lags", "windows", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "scale", "calendar", "encode_series", "residual_bins", "transform")
 
 
 @dataclass
@@ -245,10 +246,13 @@ class Assistant:
         calendar: list[str] | None = None,
         encode_series: bool | None = None,
         residual_bins: int = 0,
+        transform: str | None = None,
     ) -> ForecastPlan:
         """Explicit choices win; the rest follows the rules."""
         if steps < 1:
             raise ValueError("steps is at least 1")
+        if transform and transform not in scaling.METHODS:
+            raise ValueError(f"a transform is one of {', '.join(scaling.METHODS)}")
         if interval and not 0 < interval[0] < interval[1] < 1:
             raise ValueError("an interval is two rising quantiles between 0 and 1")
         if metric and metric not in evaluation.known_metrics():
@@ -305,7 +309,7 @@ class Assistant:
         plan = ForecastPlan(
             strategy, estimator, lags, windows, calendar, rules.calendar_encoding(estimator, strategy), metric or chosen, sorted({*metrics, metric or chosen}),
             (estimator == "ridge" and featured) if scale is None else scale, rules.drops_null(p, estimator, strategy) or estimator == "ridge", season, steps, p.frequency, interval, None, alpha, rules.preprocessing(p), [*p.warnings, *notes],
-            "", exog, [c for c in self.categorical if c in exog], differentiation, (featured and strategy == "multi_series") if encode_series is None else encode_series, method, params or {}, residual_bins,
+            "", exog, [c for c in self.categorical if c in exog], differentiation, (featured and strategy == "multi_series") if encode_series is None else encode_series, method, params or {}, residual_bins, transform,
         )
         return replace(plan, explanation=self._explain(p, plan))
 
@@ -314,7 +318,7 @@ class Assistant:
         unknown = sorted(set(given) - set(REFINABLE))
         if unknown:
             raise ValueError(f"a plan cannot be refined by {', '.join(unknown)}; only by {', '.join(REFINABLE)}")
-        kept = {k: getattr(plan, k) for k in ("steps", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "residual_bins")}
+        kept = {k: getattr(plan, k) for k in ("steps", "interval", "interval_method", "metric", "alpha", "params", "differentiation", "residual_bins", "transform")}
         same_strategy = given.get("strategy", plan.strategy) == plan.strategy
         if same_strategy:
             kept |= {"strategy": plan.strategy, "estimator": plan.estimator, "lags": plan.lags or None, "windows": plan.windows if plan.lags else None, "scale": plan.scale, "calendar": plan.calendar, "encode_series": plan.encode_series}
@@ -391,6 +395,8 @@ class Assistant:
             train, test = grid.where(F.col("ts") <= at), grid.where(F.col("ts") > at)
             plan = replace(plan, end_train=end_train)
         ahead = test.select("series_id", "ts", *design.exog) if test is not None and design.exog else self._ahead(exog, plan, train)
+        if residuals is not None and plan.transform:
+            raise ValueError("residuals of folds are of the values, those of a transformed plan of their powers")
         if residuals is not None and not (plan.interval and plan.interval_method == "bootstrap"):
             raise ValueError("residuals are drawn by bootstrap intervals only")
         preds = self._predict(train, plan, design, ahead, residuals)
@@ -401,19 +407,26 @@ class Assistant:
         return Result(p, plan, preds, metrics)
 
     def _scaled(self, plan: ForecastPlan, train: DataFrame, *frames: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
-        """Each series' training mean and deviation, and the frames with values scaled by them; None where the plan does not scale."""
-        if not plan.scale:
+        """Each series' training power, mean and deviation, and the frames with values so transformed; None where the plan does neither."""
+        if not plan.scale and not plan.transform:
             return None, list(frames)
+        raised = lambda f: f
+        if plan.transform:
+            powers = scaling.fit_power(train, plan.transform).withColumnRenamed("exponent", "_power")
+            raised = lambda f: f.join(powers, "series_id").withColumn("y", scaling.power(F.col("y"), F.col("_power"), plan.transform)).drop("_power")
         std = F.stddev_pop("y")
-        fitted = train.groupBy("series_id").agg(F.avg("y").alias("_mean"), F.when(std > 0, std).otherwise(1.0).alias("_std"))
-        return fitted, [f.join(fitted, "series_id").withColumn("y", (F.col("y") - F.col("_mean")) / F.col("_std")).drop("_mean", "_std") for f in frames]
+        mean = F.avg("y") if plan.scale else F.lit(0.0)
+        fitted = raised(train).groupBy("series_id").agg((mean if plan.scale else F.max(mean)).alias("_mean"), (F.when(std > 0, std).otherwise(1.0) if plan.scale else F.max(F.lit(1.0))).alias("_std"))
+        out = [raised(f).join(fitted, "series_id").withColumn("y", (F.col("y") - F.col("_mean")) / F.col("_std")).drop("_mean", "_std") for f in frames]
+        return (fitted.join(powers, "series_id") if plan.transform else fitted), out
 
     @staticmethod
-    def _unscaled(preds: DataFrame, fitted: DataFrame | None) -> DataFrame:
+    def _unscaled(preds: DataFrame, fitted: DataFrame | None, transform: str | None = None) -> DataFrame:
         if fitted is None:
             return preds
-        back = {c: F.col(c) * F.col("_std") + F.col("_mean") for c in ("y", "pred", "lower_bound", "upper_bound") if c in preds.columns}
-        return preds.join(fitted, "series_id").withColumns(back).drop("_mean", "_std")
+        undone = lambda z: scaling.inverse_power(z, F.col("_power"), transform) if transform else z
+        back = {c: undone(F.col(c) * F.col("_std") + F.col("_mean")) for c in ("y", "pred", "lower_bound", "upper_bound") if c in preds.columns}
+        return preds.join(fitted, "series_id").withColumns(back).drop("_mean", "_std", "_power")
 
     def _series_names(self) -> list[str]:
         names = [r[0] for r in self.series.select("series_id").distinct().limit(MOST_COLUMNS + 1).collect()]
@@ -450,7 +463,7 @@ class Assistant:
             tails = models.tails_at_end(scaled, design.reach)
             preds = models.recursive_forecast(tails, betas, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
             preds = self._conformal(preds, resid, plan)
-            return self._unscaled(preds, fitted)
+            return self._unscaled(preds, fitted, plan.transform)
         if plan.estimator in models.WALKED and plan.strategy in ("recursive", "multi_series"):
             matrix, names, target = models.design_matrix(scaled, design)
             trees = models.fit_trees(matrix, names, None, plan.estimator, plan.params, target, self._weight(), plan.drop_null)
@@ -459,9 +472,9 @@ class Assistant:
             tails = models.tails_at_end(scaled, design.reach)
             boot = plan.interval if plan.interval_method == "bootstrap" else None
             preds = models.recursive_forecast(tails, trees, plan.lags, plan.windows, plan.steps, plan.frequency, plan.calendar, plan.calendar_encoding, boot, residuals=resid, exog=ahead, exog_names=design.exog, differentiation=design.differentiation)
-            return self._unscaled(self._conformal(preds, resid, plan), fitted)
+            return self._unscaled(self._conformal(preds, resid, plan), fitted, plan.transform)
         out = models.forecast_direct(scaled, design, plan.steps, plan.frequency, ahead, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
-        return self._unscaled(out.withColumn("step", F.col("step").cast("int")), fitted)
+        return self._unscaled(out.withColumn("step", F.col("step").cast("int")), fitted, plan.transform)
 
     @staticmethod
     def _scaled_residuals(residuals: DataFrame, fitted: DataFrame | None) -> DataFrame:
@@ -579,7 +592,7 @@ class Assistant:
                 preds = models.backtest_trees(scaled, folds, design, plan.frequency, plan.estimator, plan.params, cv.steps, cv.gap, self._weight(), plan.interval, plan.drop_null, plan.residual_bins)
             else:
                 preds = models.backtest_direct(scaled, folds, design, cv.steps, cv.gap, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
-            preds = self._unscaled(preds, fitted)
+            preds = self._unscaled(preds, fitted, plan.transform)
         met = preds.where("y is not null and pred is not null")
         metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train))
         return Result(self.profile(), plan, preds, metrics, cv)

@@ -85,6 +85,7 @@ class ForecastPlan:
     interval_method: str | None = None
     params: dict = field(default_factory=dict)
     residual_bins: int = 0
+    transform: str | None = None
 
     def to_dict(self) -> dict:
         return {k: _plain(v) for k, v in asdict(self).items()}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators import drift, evaluation, features
+from seriesloom.functions import scaling
+from seriesloom.operators import buckets, drift, evaluation, features
 from seriesloom.plans import arima, models, quantiles, search
-from seriesloom.queries.base import HOURLY, hourly_grid, rounded, rsql, table
+from seriesloom.queries.base import HOURLY, REVENUE, hourly_grid, revenue, rounded, rsql, table
 from seriesloom.queries.registry import register
 
 # Recursive forecasts by boosted trees
@@ -211,3 +212,42 @@ def feature_elimination_cv(spark, d):
     _, scores = search.select_features_cv(matrix, ["lag_1", "lag_24"], "fold")
     rows = [(s["features"], s["mse"]) for s in scores]
     return spark.createDataFrame(rows, "features long, mse double").select("features", rounded("mse", 6).alias("mse"))
+
+
+# One long series in buckets
+
+
+@register(f"""WITH {REVENUE} SELECT ts, pos, y, lag(y, 1) OVER o AS lag_1, lag(y, 30) OVER o AS lag_30, CASE WHEN count(y) OVER w = 7 THEN {rsql("avg(y) OVER w", 3)} END AS roll_mean_7,
+CASE WHEN count(y) OVER v = 30 THEN {rsql("max(y) OVER v", 3)} END AS roll_max_30 FROM revenue_grid
+WINDOW o AS (ORDER BY pos), w AS (ORDER BY pos ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), v AS (ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
+def bucketed_features(spark, d):
+    """Grid, lags and rolling statistics of one series, cut into buckets with halos."""
+    grid = buckets.bucketed_asfreq(revenue(spark, d), "D", 256)
+    out = buckets.bucketed_features(grid, [1, 30], [("mean", 7), ("max", 30)], rows=256)
+    return out.select("ts", "pos", "y", "lag_1", "lag_30", rounded("roll_mean_7", 3).alias("roll_mean_7"), rounded("roll_max_30", 3).alias("roll_max_30"))
+
+
+@register(f"""WITH {HOURLY}, s AS (SELECT *, sum((y IS NOT NULL)::INT) OVER w AS back, sum((y IS NOT NULL)::INT) OVER (PARTITION BY series_id ORDER BY pos DESC) AS ahead FROM hourly_grid WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+k AS (SELECT *, max(CASE WHEN y IS NOT NULL THEN pos END) OVER (PARTITION BY series_id, back) AS p0, max(y) OVER (PARTITION BY series_id, back) AS y0,
+  max(CASE WHEN y IS NOT NULL THEN pos END) OVER (PARTITION BY series_id, ahead) AS p1, max(y) OVER (PARTITION BY series_id, ahead) AS y1 FROM s)
+SELECT series_id, ts, pos, {rsql("CASE WHEN y IS NOT NULL THEN y ELSE y0 + (y1 - y0) * (pos - p0) / (p1 - p0) END", 6)} AS filled FROM k""")
+def bucketed_fill(spark, d):
+    """Linear filling by buckets of positions, across those without a value."""
+    out = buckets.bucketed_fill(hourly_grid(spark, d), "interpolate", rows=50)
+    return out.select("series_id", "ts", "pos", rounded("filled", 6).alias("filled"))
+
+
+# Power transformations
+
+
+_POWERS = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
+
+
+@register(f"""WITH x AS (SELECT event_type AS series_id, value + 1 AS y FROM events WHERE value IS NOT NULL AND value > 0),
+p AS (SELECT unnest({_POWERS})::DOUBLE AS k),
+s AS (SELECT series_id, k, round(-count(*) / 2 * ln(var_pop(CASE WHEN k = 0 THEN ln(y) ELSE (y ** k - 1) / k END)) + (k - 1) * sum(ln(y)), 9) AS score FROM x, p GROUP BY series_id, k)
+SELECT series_id, k AS exponent FROM s QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score DESC, abs(k - 1), k) = 1""")
+def power_transform(spark, d):
+    """The exponent of greatest likelihood of each event type's values, from one aggregate over the grid."""
+    events = table(spark, d, "events").where("value > 0").select(F.col("event_type").alias("series_id"), F.col("value").alias("y"))
+    return scaling.fit_power(events, powers=_POWERS).select("series_id", "exponent")
