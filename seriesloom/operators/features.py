@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesloom.functions.frequency import Freq
+from seriesloom.sources.scratch import Steps
 
 STATS = ("mean", "std", "min", "max", "sum", "median", "ratio_min_max", "coef_variation", "ewm")
 EWM_ALPHA = 0.3
@@ -163,9 +164,22 @@ def multivariate_lags(grid: DataFrame, series: list[str], lags: int | list[int],
 
 
 def series_encoding(df: DataFrame) -> DataFrame:
-    """Each series id with its 0-based place in order."""
-    ids = df.select("series_id").distinct()
-    return ids.select("series_id", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("long").alias("series_code"))
+    """Each series id with its 0-based place in order.
+
+    Ids are sorted by range over the partitions, which is written once; a count a partition then says where
+    each partition's places begin. No task sees the ids of another.
+    """
+    ids = df.select("series_id").distinct().sort("series_id").withColumn("_id", F.monotonically_increasing_id())
+    ids = Steps(df.sparkSession, "series").written(ids)
+    part = F.shiftright("_id", 33)
+    sizes = {r["p"]: r["n"] for r in ids.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += sizes[p]
+    begin = F.try_element_at(F.create_map(*starts), part) if starts else F.lit(0).cast("long")
+    within = F.col("_id") - F.shiftleft(part, 33)
+    return ids.select("series_id", (begin + within).cast("long").alias("series_code"))
 
 
 def event_distance(grid: DataFrame, event: Column, fill: int) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scaling
-from seriesloom.operators import buckets, drift, evaluation, features
+from seriesloom.operators import autocorrelation, buckets, drift, evaluation, features
 from seriesloom.plans import arima, models, quantiles, search
-from seriesloom.queries.base import HOURLY, REVENUE, hourly_grid, revenue, rounded, rsql, table
+from seriesloom.queries.base import HOURLY, REVENUE, hourly_grid, revenue, revenue_grid, rounded, rsql, table
+from seriesloom.queries.registry import _two_sided_sql as two_sided_sql
 from seriesloom.queries.registry import register
 
 # Recursive forecasts by boosted trees
@@ -251,3 +252,26 @@ def power_transform(spark, d):
     """The exponent of greatest likelihood of each event type's values, from one aggregate over the grid."""
     events = table(spark, d, "events").where("value > 0").select(F.col("event_type").alias("series_id"), F.col("value").alias("y"))
     return scaling.fit_power(events, powers=_POWERS).select("series_id", "exponent")
+
+
+# The whole lag screen
+
+
+_TRIED_LAGS = 12
+
+
+@register(f"""WITH RECURSIVE {REVENUE}, z AS (SELECT pos, coalesce(y, 0) - lag(coalesce(y, 0)) OVER (ORDER BY pos) AS z FROM revenue_grid),
+e AS (SELECT pos, z - avg(z) OVER () AS e FROM z WHERE z IS NOT NULL),
+a AS (SELECT k, sum(e.e * e2.e) / (SELECT sum(e * e) FROM e) AS r FROM e, range(1, {_TRIED_LAGS + 1}) t(k) JOIN e e2 ON e2.pos = e.pos - k GROUP BY k),
+r AS (SELECT list(r ORDER BY k) AS r, (SELECT count(*) FROM e) AS n FROM a),
+d AS (SELECT 1::BIGINT AS k, [r[1]] AS phi, r[1] AS pacf, r, n FROM r
+  UNION ALL SELECT k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - next * phi[k + 1 - j]), next), next, r, n
+  FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS next FROM d WHERE k < {_TRIED_LAGS})),
+p AS (SELECT k, pacf, {two_sided_sql("least(abs(pacf) * sqrt(n / 2), 4)")} AS p FROM d),
+b AS (SELECT *, max(CASE WHEN p <= rk * 0.05 / m THEN p END) OVER () AS cut FROM (SELECT *, row_number() OVER (ORDER BY p, k) AS rk, count(*) OVER () AS m FROM p))
+SELECT k AS lag, {rsql("pacf", 6)} AS pacf FROM b WHERE p <= cut AND abs(pacf) > 0.05""")
+def significant_lags(spark, d):
+    """Partial autocorrelations of the changes of daily revenue that pass the false-discovery screen and the effect floor."""
+    grid = features.difference(revenue_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0))))
+    grid = grid.where("pos > 0").select("series_id", "ts", (F.col("pos") - 1).alias("pos"), F.col("diff").alias("y"))
+    return autocorrelation.significant_lags(grid, _TRIED_LAGS, min_effect=0.05).select("lag", rounded("pacf", 6).alias("pacf"))
