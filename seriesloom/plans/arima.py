@@ -57,10 +57,19 @@ def _columns(order: tuple[int, int, int, int], z_lags: list[int], e_lags: list[i
     return z + [len(z_lags) + i for i, k in enumerate(e_lags) if k <= q or (sq and k == season)]
 
 
+def growth(beta: np.ndarray, z_lags: list[int]) -> float:
+    """The factor by which values grow in the long run: the largest root of the autoregression."""
+    reach = max(z_lags, default=0)
+    phi = np.zeros(reach)
+    for b, k in zip(beta[: len(z_lags)], z_lags, strict=True):
+        phi[k - 1] = b
+    return float(np.abs(np.roots([1.0, *-phi])).max(initial=0.0)) if phi.any() else 0.0
+
+
 def best_order(sums: np.ndarray, tried: list[tuple[int, int, int, int]], z_lags: list[int], e_lags: list[int], season: int, criterion: str = "bic") -> tuple | None:
     """Of packed sums of (lags of values, lags of shocks, value, 1) the order of least BIC or AICc.
 
-    Gives p, q, P, Q, the coefficients of all lags with those left out zero and the intercept last, the
+    Orders whose values would grow without bound are left out, unless no other is tried. Gives p, q, P, Q, the coefficients of all lags with those left out zero and the intercept last, the
     shocks' deviation and the criterion; None where there are too few rows. Ties go to the fewest coefficients.
     """
     width = len(z_lags) + len(e_lags) + 2
@@ -77,6 +86,8 @@ def best_order(sums: np.ndarray, tried: list[tuple[int, int, int, int]], z_lags:
         full[[*held, width - 2]] = beta
         inner = np.append(full[:-1], [-1.0, full[-1]])
         rss = max(float(inner @ g @ inner), 1e-12 * max(g[-2, -2], 1e-300))
+        if len(tried) > 1 and growth(full, z_lags) > 1 + 1e-3:
+            continue
         score = n * np.log(rss / n) + (k * np.log(n) if criterion == "bic" else 2 * k + 2 * k * (k + 1) / (n - k - 1))
         if best is None or score < best[-1] - 1e-9:
             best = (*order, full.tolist(), float(np.sqrt(rss / max(n - len(held) - 1, 1))), float(score))

@@ -59,21 +59,20 @@ FROM (SELECT series_id, avg({y}) AS my, avg({x}) AS mx, avg({z}) AS mz, regr_sxx
 covar_pop({x}, {y}) * count(*) AS sxy, covar_pop({z}, {y}) * count(*) AS szy FROM {rows} GROUP BY series_id)))"""
 
 
-@register(f"""WITH RECURSIVE {HOURLY}, x AS (SELECT series_id, ts, pos, coalesce(y, 0) AS y FROM hourly_grid),
-l AS (SELECT *, lag(y) OVER w AS a FROM x WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
-r AS (SELECT series_id, regr_slope(y, a) AS k, regr_intercept(y, a) AS c FROM l WHERE a IS NOT NULL GROUP BY 1),
-e AS (SELECT l.series_id, ts, pos, y, a, y - k * a - c AS e FROM l JOIN r USING (series_id)),
-m AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM e),
-full_rows AS (SELECT * FROM m WHERE a IS NOT NULL AND b IS NOT NULL), o AS {_ols("y", "a", "b", "full_rows")},
-t AS (SELECT series_id, arg_max(y, pos) AS y, arg_max(e, pos) AS e, max(ts) AS ts FROM e GROUP BY 1),
-f AS (SELECT series_id, ts, b1, b2, b0, 0::BIGINT AS step, y AS pred, e FROM o JOIN t USING (series_id)
-  UNION ALL SELECT series_id, ts, b1, b2, b0, step + 1, b1 * pred + b2 * e + b0, 0.0 FROM f WHERE step < 6)
-SELECT series_id, step::INT AS step, ts + to_hours(step) AS ts, {rsql("pred", 4)} AS pred FROM f WHERE step > 0""")
+@register(f"""WITH RECURSIVE {REVENUE}, x AS (SELECT *, coalesce(y, 0) AS v, coalesce(y, 0) - lag(coalesce(y, 0)) OVER (ORDER BY pos) AS z FROM revenue_grid),
+l AS (SELECT *, lag(z) OVER (ORDER BY pos) AS a FROM x),
+r AS (SELECT regr_slope(z, a) AS k, regr_intercept(z, a) AS c FROM l WHERE a IS NOT NULL),
+e AS (SELECT series_id, ts, pos, v, z, a, z - k * a - c AS e FROM l, r), m AS (SELECT *, lag(e) OVER (ORDER BY pos) AS b FROM e),
+full_rows AS (SELECT * FROM m WHERE a IS NOT NULL AND b IS NOT NULL), o AS {_ols("z", "a", "b", "full_rows")},
+t AS (SELECT arg_max(v, pos) AS y, arg_max(z, pos) AS z, arg_max(e, pos) AS e, max(ts) AS ts FROM e),
+f AS (SELECT ts, b1, b2, b0, 0::BIGINT AS step, y AS pred, z, e FROM o, t
+  UNION ALL SELECT ts, b1, b2, b0, step + 1, pred + b1 * z + b2 * e + b0, b1 * z + b2 * e + b0, 0.0 FROM f WHERE step < 6)
+SELECT step::INT AS step, ts + to_days(step::INT) AS ts, {rsql("pred", 0)} AS pred FROM f WHERE step > 0""")
 def arima_forecast(spark, d):
-    """One lag of values and one of shocks, whose shocks come from an autoregression on one lag."""
-    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
-    out = arima.arima_forecast(grid, 6, "h", 0, long=1, tried=[(1, 1, 0, 0)])
-    return out.select("series_id", "step", "ts", rounded("pred", 4).alias("pred"))
+    """Daily changes of revenue by one lag of values and one of shocks, the changes added up again."""
+    grid = revenue_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    out = arima.arima_forecast(grid, 6, "D", 1, long=1, tried=[(1, 1, 0, 0)])
+    return out.select("step", "ts", rounded("pred", 0).alias("pred"))
 
 
 @register(f"""WITH {HOURLY}, x AS (SELECT series_id, pos, coalesce(y, 0) AS y FROM hourly_grid),

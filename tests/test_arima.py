@@ -122,3 +122,12 @@ def test_the_assistant_runs_it(spark):
     assert back.predictions.count() == 60 and back.metrics.first()["mae"] < 60
     board = a.compare([("arima", {"strategy": "statistical", "estimator": "arima"}), ("hw", {"strategy": "statistical"})], 6)
     assert board.leaderboard.where("value is not null").count() == 2
+
+
+def test_orders_that_grow_without_bound_are_left_out():
+    assert arima.growth(np.array([1.1, 0.0]), [1]) == pytest.approx(1.1) and arima.growth(np.array([0.0]), []) == 0
+    assert arima.growth(np.array([0.0, 0.81, 0.0]), [1, 2]) == pytest.approx(0.9)
+    y = 1.05 ** np.arange(200.0)
+    x = np.stack([y[:-1], y[1:], np.ones(199)], 1)
+    found = arima.best_order((x.T @ x).ravel(), arima.orders(1, 0), [1], [], 0)
+    assert found[0] == 0 and arima.best_order((x.T @ x).ravel(), [(1, 0, 0, 0)], [1], [], 0)[0] == 1
