@@ -296,12 +296,18 @@ def recursive_forecast(
         rows = rows.join(residuals, on) if on else rows.crossJoin(F.broadcast(residuals))  # one model
     else:
         rows = rows.withColumns({"resid": F.lit(None).cast("array<double>"), "edges": F.lit(None).cast("array<double>"), "by_level": F.lit(None).cast("array<array<double>>")})
-    ahead = rows.select(*keys, "tail", "beta", "resid", "edges", "by_level", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
-    dated = add_calendar(ahead, calendar or [], encoding)
-    names = [*[c for c in dated.columns if c not in ahead.columns], *(exog_names or [])]
-    dated = with_known(dated, exog, exog_names or [])
-    known = F.array(*[F.col(n).cast("double") for n in names]) if names else F.array().cast("array<double>")
-    packed = dated.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("beta").alias("beta"), F.first("resid").alias("resid"), F.first("edges").alias("edges"), F.first("by_level").alias("by_level"), F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
+    held = ["tail", "beta", "resid", "edges", "by_level"]
+    none = F.array().cast("array<double>")
+    if calendar or exog_names:
+        ahead = rows.select(*keys, *held, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "last_ts").withColumn("ts", step.shift(F.col("last_ts"), F.col("step")))
+        dated = add_calendar(ahead, calendar or [], encoding)
+        names = [*[c for c in dated.columns if c not in ahead.columns], *(exog_names or [])]
+        dated = with_known(dated, exog, exog_names or [])
+        known = F.array(*[F.col(n).cast("double") for n in names]) if names else none
+        packed = dated.groupBy(*keys).agg(*[F.first(c).alias(c) for c in held], F.array_sort(F.collect_list(F.struct("step", "ts", known.alias("known")))).alias("ahead"))
+    else:  # nothing is known ahead: the steps stay in their row, and nothing is shuffled
+        places = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda s: F.struct(s.alias("step"), step.shift(F.col("last_ts"), s).alias("ts"), none.alias("known")))
+        packed = rows.select(*keys, *held, places.alias("ahead"))
 
     stats = {stat: ARRAY_STATS[stat] for stat, _ in windows}  # the caller's own go to the workers too
 

@@ -474,9 +474,15 @@ def _two_sided_sql(x: str) -> str:
     return f"1 - 2 / sqrt(pi()) * (SELECT sum((-1) ** k * ({x}) ** (2 * k + 1) / ((2 * k + 1) * gamma(k + 1))) FROM range(0, 60) t(k))"
 
 
-@register(f"WITH z AS (SELECT (i / 20)::DOUBLE AS z FROM range(0, 61) t(i)) SELECT z, {rsql(_two_sided_sql('z / sqrt(2)'), 6)} AS p FROM z")
+@register(f"""WITH {HOURLY}, s AS (SELECT series_id, avg(y) AS m, stddev_samp(y) AS d FROM hourly GROUP BY 1),
+z AS (SELECT DISTINCT series_id, y, abs(y - m) / d AS z FROM hourly JOIN s USING (series_id))
+SELECT series_id, y, {rsql("z", 4)} AS z, {rsql(_two_sided_sql("least(z, 5) / sqrt(2)"), 3)} AS p FROM z""")
 def two_sided_p(spark, d):
-    return spark.range(61).select((F.col("id") / 20).alias("z")).select("z", rounded(autocorrelation.two_sided(F.col("z")), 6).alias("p"))
+    """How unusual each hourly count of a series is under a normal distribution."""
+    counts = hourly(spark, d)
+    moments = counts.groupBy("series_id").agg(F.avg("y").alias("_m"), F.stddev_samp("y").alias("_d"))
+    rows = counts.select("series_id", "y").distinct().join(moments, "series_id").withColumn("z", F.abs(F.col("y") - F.col("_m")) / F.col("_d"))
+    return rows.select("series_id", "y", rounded("z", 4).alias("z"), rounded(autocorrelation.two_sided(F.least("z", F.lit(5.0))), 3).alias("p"))
 
 
 # Metrics
