@@ -91,29 +91,29 @@ def naive_scale(train: DataFrame, lag: int = 1) -> DataFrame:
 
 _CUSTOM: dict[str, Callable[[Column, Column], Column]] = {}
 _ARRAYS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {}
+_TRAINED: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {}
 BUILT_IN = ("mae", "mse", "rmse", "mape", "smape", "medae", "msle", "mase", "rmsse")
 
 
-def register_metric(name: str, build: Callable[[Column, Column], Column] | None = None, array: Callable[[np.ndarray, np.ndarray], float] | None = None) -> None:
+def register_metric(name: str, build: Callable[[Column, Column], Column] | None = None, array: Callable[[np.ndarray, np.ndarray], float] | None = None, trained: Callable[[np.ndarray, np.ndarray, np.ndarray], float] | None = None) -> None:
     """A metric of the caller's own, the lower the better: an aggregate of the columns of values and predictions.
 
     Where no aggregate says it, ``array`` takes the values and predictions of a group as arrays; it runs
-    as a grouped pandas aggregate, so a group's rows must fit in a task.
+    as a grouped pandas aggregate, so a group's rows must fit in a task. ``trained`` takes the series' training
+    values in order as well; these must fit in a task too.
     """
     if name in BUILT_IN:
         raise ValueError(f"{name} is built in")
-    if (build is None) == (array is None):
+    if sum(f is not None for f in (build, array, trained)) != 1:
         raise ValueError("give an aggregate or a function of arrays")
-    _CUSTOM.pop(name, None)
-    _ARRAYS.pop(name, None)
-    if build:
-        _CUSTOM[name] = build
-    else:
-        _ARRAYS[name] = array
+    for known, function in ((_CUSTOM, build), (_ARRAYS, array), (_TRAINED, trained)):
+        known.pop(name, None)
+        if function:
+            known[name] = function
 
 
 def known_metrics() -> list[str]:
-    return [*BUILT_IN, *_CUSTOM, *_ARRAYS]
+    return [*BUILT_IN, *_CUSTOM, *_ARRAYS, *_TRAINED]
 
 
 def _array_column(function: Callable[[np.ndarray, np.ndarray], float]) -> Column:
@@ -165,15 +165,34 @@ def metric(name: str, y: Column, pred: Column) -> Column:
     return build[name]()
 
 
-def evaluate(preds: DataFrame, metrics: list[str], scale: DataFrame | None = None, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """Metrics by ``keys`` over ``preds(…, y, pred)``; mase and rmsse need ``scale`` from ``naive_scale``."""
+def _with_training(preds: DataFrame, train: DataFrame, names: list[str]) -> DataFrame:
+    """``series_id`` and the metrics that take training values: each series' predictions meet its training rows."""
+    functions = {n: _TRAINED[n] for n in names}
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame(columns=["series_id", *functions])
+        past = b.sort_values("ts")["y"].dropna().to_numpy(float)
+        return pd.DataFrame([(key[0], *[float(f(a["y"].to_numpy(float), a["pred"].to_numpy(float), past)) for f in functions.values()])], columns=["series_id", *functions])
+
+    schema = "series_id string" + "".join(f", `{n}` double" for n in functions)
+    return preds.select("series_id", "y", "pred").groupBy("series_id").cogroup(train.select("series_id", "ts", "y").groupBy("series_id")).applyInPandas(run, schema)
+
+
+def evaluate(preds: DataFrame, metrics: list[str], scale: DataFrame | None = None, keys: tuple[str, ...] = ("series_id",), train: DataFrame | None = None) -> DataFrame:
+    """Metrics by ``keys`` over ``preds(…, y, pred)``; mase and rmsse need ``scale`` from ``naive_scale``, the caller's own that take training values need ``train``."""
     arrays = [m for m in metrics if m in _ARRAYS]
-    plain = [m for m in metrics if m not in ("mase", "rmsse", *arrays)]
+    trained = [m for m in metrics if m in _TRAINED]
+    if trained and (train is None or keys != ("series_id",)):
+        raise ValueError(f"{', '.join(trained)} need the training rows, and are by series")
+    plain = [m for m in metrics if m not in ("mase", "rmsse", *arrays, *trained)]
     scaled = [m for m in metrics if m in ("mase", "rmsse")]
     base = {m: metric(m, F.col("y"), F.col("pred")) for m in dict.fromkeys([*plain, *(["mae"] if "mase" in scaled else []), *(["mse"] if "rmsse" in scaled else [])])}
     out = preds.groupBy(*keys).agg(*[c.alias(m) for m, c in (base or {"_n": F.count(F.lit(1))}).items()])
     if arrays:  # Spark does not mix pandas aggregates with its own
         out = out.join(preds.groupBy(*keys).agg(*[_array_column(_ARRAYS[m]).alias(m) for m in arrays]), list(keys))
+    if trained:
+        out = out.join(_with_training(preds, train, trained), "series_id")
     if scaled:
         if scale is None:
             raise ValueError("mase and rmsse need the training scale")

@@ -100,6 +100,33 @@ def add_features(grid: DataFrame, lags: int | list[int] | None = None, windows:
     return grid.withColumns(columns) if columns else grid
 
 
+FILLS = ("mean", "median", "ffill", "bfill")
+
+
+def fill_features(matrix: DataFrame, names: list[str], method: str | float) -> DataFrame:
+    """Features without their missing values: by the series' ``mean`` or ``median`` of the feature, the value before
+    (``ffill``) or after (``bfill``), or a number. Where a series has no such value nulls stay.
+    """
+    if isinstance(method, (int, float)) and not isinstance(method, bool):
+        return matrix.withColumns({n: F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float(method))) for n in names})
+    if method not in FILLS:
+        raise ValueError(f"missing features are filled by {', '.join(FILLS)} or a number")
+    if method in ("mean", "median"):
+        of = F.avg if method == "mean" else lambda c: F.percentile(c, 0.5)
+        centre = matrix.groupBy("series_id").agg(*[of(F.col(f"`{n}`").cast("double")).alias(f"_c{i}") for i, n in enumerate(names)])
+        met = matrix.join(centre, "series_id")
+        return met.withColumns({n: F.coalesce(F.col(f"`{n}`").cast("double"), F.col(f"_c{i}")) for i, n in enumerate(names)}).drop(*[f"_c{i}" for i in range(len(names))])
+    w = _by_series().rowsBetween(Window.unboundedPreceding, 0) if method == "ffill" else _by_series().rowsBetween(0, Window.unboundedFollowing)
+    pick = F.last if method == "ffill" else F.first
+    return matrix.withColumns({n: pick(F.col(f"`{n}`").cast("double"), ignorenulls=True).over(w) for n in names})
+
+
+def series_onehot(df: DataFrame, ids: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column of 0 and 1 for each of ``ids``, and the columns' names; another series has zeros in all."""
+    names = {f"series_is_{i}": (F.col("series_id") == v).cast("double") for i, v in enumerate(ids)}
+    return df.withColumns(names), list(names)
+
+
 def difference(grid: DataFrame, order: int = 1, column: str = "y", out: str = "diff") -> DataFrame:
     """The ``order``-th difference by position, from binomial coefficients over lags: one window."""
     value, c = F.col(column), 1

@@ -403,7 +403,7 @@ class Assistant:
         metrics = None
         if test is not None:
             met = preds.join(test.select("series_id", "ts", "y"), ["series_id", "ts"]).where("y is not null and pred is not null")
-            metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train))
+            metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train), train=train)
         return Result(p, plan, preds, metrics)
 
     def _scaled(self, plan: ForecastPlan, train: DataFrame, *frames: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
@@ -594,7 +594,7 @@ class Assistant:
                 preds = models.backtest_direct(scaled, folds, design, cv.steps, cv.gap, plan.strategy == "direct", self._weight(), estimator=plan.estimator, alpha=plan.alpha, params=plan.params, drop_null=plan.drop_null, interval=plan.interval)
             preds = self._unscaled(preds, fitted, plan.transform)
         met = preds.where("y is not null and pred is not null")
-        metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train))
+        metrics = evaluation.evaluate(met, plan.metrics, evaluation.naive_scale(train), train=train)
         return Result(self.profile(), plan, preds, metrics, cv)
 
     def _first_training(self, grid: DataFrame, folds: DataFrame, plan: ForecastPlan, cv: CVParams) -> DataFrame:

@@ -274,3 +274,15 @@ def significant_lags(spark, d):
     grid = features.difference(revenue_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0))))
     grid = grid.where("pos > 0").select("series_id", "ts", (F.col("pos") - 1).alias("pos"), F.col("diff").alias("y"))
     return autocorrelation.significant_lags(grid, _TRIED_LAGS, min_effect=0.05).select("lag", rounded("pacf", 6).alias("pacf"))
+
+
+# Missing features
+
+
+@register(f"""WITH {REVENUE}, m AS (SELECT ts, pos, y, lag(y, 7) OVER o AS lag_7, CASE WHEN count(y) OVER w = 3 THEN avg(y) OVER w END AS roll FROM revenue_grid
+WINDOW o AS (ORDER BY pos), w AS (ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT ts, {rsql("coalesce(lag_7, median(lag_7) OVER ())", 4)} AS lag_7, {rsql("coalesce(roll, median(roll) OVER ())", 4)} AS roll_mean_3 FROM m""")
+def feature_fill(spark, d):
+    """Lags and rolling means whose missing values are the series' medians."""
+    out = features.fill_features(features.add_features(revenue_grid(spark, d), [7], [("mean", 3)]), ["lag_7", "roll_mean_3"], "median")
+    return out.select("ts", rounded("lag_7", 4).alias("lag_7"), rounded("roll_mean_3", 4).alias("roll_mean_3"))
