@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import _kernel as K
+from seriesloom.llm._bitmap import bitmap
 from seriesloom.llm._rows import as_row, text_key
 from seriesloom.llm._store import Scratch
 from seriesloom.llm.langid import HashArray
@@ -187,19 +188,6 @@ def _document_windows(bitmap, lengths: list[int]):
     return run
 
 
-def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size over window hashes, one a task, merged on the driver."""
-
-    def run(batches):
-        out = np.zeros(1 << bits, bool)
-        for batch in batches:
-            out[(batch.column(0).to_numpy().view(np.uint64) & K.U64((1 << bits) - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
-
-    parts = windows.select("window").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator()
-    return reduce(np.bitwise_or, (np.frombuffer(p["bits"], np.uint8) for p in parts), np.zeros((1 << bits) // 8, np.uint8))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: ``doc_id, text_key, item_id, windows, coverage``.
 
@@ -215,9 +203,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = scratch.table(items.mapInArrow(_item_windows(window), ITEM_SCHEMA), "items")
     lengths = sorted(r[0] for r in items.select("key").distinct().collect())  # at most ``window`` values
-    bitmap = spark.sparkContext.broadcast(_bitmap(items, BITMAP_BITS))
+    filled = spark.sparkContext.broadcast(bitmap(items.select("window"), BITMAP_BITS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = scratch.table(rows.mapInArrow(_document_windows(bitmap, lengths), WINDOW_SCHEMA), "windows")
+    found = scratch.table(rows.mapInArrow(_document_windows(filled, lengths), WINDOW_SCHEMA), "windows")
 
     # joined by template, one of all items that differ in values only; the items come back at the end
     theirs = items.select("window", "template", "total", "plain", "exact", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).dropDuplicates(["template", "item_at"])

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import _kernel as K
+from seriesloom.llm._bitmap import bitmap
 from seriesloom.llm._graph import connected_components
 from seriesloom.llm._rows import as_row, row_order, text_key
 from seriesloom.llm._store import Scratch
@@ -264,20 +264,6 @@ def _candidate_edges(prefixes: DataFrame, threshold: int, scratch: Scratch) -> D
     return counted.unionByName(heads)
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A fixed-size bitmap of hashed ids, merged from one bitmap a task."""
-
-    def run(batches):
-        out = np.zeros(1 << bits, bool)
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            out[(K.mix(at) & K.U64((1 << bits) - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
-
-    parts = ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator()
-    return reduce(np.bitwise_or, (np.frombuffer(p["bits"], np.uint8) for p in parts), np.zeros((1 << bits) // 8, np.uint8))
-
-
 def _members(order, wanted, bits: int, k: int, threshold: int):
     """Third pass: whole ordered sets of the documents whose id is in the bitmap."""
 
@@ -415,7 +401,7 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
 
     ids = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(clusters.select("fp"), "fp").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-    wanted = spark.sparkContext.broadcast(_bitmap(ids, BITMAP_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap(ids, BITMAP_BITS, K.mix))
     whole = docs.mapInArrow(_members(order, wanted, BITMAP_BITS, k, threshold), "fp long, n int, matches int, tokens binary")
     spare = Window.partitionBy("fp").orderBy("n")
     whole = whole.join(placed, "fp").withColumn("copy", F.row_number().over(spare)).where("copy = 1").drop("copy")

@@ -42,5 +42,5 @@ def test_stages_take_an_empty_table(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
