@@ -51,7 +51,8 @@ def fit_quantiles(matrix: DataFrame, features: list[str], quantiles: list[float]
     keys = keys or []
     columns = [F.col(f"`{n}`").cast("double") for n in features]
     rows = matrix.select(*keys, F.array(*columns, F.lit(1.0), F.col(f"`{target}`").cast("double")).alias("_x")).where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
-    stats = rows.select(F.element_at("_x", -1).alias("y")).agg(F.stddev_samp("y")).first()[0] or 1.0
+    y = F.col(f"`{target}`").cast("double")
+    stats = matrix.agg(F.stddev_samp(F.when(~F.isnan(y), y))).first()[0] or 1.0
     width, count = len(features) + 2, len(quantiles)
     first = models.fit_ridge(matrix, features, keys, TINY, target).select(*keys, "beta")
     betas = first.select(*keys, F.array(*[F.col("beta")] * count).alias("_b"))
@@ -76,8 +77,8 @@ def fit_quantiles(matrix: DataFrame, features: list[str], quantiles: list[float]
         new = steps.written(solved.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "b"))), lambda c: c["b"]).alias("_b")).where(F.size("_b") > 0))
         old = state.withColumnRenamed("_b", "_old")
         both = new.join(old, keys) if keys else new.crossJoin(F.broadcast(old))
-        apart = F.zip_with(F.flatten("_b"), F.flatten("_old"), lambda u, v: F.abs(u - v))
-        moved, state = both.agg(F.max(F.array_max(apart))).first()[0], new
+        apart = F.aggregate(F.zip_with(F.flatten("_b"), F.flatten("_old"), lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, d: F.greatest(s, d))
+        moved, state = both.agg(F.max(apart)).first()[0], new
         if moved is None or moved < 1e-4 * stats:
             break
     rows.unpersist()
@@ -93,13 +94,13 @@ def quantile_columns(features: list[str], quantiles: list[float]) -> dict[str, C
     return {f"q_{q}": F.element_at(ordered, int(i) + 1) for q, i in zip(quantiles, places, strict=True)}
 
 
-def quantile_forecast(grid: DataFrame, design: models.Design, steps: int, freq: str, quantiles: list[float], per_series: bool = True, exog: DataFrame | None = None) -> DataFrame:
+def quantile_forecast(grid: DataFrame, design: models.Design, steps: int, freq: str, quantiles: list[float], per_series: bool = True, exog: DataFrame | None = None, iterations: int = 30) -> DataFrame:
     """Direct forecasts ``series_id, step, ts, q_…`` from the end of each series, a model a quantile and step."""
     rows, names = models.direct_rows(grid, design, steps)
     ahead = models.extended(grid, steps, freq, exog, design.exog)
     origins, _ = models.direct_rows(ahead, design, steps)
     last = grid.groupBy("series_id").agg((F.max("pos") + 1).alias("pos"))
     keys = [*(["series_id"] if per_series else []), "step"]
-    betas = fit_quantiles(rows.where("target is not null"), names, quantiles, keys, "target")
+    betas = fit_quantiles(rows.where("target is not null"), names, quantiles, keys, "target", iterations)
     out = origins.join(last, ["series_id", "pos"]).join(betas, keys)
     return out.select("series_id", F.col("step").cast("int").alias("step"), "ts", *[c.alias(n) for n, c in quantile_columns(names, quantiles).items()])

@@ -286,3 +286,14 @@ def feature_fill(spark, d):
     """Lags and rolling means whose missing values are the series' medians."""
     out = features.fill_features(features.add_features(revenue_grid(spark, d), [7], [("mean", 3)]), ["lag_7", "roll_mean_3"], "median")
     return out.select("ts", rounded("lag_7", 4).alias("lag_7"), rounded("roll_mean_3", 4).alias("roll_mean_3"))
+
+
+# Quantile regression: iterated, so without a statement; its tests compare it with the optimum of linear programming
+
+
+@register()
+def quantile_forecast(spark, d):
+    """The next two hours of every series as three quantiles by linear models of two lags."""
+    grid = hourly_grid(spark, d).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    out = quantiles.quantile_forecast(grid, models.Design([1, 24]), 2, "h", [0.1, 0.5, 0.9], per_series=False, iterations=12)
+    return out.select("series_id", "step", "ts", *[rounded(F.col(f"`q_{q}`"), 2).alias(f"q_{int(100 * q)}") for q in (0.1, 0.5, 0.9)])

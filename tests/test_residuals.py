@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import evaluation
 from seriesloom.plans import models
 from seriesloom.plans.assistant import Assistant
 
