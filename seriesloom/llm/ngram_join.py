@@ -9,7 +9,9 @@ candidate cost: postings of the longer prefix against candidates left by the str
 
 The join never lists the pairs of a group. Prefix tokens link sets into candidate clusters by a
 linear number of edges, which need the multiplicity where all that two sets share is rare. Clusters of up to ``block`` sets are verified in one piece (multi-match
-first, then exact intersections). A larger cluster is cut into blocks, each verified within itself
+first, then exact intersections). The sets of larger clusters are joined again by an order of their own,
+whose sketch has fewer tokens to tell apart, for as long as that halves them: what chance or common
+passages had chained falls apart. A cluster that stays large is cut into blocks, each verified within itself
 and against one hub block; only sets that are then outside the cluster's largest component meet the
 other blocks. Each task gives back a spanning forest of the links that it found.
 """
@@ -32,7 +34,8 @@ from seriesloom.llm._store import Scratch
 
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
-BITMAP_BITS = 23
+#: Bits of the bitmaps of ids: eight a row, between these.
+BITMAP_BITS, MOST_BITMAP_BITS = 23, 26
 MOST_MATCHES = 512
 STRAY, EMIT, PASSAGE = 0.05, 5.0, 16.0
 SMALL_BUCKET = 8
@@ -103,13 +106,29 @@ def _scan(k: int, bits: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
             )
-        width = min(SKETCH_CHUNK, len(counts))
-        parts = [(i, counts[i * width : (i + 1) * width]) for i in range(len(counts) // width)]
-        parts = [(i, part) for i, part in parts if part.any()]
-        rows = len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names
-        )
+        chunk, part = _chunks(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(chunk), pa.int64()) for _ in range(4)), chunk, part], names)
+
+    return run
+
+
+def _chunks(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The filled chunks of a sketch: their numbers and counts."""
+    width = min(SKETCH_CHUNK, len(counts))
+    parts = [(i, counts[i * width : (i + 1) * width]) for i in range(len(counts) // width)]
+    parts = [(i, part) for i, part in parts if part.any()]
+    return pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())
+
+
+def _scan_sets(bits: int):
+    """This task's share of the sketch of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for tokens in batch.column(0):
+                np.add.at(counts, (np.frombuffer(tokens.as_buffer(), np.uint64) & K.U64(len(counts) - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([*_chunks(counts)], ["chunk", "counts"])
 
     return run
 
@@ -135,35 +154,63 @@ def _sum_sketch(chunks: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _prefixes(order, k: int, threshold: int):
-    """Second pass: (token, traits, fingerprint) for each prefix token of each set new to this task.
+def _held(ids: pa.Array, hold: np.ndarray, bits: int) -> pa.Array:
+    """Which rows have an id that is in the bitmap, or none."""
+    at = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    keep = hold[(K.mix(at) & K.U64((1 << bits) - 1)).astype(np.int64)]
+    return pa.array(keep | ids.is_null().to_numpy(zero_copy_only=False))
+
+
+def _postings(sets: list[tuple[int, np.ndarray]], ranks: _Order, threshold: int) -> pa.RecordBatch:
+    """(token, traits, fingerprint) for each prefix token of ``(fingerprint, tokens)``.
 
     ``traits`` packs size, multiplicity and salt, 12 bits each for the last two.
     """
+    tokens, traits, fps = [], [], []
+    for fp, members in sets:
+        n = len(members)
+        arranged, matches, costs = ranks.arrange(members, threshold)
+        p = len(costs)
+        spread = np.minimum(costs // HOT_POSTINGS, 4094).astype(np.int64)
+        tokens.append(arranged[:p])
+        traits.append(np.where(spread > 0, 1 + (fp & 0x7FFFFFFF) % (spread + 1), 0) | (matches << 12) | (n << 24))
+        fps.append(np.full(p, fp, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(traits).astype(np.int64)), pa.array(np.concatenate(fps))], ["token", "traits", "fp"])
+
+
+POSTING = "token long, traits long, fp long"
+
+
+def _prefixes(order, firsts, bits: int, k: int, threshold: int):
+    """Second pass: postings of each set new to this task, of the documents whose id is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, seen = order.value, set()
+        ranks, hold, seen = order.value, np.unpackbits(firsts.value).view(bool), set()
         for batch in batches:
-            for _, _, raw, bounds in K.text_chunks(batch.column(0)):
-                tokens, traits, fps = [], [], []
+            text = batch.column(1).filter(_held(batch.column(0), hold, bits))
+            for _, _, raw, bounds in K.text_chunks(text):
+                fresh = []
                 for members in K.shingle_sets(raw, bounds, k):
-                    n = len(members)
-                    if not n:
+                    if not len(members):
                         continue
                     fp = K.set_fingerprint(members)
-                    if (fp, n) in seen:
-                        continue
-                    seen.add((fp, n))
-                    arranged, matches, costs = ranks.arrange(members, threshold)
-                    p = len(costs)
-                    spread = np.minimum(costs // HOT_POSTINGS, 4094).astype(np.int64)
-                    tokens.append(arranged[:p])
-                    traits.append(np.where(spread > 0, 1 + (fp & 0x7FFFFFFF) % (spread + 1), 0) | (matches << 12) | (n << 24))
-                    fps.append(np.full(p, fp, np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(traits).astype(np.int64)), pa.array(np.concatenate(fps))], ["token", "traits", "fp"]
-                    )
+                    if (fp, len(members)) not in seen:
+                        seen.add((fp, len(members)))
+                        fresh.append((fp, members))
+                if fresh:
+                    yield _postings(fresh, ranks, threshold)
+
+    return run
+
+
+def _prefixes_of_sets(order, threshold: int):
+    """Postings of whole sets ``(fp, tokens)`` in an order of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield _postings([(fp, np.frombuffer(x.as_buffer(), np.uint64)) for fp, x in zip(part.column(0).to_pylist(), part.column(1), strict=True)], order.value, threshold)
 
     return run
 
@@ -171,7 +218,7 @@ def _prefixes(order, k: int, threshold: int):
 def _bucket_edges(threshold: int):
     """Edges of the buckets in rows sorted by token, salt, size.
 
-    A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger or
+    Rows that repeat, from copies in several tasks, count once. A bucket of up to ``SMALL_BUCKET`` sets gives its pairs of fitting sizes, to be counted; a larger or
     salted one gives its chain of neighbours, which are kept whatever they share elsewhere, that of a salt
     whatever their sizes. The first set of a salt goes out as (token, set, salt, -1).
     """
@@ -222,6 +269,8 @@ def _bucket_edges(threshold: int):
             token, traits, fp = part
             if not len(token):
                 continue
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (traits[1:] != traits[:-1]) | (fp[1:] != fp[:-1])))
+            token, traits, fp = part = [x[new] for x in part]
             salt = traits & 0xFFF
             last = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -268,13 +317,9 @@ def _members(order, wanted, bits: int, k: int, threshold: int):
     """Third pass: whole ordered sets of the documents whose id is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, hold, seen = order.value, np.unpackbits(wanted.value).astype(bool), set()
+        ranks, hold, seen = order.value, np.unpackbits(wanted.value).view(bool), set()
         for batch in batches:
-            ids = batch.column(0)
-            at = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keep = hold[(K.mix(at) & K.U64((1 << bits) - 1)).astype(np.int64)]
-            keep |= ids.is_null().to_numpy(zero_copy_only=False)
-            text = batch.column(1).filter(pa.array(keep))
+            text = batch.column(1).filter(_held(batch.column(0), hold, bits))
             for _, _, raw, bounds in K.text_chunks(text):
                 fps, sizes, matches, sets = [], [], [], []
                 for members in K.shingle_sets(raw, bounds, k):
@@ -392,28 +437,28 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     rows = first.where("chunk is null").select("doc_id", "text_key", "n", "fp")
     order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("chunk is not null").select("chunk", "counts"), SKETCH_BITS)))
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(order, k, threshold), "token long, traits long, fp long")
-    edges = _candidate_edges(prefixes, threshold, scratch)
-    clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
-    # only clusters above a block are looked up: a row for each, written so that Spark knows its size before it joins
-    sizes = scratch.table(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "sizes")
-    placed = clusters.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    # one document of each set gives its postings; those of no id, or of an id that clashes in the bitmap, are few
+    bits = max(BITMAP_BITS, min(MOST_BITMAP_BITS, (8 * rows.count()).bit_length()))
+    named = scratch.table(rows.where("n > 0").groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")), "named")
+    firsts = spark.sparkContext.broadcast(bitmap(named.select("doc_id"), bits, K.mix))
+    placed = _placed(docs.mapInArrow(_prefixes(order, firsts, bits, k, threshold), POSTING), threshold, block, scratch)
 
-    ids = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(clusters.select("fp"), "fp").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-    wanted = spark.sparkContext.broadcast(bitmap(ids, BITMAP_BITS, K.mix))
-    whole = docs.mapInArrow(_members(order, wanted, BITMAP_BITS, k, threshold), "fp long, n int, matches int, tokens binary")
+    wanted = spark.sparkContext.broadcast(bitmap(named.join(placed.select("fp"), "fp").select("doc_id"), bits, K.mix))
+    whole = docs.mapInArrow(_members(order, wanted, bits, k, threshold), "fp long, n int, matches int, tokens binary")
     spare = Window.partitionBy("fp").orderBy("n")
     whole = whole.join(placed, "fp").withColumn("copy", F.row_number().over(spare)).where("copy = 1").drop("copy")
     whole = scratch.table(whole, "members")
 
-    # clusters of one block: many in a task; larger ones: each block with the hub block
-    small = whole.where("blocks = 1").select("fp", "matches", "tokens", "cluster", F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(1 << 20)).alias("bin"))
-    bins = max(1, small.count() // (2 * block))
-    small = small.withColumn("i", F.lit(-1).cast("long")).withColumn("j", F.col("bin") % bins).drop("bin")
+    links, before = _in_one_piece(whole, threshold, block, scratch), None
     large = whole.where("blocks > 1")
-    links = small.groupBy("i", "j").applyInArrow(_verify_groups(threshold), EDGE)
-    if large.limit(1).count():
+    while (many := large.count()) and (before is None or 2 * many <= before):
+        before, last = many, whole
+        whole = scratch.table(large.drop("cluster", "blocks", "block").join(_placed_again(large, threshold, block, scratch), "fp"), "members")
+        scratch.drop(last)
+        links = scratch.table(links.unionByName(_in_one_piece(whole, threshold, block, scratch)), "links")
+        large = whole.where("blocks > 1")
+    # clusters that stay large: each block with the hub block
+    if many:
         own = large.select("fp", "matches", "tokens", "cluster", F.lit(0).alias("side"), F.col("block").alias("i"), F.col("block").alias("j"))
         links = scratch.table(links.unionByName(own.groupBy("cluster", "i", "j").applyInArrow(_verify_groups(threshold), EDGE)), "links")
         hub = large.where("block > 0").select("fp", "matches", "tokens", "cluster", F.lit(1).alias("side"), F.lit(0).cast("long").alias("i"), F.col("block").alias("j")).unionByName(
@@ -424,6 +469,34 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     return rows, scratch.table(links, "links")
 
 
+def _placed(prefixes: DataFrame, threshold: int, block: int, scratch: Scratch) -> DataFrame:
+    """``fp, cluster, blocks, block`` of the sets with candidates: their cluster, its number of blocks, and theirs."""
+    edges = _candidate_edges(prefixes, threshold, scratch)
+    clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
+    # only clusters above a block are looked up: a row for each, written so that Spark knows its size before it joins
+    sizes = scratch.table(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "sizes")
+    placed = clusters.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+
+
+def _placed_again(large: DataFrame, threshold: int, block: int, scratch: Scratch) -> DataFrame:
+    """The places of the sets of large clusters by a token order that these sets alone set.
+
+    Any order keeps the join exact. Sets without candidates in it are linked with nothing.
+    """
+    sketch = _sum_sketch(large.select("tokens").mapInArrow(_scan_sets(SKETCH_BITS), "chunk int, counts binary"), SKETCH_BITS)
+    order = large.sparkSession.sparkContext.broadcast(_Order(sketch))
+    return _placed(large.select("fp", "tokens").mapInArrow(_prefixes_of_sets(order, threshold), POSTING), threshold, block, scratch)
+
+
+def _in_one_piece(whole: DataFrame, threshold: int, block: int, scratch: Scratch) -> DataFrame:
+    """Links within the clusters of one block, many of them in a task."""
+    small = whole.where("blocks = 1").select("fp", "matches", "tokens", "cluster", F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(1 << 20)).alias("bin"))
+    bins = max(1, small.count() // (2 * block))
+    small = small.withColumn("i", F.lit(-1).cast("long")).withColumn("j", F.col("bin") % bins).drop("bin")
+    return scratch.table(small.groupBy("i", "j").applyInArrow(_verify_groups(threshold), EDGE), "links")
+
+
 def _rest(large: DataFrame, links: DataFrame, threshold: int, block: int, scratch: Scratch) -> DataFrame:
     """Links of the sets outside their cluster's largest component: these meet all blocks of the cluster."""
     found = connected_components(links, scratch)
@@ -477,10 +550,11 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75) -> Da
     name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     least = rows.where("n > 0").groupBy("fp").agg(F.min(name).alias("name"))
     keep = least.join(_roots(rows, links, scratch), "fp").groupBy("root").agg(F.min("name").alias("name"))
-    keep = scratch.table(keep.select(F.col("name.doc_id").alias("keep_id"), F.col("name.text_key").alias("keep_key")), "kept")
+    keep = scratch.table(keep.select(F.col("name.last").alias("last"), F.coalesce("name.doc_id", F.lit(0)).alias("id"), F.col("name.text_key").alias("key")), "kept")
     words = F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     whole = as_row(docs)
     own = whole.where(words).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("key", text_key(F.col("row.text")))
-    kept = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")), "left_semi")
-    kept = kept.groupBy("id", "key").agg(F.min_by("row", row_order(docs)).alias("row")).select("row")
+    own = own.withColumn("last", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
+    # the same columns join and group, so that texts are shuffled once
+    kept = own.join(keep, ["last", "id", "key"], "left_semi").groupBy("last", "id", "key").agg(F.min_by("row", row_order(docs)).alias("row")).select("row")
     return kept.unionByName(whole.where(~words)).select("row.*")

@@ -149,3 +149,28 @@ def test_names_of_columns_do_not_clash_and_reruns_agree(spark):
     first = drop_near_duplicates(df).collect()
     assert sorted(r["doc_id"] for r in first) == [1, 3]
     assert sorted(map(str, first)) == sorted(map(str, drop_near_duplicates(df.repartition(5)).collect()))
+
+
+def test_copies_of_a_set_count_once_in_a_bucket():
+    token, fp = np.zeros(12, np.int64), np.repeat([5, 6], 6)
+    traits = np.full(12, (20 << 24) | (3 << 12))
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, traits, fp)], ["token", "traits", "fp"])
+    for batches in ([rows], [rows.slice(0, 3), rows.slice(3, 5), rows.slice(8)]):
+        out = [r for part in N._bucket_edges(75)(iter(batches)) for r in part.to_pylist()]
+        assert out == [{"u": 5, "v": 6, "shared": 1, "need": 3}]
+
+
+def test_a_cluster_chained_by_a_poor_order_falls_apart(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"p{i}" for i in range(50000)]
+    passage = rng.choices(words, k=25)
+    rows = [(i, " ".join(passage + rng.choices(words, k=60))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(5)]
+    sketch, poor, met = N._sum_sketch, [True], []
+
+    # the first order does not know a token from another
+    monkeypatch.setattr(N, "_sum_sketch", lambda chunks, bits: np.ones(1 << bits, np.int32) if poor and poor.pop() else sketch(chunks, bits))
+    monkeypatch.setattr(N, "_rest", lambda large, links, *a, rest=N._rest: met.append(large.count()) or rest(large, links, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard_components(df, block=16).collect()), key=str) == brute(rows)
+    assert met == []
