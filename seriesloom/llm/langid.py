@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm._kernel import U64, mix
@@ -26,9 +26,16 @@ PRIVATE = 0xE000
 CHUNK_CHARS = 1 << 19
 #: The discount where too few grams are seen once or twice to estimate it.
 DISCOUNT = 0.75
-#: Most training documents, by hash order, that set thresholds and temperature.
+#: Most training documents, by hash order, that give the first estimates about which all are counted.
 CALIBRATION_DOCS = 4096
 LENGTH_BINS = (50, 500)
+TEMPERATURES = np.geomspace(0.05, 20, 25)
+#: A limit is the cross-entropy that this share of a language's own texts of a length is at or below, of so many at least.
+LIMIT, LEAST = 0.995, 20
+#: Cells a nat in which all training rows are counted, and most of them to either side of a first estimate.
+CELLS, SIDE = 4096, 1 << 15
+#: Log likelihoods are added as whole numbers, so that reruns agree.
+GAIN = 2.0**36
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -250,28 +257,33 @@ class LanguageModels:
             sizes[lo + filled] = n[filled]
         return out, sizes
 
-    def posterior(self, entropies: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        z = -entropies * np.sqrt(np.maximum(sizes, 1))[:, None] * self.temperature
+    def posterior(self, entropies: np.ndarray, sizes: np.ndarray, temperature: float | None = None) -> np.ndarray:
+        z = -entropies * np.sqrt(np.maximum(sizes, 1))[:, None] * (self.temperature if temperature is None else temperature)
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def gains(self, entropies: np.ndarray, sizes: np.ndarray, own: np.ndarray, temperature: float) -> np.ndarray:
+        """Log likelihood of each text's own language."""
+        return np.log(np.maximum(self.posterior(entropies, sizes, temperature)[np.arange(len(own)), own], 1e-6))
+
+    def choose_temperature(self, means: list[float]) -> None:
+        """Take the first of ``TEMPERATURES`` with the highest mean log likelihood."""
+        best = -np.inf
+        for temperature, gain in zip(TEMPERATURES, means, strict=True):
+            if gain > best + 1e-9:
+                best, self.temperature = gain, temperature
+
     def calibrate(self, entropies: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> None:
         """Temperature by likelihood, and for each language and length the cross-entropy that one in 200 of its own texts exceeds."""
         if not len(own):
             return
-        best, chosen = -np.inf, self.temperature
-        for temperature in np.geomspace(0.05, 20, 25):
-            self.temperature = temperature
-            gain = np.log(np.maximum(self.posterior(entropies, sizes)[np.arange(len(own)), own], 1e-6)).mean()
-            if gain > best + 1e-9:
-                best, chosen = gain, temperature
-        self.temperature = chosen
+        self.choose_temperature([self.gains(entropies, sizes, own, t).mean() for t in TEMPERATURES])
         bins = np.digitize(sizes, LENGTH_BINS)
         for i in range(len(self.langs)):
             for b in range(len(LENGTH_BINS) + 1):
                 values = entropies[(own == i) & (bins == b), i]
-                if len(values) >= 20:
-                    self.limits[i, b] = np.quantile(values, 0.995)
+                if len(values) >= LEAST:
+                    self.limits[i, b] = np.quantile(values, LIMIT)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         entropies, sizes = self.cross_entropies(texts)
@@ -299,10 +311,6 @@ def learn(training: DataFrame, scratch: Scratch) -> LanguageModels:
     rows = training.where("lang is not null and text is not null")
     counts = scratch.table(count_grams(rows.select("lang", "text")), "grams").toPandas()
     models = LanguageModels(counts)
-    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
-    last = hashed.select("h").orderBy("h").limit(CALIBRATION_DOCS).agg(F.max("h")).first()[0]
-    if last is None:
-        return models
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,15 +322,64 @@ def learn(training: DataFrame, scratch: Scratch) -> LanguageModels:
             rest = [batch.column(i).filter(pa.array(ok)) for i in (2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(sizes[ok]), pa.array(entropies[ok].tolist(), pa.list_(pa.float64())), *rest], ["own", "size", "entropies", "h", "t"])
 
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"), F.xxhash64("text").alias("t"))
+    measured = scratch.table(hashed.mapInArrow(measure, "own long, size long, entropies array<double>, h long, t long"), "measured")
+    last = measured.select("h").orderBy("h").limit(CALIBRATION_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return models
     # rows of one id, or of none, share a hash: the limit holds for them too
-    near = hashed.where(F.col("h") <= last).withColumn("t", F.xxhash64("text"))
-    measured = near.mapInArrow(measure, "own long, size long, entropies array<double>, h long, t long")
-    sample = measured.orderBy("h", "t").limit(CALIBRATION_DOCS).toPandas()
-    if len(sample):
-        models.calibrate(np.stack(sample["entropies"]), sample["size"].to_numpy(), sample["own"].to_numpy())
+    pilot = measured.where(F.col("h") <= last).orderBy("h", "t").limit(CALIBRATION_DOCS).toPandas()
+    models.calibrate(np.stack(pilot["entropies"]), pilot["size"].to_numpy(), pilot["own"].to_numpy())
+    _calibrate_on_all(models, measured.select("own", "size", "entropies"))
     return models
 
 
+def _calibrate_on_all(models: LanguageModels, measured: DataFrame) -> None:
+    """What ``calibrate`` would find if it held all rows of ``measured(own, size, entropies)`` at once.
+
+    Tasks add up the log likelihood under each temperature. Rows are counted by language, length and cell of
+    cross-entropy; only the values of the cell that holds a limit are read, so that the limit is exact. The
+    first estimates in ``models`` are where cells begin, and have no part in the result.
+    """
+    shared = measured.sparkSession.sparkContext.broadcast((models, np.where(np.isfinite(models.limits), models.limits, 0.0)))
+
+    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        return batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), sizes, own
+
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, many = np.zeros(len(TEMPERATURES), np.int64), 0
+        for batch in batches:
+            if batch.num_rows:
+                entropies, sizes, own = parts(batch)
+                many += len(own)
+                sums += np.array([np.rint(shared.value[0].gains(entropies, sizes, own, t) * GAIN).astype(np.int64).sum() for t in TEMPERATURES])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums), pa.array(np.full(len(sums), many))], ["i", "gain", "n"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                entropies, sizes, own = parts(batch)
+                value, band = entropies[np.arange(len(own)), own], np.digitize(sizes, LENGTH_BINS)
+                cell = np.clip(np.floor((value - shared.value[1][own, band]) * CELLS), -SIDE, SIDE).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(band), pa.array(cell), pa.array(value)], ["own", "band", "cell", "value"])
+
+    gains = measured.mapInArrow(likelihoods, "i long, gain long, n long").groupBy("i").agg(F.sum(F.col("gain").cast("decimal(38,0)")).alias("gain"), F.sum("n").alias("n")).orderBy("i").collect()
+    models.choose_temperature([float(r["gain"]) / GAIN / r["n"] for r in gains])
+
+    dealt = measured.mapInArrow(cells, "own long, band long, cell long, value double")
+    group = Window.partitionBy("own", "band")
+    counted = dealt.groupBy("own", "band", "cell").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(group)).where(F.col("total") >= LEAST)
+    counted = counted.withColumn("below", F.sum("n").over(group.orderBy("cell")) - F.col("n")).withColumn("at", LIMIT * (F.col("total") - 1))
+    found = counted.where((F.col("below") <= F.ceil("at")) & (F.col("below") + F.col("n") > F.floor("at"))).select("own", "band", "cell", "total", "below")
+    values = dealt.join(F.broadcast(found), ["own", "band", "cell"]).groupBy("own", "band", "total", "below", "value").agg(F.count("*").alias("n")).toPandas()
+    models.limits[:] = np.inf
+    for (i, b), part in values.sort_values("value").groupby(["own", "band"]):
+        at, ends = LIMIT * (part["total"].iloc[0] - 1), part["below"].min() + part["n"].cumsum().to_numpy()
+        low, high = (part["value"].to_numpy()[np.searchsorted(ends, k, "right")] for k in (np.floor(at), np.ceil(at)))
+        models.limits[i, b] = np.quantile([low, high], at - np.floor(at))
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """One row for each input row: ``doc_id, held_out, lang_pred, score, cross_entropy, rejected``.
 

@@ -153,3 +153,19 @@ def test_rows_without_an_id_do_not_break_the_bound_of_calibration(spark, monkeyp
     rows = [(None, "ab"[i % 2], ("aba " if i % 2 else "cdc ") * (1 + i % 9)) for i in range(400)]
     langid.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"), langid.Scratch(spark, "t"))
     assert seen == [40]
+
+
+@pytest.mark.parametrize("pilot", [40, 4096])
+def test_limits_and_temperature_come_from_all_training_rows(spark, monkeypatch, pilot):
+    rng = np.random.default_rng(7)
+    words = {"a": EN.split(), "b": DE.split()}
+    rows = [(i, "ab"[i % 2], " ".join(rng.choice(words["ab"[(i + (i % 37 == 0)) % 2]], rng.integers(1, 120)))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", pilot)
+    got = langid.learn(docs, langid.Scratch(spark, "t"))
+    want = LanguageModels(count_grams(docs.select("lang", "text")).toPandas())
+    entropies, sizes = want.cross_entropies([t for _, _, t in rows])
+    want.calibrate(entropies, sizes, np.array([i % 2 for i, _, _ in rows]))
+    assert np.isfinite(want.limits).sum() >= 4
+    assert got.temperature == want.temperature
+    np.testing.assert_allclose(got.limits, want.limits, rtol=1e-12)
