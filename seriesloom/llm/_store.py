@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -33,6 +37,17 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs in here go as soon as it has run, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Written tables of one query. A written table cuts the lineage and outlives lost executors."""
 
@@ -50,7 +65,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "table", codec: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back."""
         path = self.path(name)
-        df.write.parquet(path, compression=codec)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path

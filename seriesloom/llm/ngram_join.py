@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 Every document becomes the set of its distinct ``k``-word shingles. All sets share one token order,
-rare first, by a fixed-size frequency sketch summed over the whole corpus (any total order keeps the
-join exact; a good one keeps it cheap). With threshold ``t`` a set of size n and a multiplicity l
+rare first, by frequencies counted over the whole corpus in slots of leading bits, of which those above
+chance are kept as a byte (any total order keeps the join exact; a good one keeps it cheap). With threshold ``t`` a set of size n and a multiplicity l
 has the prefix of its first ``n - ceil(t n) + l`` tokens, and two sets at or above ``t`` share at
 least ``min(l, l')`` tokens of their prefixes. Each document takes the l that minimises its estimated
 candidate cost: postings of the longer prefix against candidates left by the stricter match.
@@ -10,7 +10,7 @@ candidate cost: postings of the longer prefix against candidates left by the str
 The join never lists the pairs of a group. Prefix tokens link sets into candidate clusters by a
 linear number of edges, which need the multiplicity where all that two sets share is rare. Clusters of up to ``block`` sets are verified in one piece (multi-match
 first, then exact intersections). The sets of larger clusters are joined again by an order of their own,
-whose sketch has fewer tokens to tell apart, for as long as that halves them: what chance or common
+whose slots have fewer tokens to tell apart, for as long as that halves them: what chance or common
 passages had chained falls apart. A cluster that stays large is cut into blocks, each verified within itself
 and against one hub block; only sets that are then outside the cluster's largest component meet the
 other blocks. Each task gives back a spanning forest of the links that it found.
@@ -30,10 +30,12 @@ from seriesloom.llm import _kernel as K
 from seriesloom.llm._bitmap import bitmap
 from seriesloom.llm._graph import connected_components
 from seriesloom.llm._rows import as_row, row_order, text_key
-from seriesloom.llm._store import Scratch
+from seriesloom.llm._store import Scratch, shuffles_removed
 
-SKETCH_BITS = 21
-SKETCH_CHUNK = 1 << 16
+#: Tokens are counted by their first bits, in parts by the first of these; the sketch keeps a byte for each of its places.
+SLOT_BITS, PART_BITS, SKETCH_BITS = 28, 6, 24
+#: Most tokens whose slots a task sorts at once.
+SLOT_RUN = 1 << 21
 #: Bits of the bitmaps of ids: eight a row, between these.
 BITMAP_BITS, MOST_BITMAP_BITS = 23, 26
 MOST_MATCHES = 512
@@ -69,89 +71,125 @@ def choose_matches(costs: np.ndarray, n: int, threshold: int) -> int:
 
 
 class _Order:
-    """The global token order and the posting estimates, from the broadcast sketch."""
+    """The global token order and the posting estimates, from the broadcast sketch: by level, then by token."""
 
-    def __init__(self, counts: np.ndarray):
-        self.noise = float(counts.mean())
-        self.rank = np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint64)
-        self.others = np.maximum(counts.astype(np.float64) - 1 - 2 * self.noise, 0).astype(np.float32)
-        self.mask = K.U64(len(counts) - 1)
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+        self.others = np.maximum(np.exp2(np.arange(256) / 8) - 2, 0).astype(np.float32)
+        self.shift = K.U64(65 - len(levels).bit_length())
 
     def arrange(self, tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, int, np.ndarray]:
-        """Tokens in global order, the multiplicity, and posting estimates of the prefix."""
-        at = (tokens & self.mask).astype(np.int64)
-        order = np.argsort((self.rank[at] << K.U64(56)) | (tokens >> K.U64(8)), kind="stable")
+        """Sorted tokens in global order, the multiplicity, and posting estimates of the prefix."""
+        level = self.levels[(tokens >> self.shift).astype(np.int64)]
+        order = np.argsort(level, kind="stable")
         n = len(tokens)
         longest = prefix_length(n, threshold, max(1, min(MOST_MATCHES, n // 16)))
-        costs = self.others[at[order[:longest]]]
+        costs = self.others[level[order[:longest]]]
         matches = choose_matches(costs, n, threshold)
         return tokens[order], matches, costs[: prefix_length(n, threshold, matches)]
 
 
-def _scan(k: int, bits: int):
-    """First pass: (doc_id, text_key, size, fingerprint) of each row, and this task's share of the sketch."""
+class _Slots:
+    """Slots of a task's tokens, collected to be sorted."""
+
+    def __init__(self):
+        self.held, self.count = [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append((tokens >> K.U64(64 - SLOT_BITS)).astype(np.int32))
+        self.count += len(tokens)
+
+    def out(self) -> tuple[pa.Array, pa.Array]:
+        """The filled parts and the gaps between their sorted slots, of all that was added since the last call.
+
+        A gap is as many bytes of 255 as it holds, and a byte of the rest.
+        """
+        slots = np.sort(np.concatenate([*self.held, np.zeros(0, np.int32)]))
+        self.held, self.count = [], 0
+        starts = np.arange((1 << PART_BITS) + 1) << (SLOT_BITS - PART_BITS)
+        bounds = np.searchsorted(slots, starts)
+        filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+        gaps = np.diff(slots, prepend=np.int32(0))
+        gaps[bounds[filled]] = slots[bounds[filled]] - starts[filled]
+        ends = np.cumsum(gaps // 255 + 1)
+        coded = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+        coded[ends - 1] = gaps % 255
+        cuts = np.concatenate(([0], ends))[bounds]
+        return pa.array(filled, pa.int32()), pa.array([coded[cuts[i] : cuts[i + 1]].tobytes() for i in filled], pa.binary())
+
+
+def _scan(k: int):
+    """First pass: (doc_id, text_key, size, fingerprint) of each row, and the slots of this task's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
-        names = ["doc_id", "text_key", "n", "fp", "chunk", "counts"]
+        names = ["doc_id", "text_key", "n", "fp", "part", "gaps"]
+        slots = _Slots()
+
+        def flush() -> pa.RecordBatch:
+            part, gaps = slots.out()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(part), pa.int64()) for _ in range(4)), part, gaps], names)
+
         for batch in batches:
             sizes, fps = [], []
             for _, _, raw, bounds in K.text_chunks(batch.column(1)):
-                sets = list(K.shingle_sets(raw, bounds, k))
-                sizes += map(len, sets)
-                fps += map(K.set_fingerprint, sets)
-                if sets:
-                    np.add.at(counts, (np.concatenate(sets) & K.U64(len(counts) - 1)).astype(np.int64), 1)
+                for members in K.shingle_sets(raw, bounds, k):
+                    sizes.append(len(members))
+                    fps.append(K.set_fingerprint(members))
+                    slots.add(members)
+                if slots.count >= SLOT_RUN:
+                    yield flush()
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
             )
-        chunk, part = _chunks(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(chunk), pa.int64()) for _ in range(4)), chunk, part], names)
+        yield flush()
 
     return run
 
 
-def _chunks(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The filled chunks of a sketch: their numbers and counts."""
-    width = min(SKETCH_CHUNK, len(counts))
-    parts = [(i, counts[i * width : (i + 1) * width]) for i in range(len(counts) // width)]
-    parts = [(i, part) for i, part in parts if part.any()]
-    return pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())
+def _scan_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of the tokens of whole sets."""
+    slots = _Slots()
+    for batch in batches:
+        for tokens in batch.column(0):
+            slots.add(np.frombuffer(tokens.as_buffer(), np.uint64))
+            if slots.count >= SLOT_RUN:
+                yield pa.RecordBatch.from_arrays([*slots.out()], ["part", "gaps"])
+    yield pa.RecordBatch.from_arrays([*slots.out()], ["part", "gaps"])
+
 
+def _add_slots(bits: int):
+    """The levels of whole parts: eight times the binary logarithm of the largest count of a place above chance, or 0.
 
-def _scan_sets(bits: int):
-    """This task's share of the sketch of whole sets."""
+    A count is above chance if it exceeds one token and those that share a slot with it, four deviations included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for tokens in batch.column(0):
-                np.add.at(counts, (np.frombuffer(tokens.as_buffer(), np.uint64) & K.U64(len(counts) - 1)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([*_chunks(counts)], ["chunk", "counts"])
+            for part, gaps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                coded = np.frombuffer(gaps.as_buffer(), np.uint8)
+                counts = total.setdefault(part, np.zeros(1 << (SLOT_BITS - PART_BITS), np.int32))
+                np.add.at(counts, np.cumsum(coded, dtype=np.int64)[coded != 255], 1)
+        for part in sorted(total):
+            counts = total.pop(part)
+            chance = float(counts.mean())
+            most = counts.reshape(-1, 1 << (SLOT_BITS - bits)).max(1)
+            level = np.minimum(np.log2(np.maximum(most - chance, 0) + 1) * 8, 255)
+            level[most <= 1 + chance + 4 * math.sqrt(chance)] = 0
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["part", "levels"])
 
     return run
 
 
-def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum sketch chunks as they stream in; memory stays at one sketch."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(part.as_buffer(), np.int32)
-            total[i] = total[i] + part if i in total else part.copy()
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[i].tobytes() for i in keys], pa.binary())], ["chunk", "counts"])
-
-
-def _sum_sketch(chunks: DataFrame, bits: int) -> np.ndarray:
-    """The corpus sketch on the driver: 4 * 2**bits bytes whatever the input."""
-    width = min(SKETCH_CHUNK, 1 << bits)
-    summed = chunks.repartition((1 << bits) // width, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary")
-    out = np.zeros(1 << bits, np.int32)
-    for row in summed.toLocalIterator():
-        out[row["chunk"] * width : (row["chunk"] + 1) * width] += np.frombuffer(row["counts"], np.int32)
-    return out
+def _sum_sketch(slots: DataFrame, bits: int) -> np.ndarray:
+    """The levels of all places on the driver: 2**bits bytes whatever the input."""
+    with shuffles_removed(slots.sparkSession):
+        summed = slots.repartition(1 << PART_BITS, "part").mapInArrow(_add_slots(bits), "part int, levels binary").toArrow()
+    out = np.zeros((1 << PART_BITS, 1 << (bits - PART_BITS)), np.uint8)
+    for part, levels in zip(summed.column("part").to_pylist(), summed.column("levels"), strict=True):
+        out[part] = np.frombuffer(levels.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
 
 def _held(ids: pa.Array, hold: np.ndarray, bits: int) -> pa.Array:
@@ -210,7 +248,7 @@ def _prefixes_of_sets(order, threshold: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                yield _postings([(fp, np.frombuffer(x.as_buffer(), np.uint64)) for fp, x in zip(part.column(0).to_pylist(), part.column(1), strict=True)], order.value, threshold)
+                yield _postings([(fp, np.sort(np.frombuffer(x.as_buffer(), np.uint64))) for fp, x in zip(part.column(0).to_pylist(), part.column(1), strict=True)], order.value, threshold)
 
     return run
 
@@ -296,17 +334,21 @@ def _bucket_edges(threshold: int):
     return run
 
 
-def _candidate_edges(prefixes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """A linear number of edges that keep every candidate pair in one cluster.
+def _buckets(prefixes: DataFrame, threshold: int) -> DataFrame:
+    """The edges of all buckets."""
+    salt = F.col("traits").bitwiseAND(0xFFF)
+    dealt = prefixes.repartition("token", salt).sortWithinPartitions("token", salt, "traits", "fp")
+    return dealt.mapInArrow(_bucket_edges(threshold), "u long, v long, shared long, need long")
+
+
+def _candidate_edges(edges: DataFrame) -> DataFrame:
+    """A linear number of edges that keep every candidate pair in one cluster, from those of the buckets.
 
     Two sets that share only small buckets share at least the multiplicity of these. Those that share
     a large bucket are joined by its chain: sets of all sizes between two that permit the threshold
     stand between them. A hot token's sets are chained within salts without regard to size, and so
     are the salts' first sets, which can only merge clusters.
     """
-    salt = F.col("traits").bitwiseAND(0xFFF)
-    dealt = prefixes.repartition("token", salt).sortWithinPartitions("token", salt, "traits", "fp")
-    edges = scratch.table(dealt.mapInArrow(_bucket_edges(threshold), "u long, v long, shared long, need long"), "bucket-edges")
     counted = edges.where("need >= 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
     w = Window.partitionBy("u").orderBy("shared", "v")
     heads = edges.where("need < 0").select(F.col("v").alias("a"), F.lead("v").over(w).alias("b")).where("b is not null and b <> a").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -433,9 +475,10 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    first = scratch.table(keyed.mapInArrow(_scan(k, SKETCH_BITS), "doc_id long, text_key long, n long, fp long, chunk int, counts binary"), "sets")
-    rows = first.where("chunk is null").select("doc_id", "text_key", "n", "fp")
-    order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("chunk is not null").select("chunk", "counts"), SKETCH_BITS)))
+    first = scratch.table(keyed.mapInArrow(_scan(k), "doc_id long, text_key long, n long, fp long, part int, gaps binary"), "slots")
+    rows = scratch.table(first.where("part is null").select("doc_id", "text_key", "n", "fp"), "sets")
+    order = spark.sparkContext.broadcast(_Order(_sum_sketch(first.where("part is not null").select("part", "gaps"), SKETCH_BITS)))
+    scratch.drop(first)
 
     # one document of each set gives its postings; those of no id, or of an id that clashes in the bitmap, are few
     bits = max(BITMAP_BITS, min(MOST_BITMAP_BITS, (8 * rows.count()).bit_length()))
@@ -466,13 +509,17 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, block: int =
         )
         links = scratch.table(links.unionByName(hub.groupBy("cluster", "i", "j").applyInArrow(_verify_groups(threshold), EDGE)), "links")
         links = links.unionByName(_rest(large, links, threshold, block, scratch))
-    return rows, scratch.table(links, "links")
+    links = scratch.table(links, "links")
+    scratch.drop(whole)
+    return rows, links
 
 
 def _placed(prefixes: DataFrame, threshold: int, block: int, scratch: Scratch) -> DataFrame:
     """``fp, cluster, blocks, block`` of the sets with candidates: their cluster, its number of blocks, and theirs."""
-    edges = _candidate_edges(prefixes, threshold, scratch)
+    buckets = scratch.table(_buckets(prefixes, threshold), "bucket-edges")
+    edges = _candidate_edges(buckets)
     clusters = scratch.table(connected_components(edges, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
+    scratch.drop(buckets)
     # only clusters above a block are looked up: a row for each, written so that Spark knows its size before it joins
     sizes = scratch.table(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "sizes")
     placed = clusters.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -484,7 +531,7 @@ def _placed_again(large: DataFrame, threshold: int, block: int, scratch: Scratch
 
     Any order keeps the join exact. Sets without candidates in it are linked with nothing.
     """
-    sketch = _sum_sketch(large.select("tokens").mapInArrow(_scan_sets(SKETCH_BITS), "chunk int, counts binary"), SKETCH_BITS)
+    sketch = _sum_sketch(large.select("tokens").mapInArrow(_scan_sets, "part int, gaps binary"), SKETCH_BITS)
     order = large.sparkSession.sparkContext.broadcast(_Order(sketch))
     return _placed(large.select("fp", "tokens").mapInArrow(_prefixes_of_sets(order, threshold), POSTING), threshold, block, scratch)
 

@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import ngram_join as N
 from seriesloom.llm.ngram_join import drop_near_duplicates, jaccard_components
@@ -174,3 +176,42 @@ def test_a_cluster_chained_by_a_poor_order_falls_apart(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in jaccard_components(df, block=16).collect()), key=str) == brute(rows)
     assert met == []
+
+
+def test_a_token_of_a_few_sets_is_told_from_one_of_a_single_set():
+    rng = np.random.default_rng(4)
+    shared = np.unique(rng.integers(0, 1 << 63, 2000, np.int64).view(np.uint64) << np.uint64(1))
+    slots, parts = N._Slots(), {}
+    for _ in range(8):
+        slots.add(rng.integers(0, 1 << 63, 2_000_000, np.int64).view(np.uint64) << np.uint64(1))
+        slots.add(shared)
+        for part, gaps in zip(*slots.out(), strict=True):
+            parts.setdefault(part.as_py(), []).append(gaps)
+    found = np.zeros(1 << N.SKETCH_BITS, np.uint8)
+    for part, gaps in parts.items():
+        rows = pa.RecordBatch.from_arrays([pa.array([part] * len(gaps), pa.int32()), pa.array([x.as_py() for x in gaps])], ["part", "gaps"])
+        (out,) = N._add_slots(N.SKETCH_BITS)(iter([rows]))
+        width = len(found) >> N.PART_BITS
+        found[part * width : (part + 1) * width] = np.frombuffer(out.column(1)[0].as_py(), np.uint8)
+    at = (shared >> np.uint64(64 - N.SKETCH_BITS)).astype(np.int64)
+    # eight sets have each of these; in 2**21 slots the eight singles that share each would hide them
+    assert (found[at] >= 20).all() and (found > 0).mean() < 0.02
+    order = N._Order(found)
+    mixed = np.sort(np.concatenate([shared[:100], rng.integers(0, 1 << 63, 300, np.int64).view(np.uint64) << np.uint64(1)]))
+    arranged, _, costs = order.arrange(mixed, 75)
+    assert not np.isin(arranged[:280], shared).any() and not costs[:90].any()
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    def names():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = names()
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    assert len(N.Scratch(spark, "t").table(df).collect()) == 10
+    for _ in range(50):  # they go in the background
+        if not names() - before:
+            break
+        time.sleep(0.1)
+    assert not names() - before
