@@ -170,7 +170,7 @@ def _add_slots(bits: int):
             for part, gaps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 coded = np.frombuffer(gaps.as_buffer(), np.uint8)
                 counts = total.setdefault(part, np.zeros(1 << (SLOT_BITS - PART_BITS), np.int32))
-                np.add.at(counts, np.cumsum(coded, dtype=np.int64)[coded != 255], 1)
+                np.add.at(counts, np.cumsum(coded, dtype=np.int64)[coded != 255], np.int32(1))
         for part in sorted(total):
             counts = total.pop(part)
             chance = float(counts.mean())
